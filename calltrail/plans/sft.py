@@ -12,7 +12,6 @@ from calltrail.operators.cuts import chosen, chosen_by_kind
 from calltrail.operators.ordering import SLICE, collect_parts, running_count, slices
 
 STEP_ORDER = ["chain_pos", "step_pos"]
-NO_SLICES = F.lit(0)
 
 
 def definition_texts(definitions: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def unknown_tools(pool: DataFrame, catalog: DataFrame) -> DataFrame:
     return pool.join(catalog.select("api"), "api", "left_anti")
 
 
-def answers(steps: DataFrame, output_format: str, by: Column = NO_SLICES, **limits) -> DataFrame:
+def answers(steps: DataFrame, output_format: str, by: Column | None = None, **limits) -> DataFrame:
     """Assistant text per workflow, in parts: workflow_id, part, assistant.
 
     'python': every call of every chain as call text. 'json': the first chain only, as a
@@ -80,6 +79,8 @@ def answers(steps: DataFrame, output_format: str, by: Column = NO_SLICES, **limi
         text = to_record_text("tool", "tool_input")
     else:
         used, text = steps, to_call_text("tool", "tool_input")
+    if by is None:
+        by = F.col("chain_pos") * 1_000_000 + F.floor(F.col("step_pos") / 1000)
     told = used.select("workflow_id", *STEP_ORDER, text.alias("text"))
     parts = collect_parts(told, ["workflow_id"], STEP_ORDER, ["text"], by, **limits)
     size = limits.get("part_size") or 10_000
@@ -94,7 +95,7 @@ def answers(steps: DataFrame, output_format: str, by: Column = NO_SLICES, **limi
 
 
 def format_samples(workflows: DataFrame, steps: DataFrame, negatives: DataFrame, definitions: DataFrame,
-                   num_tools: int = 10, output_format: str = "python", by: Column = NO_SLICES,
+                   num_tools: int = 10, output_format: str = "python", by: Column | None = None,
                    **limits) -> DataFrame:
     """sample_id, part, system, user, assistant of workflows(workflow_id, query).
 
