@@ -143,12 +143,16 @@ def sample_messages(samples: DataFrame) -> DataFrame:
     )
 
 
-def columns_to_messages(flat: DataFrame) -> DataFrame:
-    """Columns system, user, assistant, stripped, as messages; other columns go."""
-    def turn(role):
-        return F.struct(F.lit(role).alias("role"), strip(F.col(role)).alias("content"))
+def turns_from_columns() -> Column:
+    """Columns system, user and assistant, stripped, as an array of messages."""
+    return F.array(
+        *[F.struct(F.lit(r).alias("role"), strip(F.col(r)).alias("content")) for r in ("system", "user", "assistant")]
+    )
 
-    return flat.select(F.array(turn("system"), turn("user"), turn("assistant")).alias("messages"))
+
+def columns_to_messages(flat: DataFrame) -> DataFrame:
+    """Flat samples as messages; other columns go."""
+    return flat.select(turns_from_columns().alias("messages"))
 
 
 def metadata(pool: DataFrame, definitions: DataFrame) -> DataFrame:

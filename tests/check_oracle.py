@@ -57,7 +57,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     a, b = canonical(got, got_columns), canonical(want, want_columns)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y]
-        return f"{len(diff)} rows differ, first {str(diff[0])[:1500]}", len(got)
+        return f"{len(diff)} rows differ, first {str(diff[0])[:700]}", len(got)
     ka, kb = kinds(got, got_columns), kinds(want, want_columns)
     if ka != kb:
         return f"types {ka} / {kb}", len(got)
@@ -85,7 +85,7 @@ if __name__ == "__main__":
                 problem, n = compare(spark, con, name, queries()[name], sql, sf_dir)
                 note = "ok"
         except Exception as e:
-            problem, n = "".join(traceback.format_exception_only(e))[:1800], -1
+            problem, n = "".join(traceback.format_exception_only(e))[:900], -1
         bad += problem is not None
         print(f"{name:28s} {n:8d} {time.time() - start:6.2f}s  {problem or note}", flush=True)
     print("bad:", bad)
