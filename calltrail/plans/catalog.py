@@ -125,6 +125,7 @@ def api_args(references: DataFrame, configs: DataFrame, limit: int = MAX_DESCRIP
     found = references.join(resolve_apis(configs), ["category", "tool", "api"], "left")
     return found.select(
         *references.columns,
+        *[c for c in ("tool_description",) if c in configs.columns],
         F.substring(F.coalesce("description", F.lit("")), 1, limit).alias("description"),
         short("required").alias("required"),
         short("optional").alias("optional"),

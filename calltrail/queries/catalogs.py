@@ -249,8 +249,7 @@ def param_types(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     configs = _configs(spark, sf_dir)
-    references = configs.select("category", "tool", text.standardize(F.col("name")).alias("api"),
-                                "tool_description").distinct()
+    references = configs.select("category", "tool", text.standardize(F.col("name")).alias("api")).distinct()
     return cat.api_args(references, configs)
 
 

@@ -84,10 +84,11 @@ def _slice():
 
 
 @query("sft_json_samples", f"""WITH {STEPS_SQL},
+records AS (
+  SELECT *, '{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}' AS record FROM steps),
 answers AS (
-  SELECT workflow_id, string_agg('{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}', ', '
-           ORDER BY step_pos, tool || tool_input) AS answer
-  FROM steps WHERE chain_pos = 0 GROUP BY workflow_id)
+  SELECT workflow_id, string_agg(record, ', ' ORDER BY step_pos, record) AS answer
+  FROM records WHERE chain_pos = 0 GROUP BY workflow_id)
 SELECT o_orderkey AS sample_id, CAST(0 AS BIGINT) AS part, {_text_sql(prompts.base_prompt('json'))} AS system,
        {QUERY_SQL} AS user, '[' || coalesce(answer, '') || ']' AS assistant
 FROM orders LEFT JOIN answers ON workflow_id = o_orderkey""")
