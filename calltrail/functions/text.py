@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space as Python strips it, and the length limits of rendered text.
-SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 MAX_DESCRIPTION = 256
 MAX_RENDERED = 1024
 MAX_PREVIEW = 200
@@ -22,7 +25,7 @@ ID_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 def strip(c: Column) -> Column:
     """Both ends free of white space of every kind, not of blanks only."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def full_name(category: Column, tool: Column, api: Column) -> Column:

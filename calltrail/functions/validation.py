@@ -85,6 +85,13 @@ ERROR_KEYWORDS = [
     ("error", "API error"),
     ("failed", "API request failed"),
 ]
+# Every explicit error and keyword contains one of these in lower case; a text without any
+# of them needs no search for the longer lists.
+STEMS = [
+    "valid", "must be a", " parse", "limit", "requests", "required", "failed", "unauthorized", "denied",
+    "forbidden", "not found", "error", "t exist", "t find", "disabled", "host:", "unavailable", "be found",
+    "timed out", "upgrade", "missing ", "been moved", "wrong value", "no longer", "any results", "data found", "cdt",
+]
 METADATA_KEYS = [
     "status", "code", "statuscode", "status_code", "cod", "t-status", "success", "ok",
     "request_id", "requestid", "message", "msg", "at", "method", "hostname",
@@ -112,26 +119,40 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def error_keyword(lowered: Column) -> Column:
-    """Reason of the first keyword, in list order, inside a lower-cased text."""
-    return first_reason(*[(lowered.contains(word), reason) for word, reason in ERROR_KEYWORDS])
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _first_hit(column: str, pairs: list[tuple[str, str]]) -> str:
+    """SQL for the reason of the first pair whose text is inside `column`."""
+    cases = " ".join(f"WHEN contains({column}, {_sql_text(t)}) THEN {_sql_text(r)}" for t, r in pairs)
+    return f"CASE {cases} END"
+
 
+def error_keyword(column: str) -> Column:
+    """Reason of the first keyword, in list order, inside a lower-cased text column."""
+    return F.expr(_first_hit(column, ERROR_KEYWORDS))
 
-def text_rules(error: Column, response: Column, bare: Column, lowered: Column) -> Column:
-    """Rules that need no parsing. `bare` is the stripped text, `lowered` its lower case."""
+
+def text_rules(error: Column, response: Column) -> Column:
+    """Rules on the text alone; needs its stripped form `_bare`, the lower case of that, `_low`,
+    and `_suspect`: does it hold any of the stems?"""
+    bare, lowered = F.col("_bare"), F.col("_low")
     control = F.length(
         F.regexp_replace(F.substring(response, 1, 100), r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     )
-    return first_reason(
-        (error != "", error),
-        (response.isNull() | bare.isin("", "{}", "[]"), EMPTY),
-        (bare == "None", NONE_TEXT),
-        (any_of([response.startswith(p) for p in BINARY_PREFIXES]), BINARY),
-        ((F.length(response) > 50) & (control > 20), BINARY),
-        (any_of([bare.startswith(p) for p in TAG_PREFIXES]), MARKUP),
-        (any_of([lowered.startswith(p) for p in LOWER_TAG_PREFIXES]), MARKUP),
-        *[(bare.contains(e), f"Explicit error message found: '{e}'") for e in EXPLICIT_ERRORS],
-        (~bare.startswith("{") & ~bare.startswith("["), error_keyword(lowered)),
+    explicit = [(e, f"Explicit error message found: '{e}'") for e in EXPLICIT_ERRORS]
+    return F.coalesce(
+        first_reason(
+            (error != "", error),
+            (response.isNull() | bare.isin("", "{}", "[]"), EMPTY),
+            (bare == "None", NONE_TEXT),
+            (any_of([response.startswith(p) for p in BINARY_PREFIXES]), BINARY),
+            ((F.length(response) > 50) & (control > 20), BINARY),
+            (any_of([bare.startswith(p) for p in TAG_PREFIXES]), MARKUP),
+            (any_of([lowered.startswith(p) for p in LOWER_TAG_PREFIXES]), MARKUP),
+        ),
+        F.when(F.col("_suspect"), F.expr(_first_hit("_bare", explicit))),
     )
 
 
@@ -190,40 +211,46 @@ def _field(name: str) -> Column:
     return F.when(F.size(spelled) > 0, F.element_at(F.col("_map"), F.element_at(spelled, -1)))
 
 
-def _error_field_rules() -> Column:
-    rules = []
-    for name in ERROR_FIELDS:
-        value, k = F.col(f"_f_{name}"), F.col(f"_k_{name}")
-        text = F.when(k == "STRING", text_of(value))
-        low = F.lower(text)
-        size = F.length(text)
-        if name == "notice":
-            upgrade = (low.contains("available") & low.contains("plan")) | (
-                low.contains("upgrade") & (low.contains("plan") | low.contains("subscription"))
-            )
-            rules.append((F.when((size < 200) & upgrade, F.lit(PLAN))))
-        reason = error_keyword(low)
-        if name == "detail":
-            reason = F.when(reason.isNotNull(), F.concat(F.lit("API error: "), text))
+def _field_texts() -> Column:
+    """Lower-cased texts of the error fields, null where the field is no text or too long."""
+    def text(name):
         limit = {"error": None, "detail": None, "notice": 200}.get(name, 100)
-        rules.append(reason if limit is None else F.when(size <= limit, reason))
-        if name == "detail":
-            message = F.try_variant_get(value, "$[0].msg", "variant")
-            rules.append(
-                F.when(
-                    (k == "ARRAY") & message.isNotNull(),
-                    F.concat(F.lit("Validation error: "), py_text(message, kind(message))),
-                )
-            )
-    spelled = F.filter(F.col("_keys"), lambda key: F.lower(key) == "message")
-    last = F.when(F.size(spelled) > 0, F.element_at(F.col("_map"), F.element_at(spelled, -1)))
+        is_text = F.col(f"_k_{name}") == "STRING"
+        value = text_of(F.col(f"_f_{name}"))
+        fits = is_text if limit is None else is_text & (F.length(value) <= limit)
+        return F.when(fits, F.lower(value))
+
+    return F.array(*[text(name) for name in ERROR_FIELDS])
+
+
+def _error_field_rules() -> Column:
+    hit = F.expr(f"transform(_field_texts, t -> {_first_hit('t', ERROR_KEYWORDS)})")
+    error, message, messages, detail, notice = [hit[i] for i in range(len(ERROR_FIELDS))]
+    detail_text = text_of(F.col("_f_detail"))
+    first_msg = F.try_variant_get(F.col("_f_detail"), "$[0].msg", "variant")
+    notice_low = F.when(F.col("_k_notice") == "STRING", F.lower(text_of(F.col("_f_notice"))))
+    upgrade = (notice_low.contains("available") & notice_low.contains("plan")) | (
+        notice_low.contains("upgrade") & (notice_low.contains("plan") | notice_low.contains("subscription"))
+    )
     failed = F.concat(
-        F.lit("API failed: "), F.coalesce(py_text(last, F.col("_k_message")), F.lit("Unknown error"))
+        F.lit("API failed: "),
+        F.coalesce(py_text(F.col("_f_message"), F.col("_k_message")), F.lit("Unknown error")),
     )
     success, status = F.col("_f_success"), F.col("_f_status")
-    rules.append(F.when((F.col("_k_success") == "BOOLEAN") & (text_of(success) == "false"), failed))
-    rules.append(F.when((F.col("_k_status") == "STRING") & (text_of(status) == "error"), failed))
-    return F.coalesce(*rules)
+    return F.coalesce(
+        error,
+        message,
+        messages,
+        F.when(detail.isNotNull(), F.concat(F.lit("API error: "), detail_text)),
+        F.when(
+            (F.col("_k_detail") == "ARRAY") & first_msg.isNotNull(),
+            F.concat(F.lit("Validation error: "), py_text(first_msg, kind(first_msg))),
+        ),
+        F.when((F.length(notice_low) < 200) & upgrade, F.lit(PLAN)),
+        notice,
+        F.when((F.col("_k_success") == "BOOLEAN") & (text_of(success) == "false"), failed),
+        F.when((F.col("_k_status") == "STRING") & (text_of(status) == "error"), failed),
+    )
 
 
 def _exact(name: str) -> Column:
@@ -313,31 +340,38 @@ def _parsed_rules() -> Column:
 
 
 def validate_responses(df: DataFrame, response: str = "response", error: str = "error") -> DataFrame:
-    """Add `is_valid` and `reason` (empty when valid)."""
+    """Add `is_valid` and `reason` (empty when valid).
+
+    The keyword list is the last rule for every text and, for texts that are no object or
+    array, the only one after the text rules; so each text is searched for it once.
+    """
     columns = df.columns
     r = F.col(response)
-    err = F.coalesce(F.col(error), F.lit(""))
     a = df.withColumn("_bare", strip(r)).withColumn("_low", F.lower("_bare"))
-    a = a.withColumn("_text_reason", text_rules(err, r, F.col("_bare"), F.col("_low")))
-    candidate = F.col("_text_reason").isNull() & (F.col("_bare").startswith("{") | F.col("_bare").startswith("["))
-    a = a.withColumn("_json", F.when(candidate, r)).withColumn("_v", F.try_parse_json("_json"))
+    a = a.withColumn("_suspect", F.expr(" OR ".join(f"contains(_low, {_sql_text(t)})" for t in STEMS)))
+    a = a.withColumn("_text_reason", text_rules(F.coalesce(F.col(error), F.lit("")), r))
+    undecided = F.col("_text_reason").isNull()
+    structured = F.col("_bare").startswith("{") | F.col("_bare").startswith("[")
+    a = a.select(
+        *columns, "_text_reason",
+        F.when(undecided & F.col("_suspect"), error_keyword("_low")).alias("_keyword"),
+        F.when(undecided & structured, r).alias("_json"),
+    ).withColumn("_v", F.try_parse_json("_json"))
     # null for every row that parsed, so Python sees the rest only
-    lenient = to_json_text(F.when(F.col("_v").isNull(), F.col("_json")))
-    b = a.withColumn("_lenient", lenient)
-    b = b.withColumn("_v", F.coalesce("_v", F.try_parse_json("_lenient"))).withColumn(
-        "_json", F.coalesce("_lenient", "_json")
+    b = a.withColumn("_lenient", to_json_text(F.when(F.col("_v").isNull(), F.col("_json"))))
+    b = b.withColumns(
+        {"_v": F.coalesce("_v", F.try_parse_json("_lenient")), "_json": F.coalesce("_lenient", "_json")}
     )
-    b = b.withColumn("_map", F.try_variant_get("_v", "$", "map<string,variant>"))
-    b = b.withColumn("_keys", F.when(F.col("_map").isNotNull(), F.array_distinct(F.json_object_keys("_json"))))
-    b = b.withColumn(
-        "_empty_array", F.coalesce(F.size(F.try_variant_get("_v", "$", "array<variant>")) == 0, F.lit(False))
+    b = b.withColumns(
+        {
+            "_map": F.try_variant_get("_v", "$", "map<string,variant>"),
+            "_empty_array": F.coalesce(F.size(F.try_variant_get("_v", "$", "array<variant>")) == 0, F.lit(False)),
+        }
     )
+    b = b.withColumn("_keys", F.when(F.col("_map").isNotNull(), F.array_distinct(F.json_object_keys("_json"))))
     named = [*ERROR_FIELDS, "success", "status"]
     b = b.withColumns({f"_f_{n}": _field(n) for n in named})
     b = b.withColumns({f"_k_{n}": kind(F.col(f"_f_{n}")) for n in named})
-    reason = F.coalesce(
-        F.col("_text_reason"), _parsed_rules(), error_keyword(F.lower(r)), F.lit("")
-    )
-    return b.withColumn("reason", reason).select(
-        *columns, (F.col("reason") == "").alias("is_valid"), "reason"
-    )
+    b = b.withColumn("_field_texts", _field_texts())
+    reason = F.coalesce(F.col("_text_reason"), _parsed_rules(), F.col("_keyword"), F.lit(""))
+    return b.withColumn("reason", reason).select(*columns, (F.col("reason") == "").alias("is_valid"), "reason")

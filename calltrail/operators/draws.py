@@ -3,31 +3,37 @@
 The catalog is laid out on dense positions 0..M-1 with every family in one block. What a
 workflow may not draw is a set of disjoint blocks. Drawing the r-th allowed position needs
 no candidate list: r is drawn among the allowed count, then moved past the blocks before
-it. So the work per workflow is (tools wanted) x (blocks left out), whatever M is.
+it. So the work per workflow is (tools wanted) x (blocks left out), whatever M is, and it is
+done inside the workflow's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.operators.ordering import SLICE, running_count, slices
+from calltrail.operators.ordering import SLICE, Slices, running_count, slices
+from calltrail.session import materialize
 
-SPARE_DRAWS = 16
+FEW = 64
 
 
 def _bits(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
 
 
-def lay_out(catalog: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """catalog(api, family) -> api, family, position, family_start, family_size."""
-    cut = slices(catalog, ["family"], _bits(F.col("api").cast("string"), 4), hot_rows)
+def lay_out(catalog: DataFrame) -> DataFrame:
+    """catalog(api, family) -> api, family, position, family_start, family_size.
+
+    Every family is cut into 256 slices by hash, and families are summed up by hash prefix,
+    so neither a huge family nor a long list of families passes through one task.
+    """
+    inside = Slices(["family"], _bits(F.col("api").cast("string"), 2), None)
     ranked = running_count(
-        cut.mark(catalog), ["family"], [F.md5(F.col("api").cast("string")), F.col("api")], cut, "_rank"
+        inside.mark(catalog), ["family"], [F.md5(F.col("api").cast("string")), F.col("api")], inside, "_rank"
     ).drop(SLICE)
     sizes = catalog.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
-    across = slices(sizes, [], _bits(F.col("family"), 3))
+    across = Slices([], _bits(F.col("family"), 3), None)
     starts = running_count(
         across.mark(sizes), [], [F.md5("family"), F.col("family")], across, "_end",
         weight=F.col("family_size"),
@@ -39,120 +45,141 @@ def lay_out(catalog: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 
 def _ranks(workflow: Column, wanted: Column, allowed: Column, seed: int) -> Column:
-    """`wanted` distinct ranks in 0..allowed-1, in draw order."""
+    """`wanted` distinct ranks in 0..allowed-1, in draw order.
+
+    One md5 gives two draws. At least four more are drawn than wanted, so repeats hardly ever
+    run them short; the tail of 2 * wanted different ranks makes the count certain. Where few
+    tools are allowed, and repeats likely, all of them are put in hash order instead.
+    """
     text = F.concat(F.lit(f"{seed}|"), workflow.cast("string"), F.lit("|"))
-    tries = wanted + F.lit(SPARE_DRAWS)
-    drawn = F.transform(
-        F.sequence(F.lit(0), tries - 1), lambda i: F.pmod(_bits(F.concat(text, i.cast("string")), 15), allowed)
-    )
-    # the tail makes the count certain: it holds 2 * wanted different ranks
-    tail = F.sequence(F.lit(0).cast("bigint"), 2 * wanted - 1)
+    zero = F.lit(0).cast("bigint")
+    hashes = F.transform(F.sequence(zero, F.floor((wanted + 3) / 2)), lambda i: F.md5(F.concat(text, i.cast("string"))))
+    draw = lambda h, at: F.pmod(F.conv(F.substring(h, at, 15), 16, 10).cast("bigint"), allowed)
+    drawn = F.flatten(F.transform(hashes, lambda h: F.array(draw(h, 1), draw(h, 17))))
+    tail = F.sequence(zero, 2 * wanted - 1)
     few = F.transform(
         F.array_sort(
             F.transform(
-                F.sequence(F.lit(0).cast("bigint"), allowed - 1),
+                F.sequence(zero, allowed - 1),
                 lambda r: F.struct(F.md5(F.concat(text, r.cast("string"))).alias("h"), r.alias("r")),
             )
         ),
         lambda s: s["r"],
     )
     return F.slice(
-        F.when(allowed <= tries, few).otherwise(F.array_distinct(F.concat(drawn, tail))),
+        F.when(allowed <= 16 * wanted + FEW, few).otherwise(F.array_distinct(F.concat(drawn, tail))),
         F.lit(1), wanted.cast("int"),
     )
 
 
-def draw_outside(workflows: DataFrame, blocks: DataFrame, positions: DataFrame, seed: int) -> DataFrame:
-    """Draw tools for workflows(workflow_id, wanted) outside blocks(workflow_id, start, size).
+def _profiles(blocks: DataFrame, fits: Column, hot_rows: int | None) -> DataFrame:
+    """Per workflow: n_blocks, blocked (positions left out) and the sorted distinct blocks.
 
-    Returns workflow_id, draw (from 0), api, family. Workflows with a negative `wanted` or
-    with fewer allowed tools than wanted give no rows; see `rejected`.
+    blocks(workflow_id, start, size) may repeat. Ordinary workflows take one shuffle. Those
+    with very many calls are counted before their blocks are gathered, and gathered only if
+    they fit, so no list outgrows what `fits` allows.
     """
-    sized = _with_allowed(workflows, blocks, positions)
-    ranks = sized.filter(
-        (F.col("wanted") > 0) & (F.col("wanted") <= F.col("allowed"))
-    ).select(
-        "workflow_id",
-        F.posexplode(_ranks(F.col("workflow_id"), F.col("wanted"), F.col("allowed"), seed)).alias("draw", "rank"),
-    )
-    before = (
-        Window.partitionBy("workflow_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.struct("start", "size")
+    counted = [F.count(F.lit(1)).alias("n_blocks"), F.sum("size").alias("blocked")]
+    hot = F.broadcast(slices(blocks, ["workflow_id"], F.lit(0), hot_rows).hot)
+    ordinary = (
+        blocks.join(hot, "workflow_id", "left_anti")
+        .groupBy("workflow_id")
+        .agg(F.sort_array(F.collect_set(block)).alias("blocks"))
+        .select(
+            "workflow_id", F.size("blocks").cast("bigint").alias("n_blocks"),
+            F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, b: a + b["size"]).alias("blocked"), "blocks",
+        )
     )
-    shifts = blocks.select(
-        F.col("workflow_id").alias("_w"), "size",
-        (F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0))).alias("at_rank"),
+    heavy = blocks.join(hot, "workflow_id", "left_semi").distinct()
+    sizes = heavy.groupBy("workflow_id").agg(*counted)
+    lists = (
+        heavy.join(sizes.filter(fits), "workflow_id", "left_semi")
+        .groupBy("workflow_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     )
-    moved = (
-        ranks.join(
-            shifts,
-            (F.col("workflow_id") == F.col("_w")) & (F.col("at_rank") <= F.col("rank")),
-            "left",
-        )
-        .groupBy("workflow_id", "draw", "rank")
-        .agg((F.col("rank") + F.coalesce(F.sum("size"), F.lit(0))).alias("position"))
+    return ordinary.unionByName(sizes.join(lists, "workflow_id", "left"))
+
+
+def _judge(profiles: DataFrame, wanted: Column, n_catalog: int) -> DataFrame:
+    """Add `wanted`, `allowed` and the `reason` why a workflow gets no tools (null if it does)."""
+    allowed = F.lit(n_catalog).cast("bigint") - F.coalesce("blocked", F.lit(0))
+    return profiles.withColumn("wanted", wanted.cast("bigint")).withColumn("allowed", allowed).withColumn(
+        "reason",
+        F.when(F.col("wanted") < 0, F.lit("more positive tools than requested")).when(
+            F.col("wanted") > F.col("allowed"), F.lit("not enough candidates")
+        ),
     )
-    return moved.join(positions.select("position", "api", "family"), "position").select(
+
+
+def _draw(judged: DataFrame, positions: DataFrame, seed: int) -> DataFrame:
+    """workflow_id, draw (from 0), api, family for every workflow without a reason."""
+    able = judged.filter(F.col("reason").isNull() & (F.col("wanted") > 0))
+    ranks = _ranks(F.col("workflow_id"), F.col("wanted"), F.col("allowed"), seed)
+    # blocks are sorted, so stepping over them in order lands on the rank-th allowed position
+    step = lambda at, b: F.when(b["start"] <= at, at + b["size"]).otherwise(at)
+    places = F.transform(ranks, lambda r: F.aggregate(F.col("blocks"), r, step))
+    drawn = able.select("workflow_id", F.posexplode(places).alias("draw", "position"))
+    return drawn.join(positions.select("position", "api", "family"), "position").select(
         "workflow_id", "draw", "api", "family"
     )
 
 
-def _with_allowed(workflows: DataFrame, blocks: DataFrame, positions: DataFrame) -> DataFrame:
-    left_out = blocks.groupBy("workflow_id").agg(F.sum("size").alias("_out"))
-    catalog_size = positions.agg(F.count(F.lit(1))).scalar()
-    return (
-        workflows.join(left_out, "workflow_id", "left")
-        .withColumn("allowed", catalog_size - F.coalesce("_out", F.lit(0)))
-        .drop("_out")
+def _with_idle(profiles: DataFrame, workflows: DataFrame | None) -> DataFrame:
+    """Workflows that call nothing have nothing to leave out."""
+    if workflows is None:
+        return profiles
+    none = F.array().cast("array<struct<start:bigint,size:bigint>>")
+    return workflows.select("workflow_id").join(profiles, "workflow_id", "left").withColumns(
+        {
+            "n_blocks": F.coalesce("n_blocks", F.lit(0)),
+            "blocks": F.when(F.col("n_blocks").isNull(), none).otherwise(F.col("blocks")),
+        }
     )
 
 
-def rejected(workflows: DataFrame, blocks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Workflows that cannot get the tools they want, with the reason."""
-    sized = _with_allowed(workflows, blocks, positions)
-    reason = F.when(F.col("wanted") < 0, F.lit("more positive tools than requested")).when(
-        F.col("wanted") > F.col("allowed"), F.lit("not enough candidates")
-    )
-    return sized.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+def catalog_positions(catalog: DataFrame) -> DataFrame:
+    """The laid-out catalog, written once, as every draw reads it more than once."""
+    return materialize(lay_out(catalog), "positions")
 
 
 def negative_tools(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: int,
-                   positions: DataFrame | None = None):
+                   positions: DataFrame | None = None, workflows: DataFrame | None = None,
+                   hot_rows: int | None = None):
     """Fill every workflow's pool up to `num_tools` with tools it does not use.
 
-    tools(workflow_id, api): one row per call. Returns (draws, rejects). `num_tools` = -1
-    means no pool and so no negatives.
+    tools(workflow_id, api): one row per call, all in the catalog. Returns (draws, rejects).
+    `num_tools` = -1 means no pool and so no negatives. Pass `workflows` to include those
+    without calls.
     """
-    positions = lay_out(catalog) if positions is None else positions
-    used = tools.select("workflow_id", "api").distinct()
-    counts = used.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("n_positive"))
-    wanted = counts.select("workflow_id", (F.lit(num_tools) - F.col("n_positive")).alias("wanted"))
-    if num_tools == -1:
-        wanted = wanted.withColumn("wanted", F.lit(0).cast("bigint"))
-    # after this filter no workflow has more than num_tools blocks
-    fitting = wanted.filter(F.col("wanted") >= 0)
-    blocks = (
-        used.join(fitting, "workflow_id", "left_semi")
-        .join(positions.select("api", "position"), "api")
-        .select("workflow_id", F.col("position").alias("start"), F.lit(1).cast("bigint").alias("size"))
+    positions = catalog_positions(catalog) if positions is None else positions
+    blocks = tools.join(positions.select("api", F.col("position").alias("start")), "api").select(
+        "workflow_id", "start", F.lit(1).cast("bigint").alias("size")
     )
-    return draw_outside(wanted, blocks, positions, seed), rejected(wanted, blocks, positions)
+    fits = F.col("n_blocks") <= max(num_tools, 0)
+    profiles = _with_idle(_profiles(blocks, fits, hot_rows), workflows)
+    wanted = F.lit(0) if num_tools == -1 else F.lit(num_tools) - F.col("n_blocks")
+    judged = _judge(profiles, wanted, positions.count())
+    return _draw(judged, positions, seed), _rejects(judged)
 
 
 def strict_negatives(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: int,
-                     positions: DataFrame | None = None):
+                     positions: DataFrame | None = None, workflows: DataFrame | None = None,
+                     hot_rows: int | None = None):
     """Draw `num_tools` tools from families of which the workflow uses no tool.
 
-    tools(workflow_id, api). Blocks per workflow are distinct families, never more than the
-    catalog has. Returns (draws, rejects).
+    As negative_tools, but a block is a whole family, so a workflow has at most as many
+    blocks as the catalog has families.
     """
-    positions = lay_out(catalog) if positions is None else positions
-    wanted = tools.select("workflow_id").distinct().withColumn("wanted", F.lit(num_tools).cast("bigint"))
-    blocks = (
-        tools.select("workflow_id", "api").distinct()
-        .join(positions.select("api", "family_start", "family_size"), "api")
-        .select("workflow_id", F.col("family_start").alias("start"), F.col("family_size").alias("size"))
-        .distinct()
+    positions = catalog_positions(catalog) if positions is None else positions
+    blocks = tools.join(positions.select("api", "family_start", "family_size"), "api").select(
+        "workflow_id", F.col("family_start").alias("start"), F.col("family_size").alias("size")
     )
-    if num_tools == -1:
-        wanted = wanted.withColumn("wanted", F.lit(0).cast("bigint"))
-    return draw_outside(wanted, blocks, positions, seed), rejected(wanted, blocks, positions)
+    n_catalog = positions.count()
+    wanted = max(num_tools, 0)
+    fits = F.col("blocked") <= n_catalog - wanted
+    judged = _judge(_with_idle(_profiles(blocks, fits, hot_rows), workflows), F.lit(wanted), n_catalog)
+    return _draw(judged, positions, seed), _rejects(judged)
+
+
+def _rejects(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNotNull()).select("workflow_id", "wanted", "allowed", "reason")

@@ -108,10 +108,11 @@ sized AS (
 able AS (SELECT * FROM sized WHERE wanted > 0 AND wanted <= allowed),
 many AS (
   SELECT workflow_id, wanted, i,
-         CASE WHEN i < wanted + 16
-              THEN CAST('0x' || substr(md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % allowed
-              ELSE i - wanted - 16 END AS r
-  FROM (SELECT *, unnest(range(0, CAST(3 * wanted + 16 AS BIGINT))) AS i FROM able WHERE allowed > wanted + 16)),
+         CASE WHEN i < 2 * ((wanted + 5) // 2)
+              THEN CAST('0x' || substr(md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(i // 2 AS VARCHAR)),
+                                       1 + 16 * (i % 2), 15) AS BIGINT) % allowed
+              ELSE i - 2 * ((wanted + 5) // 2) END AS r
+  FROM (SELECT *, unnest(range(0, CAST(2 * ((wanted + 5) // 2) + 2 * wanted AS BIGINT))) AS i FROM able WHERE allowed > 16 * wanted + 64)),
 many_ranked AS (
   SELECT workflow_id, wanted, r, row_number() OVER (PARTITION BY workflow_id ORDER BY i) - 1 AS draw
   FROM (SELECT workflow_id, wanted, r, min(i) AS i FROM many GROUP BY workflow_id, wanted, r)),
@@ -119,7 +120,7 @@ few AS (
   SELECT workflow_id, wanted, r,
          row_number() OVER (PARTITION BY workflow_id ORDER BY
            md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(r AS VARCHAR)), r) - 1 AS draw
-  FROM (SELECT *, unnest(range(0, CAST(allowed AS BIGINT))) AS r FROM able WHERE allowed <= wanted + 16)),
+  FROM (SELECT *, unnest(range(0, CAST(allowed AS BIGINT))) AS r FROM able WHERE allowed <= 16 * wanted + 64)),
 ranked AS (
   SELECT workflow_id, draw, r FROM many_ranked WHERE draw < wanted
   UNION ALL SELECT workflow_id, draw, r FROM few WHERE draw < wanted),
@@ -141,7 +142,7 @@ used AS (SELECT DISTINCT workflow_id, tool AS api FROM steps),
 wanted AS (SELECT workflow_id, 10 - count(*) AS wanted FROM used GROUP BY workflow_id),
 blocks AS (
   SELECT workflow_id, position AS start, 1 AS size
-  FROM used JOIN cat USING (api) JOIN wanted USING (workflow_id) WHERE wanted >= 0),
+  FROM used JOIN cat USING (api)),
 {draws_sql(42)}"""
 STRICT_SQL = f"""
 wanted AS (SELECT DISTINCT workflow_id, CAST(10 AS BIGINT) AS wanted FROM steps),
