@@ -36,12 +36,17 @@ METADATA = f"""seed BIGINT, num_apis INT, iterations INT, num_proposals INT, con
 SCORES = """STRUCT<tool_accuracy: STRUCT<precision: DOUBLE, recall: DOUBLE>, success_rate: DOUBLE, qor: DOUBLE>"""
 
 
+def path_text(c: Column) -> Column:
+    """A path as the file system spells it; in URIs a plus sign stands for itself."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """id (file stem), file, modified, text: one row per file."""
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("id"),
-        F.col("_metadata.file_path").alias("file"),
+        F.regexp_extract(path_text(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("id"),
+        path_text(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("value").alias("text"),
     )
@@ -117,7 +122,7 @@ def read_tool_configs(spark: SparkSession, root: str) -> DataFrame:
     """All {root}/{category}/{tool}.json: one row per api entry, in list order."""
     docs = read_documents(spark, f"{root.rstrip('/')}/*/*.json")
     parts = docs.select(
-        F.url_decode(F.regexp_extract("file", r"([^/]+)/[^/]+\.json$", 1)).alias("category"),
+        F.regexp_extract("file", r"([^/]+)/[^/]+\.json$", 1).alias("category"),
         F.col("id").alias("tool"),
         F.from_json("text", TOOL_CONFIG).alias("_c"),
     )
@@ -164,8 +169,8 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     pred = F.from_json("text", "intermediate_steps ARRAY<ARRAY<STRING>>, error STRING")
     keys = F.json_object_keys("text")
     return docs.select(
-        F.url_decode(F.regexp_extract("file", path, 1)).alias("model"),
-        F.url_decode(F.regexp_extract("file", path, 2)).alias("bench"),
+        F.regexp_extract("file", path, 1).alias("model"),
+        F.regexp_extract("file", path, 2).alias("bench"),
         F.col("id").alias("sample_id"),
         F.coalesce((F.size(keys) == 0) | F.array_contains(keys, "error"), F.lit(True)).alias("failed"),
         F.when(

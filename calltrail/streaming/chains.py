@@ -19,9 +19,11 @@ STATE = "run string, n_chains bigint, chain bigint, n_steps bigint"
 
 def read_workflow_stream(spark: SparkSession, path: str) -> DataFrame:
     """id, text of every new workflow file."""
+    from calltrail.sources.readers import path_text
+
     files = spark.readStream.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text")
+        F.regexp_extract(path_text(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text")
     )
 
 
