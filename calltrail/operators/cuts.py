@@ -7,6 +7,8 @@ prefix that the cut falls in, so the final plan is a plain filter on the scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,53 +20,62 @@ def hash_rank(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def _cut_value(df: DataFrame, target: int, boundary_rows: int):
-    """The `target`-th smallest (hash, key) of a frame with columns `_h`, `_k`."""
-    prefix, left = "", target
-    while True:
-        depth = len(prefix) + STEP
-        counts = (
-            df.filter(F.col("_h").startswith(prefix))
-            .groupBy(F.substring("_h", 1, depth).alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        # at most 16**STEP rows reach this window
-        upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        row = (
-            counts.withColumn("upto", F.sum("n").over(upto))
-            .filter((F.col("upto") >= left) & (F.col("upto") - F.col("n") < left))
-            .head()
-        )
-        prefix, left = row["p"], left - (row["upto"] - row["n"])
-        if row["n"] <= boundary_rows or depth >= 32:
-            break
-    inside = df.filter(F.col("_h").startswith(prefix)).select("_h", "_k")
+def _narrow(df: DataFrame, prefix: str, target: Callable[[Column], Column]):
+    """The next hash prefix that row number `target`(rows) falls in, its rows, and how many of them.
+
+    One scan; at most 16**STEP rows reach the window.
+    """
+    depth = len(prefix) + STEP
+    counts = (
+        df.filter(F.col("_h").startswith(prefix))
+        .groupBy(F.substring("_h", 1, depth).alias("p"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_rows = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_rows))
+    goal = target(F.col("total"))
+    here = (F.col("upto") >= goal) & (F.col("upto") - F.col("n") < goal)
+    return placed.filter(here).select("p", "n", (goal - F.col("upto") + F.col("n")).alias("left")).head()
+
+
+def _cut_value(df: DataFrame, target: Callable[[Column], Column], boundary_rows: int):
+    """Row with the hash and key of the target-th row in hash order, None if that is row 0."""
+    at = _narrow(df, "", target)
+    if at is None:
+        return None
+    while at["n"] > boundary_rows and len(at["p"]) < 32:
+        left = at["left"]
+        at = _narrow(df, at["p"], lambda total: F.lit(left))
+    inside = df.filter(F.col("_h").startswith(at["p"]))
+    if at["n"] > boundary_rows:  # one hash, so copies of one key
+        return inside.head()
     return (
         inside.withColumn("rn", F.row_number().over(Window.orderBy("_h", "_k")))
-        .filter(F.col("rn") == left)
+        .filter(F.col("rn") == at["left"])
         .head()
     )
 
 
-def target_count(n: int, ratio: float) -> int:
-    """floor(n * ratio) in double arithmetic, the ratio clamped to [0, 1]."""
-    return int(n * max(0.0, min(1.0, float(ratio))))
-
-
 def chosen(df: DataFrame, key: str, seed: int, ratio: float | None = None, count: int | None = None,
            boundary_rows: int = BOUNDARY_ROWS) -> Column:
     """A Boolean column that is true for exactly the requested number of rows of `df`.
 
-    `key` must be unique in `df`. Give `ratio` or `count`; a count outside 0..n means all rows.
+    `key` must be unique in `df`; rows that share a key always fall on the same side. Give
+    `ratio`, clamped to [0, 1], or `count`; a count outside 0..n means all rows.
     """
-    ranked = df.select(hash_rank(F.col(key), seed).alias("_h"), F.col(key).alias("_k"))
-    n = df.count()
-    target = target_count(n, ratio) if count is None else (count if 0 <= count < n else n)
-    if target <= 0:
+    if count is None:
+        share = max(0.0, min(1.0, float(ratio)))
+        if share in (0.0, 1.0):
+            return F.lit(share == 1.0)
+        target = lambda total: F.floor(total * F.lit(share)).cast("bigint")
+    else:
+        if count == 0:
+            return F.lit(False)
+        target = lambda total: F.when((total > count) & F.lit(count > 0), F.lit(count)).otherwise(total).cast("bigint")
+    cut = _cut_value(df.select(hash_rank(F.col(key), seed).alias("_h"), F.col(key).alias("_k")), target, boundary_rows)
+    if cut is None:
         return F.lit(False)
-    if target >= n:
-        return F.lit(True)
-    cut = _cut_value(ranked, target, boundary_rows)
     h = hash_rank(F.col(key), seed)
     return (h < F.lit(cut["_h"])) | ((h == F.lit(cut["_h"])) & (F.col(key) <= F.lit(cut["_k"])))
 

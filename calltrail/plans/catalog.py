@@ -95,13 +95,8 @@ def resolve_apis(configs: DataFrame) -> DataFrame:
 
     Where several entries of one tool standardise to the same name the first one counts.
     """
-    rest = [c for c in configs.columns if c not in ("category", "tool", "api_pos")]
-    return (
-        configs.withColumn("api", standardize(F.col("name")))
-        .groupBy("category", "tool", "api")
-        .agg(F.min_by(F.struct(*rest), "api_pos").alias("cfg"))
-        .select("category", "tool", "api", "cfg.*")
-    )
+    named = configs.withColumn("api", standardize(F.col("name")))
+    return first_per_key(named, ["category", "tool", "api"], "api_pos").drop("api_pos")
 
 
 def api_args(references: DataFrame, configs: DataFrame, limit: int = MAX_DESCRIPTION) -> DataFrame:
@@ -132,6 +127,28 @@ def api_args(references: DataFrame, configs: DataFrame, limit: int = MAX_DESCRIP
     )
 
 
+def known_apis(proposals: DataFrame, hashes: DataFrame, keys: list[str]) -> DataFrame:
+    """proposals(keys..., position, hash) -> the apis of each proposal that the catalog knows.
+
+    Adds `name`; proposals left without any api keep one row with a null name.
+    """
+    named = proposals.join(hashes, "hash", "left")
+    kept = named.filter(F.col("name").isNotNull())
+    counts = named.groupBy(*keys).agg(F.count("name").alias("_n")).filter(F.col("_n") == 0)
+    return kept.unionByName(counts.select(*keys), allowMissingColumns=True)
+
+
+def first_per_key(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The first row of every key by `position`."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("_r")).select(*keys, "_r.*")
+
+
+def without_fields(record: Column, *fields: str) -> Column:
+    """A struct without the listed fields."""
+    return record.dropFields(*fields)
+
+
 def buildable(references: DataFrame, configs: DataFrame) -> DataFrame:
     """Counts of references with and without a configuration."""
     known = resolve_apis(configs).select("category", "tool", "api", F.lit(True).alias("_known"))

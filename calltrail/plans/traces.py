@@ -50,6 +50,11 @@ def execution_counts(executions: DataFrame) -> DataFrame:
     )
 
 
+def successful(executions: DataFrame) -> DataFrame:
+    """The reports a selection may choose from."""
+    return executions.filter("success")
+
+
 def selection_label(which_chain: Column) -> Column:
     return F.when(which_chain == "-1", F.lit("create_new_chain")).otherwise(
         F.concat(F.lit("update_chain_"), which_chain)

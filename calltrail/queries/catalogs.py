@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from calltrail.functions import text
 from calltrail.plans import catalog as cat
+from calltrail.plans import workflows as wf
 from calltrail.queries.base import query, table
 
 PARAMS = f"array<{cat.PARAM}>"
@@ -135,14 +136,34 @@ def valid_queries(spark, sf_dir):
     return cat.valid_queries(_values(spark, sf_dir).withColumnRenamed("value", "tool_name"), part)
 
 
-@query("proposal_hashes", f"""WITH {NAMES_SQL}, {VALUE_SQL}
-SELECT l_orderkey, count(name) AS n_apis FROM values_ LEFT JOIN names ON hash = value GROUP BY l_orderkey""")
-def proposal_hashes(spark, sf_dir):
-    """Apis left per proposal once unknown hashes are dropped; proposals left with none stay."""
-    hashes = full_names(spark, sf_dir).select(F.col("hash").alias("value"), "name")
-    return (
-        _values(spark, sf_dir).join(hashes, "value", "left").groupBy("l_orderkey").agg(F.count("name").alias("n_apis"))
+@query("proposal_apis", f"""WITH {NAMES_SQL}, {VALUE_SQL}
+SELECT l_orderkey, value AS hash, l_linenumber, name FROM values_ JOIN names ON hash = value
+UNION ALL SELECT l_orderkey, NULL, NULL, NULL FROM values_ LEFT JOIN names ON hash = value
+GROUP BY l_orderkey HAVING count(name) = 0""")
+def proposal_apis(spark, sf_dir):
+    """Orders as proposals: apis with an unknown hash go, proposals left with none stay."""
+    proposals = _values(spark, sf_dir).withColumnRenamed("value", "hash")
+    return cat.known_apis(proposals, full_names(spark, sf_dir), ["l_orderkey"])
+
+
+@query("named_steps", f"""WITH {NAMES_SQL}, {VALUE_SQL}
+SELECT l_orderkey, l_linenumber, coalesce(h.name, n.name) AS tool, 'call ' || coalesce(h.name, n.name) AS log,
+       '{{"' || coalesce(h.name, n.name) || '":1}}' AS result
+FROM values_ LEFT JOIN names h ON h.hash = value LEFT JOIN names n ON n.name = value
+WHERE coalesce(h.name, n.name) IS NOT NULL""")
+def named_steps(spark, sf_dir):
+    raw = _values(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", F.col("value").alias("tool"), F.concat(F.lit("call "), "value").alias("log"),
+        F.concat(F.lit('{"'), "value", F.lit('":1}')).alias("result"),
     )
+    return wf.name_steps(raw, full_names(spark, sf_dir))
+
+
+@query("first_apis", """
+SELECT p_type AS category, p_brand AS tool, p_name AS name, min(p_partkey) AS api_pos FROM part GROUP BY ALL""")
+def first_apis(spark, sf_dir):
+    rows = entries(spark, sf_dir).select("category", "tool", "name", "api_pos")
+    return cat.first_per_key(rows, ["category", "tool", "name"], "api_pos")
 
 
 def _configs(spark, sf_dir):
