@@ -46,6 +46,14 @@ HEAD, TAIL = prompts.SELECTION_POOL.split("{selection_pool}")
 QUERY_SQL = "'Handle order ' || CAST(o_orderkey AS VARCHAR) || ' of priority ' || o_orderpriority"
 
 
+# Answers from CTE `told`(workflow_id, text, rn), ten thousand texts to a part.
+PARTS_SQL = """answers AS (
+  SELECT workflow_id, CAST((rn - 1) // 10000 AS BIGINT) AS part,
+         CASE WHEN (rn - 1) // 10000 = 0 THEN '[' ELSE ', ' END || string_agg(text, ', ' ORDER BY rn)
+           || CASE WHEN ((rn - 1) // 10000 + 1) * 10000 >= n THEN ']' ELSE '' END AS answer
+  FROM (SELECT *, count(*) OVER (PARTITION BY workflow_id) AS n FROM told) GROUP BY workflow_id, (rn - 1) // 10000, n)"""
+
+
 @query("python_calls", f"""WITH {STEPS_SQL}
 SELECT workflow_id, chain_pos, step_pos, call_text AS call,
        '{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}' AS record
@@ -60,11 +68,13 @@ def python_calls(spark, sf_dir):
 @query("sft_samples", f"""{POOL_SQL}, {DEF_SQL},
 pools AS (
   SELECT workflow_id, string_agg(text, ', ' ORDER BY side, a, b, text) AS pool FROM pool JOIN defs USING (api) GROUP BY workflow_id),
-answers AS (
-  SELECT workflow_id, string_agg(call_text, ', ' ORDER BY chain_pos, step_pos, call_text) AS answer FROM steps GROUP BY workflow_id)
-SELECT o_orderkey AS sample_id, CAST(0 AS BIGINT) AS part,
-       {_text_sql(prompts.base_prompt('python') + HEAD)} || '[' || pool || ']' || {_text_sql(TAIL)} AS system,
-       {QUERY_SQL} AS user, '[' || answer || ']' AS assistant
+told AS (
+  SELECT workflow_id, call_text AS text, row_number() OVER (PARTITION BY workflow_id ORDER BY chain_pos, step_pos, call_text) AS rn
+  FROM steps),
+{PARTS_SQL}
+SELECT o_orderkey AS sample_id, part,
+       CASE WHEN part = 0 THEN {_text_sql(prompts.base_prompt('python') + HEAD)} || '[' || pool || ']' || {_text_sql(TAIL)} ELSE '' END AS system,
+       CASE WHEN part = 0 THEN {QUERY_SQL} ELSE '' END AS user, answer AS assistant
 FROM orders JOIN answers ON workflow_id = o_orderkey JOIN pools USING (workflow_id)
 JOIN wanted USING (workflow_id) WHERE wanted >= 0""")
 def sft_samples(spark, sf_dir, num_tools=10):
@@ -86,11 +96,13 @@ def _slice():
 @query("sft_json_samples", f"""WITH {STEPS_SQL},
 records AS (
   SELECT *, '{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}' AS record FROM steps),
-answers AS (
-  SELECT workflow_id, string_agg(record, ', ' ORDER BY step_pos, record) AS answer
-  FROM records WHERE chain_pos = 0 GROUP BY workflow_id)
-SELECT o_orderkey AS sample_id, CAST(0 AS BIGINT) AS part, {_text_sql(prompts.base_prompt('json'))} AS system,
-       {QUERY_SQL} AS user, '[' || coalesce(answer, '') || ']' AS assistant
+told AS (
+  SELECT workflow_id, record AS text, row_number() OVER (PARTITION BY workflow_id ORDER BY step_pos, record) AS rn
+  FROM records WHERE chain_pos = 0),
+{PARTS_SQL}
+SELECT o_orderkey AS sample_id, coalesce(part, 0) AS part,
+       CASE WHEN coalesce(part, 0) = 0 THEN {_text_sql(prompts.base_prompt('json'))} ELSE '' END AS system,
+       CASE WHEN coalesce(part, 0) = 0 THEN {QUERY_SQL} ELSE '' END AS user, coalesce(answer, '[]') AS assistant
 FROM orders LEFT JOIN answers ON workflow_id = o_orderkey""")
 def sft_json_samples(spark, sf_dir):
     every = steps(spark, sf_dir)
@@ -164,15 +176,20 @@ def role_checks(spark, sf_dir):
     return sft.role_checks(_turns(spark, sf_dir), "conv_id", [F.col("turn")], F.floor(F.col("turn") / 1000))
 
 
-@query("chat_rendered", rf"""WITH {ROLE_SQL}
-SELECT conv_id, CAST(0 AS BIGINT) AS part,
-       '<bos>' || string_agg(
+@query("chat_rendered", rf"""WITH {ROLE_SQL},
+systems AS (SELECT conv_id, text AS system_text FROM placed WHERE pos = 1 AND role = 'system'),
+told AS (
+  SELECT j.conv_id, pos, n_messages, (pos - 1) // 10000 AS part,
          CASE WHEN pos = 1 AND role = 'system' THEN ''
               ELSE '<start_of_turn>' || CASE WHEN role = 'assistant' THEN 'model' ELSE role END || chr(10)
-                || CASE WHEN i = 1 AND has_system THEN (SELECT p.text FROM placed p WHERE p.conv_id = j.conv_id AND p.pos = 1) || chr(10) || chr(10) ELSE '' END
+                || CASE WHEN i = 1 AND j.has_system THEN system_text || chr(10) || chr(10) ELSE '' END
                 || regexp_replace(j.text, '^[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+|[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')
-                || '<end_of_turn>' || chr(10) END, '' ORDER BY pos) || '<start_of_turn>model' || chr(10) AS text
-FROM judged j WHERE conv_id IN (SELECT conv_id FROM checks WHERE n_breaches = 0) GROUP BY conv_id""")
+                || '<end_of_turn>' || chr(10) END AS text
+  FROM judged j JOIN checks USING (conv_id) LEFT JOIN systems ON systems.conv_id = j.conv_id WHERE n_breaches = 0)
+SELECT conv_id, CAST(part AS BIGINT) AS part,
+       CASE WHEN part = 0 THEN '<bos>' ELSE '' END || string_agg(text, '' ORDER BY pos)
+         || CASE WHEN (part + 1) * 10000 >= n_messages THEN '<start_of_turn>model' || chr(10) ELSE '' END AS text
+FROM told GROUP BY conv_id, part, n_messages""")
 def chat_rendered(spark, sf_dir):
     return sft.rendered_chats(
         _turns(spark, sf_dir), "conv_id", "turn", F.floor(F.col("turn") / 1000), generation_prompt=True
