@@ -9,6 +9,8 @@ done inside the workflow's row.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,25 @@ def _with_idle(profiles: DataFrame, workflows: DataFrame | None) -> DataFrame:
     )
 
 
+class Draws(NamedTuple):
+    """What was drawn, who could not draw and why, and everyone else."""
+
+    tools: DataFrame
+    rejects: DataFrame
+    accepted: DataFrame
+
+
+def _finish(judged: DataFrame, positions: DataFrame, seed: int) -> Draws:
+    """The judged workflows are written once; all three results read that small table."""
+    judged = materialize(judged, "judged")
+    refused = F.col("reason").isNotNull()
+    return Draws(
+        _draw(judged, positions, seed),
+        judged.filter(refused).select("workflow_id", "wanted", "allowed", "reason"),
+        judged.filter(~refused).select("workflow_id"),
+    )
+
+
 def catalog_positions(catalog: DataFrame) -> DataFrame:
     """The laid-out catalog, written once, as every draw reads it more than once."""
     return materialize(lay_out(catalog), "positions")
@@ -144,11 +165,10 @@ def catalog_positions(catalog: DataFrame) -> DataFrame:
 
 def negative_tools(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: int,
                    positions: DataFrame | None = None, workflows: DataFrame | None = None,
-                   hot_rows: int | None = None):
+                   hot_rows: int | None = None) -> Draws:
     """Fill every workflow's pool up to `num_tools` with tools it does not use.
 
-    tools(workflow_id, api): one row per call, all in the catalog. Returns (draws, rejects).
-    `num_tools` = -1 means no pool and so no negatives. Pass `workflows` to include those
+    tools(workflow_id, api): one row per call, all in the catalog. `num_tools` = -1 means no pool and so no negatives. Pass `workflows` to include those
     without calls.
     """
     positions = catalog_positions(catalog) if positions is None else positions
@@ -158,13 +178,12 @@ def negative_tools(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: i
     fits = F.col("n_blocks") <= max(num_tools, 0)
     profiles = _with_idle(_profiles(blocks, fits, hot_rows), workflows)
     wanted = F.lit(0) if num_tools == -1 else F.lit(num_tools) - F.col("n_blocks")
-    judged = _judge(profiles, wanted, positions.count())
-    return _draw(judged, positions, seed), _rejects(judged)
+    return _finish(_judge(profiles, wanted, positions.count()), positions, seed)
 
 
 def strict_negatives(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: int,
                      positions: DataFrame | None = None, workflows: DataFrame | None = None,
-                     hot_rows: int | None = None):
+                     hot_rows: int | None = None) -> Draws:
     """Draw `num_tools` tools from families of which the workflow uses no tool.
 
     As negative_tools, but a block is a whole family, so a workflow has at most as many
@@ -178,8 +197,4 @@ def strict_negatives(tools: DataFrame, catalog: DataFrame, num_tools: int, seed:
     wanted = max(num_tools, 0)
     fits = F.col("blocked") <= n_catalog - wanted
     judged = _judge(_with_idle(_profiles(blocks, fits, hot_rows), workflows), F.lit(wanted), n_catalog)
-    return _draw(judged, positions, seed), _rejects(judged)
-
-
-def _rejects(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.col("reason").isNotNull()).select("workflow_id", "wanted", "allowed", "reason")
+    return _finish(judged, positions, seed)

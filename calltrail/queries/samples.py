@@ -80,13 +80,9 @@ JOIN wanted USING (workflow_id) WHERE wanted >= 0""")
 def sft_samples(spark, sf_dir, num_tools=10):
     every = steps(spark, sf_dir)
     called = every.select("workflow_id", F.col("tool").alias("api"))
-    negatives, rejects = draws.negative_tools(called, catalog(spark, sf_dir), num_tools, 42)
-    used = every.select("workflow_id").distinct()
-    accepted = (
-        workflows(spark, sf_dir).join(used, "workflow_id", "left_semi")
-        .join(rejects.select("workflow_id"), "workflow_id", "left_anti")
-    )
-    return sft.format_samples(accepted, every, negatives, definitions(spark, sf_dir), num_tools, "python", by=_slice())
+    drawn = draws.negative_tools(called, catalog(spark, sf_dir), num_tools, 42)
+    accepted = workflows(spark, sf_dir).join(drawn.accepted, "workflow_id", "left_semi")
+    return sft.format_samples(accepted, every, drawn.tools, definitions(spark, sf_dir), num_tools, "python", by=_slice())
 
 
 def _slice():
@@ -123,7 +119,7 @@ def sft_negative_samples(spark, sf_dir):
     _, sources = sft.choose_sources(workflows(spark, sf_dir), 0.2, 42)
     called = steps(spark, sf_dir).select("workflow_id", F.col("tool").alias("api"))
     called = called.join(sources.select("workflow_id"), "workflow_id", "left_semi")
-    negatives, _ = draws.strict_negatives(called, catalog(spark, sf_dir), 10, 42)
+    negatives = draws.strict_negatives(called, catalog(spark, sf_dir), 10, 42).tools
     return sft.negative_samples(sources, negatives, definitions(spark, sf_dir), "python")
 
 
@@ -211,9 +207,9 @@ FROM pool WHERE workflow_id IN (SELECT workflow_id FROM wanted WHERE wanted >= 0
 def sample_metadata(spark, sf_dir):
     every = steps(spark, sf_dir)
     called = every.select("workflow_id", F.col("tool").alias("api"))
-    negatives, rejects = draws.negative_tools(called, catalog(spark, sf_dir), 10, 42)
-    kept = every.join(rejects.select("workflow_id"), "workflow_id", "left_anti")
-    meta = sft.metadata(sft.candidate_pool(kept, negatives), definitions(spark, sf_dir))
+    drawn = draws.negative_tools(called, catalog(spark, sf_dir), 10, 42)
+    kept = every.join(drawn.accepted, "workflow_id", "left_semi")
+    meta = sft.metadata(sft.candidate_pool(kept, drawn.tools), definitions(spark, sf_dir))
     names = F.transform("neg_tools", lambda d: F.get_json_object(d, "$.name"))
     return meta.select(
         "workflow_id", F.size("pos_tools").alias("n_pos"), F.size("neg_tools").alias("n_neg"),

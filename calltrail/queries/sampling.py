@@ -94,7 +94,7 @@ def _tools(spark, sf_dir):
 
 @query("negative_tools", f"WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL} SELECT * FROM drawn")
 def negative_tools(spark, sf_dir):
-    return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42)[0]
+    return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
 
 
 @query("negative_rejects", f"""WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL}
@@ -102,12 +102,12 @@ SELECT workflow_id, wanted, CAST(allowed AS BIGINT) AS allowed,
        CASE WHEN wanted < 0 THEN 'more positive tools than requested' ELSE 'not enough candidates' END AS reason
 FROM sized WHERE wanted < 0 OR wanted > allowed""")
 def negative_rejects(spark, sf_dir):
-    return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42)[1]
+    return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).rejects
 
 
 @query("strict_negatives", f"WITH {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL} SELECT * FROM drawn")
 def strict_negatives(spark, sf_dir):
-    return draws.strict_negatives(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42)[0]
+    return draws.strict_negatives(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
 
 
 POOL_SQL = f"""WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL},
@@ -121,7 +121,7 @@ pool AS (
 @query("candidate_pool", f"""{POOL_SQL}
 SELECT workflow_id, side, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, api FROM pool""")
 def candidate_pool(spark, sf_dir):
-    negatives = draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42)[0]
+    negatives = draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
     pool = sft.candidate_pool(steps(spark, sf_dir), negatives)
     return pool.select("workflow_id", "side", "place.a", "place.b", "api")
 
@@ -130,7 +130,7 @@ def candidate_pool(spark, sf_dir):
 SELECT workflow_id, count(*) AS n_tools, CAST(0 AS BIGINT) AS n_shared FROM (SELECT DISTINCT workflow_id, api FROM pool)
 GROUP BY workflow_id HAVING count(*) <> 10""")
 def pool_violations(spark, sf_dir):
-    negatives = draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42)[0]
+    negatives = draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
     return sft.pool_violations(sft.candidate_pool(steps(spark, sf_dir), negatives), 10)
 
 

@@ -136,7 +136,7 @@ def test_draws_are_whole_allowed_and_the_same_on_the_hot_path(spark, strict):
     draw = draws.strict_negatives if strict else draws.negative_tools
     results = []
     for hot_rows in (10, 100_000):
-        drawn, rejects = draw(tools, catalog, 6, 42, hot_rows=hot_rows)
+        drawn, rejects, _ = draw(tools, catalog, 6, 42, hot_rows=hot_rows)
         results.append((sorted(map(tuple, drawn.collect())), sorted(map(tuple, rejects.collect()))))
     assert results[0] == results[1]
     drawn, rejects = results[0]
@@ -168,7 +168,7 @@ def test_draws_are_whole_allowed_and_the_same_on_the_hot_path(spark, strict):
 def test_draws_cover_the_catalog_evenly(spark):
     catalog = spark.createDataFrame([(f"t{i}", f"f{i % 7}") for i in range(400)], "api string, family string")
     tools = spark.range(3000).select(F.col("id").alias("workflow_id"), F.lit("t0").alias("api"))
-    drawn, rejects = draws.negative_tools(tools, catalog, 5, 7)
+    drawn, rejects, _ = draws.negative_tools(tools, catalog, 5, 7)
     assert rejects.count() == 0
     counts = [r["count"] for r in drawn.groupBy("api").count().collect()]
     assert sum(counts) == 3000 * 4 and len(counts) == 399
@@ -181,7 +181,7 @@ def test_no_pool_and_idle_workflows(spark):
     catalog = spark.createDataFrame(_catalog(), "api string, family string")
     tools = spark.createDataFrame([(1, "f1-0")], "workflow_id int, api string")
     every = spark.createDataFrame([(1,), (2,)], "workflow_id int")
-    drawn, rejects = draws.negative_tools(tools, catalog, -1, 42)
+    drawn, rejects, _ = draws.negative_tools(tools, catalog, -1, 42)
     assert drawn.count() == 0 and rejects.count() == 0
-    drawn, _ = draws.negative_tools(tools, catalog, 4, 42, workflows=every)
+    drawn, _, _ = draws.negative_tools(tools, catalog, 4, 42, workflows=every)
     assert {r.workflow_id: r["count"] for r in drawn.groupBy("workflow_id").count().collect()} == {1: 3, 2: 4}
