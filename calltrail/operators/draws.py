@@ -74,7 +74,7 @@ def _ranks(workflow: Column, wanted: Column, allowed: Column, seed: int) -> Colu
     )
 
 
-def _profiles(blocks: DataFrame, fits: Column, hot_rows: int | None) -> DataFrame:
+def _profiles(blocks: DataFrame, tools: DataFrame, fits: Column, hot_rows: int | None) -> DataFrame:
     """Per workflow: n_blocks, blocked (positions left out) and the sorted distinct blocks.
 
     blocks(workflow_id, start, size) may repeat. Ordinary workflows take one shuffle. Those
@@ -83,7 +83,7 @@ def _profiles(blocks: DataFrame, fits: Column, hot_rows: int | None) -> DataFram
     """
     block = F.struct("start", "size")
     counted = [F.count(F.lit(1)).alias("n_blocks"), F.sum("size").alias("blocked")]
-    hot = F.broadcast(slices(blocks, ["workflow_id"], F.lit(0), hot_rows).hot)
+    hot = F.broadcast(slices(tools, ["workflow_id"], F.lit(0), hot_rows).hot)
     ordinary = (
         blocks.join(hot, "workflow_id", "left_anti")
         .groupBy("workflow_id")
@@ -176,7 +176,7 @@ def negative_tools(tools: DataFrame, catalog: DataFrame, num_tools: int, seed: i
         "workflow_id", "start", F.lit(1).cast("bigint").alias("size")
     )
     fits = F.col("n_blocks") <= max(num_tools, 0)
-    profiles = _with_idle(_profiles(blocks, fits, hot_rows), workflows)
+    profiles = _with_idle(_profiles(blocks, tools, fits, hot_rows), workflows)
     wanted = F.lit(0) if num_tools == -1 else F.lit(num_tools) - F.col("n_blocks")
     return _finish(_judge(profiles, wanted, positions.count()), positions, seed)
 
@@ -196,5 +196,5 @@ def strict_negatives(tools: DataFrame, catalog: DataFrame, num_tools: int, seed:
     n_catalog = positions.count()
     wanted = max(num_tools, 0)
     fits = F.col("blocked") <= n_catalog - wanted
-    judged = _judge(_with_idle(_profiles(blocks, fits, hot_rows), workflows), F.lit(wanted), n_catalog)
+    judged = _judge(_with_idle(_profiles(blocks, tools, fits, hot_rows), workflows), F.lit(wanted), n_catalog)
     return _finish(judged, positions, seed)

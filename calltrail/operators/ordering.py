@@ -43,19 +43,18 @@ class Slices:
         return df.join(F.broadcast(self.hot), self.keys, "left_semi")
 
 
-def slices(df: DataFrame, keys: list[str], by: Column, hot_rows: int | None = None,
-           weight: Column | None = None) -> Slices:
+def slices(df: DataFrame, keys: list[str], by: Column, hot_rows: int | None = None) -> Slices:
     """Slices for `df`. Without keys the whole table is one group and is always cut.
 
     A key is hot above `hot_rows` rows and above 1/MAX_HOT_KEYS of the table. The second
     bound keeps the hot list at MAX_HOT_KEYS entries, which is what makes it broadcastable.
+    Both counts read the key columns alone.
     """
     if not keys:
         return Slices([], by, None)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.groupBy(*keys).agg(rows.alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     hot = counts.filter(
         F.col("_rows") > F.greatest(F.lit(float(hot_rows)), total / F.lit(float(MAX_HOT_KEYS)))
     ).select(*keys)

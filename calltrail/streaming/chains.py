@@ -122,8 +122,8 @@ def evaluate_new(predictions: DataFrame, score, results: str, checkpoint: str) -
         spark = batch.sparkSession
         todo = batch
         if batch_id > 0:
-            earlier = [f"{results}/batch={i}" for i in range(batch_id)]
-            todo = batch.join(spark.read.parquet(*earlier), ["model", "sample_id"], "left_anti")
+            earlier = spark.read.parquet(results).filter(F.col("batch") < batch_id)
+            todo = batch.join(earlier.select("model", "sample_id"), ["model", "sample_id"], "left_anti")
         score(todo).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
