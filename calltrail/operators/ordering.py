@@ -99,8 +99,10 @@ def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list
 
     Returns keys, `part` (from 0), `n_total` (items of the whole key) and `items`
     (array of structs of `values`). A key of ordinary size is exactly part 0; a huge one is
-    whole too, spread over several rows. Ordinary keys take one shuffle and a local sort.
+    whole too, spread over several rows. Ordinary keys take one shuffle and a local sort; a
+    key is hot, unless `hot_rows` says otherwise, when it does not fit one part.
     """
+    hot_rows = part_size if hot_rows is None else hot_rows
     columns = list(dict.fromkeys([*keys, *order, *values]))
     sort_by = [c for c in columns if c not in keys]
     cut = slices(df, keys, by, hot_rows)
