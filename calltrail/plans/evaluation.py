@@ -52,18 +52,19 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
 
-def evaluate(predictions: DataFrame, calls: DataFrame, truth: DataFrame, judge: DataFrame,
+def evaluate(predictions: DataFrame, calls: DataFrame, truth: DataFrame, judge: DataFrame | None = None,
              overwrite: bool = False) -> DataFrame:
     """Scores per (model, sample_id), with `weight` for the summaries.
 
-    predictions(model, sample_id, failed, stored): `stored` is a struct of earlier scores or
+    judge(model, sample_id, num_requests, response_scores); leave it out when the predictions
+    carry these two columns. predictions(model, sample_id, failed, stored): `stored` is a struct of earlier scores or
     null, kept per metric unless `overwrite`. A failed prediction counts 0 for precision, recall and
     qor and is not counted for success. `weight` is the number of times a score is counted
     when values are weighted as in the original tables: 2 when fresh, 1 when stored or failed.
     """
     fresh = tool_scores(predictions, calls, truth)
-    judged = judge.select(*SAMPLE, judge_score(F.col("num_requests"), F.col("response_scores")).alias("qor"))
-    scored = fresh.join(judged, SAMPLE, "left")
+    qor = judge_score(F.col("num_requests"), F.col("response_scores")).alias("qor")
+    scored = fresh.select("*", qor) if judge is None else fresh.join(judge.select(*SAMPLE, qor), SAMPLE, "left")
     failed = F.coalesce("failed", F.lit(False))
     out = []
     for metric in METRICS:
@@ -172,12 +173,23 @@ def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def compare(first: DataFrame, second: DataFrame, with_p: bool = True) -> DataFrame:
-    """Paired t-test per metric over the samples both models have a value for."""
+    """Paired t-test per metric over the samples both score tables have a value for."""
     a = long_scores(first).select("sample_id", "metric", F.col("value").alias("_a"))
     b = long_scores(second).select("sample_id", "metric", F.col("value").alias("_b"))
-    paired = a.join(b, ["sample_id", "metric"]).filter(F.col("metric") != "precision")
+    return _t_test(a.join(b, ["sample_id", "metric"]), with_p)
+
+
+def compare_models(scores: DataFrame, first: str, second: str, with_p: bool = True) -> DataFrame:
+    """The same for two models of one score table, which is read once."""
+    long = long_scores(scores.filter(F.col("model").isin(first, second)))
+    value = lambda model: F.max(F.when(F.col("model") == model, F.col("value")))
+    paired = long.groupBy("sample_id", "metric").agg(value(first).alias("_a"), value(second).alias("_b"))
+    return _t_test(paired.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull()), with_p)
+
+
+def _t_test(paired: DataFrame, with_p: bool) -> DataFrame:
     d = F.col("_a") - F.col("_b")
-    out = paired.groupBy("metric").agg(
+    out = paired.filter(F.col("metric") != "precision").groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_sd")
     )
     t = F.col("mean_diff") / F.nullif(F.col("_sd") / F.sqrt(F.col("n").cast("double")), F.lit(0.0))

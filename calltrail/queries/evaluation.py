@@ -98,8 +98,7 @@ def _inputs(spark, sf_dir):
 
 def scores(spark, sf_dir, overwrite=False):
     predictions, calls, truth = _inputs(spark, sf_dir)
-    judge = predictions.select("model", "sample_id", "num_requests", "response_scores")
-    return ev.evaluate(predictions.select("model", "sample_id", "failed", "stored"), calls, truth, judge, overwrite)
+    return ev.evaluate(predictions, calls, truth, overwrite=overwrite)
 
 
 def _rounded(df, *columns):
@@ -159,8 +158,7 @@ SELECT metric, count(*) AS n, round(avg(d), 6) AS mean_diff,
 
 
 def _pair(spark, sf_dir, with_p):
-    both = scores(spark, sf_dir)
-    out = ev.compare(both.filter("model = 'model_A'"), both.filter("model = 'model_N'"), with_p)
+    out = ev.compare_models(scores(spark, sf_dir), "model_A", "model_N", with_p)
     return out.withColumn("mean_diff", F.round("mean_diff", 6)).withColumn("t_stat", F.round("t_stat", 4))
 
 

@@ -232,6 +232,9 @@ def test_paired_t_test(spark):
     assert got["recall"].p_value == pytest.approx(ev.student_p(got["recall"].t_stat, 4))
     assert got["success_rate"].n == 4
     assert got["qor"].t_stat is None and got["qor"].p_value is None
+    one_table = scores("a", a).unionByName(scores("b", b))
+    again = {r.metric: r for r in ev.compare_models(one_table, "a", "b").collect()}
+    assert {m: (r.n, r.t_stat, r.p_value) for m, r in again.items()} == {m: (r.n, r.t_stat, r.p_value) for m, r in got.items()}
 
 
 def test_traces(spark):
