@@ -7,6 +7,7 @@ answer in a cache of the Python worker. Pre-tokens never leave their task.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +35,7 @@ class _Counter:
     """Token counts of whole texts with one tokenizer; lives in a Python worker."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
