@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.ranks import fresh
+from calltrail.llm.ranks import fresh, small
 from calltrail.session import materialize
 
 MASKS = ("110110101", "101110011")  # 1: the token counts, 0: it may differ
 MIN_SCORE = 8  # equal less different tokens of the best stretch
-BROADCAST_ROWS = 2_000_000  # seeds and ids above this are joined by a shuffle instead
 
 
 def tokens(text: Column) -> Column:
@@ -44,11 +43,6 @@ def _exploded(rows: DataFrame, ident: str, at: str) -> DataFrame:
     return first
 
 
-def _small(side: DataFrame) -> DataFrame:
-    """A broadcast hint if the rows are few enough to bound its size."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id, shift): document position less item position of a common seed."""
     test = items.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("hashes"))
@@ -57,7 +51,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     train = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("hashes"))
     both = F.array(*[seeds("hashes", m, k) for k, m in enumerate(MASKS)])
     spread = train.select("doc_id", F.explode(both).alias("row")).select("doc_id", F.posexplode("row").alias("at", "seed"))
-    met = spread.join(_small(probes), "seed")
+    met = spread.join(small(probes), "seed")
     return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
@@ -82,9 +76,9 @@ def overlaps(docs: DataFrame, items: DataFrame, min_score: int = MIN_SCORE) -> D
     compared one by one and reported under the id; rows with a null id are left out.
     """
     found = materialize(hits(docs, items), "seed-hits")
-    wanted = _small(found.select("doc_id").distinct())
+    wanted = small(found.select("doc_id").distinct())
     train = docs.join(wanted, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc_hashes"))
-    test = items.join(_small(found.select("item_id").distinct()), "item_id", "left_semi")
+    test = items.join(small(found.select("item_id").distinct()), "item_id", "left_semi")
     test = test.select("item_id", tokens(F.col("text")).alias("item_hashes"))
     pairs = found.join(train, "doc_id").join(test, "item_id")
     scored = pairs.select("doc_id", "item_id", best_stretch("doc_hashes", "item_hashes", "shift").alias("score"))
@@ -111,4 +105,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, min_score: int = MIN_SC
     found = overlaps(docs.select("doc_id", "text"), items.select("item_id", "text"), min_score)
     gone = materialize(found.select("doc_id").distinct(), "contaminated")
     name = fresh(docs, "_gone")
-    return docs.join(_small(gone.select(F.col("doc_id").alias(name))), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(small(gone.select(F.col("doc_id").alias(name))), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

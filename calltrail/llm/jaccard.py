@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.llm.components import components
-from calltrail.llm.ranks import fresh
+from calltrail.llm.ranks import fresh, small
 from calltrail.session import materialize
 
 WIDTH = 5
@@ -330,4 +330,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = similar_documents(docs).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
     gone = materialize(judged, "near-copies")
     name = fresh(docs, "_gone")
-    return docs.join(gone.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+    return docs.join(small(gone.select(F.col("doc_id").alias(name))), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calltrail.llm import decontamination, jaccard, packing, pii, quality, sharding, token_counts, urls
+from calltrail.llm import decontamination, jaccard, packing, perplexity, pii, quality, sharding, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

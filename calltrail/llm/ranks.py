@@ -61,3 +61,11 @@ def text_bytes(text: str = "text") -> Column:
 def batches(values: Iterable[str | None]) -> list[str]:
     """Texts of an Arrow column with null as empty."""
     return ["" if v is None else v for v in values]
+
+
+BROADCAST_ROWS = 2_000_000  # narrow tables above this are joined by a shuffle instead
+
+
+def small(side: DataFrame) -> DataFrame:
+    """`side`, a narrow table, with a broadcast hint if its rows are few enough to bound its size."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
