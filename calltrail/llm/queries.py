@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calltrail.llm import decontamination, jaccard, packing, perplexity, pii, quality, sharding, token_counts, urls
+from calltrail.llm import decontamination, jaccard, packing, perplexity, pii, quality, quotations, sharding, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_order(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op3_quotation_linking"] = quotations.ORACLE

@@ -1,4 +1,8 @@
-"""Cleans and packs a document table: stages that each call one operator of calltrail.llm."""
+"""Cleans and packs a document table: stages that each call one operator of calltrail.llm.
+
+Every stage works on all rows its predecessor kept. Stages that judge documents return the rows they
+keep with all columns; rows with null ids or null columns pass where an operator cannot judge them.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from calltrail.llm import decontamination, jaccard, packing, pii, quality
+from calltrail.llm.queries import PSEUDONYM_KEY, table, tokenizer_path
 from calltrail.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
-ORACLE_SQL = None  # SQL cannot express the quality, packing and tokenizer stages
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal values."""
+    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the pieces of each document stand in the training sequences."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark_overlap", benchmark_overlap),
+    ("pseudonyms", pseudonyms),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # SQL cannot express the quality and packing stages; tests hold each against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
