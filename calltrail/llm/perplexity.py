@@ -114,9 +114,9 @@ def _suffix(length: int) -> Column:
 def discounts(counts: DataFrame) -> DataFrame:
     """lang, d1, d2, d3 of modified Kneser-Ney from the counts of counts 1 to 4."""
     of = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     fine = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-    raw = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    raw = [k - (k + 1) * y * F.try_divide(f"n{k + 1}", F.col(f"n{k}")) for k in (1, 2, 3)]
     for k, d in enumerate(raw, 1):
         fine = fine & (d > 0) & (d < k)
     return of.select("lang", *[F.when(fine, d).otherwise(_FALLBACK[k]).alias(f"d{k + 1}") for k, d in enumerate(raw)])

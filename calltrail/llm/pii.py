@@ -25,8 +25,8 @@ _PHONE = (
 )
 _CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 _KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=[^\s\"'<>]+|[0-9a-f]{40}(?![0-9A-Za-z])"
-# A value starts after no letter, digit or joining mark.
-PATTERN = rf"(?<![A-Za-z0-9])(?:{_KEY}|{_EMAIL}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
+# A value starts after no letter, no digit and no mark that joins it to a digit before.
+PATTERN = rf"(?<![A-Za-z0-9])(?<![0-9][./-])(?:{_KEY}|{_EMAIL}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
 #: Every match has one of these characters.
 HINT = r"[0-9@]|password="
 

@@ -140,7 +140,7 @@ tree AS (SELECT conv_id, turn, parent, min(thread) AS thread, max(depth) AS dept
 told AS (
   SELECT c.conv_id, c.turn, c.role,
          array_to_string(list_filter(string_split(c.text, chr(10)), lambda s: NOT regexp_matches(s, '^(?:[ \t]*>)+')), chr(10)) AS text,
-         parent AS reply_to, coalesce(thread, c.turn) AS thread, coalesce(depth, 0) AS depth
+         t.parent AS reply_to, coalesce(t.thread, c.turn) AS thread, coalesce(t.depth, 0) AS depth
   FROM conversations c LEFT JOIN tree t ON t.conv_id = c.conv_id AND t.turn = c.turn)
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, depth, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM told
 """
