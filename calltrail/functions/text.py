@@ -123,12 +123,14 @@ def no_error_words(result: Column) -> Column:
 
 
 def candidate_id(key: Column, seed: int, salt: Column, length: int = 6) -> Column:
-    """A letters-and-digits id from a hash of seed, key and salt."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), salt.cast("string")))
+    """A letters-and-digits id from hashes of seed, key and salt, eight characters from each."""
+    def digest(part: int) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), salt.cast("string"), *([F.lit(str(part))] if part else [])))
+
     letters = [
         F.substring(
             F.lit(ID_ALPHABET),
-            (F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int") % len(ID_ALPHABET)) + 1,
+            (F.conv(F.substring(digest(i // 8), 1 + 4 * (i % 8), 4), 16, 10).cast("int") % len(ID_ALPHABET)) + 1,
             F.lit(1),
         )
         for i in range(length)
@@ -136,16 +138,25 @@ def candidate_id(key: Column, seed: int, salt: Column, length: int = 6) -> Colum
     return reduce(lambda a, b: F.concat(a, b), letters)
 
 
-def unique_ids(df: DataFrame, key: str, seed: int, length: int = 6, rounds: int = 1000) -> DataFrame:
+def id_length(keys: int, least: int = 6) -> int:
+    """Characters with which ids are used by at most one key in 4,096."""
+    length = least
+    while len(ID_ALPHABET) ** length < 4096 * keys:
+        length += 1
+    return length
+
+
+def unique_ids(df: DataFrame, key: str, seed: int, length: int | None = None, rounds: int = 1000) -> DataFrame:
     """Add a unique `id` per unique `key`, drawing again where two keys got the same one.
 
-    The smallest key keeps a contested id; the others get the next salt. A round touches
-    only the rows still without an id.
+    Ids have six characters, or as many as the number of keys asks for, so a second round holds
+    few rows. The smallest key keeps a contested id; the others get the next salt. A round
+    touches only the rows still without an id.
     """
     from calltrail.session import materialize
 
-    if length > 8:
-        raise ValueError("ids are at most 8 characters")
+    if length is None:
+        length = id_length(df.count())
     todo, done = df.select(key), None
     for salt in range(rounds):
         drawn = todo.withColumn("id", candidate_id(F.col(key), seed, F.lit(salt), length))
@@ -159,4 +170,4 @@ def unique_ids(df: DataFrame, key: str, seed: int, length: int = 6, rounds: int
         todo = todo.join(won, key, "left_anti")
         if todo.isEmpty():
             return df.join(done, key)
-    raise ValueError("could not find unique ids")
+    raise ValueError(f"could not find unique ids of {length} characters")

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from calltrail.operators.ordering import SLICE, Slices, running_count, slices
 from calltrail.session import materialize
 
-FEW = 64
-
 
 def _bits(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
@@ -47,31 +45,23 @@ def lay_out(catalog: DataFrame) -> DataFrame:
 
 
 def _ranks(workflow: Column, wanted: Column, allowed: Column, seed: int) -> Column:
-    """`wanted` distinct ranks in 0..allowed-1, in draw order.
+    """`wanted` distinct ranks in 0..allowed-1, in draw order; one rule for all sizes.
 
-    One md5 gives two draws. At least four more are drawn than wanted, so repeats hardly ever
-    run them short; the tail of 2 * wanted different ranks makes the count certain. Where few
-    tools are allowed, and repeats likely, all of them are put in hash order instead.
+    Step i takes a rank of 0..m with m = allowed - wanted + i, or m itself if that rank is taken
+    already (Floyd's method): every set of ranks is equally likely, and `wanted` steps always
+    suffice. The ranks are then put in hash order.
     """
     text = F.concat(F.lit(f"{seed}|"), workflow.cast("string"), F.lit("|"))
+
+    def step(taken: Column, i: Column) -> Column:
+        m = allowed - wanted + i
+        rank = F.pmod(_bits(F.concat(text, i.cast("string")), 15), m + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, rank), m).otherwise(rank)))
+
     zero = F.lit(0).cast("bigint")
-    hashes = F.transform(F.sequence(zero, F.floor((wanted + 3) / 2)), lambda i: F.md5(F.concat(text, i.cast("string"))))
-    draw = lambda h, at: F.pmod(F.conv(F.substring(h, at, 15), 16, 10).cast("bigint"), allowed)
-    drawn = F.flatten(F.transform(hashes, lambda h: F.array(draw(h, 1), draw(h, 17))))
-    tail = F.sequence(zero, 2 * wanted - 1)
-    few = F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(zero, allowed - 1),
-                lambda r: F.struct(F.md5(F.concat(text, r.cast("string"))).alias("h"), r.alias("r")),
-            )
-        ),
-        lambda s: s["r"],
-    )
-    return F.slice(
-        F.when(allowed <= 16 * wanted + FEW, few).otherwise(F.array_distinct(F.concat(drawn, tail))),
-        F.lit(1), wanted.cast("int"),
-    )
+    taken = F.aggregate(F.sequence(zero, wanted - 1), F.array().cast("array<bigint>"), step)
+    order = F.transform(taken, lambda r: F.struct(F.md5(F.concat(text, F.lit("r"), r.cast("string"))).alias("h"), r.alias("r")))
+    return F.transform(F.array_sort(order), lambda s: s["r"])
 
 
 def _profiles(blocks: DataFrame, tools: DataFrame, fits: Column, hot_rows: int | None) -> DataFrame:

@@ -137,9 +137,38 @@ def negative_samples(workflows: DataFrame, negatives: DataFrame, definitions: Da
     )
 
 
+def whole_samples(samples: DataFrame) -> DataFrame:
+    """sample_id, system, user, assistant: the parts of each sample joined in order, one row a sample."""
+    first = F.col("part") == 0
+    piece = F.struct("part", "assistant")
+    return samples.groupBy("sample_id").agg(
+        F.max(F.when(first, F.col("system"))).alias("system"), F.max(F.when(first, F.col("user"))).alias("user"),
+        F.sort_array(F.collect_list(piece)).alias("_pieces"),
+    ).select("sample_id", "system", "user", F.array_join(F.transform("_pieces", lambda p: p["assistant"]), "").alias("assistant"))
+
+
 def sample_messages(samples: DataFrame) -> DataFrame:
-    return samples.select(
-        "sample_id", "part", prompts.messages(F.col("system"), F.col("user"), F.col("assistant")).alias("messages")
+    """sample_id, messages: one training sample a row, however many parts its answer has."""
+    return whole_samples(samples).select(
+        "sample_id", prompts.messages(F.col("system"), F.col("user"), F.col("assistant")).alias("messages")
+    )
+
+
+def append_negatives(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Both kinds of samples of each split, told apart by `is_negative`."""
+    return positives.withColumn("is_negative", F.lit(False)).unionByName(negatives.withColumn("is_negative", F.lit(True)))
+
+
+def test_ids(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """The test ids, each once, in order."""
+    return samples.filter(F.col("split") == "test").select(key).distinct().orderBy(key)
+
+
+def batch_totals(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+    """n_total, n_accepted, n_rejected of a batch, from its accepted ids and its rejects."""
+    told = accepted.select(F.lit(1).alias("_good")).unionByName(rejected.select(F.lit(0).alias("_good")))
+    return told.agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("_good") == 1).alias("n_accepted"), F.count_if(F.col("_good") == 0).alias("n_rejected")
     )
 
 

@@ -13,6 +13,7 @@ ACTION = "tool STRING, tool_input STRING, log STRING, tool_call_id STRING"
 RESULT = "error STRING, response STRING"
 MAX_CHAINS = 10
 CHAIN_PREFIX = "api_use_chain_"
+MAX_DOUBLINGS = 30  # paths of up to a billion nodes; a cycle never ends
 
 
 def flatten_steps(workflows: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def flatten_steps(workflows: DataFrame) -> DataFrame:
         "workflow_id", F.posexplode("api_use_chains").alias("chain_pos", "chain_key", "_chain")
     )
     steps = chains.select(
-        "workflow_id", "chain_pos", "chain_key", F.substring("chain_key", 9, 1 << 20).alias("chain_name"),
+        "workflow_id", "chain_pos", "chain_key", F.expr("substring(chain_key, 9)").alias("chain_name"),
         F.posexplode("_chain.intermediate_steps").alias("step_pos", "_step"),
     )
     result = F.try_element_at("_step", F.lit(2))
@@ -151,31 +152,31 @@ def chain_edges(chains: DataFrame, node: str) -> DataFrame:
     return source.join(target, ["run", "chain_id", "source_pos"])
 
 
-def rightmost_chain(nodes: DataFrame, skip_root: bool = False, max_depth: int = 10_000) -> DataFrame:
-    """From every root follow the last child down.
+def rightmost_chain(nodes: DataFrame, skip_root: bool = False) -> DataFrame:
+    """From every root follow the last child down: tree, node, depth.
 
-    nodes(tree, node, parent, ord), node unique in its tree, parent null at the root. Last
-    children are found once for all nodes; each round then moves one level down.
+    nodes(tree, node, parent, ord), node unique in its tree, parent null at the root. Every last
+    child points at its parent; pointers double until they reach a node that is no last child, so
+    a path of n nodes takes log2(n) rounds. Nodes whose pointer ends at a root are on the path.
     """
-    last = materialize(
-        nodes.filter(F.col("parent").isNotNull())
-        .groupBy("tree", "parent").agg(F.max_by("node", "ord").alias("node")),
-        "last-child",
-    )
-    front = materialize(
-        nodes.filter(F.col("parent").isNull()).select("tree", "node", F.lit(0).alias("depth")), "level"
-    )
-    levels = [] if skip_root else [front]
-    for depth in range(1, max_depth):
-        step = front.select("tree", F.col("node").alias("parent")).join(last, ["tree", "parent"])
-        front = materialize(step.select("tree", "node", F.lit(depth).alias("depth")), "level")
-        if front.isEmpty():
+    last = nodes.filter(F.col("parent").isNotNull()).groupBy("tree", "parent").agg(F.max_by("node", "ord").alias("node"))
+    state = materialize(last.select("tree", "node", F.col("parent").alias("above"), F.lit(1).alias("depth")), "last-child")
+    for _ in range(MAX_DOUBLINGS):
+        up = state.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        if state.join(up, ["tree", "above"], "left_semi").isEmpty():
             break
-        levels.append(front)
-    out = levels[0] if levels else front
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        state = materialize(
+            state.join(up, ["tree", "above"], "left").select(
+                "tree", "node", F.coalesce("next", "above").alias("above"),
+                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            ),
+            "last-child",
+        )
+    else:
+        raise ValueError("parents form a cycle, or a path has over a billion nodes")
+    roots = nodes.filter(F.col("parent").isNull()).select("tree", "node")
+    down = state.join(roots.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi").select("tree", "node", "depth")
+    return down if skip_root else roots.select("tree", "node", F.lit(0).alias("depth")).unionByName(down)
 
 
 def last_success(steps: DataFrame, keys: list[str], position: str, valid: Column) -> DataFrame:

@@ -106,24 +106,17 @@ sized AS (
   SELECT workflow_id, wanted, (SELECT count(*) FROM cat) - coalesce(sum(size), 0) AS allowed
   FROM wanted LEFT JOIN blocks USING (workflow_id) GROUP BY workflow_id, wanted),
 able AS (SELECT * FROM sized WHERE wanted > 0 AND wanted <= allowed),
-many AS (
-  SELECT workflow_id, wanted, i,
-         CASE WHEN i < 2 * ((wanted + 5) // 2)
-              THEN CAST('0x' || substr(md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(i // 2 AS VARCHAR)),
-                                       1 + 16 * (i % 2), 15) AS BIGINT) % allowed
-              ELSE i - 2 * ((wanted + 5) // 2) END AS r
-  FROM (SELECT *, unnest(range(0, CAST(2 * ((wanted + 5) // 2) + 2 * wanted AS BIGINT))) AS i FROM able WHERE allowed > 16 * wanted + 64)),
-many_ranked AS (
-  SELECT workflow_id, wanted, r, row_number() OVER (PARTITION BY workflow_id ORDER BY i) - 1 AS draw
-  FROM (SELECT workflow_id, wanted, r, min(i) AS i FROM many GROUP BY workflow_id, wanted, r)),
-few AS (
-  SELECT workflow_id, wanted, r,
-         row_number() OVER (PARTITION BY workflow_id ORDER BY
-           md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(r AS VARCHAR)), r) - 1 AS draw
-  FROM (SELECT *, unnest(range(0, CAST(allowed AS BIGINT))) AS r FROM able WHERE allowed <= 16 * wanted + 64)),
+floyd AS (
+  SELECT workflow_id, wanted, allowed, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS picks FROM able
+  UNION ALL
+  SELECT workflow_id, wanted, allowed, i + 1, list_append(picks, CASE WHEN list_contains(picks, r) THEN CAST(allowed - wanted + i AS BIGINT) ELSE r END)
+  FROM (SELECT *, CAST('0x' || substr(md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT)
+                  % CAST(allowed - wanted + i + 1 AS BIGINT) AS r
+        FROM floyd WHERE i < wanted)),
 ranked AS (
-  SELECT workflow_id, draw, r FROM many_ranked WHERE draw < wanted
-  UNION ALL SELECT workflow_id, draw, r FROM few WHERE draw < wanted),
+  SELECT workflow_id, r, row_number() OVER (PARTITION BY workflow_id ORDER BY
+           md5('{seed}|' || CAST(workflow_id AS VARCHAR) || '|r' || CAST(r AS VARCHAR)), r) - 1 AS draw
+  FROM (SELECT workflow_id, unnest(picks) AS r FROM floyd WHERE i = wanted)),
 shifts AS (
   SELECT workflow_id, size,
          start - coalesce(sum(size) OVER (PARTITION BY workflow_id ORDER BY start

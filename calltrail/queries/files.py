@@ -13,8 +13,7 @@ from calltrail.streaming.chains import intake
 def workflow_documents(spark, sf_dir):
     """One workflow document per order, as text: id, text.
 
-    Orders with many lines make long documents; this writes each as one row, as the
-    documents of the original data are.
+    A document is one row, as in the original data, so its text holds all parts of its chains.
     """
     step = F.concat(
         F.lit('[{"tool": "'), F.col("tool"), F.lit('", "tool_input": '), F.col("tool_input"),
@@ -24,13 +23,13 @@ def workflow_documents(spark, sf_dir):
         F.lit("]"),
     )
     told = steps(spark, sf_dir).select("workflow_id", "chain_pos", "step_pos", step.alias("text"))
-    chains = wf.collect_parts(
-        told, ["workflow_id", "chain_pos"], ["step_pos"], ["text"], F.col("step_pos")
-    ).filter(F.col("part") == 0)
+    parts = wf.collect_parts(told, ["workflow_id", "chain_pos"], ["step_pos"], ["text"], F.col("step_pos"))
+    piece = F.struct("part", F.array_join(F.transform("items", lambda i: i["text"]), ", ").alias("text"))
+    chains = parts.groupBy("workflow_id", "chain_pos").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     body = F.concat(
         F.lit('"api_use_chain_'), (F.col("chain_pos") + 1).cast("string"), F.lit('": {"chain_id": "api_use_chain_'),
         (F.col("chain_pos") + 1).cast("string"), F.lit('", "intermediate_steps": ['),
-        F.array_join(F.transform("items", lambda i: i["text"]), ", "), F.lit("]}"),
+        F.array_join(F.transform("pieces", lambda p: p["text"]), ", "), F.lit("]}"),
     )
     # open lines come first, so document order is not key order
     ordered = chains.select("workflow_id", F.struct(-F.col("chain_pos"), body.alias("body")).alias("c"))

@@ -108,7 +108,22 @@ def sft_json_samples(spark, sf_dir):
     )
 
 
-@query("sft_negative_samples", f"""WITH {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL}, {DEF_SQL},
+@query("sample_messages", f"""WITH {STEPS_SQL},
+records AS (
+  SELECT *, '{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}' AS record FROM steps),
+whole AS (
+  SELECT workflow_id, '[' || string_agg(record, ', ' ORDER BY step_pos, record) || ']' AS answer FROM records WHERE chain_pos = 0 GROUP BY workflow_id)
+SELECT o_orderkey AS sample_id, 'system:' || {_text_sql(prompts.base_prompt('json'))} || '|user:' || {QUERY_SQL}
+       || '|assistant:' || coalesce(answer, '[]') AS messages
+FROM orders LEFT JOIN whole ON workflow_id = o_orderkey""")
+def sample_messages(spark, sf_dir):
+    """Samples as messages: the parts of an answer are one assistant message."""
+    out = sft.sample_messages(sft_json_samples(spark, sf_dir))
+    shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return out.select("sample_id", F.array_join(shown, "|").alias("messages"))
+
+
+@query("sft_negative_samples", f"""WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL}, {DEF_SQL},
 pools AS (
   SELECT workflow_id, string_agg(text, ', ' ORDER BY draw) AS pool FROM drawn JOIN defs USING (api) GROUP BY workflow_id)
 SELECT CAST(o_orderkey AS VARCHAR) || '_neg' AS sample_id, CAST(0 AS BIGINT) AS part,

@@ -92,12 +92,12 @@ def _tools(spark, sf_dir):
     return steps(spark, sf_dir).select("workflow_id", F.col("tool").alias("api"))
 
 
-@query("negative_tools", f"WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL} SELECT * FROM drawn")
+@query("negative_tools", f"WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL} SELECT * FROM drawn")
 def negative_tools(spark, sf_dir):
     return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
 
 
-@query("negative_rejects", f"""WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL}
+@query("negative_rejects", f"""WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL}
 SELECT workflow_id, wanted, CAST(allowed AS BIGINT) AS allowed,
        CASE WHEN wanted < 0 THEN 'more positive tools than requested' ELSE 'not enough candidates' END AS reason
 FROM sized WHERE wanted < 0 OR wanted > allowed""")
@@ -105,12 +105,12 @@ def negative_rejects(spark, sf_dir):
     return draws.negative_tools(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).rejects
 
 
-@query("strict_negatives", f"WITH {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL} SELECT * FROM drawn")
+@query("strict_negatives", f"WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL} SELECT * FROM drawn")
 def strict_negatives(spark, sf_dir):
     return draws.strict_negatives(_tools(spark, sf_dir), catalog(spark, sf_dir), 10, 42).tools
 
 
-POOL_SQL = f"""WITH {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL},
+POOL_SQL = f"""WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL},
 pool AS (
   SELECT workflow_id, 0 AS side, chain_pos AS a, step_pos AS b, tool AS api FROM (
     SELECT *, row_number() OVER (PARTITION BY workflow_id, tool ORDER BY chain_pos, step_pos) AS rn FROM steps)
@@ -144,3 +144,31 @@ def unknown_tools(spark, sf_dir):
     # calls are counted per tool first, so the check joins one row per tool
     used = _tools(spark, sf_dir).groupBy("api").agg(F.count(F.lit(1)).alias("n"))
     return sft.unknown_tools(used, known)
+
+
+@query("test_ids", f"""
+SELECT doc_id FROM {KIND_SQL} WHERE doc_id IN {cut_sql('doc_id', 7, 0.29, KIND_SQL, 'kind')}""")
+def test_ids(spark, sf_dir):
+    return sft.test_ids(_stratified(spark, sf_dir), "doc_id")
+
+
+@query("appended_negatives", f"""
+SELECT split, kind, kind = 'negative' AS is_negative, count(*) AS n FROM (
+  SELECT kind, CASE WHEN doc_id IN {cut_sql('doc_id', 7, 0.29, KIND_SQL, 'kind')} THEN 'test' ELSE 'train' END AS split FROM {KIND_SQL})
+GROUP BY ALL""")
+def appended_negatives(spark, sf_dir):
+    """Each kind is split on its own; negatives then follow positives in both splits."""
+    kinds = _samples_of_kinds(spark, sf_dir)
+    positive, negative = (
+        sft.split(kinds.filter(F.col("kind") == k), 0.29, 7, key="doc_id", kind="kind", kinds=[k]) for k in ("positive", "negative")
+    )
+    return sft.append_negatives(positive, negative).groupBy("split", "kind", "is_negative").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("batch_totals", f"""WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {NEGATIVE_SQL},
+good AS (SELECT wanted >= 0 AND wanted <= allowed AS good FROM sized)
+SELECT count(*) AS n_total, count(*) FILTER (good) AS n_accepted, count(*) FILTER (NOT good) AS n_rejected FROM good""")
+def batch_totals(spark, sf_dir):
+    tools = steps(spark, sf_dir).select("workflow_id", F.col("tool").alias("api"))
+    drawn = draws.negative_tools(tools, catalog(spark, sf_dir), 10, 42)
+    return sft.batch_totals(drawn.accepted, drawn.rejects)

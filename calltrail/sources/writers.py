@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calltrail.session import materialize
+
 
 def write_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").parquet(path)
@@ -13,12 +15,15 @@ def write_samples(samples: DataFrame, path: str) -> None:
 def write_split(samples: DataFrame, path: str, columns: list[str], positive: str | None = None) -> None:
     """{path}/train.jsonl, test.jsonl (folders of JSON lines) and the id lists train.txt, test.txt.
 
-    `positive` names a Boolean column; only rows where it holds get into the id lists.
+    `positive` names a Boolean column; only rows where it holds get into the id lists. Samples are
+    computed once; an id stands in its list once, also where the sample has several parts.
     """
+    samples = materialize(samples, "split")
+    first = F.col("part") == 0 if "part" in samples.columns else F.lit(True)
     for part in ("train", "test"):
         rows = samples.filter(F.col("split") == part)
         rows.select(*columns).write.mode("overwrite").json(f"{path}/{part}.jsonl")
-        listed = rows.filter(F.col(positive)) if positive else rows
+        listed = rows.filter(first & F.col(positive)) if positive else rows.filter(first)
         listed.select(F.col("sample_id").cast("string")).write.mode("overwrite").text(f"{path}/{part}.txt")
 
 

@@ -66,6 +66,24 @@ def test_rightmost_chain(spark):
     assert sorted(r.node for r in wf.rightmost_chain(df, skip_root=True).collect()) == ["b", "d"]
 
 
+def test_rightmost_chain_is_whole_and_finds_cycles(spark):
+    nodes = [("t", "n0", None, 0)] + [("t", f"n{i}", f"n{i - 1}", 1) for i in range(1, 300)] + [("t", f"m{i}", f"n{i}", 0) for i in range(299)]
+    df = spark.createDataFrame(nodes, "tree string, node string, parent string, ord int")
+    assert sorted((r.depth, r.node) for r in wf.rightmost_chain(df).collect()) == [(i, f"n{i}") for i in range(300)]
+    ring = spark.createDataFrame([("t", "a", "b", 0), ("t", "b", "a", 0)], "tree string, node string, parent string, ord int")
+    with pytest.raises(ValueError, match="cycle"):
+        wf.rightmost_chain(ring)
+
+
+def test_messages_hold_all_parts(spark):
+    flows, steps, negatives, defs = _sample_inputs(spark)
+    parts = sft.format_samples(flows, steps, negatives, defs, 4, "python", part_size=2, hot_rows=2)
+    assert parts.count() > flows.count()
+    got = {r.sample_id: [(m.role, m.content) for m in r.messages] for r in sft.sample_messages(parts).collect()}
+    whole = sft.format_samples(flows, steps, negatives, defs, 4, "python")
+    assert got == {r.sample_id: [("system", r.system), ("user", r.user), ("assistant", r.assistant)] for r in whole.collect()}
+
+
 def test_steps_get_names(spark):
     hashes = spark.createDataFrame([("h1", "a-b-c")], "hash string, name string")
     steps = spark.createDataFrame(
@@ -211,7 +229,7 @@ def test_scores(spark):
     assert saved["failed"] is None and saved["partly"].qor == 50.0
 
 
-@pytest.mark.parametrize("t, df, p", [(2.228138852, 10, 0.05), (0.0, 5, 1.0), (12.706204736, 1, 0.05), (3.290526731, 1e9, 0.001), (-1.724718243, 20, 0.1)])
+@pytest.mark.parametrize("t, df, p", [(2.228138852, 10, 0.05), (0.0, 5, 1.0), (12.706204736, 1, 0.05), (3.290526731, 1e9, 0.001), (-1.724718243, 20, 0.1), (0.5, 1e11, 0.617075), (0.5, 2e6, 0.617075)])
 def test_student_p(t, df, p):
     assert ev.student_p(t, df) == pytest.approx(p, rel=1e-5)
 
