@@ -73,7 +73,7 @@ def _iterations(spark, sf_dir):
     """One day of a user is an iteration; each event is a proposal and its execution."""
     e = selections(spark, sf_dir)
     return e.select(
-        "run", F.day("ts").alias("iteration"), F.col("event_id").alias("proposal_id"), "event_type", "value", "k",
+        "run", F.unix_date(F.to_date("ts")).alias("iteration"), F.col("event_id").alias("proposal_id"), "event_type", "value", "k",
         (F.col("event_type") != "error").alias("success"), (F.col("k") % 4).alias("num_tool_calls"),
     )
 
@@ -89,7 +89,7 @@ def _proposals(spark, sf_dir):
 
 ITERATION_SQL = """
 it AS (
-  SELECT CAST(user_id AS VARCHAR) AS run, CAST(day(ts) AS INTEGER) AS iteration, event_id AS proposal_id, event_type, value,
+  SELECT CAST(user_id AS VARCHAR) AS run, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS iteration, event_id AS proposal_id, event_type, value,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 summary AS (
   SELECT run, iteration, count(*) AS n_proposals, count(*) FILTER (k % 25 = 0) AS n_too_many,
@@ -271,9 +271,12 @@ def rightmost_path(spark, sf_dir):
 
 @query("stream_chains", f"WITH {SELECTIONS_SQL} SELECT run, event_id, outcome, chain_id, step_pos FROM placed")
 def stream_chains_query(spark, sf_dir):
-    """The log arrives in three deliveries of about ten days; each is one micro-batch."""
+    """The log arrives in three deliveries of equal time spans; each is one micro-batch."""
     folder = scratch_dir(spark, "stream")
-    log = selections(spark, sf_dir).withColumn("delivery", F.floor((F.day("ts") - 1) / 11))
+    log = selections(spark, sf_dir)
+    day = F.unix_date(F.to_date("ts"))
+    first, last = log.agg(F.min(day), F.max(day)).head()
+    log = log.withColumn("delivery", F.floor((day - (first or 0)) * 3 / ((last or 0) - (first or 0) + 1)))
     for delivery in range(3):
         new = log.filter(F.col("delivery") == delivery)
         new.write.mode("append").parquet(f"{folder}/in")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from calltrail.functions.pyliteral import to_json_text
 from calltrail.functions.text import strip
 from calltrail.plans.catalog import PARAM
-from calltrail.plans.workflows import latest
 
 CHAIN = "STRUCT<chain_id: STRING, intermediate_steps: ARRAY<ARRAY<STRING>>>"
 WORKFLOW = f"query STRING, api_use_chains MAP<STRING, {CHAIN}>, response STRING"
@@ -88,9 +87,16 @@ def parse_workflows(documents: DataFrame):
     return good, judged.filter(F.col("reason").isNotNull()).select("id", "reason")
 
 
+def newest_documents(documents: DataFrame) -> DataFrame:
+    """One document per id, the newest file. Found on id, time and file name; texts are filtered after."""
+    version = F.max(F.struct("modified", "file")).alias("_v")
+    newest = documents.groupBy("id").agg(version).select("id", "_v.*")
+    return documents.join(newest, ["id", "modified", "file"], "left_semi")
+
+
 def read_workflows(spark: SparkSession, path: str):
     """(workflows, rejects) of a directory; where an id comes twice the newest file counts."""
-    return parse_workflows(latest(read_documents(spark, path), "id", F.struct("modified", "file")))
+    return parse_workflows(newest_documents(read_documents(spark, path)))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -18,31 +18,44 @@ STATE = "run string, n_chains bigint, chain bigint, n_steps bigint"
 
 
 def read_workflow_stream(spark: SparkSession, path: str) -> DataFrame:
-    """id, text of every new workflow file."""
+    """id, file, modified, text of every new workflow file."""
     from calltrail.sources.readers import path_text
 
     files = spark.readStream.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(
-        F.regexp_extract(path_text(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("id"), F.col("value").alias("text")
+        F.regexp_extract(path_text(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("id"),
+        path_text(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("value").alias("text"),
     )
 
 
 def intake(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Parse new files once per id and write steps and rejects by batch."""
+    """Parse new files and write steps and rejects by batch; read_intake gives the newest of each id.
+
+    No state is kept: an id may come again, and a good delivery follows a broken one.
+    """
     from calltrail.plans.workflows import flatten_steps
-    from calltrail.sources.readers import parse_workflows
+    from calltrail.session import materialize
+    from calltrail.sources.readers import newest_documents, parse_workflows
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = parse_workflows(batch)
+        good, bad = parse_workflows(newest_documents(materialize(batch, "intake")))
         flatten_steps(good).write.mode("overwrite").parquet(f"{target}/steps/batch={batch_id}")
+        good.select("workflow_id").write.mode("overwrite").parquet(f"{target}/accepted/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{target}/rejects/batch={batch_id}")
 
-    fresh = read_workflow_stream(spark, source).dropDuplicates(["id"])
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+    return read_workflow_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
     ).start()
 
 
+def read_intake(spark: SparkSession, target: str) -> DataFrame:
+    """Steps of the last good delivery of every workflow, found on the narrow list of accepted ids."""
+    last = spark.read.parquet(f"{target}/accepted").groupBy("workflow_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/steps").join(last, ["workflow_id", "batch"], "left_semi")
+
+
 def place_batch(batch: DataFrame, state: DataFrame, order: list[Column], by: Column,
                 max_chains: int = MAX_CHAINS, hot_rows: int | None = None) -> DataFrame:
     """Place one batch of selections after `state`(run, n_chains, chain, n_steps)."""
@@ -114,16 +127,16 @@ def stream_chains(selections: DataFrame, folder: str, order: list[str], by: str,
 
 
 def evaluate_new(predictions: DataFrame, score, results: str, checkpoint: str) -> StreamingQuery:
-    """Score predictions that the result table does not have yet.
+    """Score predictions that the result table does not have yet, each once.
 
     `score` turns a batch of predictions into rows with model, sample_id and scores.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        todo = batch
+        todo = batch.dropDuplicates(["model", "sample_id"])
         if batch_id > 0:
             earlier = spark.read.parquet(results).filter(F.col("batch") < batch_id)
-            todo = batch.join(earlier.select("model", "sample_id"), ["model", "sample_id"], "left_anti")
+            todo = todo.join(earlier.select("model", "sample_id"), ["model", "sample_id"], "left_anti")
         score(todo).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(

@@ -190,24 +190,28 @@ def test_streamed_chains_equal_the_batch(spark, tmp_path, hot_rows):
     assert len(os.listdir(f"{folder}/state")) == 3
 
 
-def test_intake_reads_each_id_once(spark, tmp_path):
+def test_the_last_good_delivery_counts(spark, tmp_path):
     d = str(tmp_path)
-    _write(d, "in/one/00001.json", FOUR)
+    _write(d, "in/one/00001.json", TEXTS)
+    _write(d, "in/one/00004.json", "{")
     st.intake(spark, f"{d}/in/*", f"{d}/out", f"{d}/cp").awaitTermination()
     _write(d, "in/two/00001.json", FOUR)
     _write(d, "in/two/00002.json", TEXTS)
     _write(d, "in/two/00003.json", "{")
+    _write(d, "in/two/00004.json", TEXTS)
     st.intake(spark, f"{d}/in/*", f"{d}/out", f"{d}/cp").awaitTermination()
-    steps = spark.read.parquet(f"{d}/out/steps")
-    assert {r.workflow_id: r["count"] for r in steps.groupBy("workflow_id").count().collect()} == {"00001": 4, "00002": 2}
-    assert [r.id for r in spark.read.parquet(f"{d}/out/rejects").collect()] == ["00003"]
+    _write(d, "in/three/00002.json", "{")
+    st.intake(spark, f"{d}/in/*", f"{d}/out", f"{d}/cp").awaitTermination()
+    steps = st.read_intake(spark, f"{d}/out")
+    assert {r.workflow_id: r["count"] for r in steps.groupBy("workflow_id").count().collect()} == {"00001": 4, "00002": 2, "00004": 2}
+    assert sorted(r.id for r in spark.read.parquet(f"{d}/out/rejects").collect()) == ["00002", "00003", "00004"]
 
 
 def test_only_new_predictions_are_scored(spark, tmp_path):
     d = str(tmp_path)
     schema = "model string, sample_id string"
     score = lambda batch: batch.withColumn("recall", F.lit(1.0))
-    for rows in ([("m", "a")], [("m", "a"), ("m", "b")]):
+    for rows in ([("m", "a"), ("m", "a")], [("m", "a"), ("m", "b"), ("m", "b")]):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{d}/in")
         st.evaluate_new(spark.readStream.schema(schema).parquet(f"{d}/in"), score, f"{d}/out", f"{d}/cp").awaitTermination()
     assert sorted(r.sample_id for r in spark.read.parquet(f"{d}/out").collect()) == ["a", "b"]
