@@ -20,10 +20,10 @@ _IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![.]?\d)"
 _DATE = r"\d{4}-\d{2}-\d{2}(?![-]?\d)|\d{4}/\d{2}/\d{2}(?![/]?\d)|\d{2}[./]\d{2}[./]\d{4}(?!\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![-]?\d)"
 _PHONE = (
-    r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"
+    r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)"
 )
-_CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+_CARD = r"\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"
 _KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=[^\s\"'<>]+|[0-9a-f]{40}(?![0-9A-Za-z])"
 # A value starts after no letter, no digit and no mark that joins it to a digit before.
 PATTERN = rf"(?<![A-Za-z0-9])(?<![0-9][./-])(?:{_KEY}|{_EMAIL}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
