@@ -3,7 +3,9 @@
 A global order sorts the shingles of every document alike. Two sets with a Jaccard similarity of t
 share a shingle among the first n - ceil(t n) + 1 of each, whatever the order. One order builds the
 index; a candidate pair must also share prefix shingles under the other orders before its sets are
-compared. All orders put frequent shingles last, so shared passages stay out of most prefixes.
+compared. All orders begin with the shingles that no other set has, as far as a bitmap of fixed size
+tells, and end with the most frequent ones. The first kind never enters the index, so documents
+without a near copy leave almost nothing there.
 
 Equal sets are one class. Within an index list the members are compared with one of them first;
 pairs of members that are still unconnected follow, so a large group of near copies costs a number of
@@ -27,6 +29,8 @@ from calltrail.session import materialize
 WIDTH = 5
 PERCENT = 75
 HEAVY = 1 << 16  # frequent shingles that the orders put last; bounds the broadcast, not the join
+SHARDS = 256  # parts of the 32-bit space in which shingles are looked for twice
+MAP_BITS = 27  # the bitmap of shingles that may be shared has 2^27 bits, 16 MB, at any corpus size
 SALTS = 32  # parts of the index list of a frequent shingle
 CHUNK = 1 << 22  # shingles counted at a time in a task
 CHUNK_HEAVY = 1 << 14  # frequent shingles that a task names for each chunk
@@ -66,54 +70,96 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(tokens: np.ndarray, order: int, heavy: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set under an order: rare ones by a hash of the order, then frequent ones by weight."""
-    k = prefix_size(len(tokens), percent)
-    mixed = tokens * np.uint64(ORDERS[order])
-    mixed ^= mixed >> np.uint64(32)
-    at = np.searchsorted(heavy, tokens)
-    at[at == len(heavy)] = 0
-    heavy_here = heavy[at] == tokens if len(heavy) else np.zeros(len(tokens), bool)
-    rare = np.flatnonzero(~heavy_here)
-    if len(rare) >= k:
-        return tokens[rare[np.argpartition(mixed[rare], k - 1)[:k]]] if len(rare) > k else tokens[rare]
-    common = np.flatnonzero(heavy_here)
-    common = common[np.lexsort((mixed[common], weight[at[common]]))]
-    return np.concatenate([tokens[rare], tokens[common[: k - len(rare)]]])
+def _spots(tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens in a space of 32 bits."""
+    return ((tokens * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32)
+
+
+class Order:
+    """What the global orders know of tokens: a bitmap of those that may be shared, and weights of frequent ones.
+
+    Any bitmap and weights give right results, as all documents are sorted by the same ones.
+    """
+
+    def __init__(self, bitmap: np.ndarray, heavy: np.ndarray, weight: np.ndarray):
+        self.bitmap, self.heavy, self.weight = bitmap, heavy, weight
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        spot = _spots(tokens) >> np.uint32(32 - MAP_BITS)
+        return (self.bitmap[spot >> np.uint32(3)] >> (np.uint32(7) - (spot & np.uint32(7))).astype(np.uint8)) & np.uint8(1) > 0
+
+    def weights(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of frequent tokens, 0 for others."""
+        if not len(self.heavy):
+            return np.zeros(len(tokens), np.int64)
+        at = np.searchsorted(self.heavy, tokens)
+        at[at == len(self.heavy)] = 0
+        return np.where(self.heavy[at] == tokens, self.weight[at], 0)
+
+    def prefix(self, tokens: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+        """The tokens of the prefix that may be shared with another set; the others cannot meet any."""
+        size = prefix_size(len(tokens), percent)
+        shared = tokens[self.shared(tokens)]
+        size -= len(tokens) - len(shared)
+        if size <= 0:
+            return shared[:0]
+        if size >= len(shared):
+            return shared
+        mixed = shared * np.uint64(ORDERS[order])
+        mixed ^= mixed >> np.uint64(32)
+        return shared[np.lexsort((mixed, self.weights(shared)))[:size]]
 
 
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Sorted distinct 24-bit numbers as their differences: two bytes each, or four where one is too large."""
+    gaps = np.diff(values.astype(np.int64), prepend=-1) - 1
+    wide = len(gaps) > 0 and gaps.max() > 0xFFFF
+    return (b"4" if wide else b"2") + gaps.astype("<u4" if wide else "<u2").tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    gaps = np.frombuffer(blob[1:], "<u4" if blob[:1] == b"4" else "<u2").astype(np.int64)
+    return np.cumsum(gaps + 1) - 1
+
+
 def _classes(docs: DataFrame) -> DataFrame:
-    """Two kinds of rows from one pass: (doc_id, n, key, class_id) of documents, and counts of frequent shingles.
+    """Three kinds of rows from one pass, told apart by `kind`.
 
-    key is a 128-bit hash of the set and class_id a 64-bit one; null for a document without words.
+    0: doc_id, n, key, class_id of a document; key is a 128-bit hash of its set and class_id a 64-bit
+    one, both null without words. 1: class_id and n of a shingle that is frequent in a chunk. 2: n is a
+    shard of the 32-bit space, key and more the places there that a chunk has, and has at least twice.
     """
+    names = ["kind", "doc_id", "n", "key", "class_id", "more"]
 
-    def flush(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        values, times = np.unique(np.concatenate(held), return_counts=True)
+    def batch_of(kind: int, ids: pa.Array, n: pa.Array, keys: pa.Array, classes: pa.Array, more: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), ids, n, keys, classes, more], names=names)
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate(held)
+        values, times = np.unique(tokens, return_counts=True)
         often = np.flatnonzero(times >= 3)
         often = often[np.argsort(-times[often], kind="stable")[:CHUNK_HEAVY]]
-        return values[often], times[often]
+        no_ids, no_keys = pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary())
+        yield batch_of(1, no_ids, pa.array(times[often], pa.int64()), no_keys, _longs(values[often]), no_keys)
+        spots, times = np.unique(_spots(tokens), return_counts=True)
+        edges = np.searchsorted(spots, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(24))
+        low, twice = spots & np.uint32(0xFFFFFF), times > 1
+        parts = [slice(edges[k], edges[k + 1]) for k in range(SHARDS)]
+        once = pa.array([packed(low[part]) for part in parts], pa.binary())
+        again = pa.array([packed(low[part][twice[part]]) for part in parts], pa.binary())
+        none = pa.nulls(SHARDS, pa.int64())
+        yield batch_of(2, none, pa.array(range(SHARDS), pa.int64()), once, none, again)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         seen: set[bytes] = set()
-        names = ["doc_id", "n", "key", "class_id", "times"]
-
-        def heavy_rows() -> pa.RecordBatch:
-            values, times = flush(held)
-            none = pa.nulls(len(values))
-            return pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), _longs(values), pa.array(times, pa.int64())],
-                names=names,
-            )
-
         for batch in rows:
-            ids, sizes, keys, classes = batch.column(0), [], [], []
+            sizes, keys, classes = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text)
                 raw = tokens.tobytes()
@@ -127,60 +173,87 @@ def _classes(docs: DataFrame) -> DataFrame:
                     held.append(tokens)
                     size += len(tokens)
                     if size >= CHUNK:
-                        yield heavy_rows()
+                        yield from flush(held)
                         held, size = [], 0
             signed = np.array([c or 0 for c in classes], np.uint64).view(np.int64)
             none = np.array([c is None for c in classes], bool)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                    pa.array(signed, pa.int64(), mask=none), pa.nulls(len(sizes)).cast(pa.int64()),
-                ],
-                names=names,
+            yield batch_of(
+                0, batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                pa.array(signed, pa.int64(), mask=none), pa.nulls(len(sizes), pa.binary()),
             )
         if held:
-            yield heavy_rows()
+            yield from flush(held)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "doc_id bigint, n bigint, key binary, class_id bigint, times bigint"
+        run, "kind int, doc_id bigint, n bigint, key binary, class_id bigint, more binary"
     )
 
 
-def _heavy(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts: at most HEAVY entries of 16 bytes."""
-    counts = rows.where("times is not null").groupBy("class_id").agg(F.sum("times").alias("times"))
+def _order(rows: DataFrame) -> Order:
+    """The bitmap of shingles in two sets, and the most frequent shingles with their counts.
+
+    A shard's places stream through one task that keeps a counter of fixed size; a copy of a set in
+    another task, or two shingles in one place, may set a bit in vain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for shard, counter in state.items():
+                bits = (counter > 1).reshape(-1, 1 << (32 - MAP_BITS)).any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["shard", "bits"])
+            state.clear()
+
+        for batch in batches:
+            for shard, once, again in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if shard not in state:
+                    yield from done()
+                    state[shard] = np.zeros(1 << 24, np.uint8)
+                counter = state[shard]
+                at = unpacked(once)
+                counter[at] = np.minimum(counter[at] + 1, 2)
+                counter[unpacked(again)] = 2
+        yield from done()
+
+    parts = rows.where("kind = 2").select("n", "key", "more").repartition("n").sortWithinPartitions("n")
+    slices = parts.mapInArrow(run, "shard bigint, bits binary").toPandas()  # one slice of fixed size per shard
+    width = (1 << MAP_BITS) // 8 // SHARDS
+    bitmap = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for shard, bits in zip(slices["shard"], slices["bits"]):
+        bitmap[shard * width : (shard + 1) * width] = np.frombuffer(bits, np.uint8)
+    counts = rows.where("kind = 1").groupBy("class_id").agg(F.sum("n").alias("times"))
     top = counts.orderBy(F.desc("times"), "class_id").limit(HEAVY).toPandas()
     values = top["class_id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    return values[order], top["times"].to_numpy(np.int64)[order]
+    return Order(bitmap, values[order], top["times"].to_numpy(np.int64)[order])
 
 
 def _index(docs: DataFrame, shared) -> DataFrame:
     """(token, class_id, n, heavy) of the prefixes under the first order."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight = shared.value
+        order = shared.value
         seen: set[int] = set()
         for batch in rows:
-            tokens_out, classes_out, sizes_out = [], [], []
+            chosen, classes, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingles(text)
-                class_id = xxhash.xxh3_64_intdigest(tokens.tobytes()) if len(tokens) else None
-                if class_id is None or class_id in seen:
+                part = order.prefix(tokens, 0) if len(tokens) else tokens
+                if not len(part):
+                    continue
+                class_id = xxhash.xxh3_64_intdigest(tokens.tobytes())
+                if class_id in seen:
                     continue
                 if len(seen) < _WORDS_KEPT:
                     seen.add(class_id)
-                chosen = prefix(tokens, 0, heavy, weight)
-                tokens_out.append(chosen)
-                classes_out.append(np.full(len(chosen), class_id, np.uint64))
-                sizes_out.append(np.full(len(chosen), len(tokens), np.int64))
-            if tokens_out:
-                tokens = np.concatenate(tokens_out)
-                at = np.searchsorted(heavy, tokens)
-                at[at == len(heavy)] = 0
-                often = heavy[at] == tokens if len(heavy) else np.zeros(len(tokens), bool)
+                chosen.append(part)
+                classes.append(np.full(len(part), class_id, np.uint64))
+                sizes.append(np.full(len(part), len(tokens), np.int64))
+            if chosen:
+                tokens = np.concatenate(chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [_longs(tokens), _longs(np.concatenate(classes_out)), pa.array(np.concatenate(sizes_out), pa.int64()), pa.array(often)],
+                    [_longs(tokens), _longs(np.concatenate(classes)), pa.array(np.concatenate(sizes), pa.int64()), pa.array(order.weights(tokens) > 0)],
                     names=["token", "class_id", "n", "heavy"],
                 )
 
@@ -238,12 +311,12 @@ def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
     """The pairs (a, b) of `pairs`, class ids, whose sets pass the filters of all orders and then the exact test: a, b as document ids."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, weight = shared.value
+        order = shared.value
         for batch in rows:
             kept = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if all(_share(prefix(s, o, heavy, weight), prefix(t, o, heavy, weight)) for o in range(1, len(ORDERS))):
+                if all(_common(np.sort(order.prefix(s, o)), np.sort(order.prefix(t, o))) for o in range(1, len(ORDERS))):
                     common = _common(s, t)
                     if 100 * common >= PERCENT * (len(s) + len(t) - common):
                         kept.append(i)
@@ -258,15 +331,13 @@ def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
 def _common(s: np.ndarray, t: np.ndarray) -> int:
     if len(s) > len(t):
         s, t = t, s
+    if not len(s):
+        return 0
     at = np.searchsorted(t, s)
     at[at == len(t)] = 0
     return int(np.count_nonzero(t[at] == s))
 
 
-def _share(s: np.ndarray, t: np.ndarray) -> bool:
-    return _common(np.sort(s), np.sort(t)) > 0
-
-
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size of every row.
 
@@ -277,12 +348,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     are not read.
     """
     rows = materialize(_classes(docs), "classes")
-    told = rows.where("times is null").select("doc_id", "n", "key", "class_id")
+    told = rows.where("kind = 0").select("doc_id", "n", "key", "class_id")
     classes = materialize(
         told.where("key is not null and doc_id is not null").groupBy("key", "class_id")
         .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("class_size")), "representatives",
     )
-    labels = _labels(docs, classes, _heavy(rows))
+    labels = _labels(docs, classes, _order(rows))
     named = classes.join(labels, "id", "left").select(
         F.col("key").alias("of"), F.coalesce("component", "id").alias("component"), "class_size"
     )
@@ -293,9 +364,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), "class_size")
 
 
-def _labels(docs: DataFrame, classes: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _labels(docs: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     """id, component of the class representatives that link with another."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     salt = F.when(F.col("heavy"), F.pmod("class_id", F.lit(SALTS))).otherwise(F.lit(0))
     same = Window.partitionBy("token", "salt")
     lists = _index(docs, shared).withColumn("salt", salt).select(
@@ -303,11 +374,11 @@ def _labels(docs: DataFrame, classes: DataFrame, heavy: tuple[np.ndarray, np.nda
     )
     lists = materialize(lists.where("heavy or first <> last").dropDuplicates(["token", "class_id"]), "lists")
     sizes = lists.select("class_id", "n").distinct()
-    wanted = lists.select("class_id").distinct().join(classes, "class_id").select("id").distinct()
-    sets = _sets(docs, wanted).join(classes.select("id", "class_id"), ["id", "class_id"], "left_semi")
     own = lists.where("class_id <> first").join(sizes.select(F.col("class_id").alias("first"), F.col("n").alias("first_n")), "first")
     stars = own.where(_may_link(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct()
     stars = materialize(stars, "star-pairs")
+    wanted = lists.select("class_id").distinct().join(classes, "class_id").select("id").distinct()
+    sets = _sets(docs, wanted).join(classes.select("id", "class_id"), ["id", "class_id"], "left_semi")
     links = materialize(_links(stars, sets, shared), "links")
     first_labels = components(links)
     of_class = materialize(classes.join(first_labels, "id", "left").select("class_id", F.coalesce("component", "id").alias("label")), "labels")
@@ -331,3 +402,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = materialize(judged, "near-copies")
     name = fresh(docs, "_gone")
     return docs.join(small(gone.select(F.col("doc_id").alias(name))), F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END)) AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS id, count(*) AS class_size, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT id, n, unnest(s) AS t FROM classes),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+labels AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, class_size
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN labels USING (id)"""

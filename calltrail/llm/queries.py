@@ -85,3 +85,5 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_quotation_linking"] = quotations.ORACLE
+ORACLES["op7_sharding"] = sharding.ORACLE
+ORACLES["op10_ngram_jaccard"] = jaccard.ORACLE

@@ -46,3 +46,25 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFra
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+# The checksum is the CRC-32 of zlib: its table comes from the reversed polynomial 0xEDB88320.
+ORACLE = r"""
+WITH polynomial AS (
+  SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256)) AS n)),
+sized AS (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+         xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+             lambda c, b: xor(t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8), 4294967295)) AS text_crc32
+  FROM documents, polynomial),
+drawn AS (
+  SELECT *, md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(text_crc32 AS VARCHAR) || '|' || CAST(size AS VARCHAR)) AS draw FROM sized),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM drawn),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), draw, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total
+  FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard,
+       place - (place * 16 // total * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed"""
