@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +25,16 @@ from calltrail.session import materialize
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"  # no text has them once white space and control characters are one blank
-CHUNK = 1 << 22  # characters handled at a time
+CHUNK = 1 << 21  # characters handled at a time
 HOLDOUT = 5  # one trusted document in so many is kept from training and sets the thresholds
 QUANTILE = 0.999
-_CONTROL = {c: " " for c in range(32)} | {127: " "}
+_CONTROL = re.compile("[\x00-\x1f\x7f]+")
 _FALLBACK = (0.5, 1.0, 1.5)  # discounts where counts of counts cannot give them
 
 
 def normalised(text: str) -> str:
-    return " ".join(text.translate(_CONTROL).split())
+    """White space and control characters as single blanks, none at the ends."""
+    return " ".join(_CONTROL.sub(" ", text).split())
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,24 +45,43 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def grams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams as rows of code points, and for every predicted place its n-gram's number and its text's number."""
-    alphabet, small_codes = np.unique(codes, return_inverse=True)
+def _keys(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The alphabet, a key of 16 bits a character for every predicted place, and which windows stay inside one text."""
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
     if len(alphabet) > 1 << 16:
         raise ValueError("more than 65,536 different characters in one chunk")
-    ids = small_codes.astype(np.uint64)
-    keys = ids[: len(ids) - ORDER + 1].copy()
+    number = np.zeros(0x110000, np.uint16)
+    number[alphabet] = np.arange(len(alphabet), dtype=np.uint16)
+    ids = number[codes].astype(np.uint64)
+    n = len(ids) - ORDER + 1
+    keys = ids[:n].copy()
     for k in range(1, ORDER):
-        keys = (keys << np.uint64(16)) | ids[k : len(ids) - ORDER + 1 + k]
+        keys <<= np.uint64(16)
+        keys |= ids[k : n + k]
     # windows that reach from one text into the next are left out
-    text = np.zeros(len(codes), np.int64)
-    text[starts[1:]] = 1
-    text = np.cumsum(text)
-    inside = text[: len(keys)] == text[ORDER - 1 :]
-    numbers, distinct = pd.factorize(keys[inside])
+    inside = np.ones(n, bool)
+    for k in range(1, ORDER):
+        inside[starts[1:] - k] = False
+    return alphabet.astype(np.uint32), keys, inside
+
+
+def _rows(alphabet: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
-    rows = alphabet[((distinct[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)]
-    return rows.astype(np.uint32), numbers, text[: len(keys)][inside]
+    return alphabet[((distinct[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)]
+
+
+def grams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams as rows of code points; for every predicted place its n-gram's number; and where each text begins among the places."""
+    alphabet, keys, inside = _keys(codes, starts)
+    numbers, distinct = pd.factorize(keys[inside])
+    return _rows(alphabet, distinct), numbers, starts - (ORDER - 1) * np.arange(len(starts))
+
+
+def distinct_grams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    alphabet, keys, inside = _keys(codes, starts)
+    return _rows(alphabet, pd.unique(keys[inside]))
 
 
 def strings(rows: np.ndarray) -> list[str]:
@@ -204,9 +225,9 @@ def _requests(blocks: DataFrame) -> DataFrame:
                 _, langs, texts = _opened(payload)
                 asked: dict[str, set[str]] = {}
                 for lang, at in by_language(langs, texts):
-                    found, _, _ = grams(*coded([texts[i] for i in at]))
+                    found = distinct_grams(*coded([texts[i] for i in at]))
                     for part in _parts(found):
-                        asked.setdefault(lang, set()).update(strings(np.unique(part, axis=0) if part.shape[1] < ORDER else part))
+                        asked.setdefault(lang, set()).update(strings(part))
                 for lang, names in asked.items():
                     names.add("")
                     yield pa.RecordBatch.from_arrays(
@@ -248,11 +269,11 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
             ids, langs, texts = _opened(payload)
             total, count = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
             for lang, at in by_language(langs, texts):
-                found, numbers, text = grams(*coded([texts[i] for i in at]))
+                found, numbers, begins = grams(*coded([texts[i] for i in at]))
                 own_p, own_back = p.get(lang, {}), back.get(lang, {})
                 logs = np.array([log_probability(g, own_p, own_back) for g in strings(found)])
-                total[at] = np.bincount(text, logs[numbers], minlength=len(at))
-                count[at] = np.bincount(text, minlength=len(at))
+                total[at] = np.add.reduceat(logs[numbers], begins)
+                count[at] = np.diff(begins, append=len(numbers))
             for column, values in zip(out, (ids, langs, count.tolist(), total.tolist())):
                 column.extend(values)
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
