@@ -7,9 +7,12 @@ compared. All orders begin with the shingles that no other set has, as far as a
 tells, and end with the most frequent ones. The first kind never enters the index, so documents
 without a near copy leave almost nothing there.
 
-Equal sets are one class. Within an index list the members are compared with one of them first;
-pairs of members that are still unconnected follow, so a large group of near copies costs a number of
-comparisons in proportion to its size, and no link between components is missed.
+Equal sets are one class. A list entry knows how many tokens of its set follow in the order: the first
+token that two sets share leaves no more common tokens than the smaller of these numbers, so most
+entries of a list cannot pair. Of those that can, the members of a list are first compared with the one
+whose shingles are most frequent, then with each other as far as they are still unconnected. So a
+large group of near copies costs comparisons in proportion to its size, and no link between components
+is missed.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltrail.llm.components import components
-from calltrail.llm.ranks import fresh, small
+from calltrail.llm.ranks import each_text, fresh, small
 from calltrail.session import materialize
 
 WIDTH = 5
@@ -31,13 +34,13 @@ PERCENT = 75
 HEAVY = 1 << 16  # frequent shingles that the orders put last; bounds the broadcast, not the join
 SHARDS = 256  # parts of the 32-bit space in which shingles are looked for twice
 MAP_BITS = 27  # the bitmap of shingles that may be shared has 2^27 bits, 16 MB, at any corpus size
-SALTS = 32  # parts of the index list of a frequent shingle
-CHUNK = 1 << 22  # shingles counted at a time in a task
+CHUNK = 1 << 21  # shingles counted at a time in a task
 CHUNK_HEAVY = 1 << 14  # frequent shingles that a task names for each chunk
 BLOOM_BITS = 1 << 26
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # one odd multiplier per order
 _MIX = np.array([0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 200_000  # words whose hashes a worker remembers; the memory starts anew beyond it
+_SETS_KEPT = 1_000_000  # sets a task remembers to have seen; more only means repeated rows
 _words: dict[bytes, int] = {}
 
 
@@ -97,18 +100,20 @@ class Order:
         return np.where(self.heavy[at] == tokens, self.weight[at], 0)
 
     def prefix(self, tokens: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-        """The tokens of the prefix that may be shared with another set; the others cannot meet any."""
+        """The tokens of the prefix that may be shared with another set, in order; the others cannot meet any."""
         size = prefix_size(len(tokens), percent)
         shared = tokens[self.shared(tokens)]
         size -= len(tokens) - len(shared)
         if size <= 0:
             return shared[:0]
-        if size >= len(shared):
-            return shared
         mixed = shared * np.uint64(ORDERS[order])
         mixed ^= mixed >> np.uint64(32)
         return shared[np.lexsort((mixed, self.weights(shared)))[:size]]
 
+    def rank(self, tokens: np.ndarray) -> float:
+        """How much a set is made of frequent and shared tokens: the original of near copies leads its list."""
+        return round(float(np.log1p(self.weights(tokens)).mean() + 0.01 * self.shared(tokens).mean()), 9)
+
 
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
@@ -160,7 +165,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         for batch in rows:
             sizes, keys, classes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in each_text(batch.column(1)):
                 tokens = shingles(text)
                 raw = tokens.tobytes()
                 key = xxhash.xxh3_128_digest(raw) if len(tokens) else None
@@ -168,7 +173,7 @@ def _classes(docs: DataFrame) -> DataFrame:
                 keys.append(key)
                 classes.append(xxhash.xxh3_64_intdigest(raw) if len(tokens) else None)
                 if key is not None and key not in seen:
-                    if len(seen) < _WORDS_KEPT:
+                    if len(seen) < _SETS_KEPT:
                         seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
@@ -230,14 +235,15 @@ def _order(rows: DataFrame) -> Order:
 
 
 def _index(docs: DataFrame, shared) -> DataFrame:
-    """(token, class_id, n, heavy) of the prefixes under the first order."""
+    """(token, class_id, n, left, rank) of the prefixes under the first order; left counts the tokens from this one on."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         seen: set[int] = set()
+        names = ["token", "class_id", "n", "left", "rank"]
         for batch in rows:
-            chosen, classes, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
+            chosen, classes, sizes, left, ranks = [], [], [], [], []
+            for text in each_text(batch.column(0)):
                 tokens = shingles(text)
                 part = order.prefix(tokens, 0) if len(tokens) else tokens
                 if not len(part):
@@ -245,19 +251,23 @@ def _index(docs: DataFrame, shared) -> DataFrame:
                 class_id = xxhash.xxh3_64_intdigest(tokens.tobytes())
                 if class_id in seen:
                     continue
-                if len(seen) < _WORDS_KEPT:
+                if len(seen) < _SETS_KEPT:
                     seen.add(class_id)
+                k = len(part)
                 chosen.append(part)
-                classes.append(np.full(len(part), class_id, np.uint64))
-                sizes.append(np.full(len(part), len(tokens), np.int64))
+                classes.append(np.full(k, class_id, np.uint64))
+                sizes.append(np.full(k, len(tokens), np.int64))
+                left.append(int(order.shared(tokens).sum()) - np.arange(k))
+                ranks.append(np.full(k, order.rank(tokens)))
             if chosen:
-                tokens = np.concatenate(chosen)
-                yield pa.RecordBatch.from_arrays(
-                    [_longs(tokens), _longs(np.concatenate(classes)), pa.array(np.concatenate(sizes), pa.int64()), pa.array(order.weights(tokens) > 0)],
-                    names=["token", "class_id", "n", "heavy"],
-                )
+                columns = [_longs(np.concatenate(chosen)), _longs(np.concatenate(classes))]
+                columns += [pa.array(np.concatenate(c), t) for c, t in ((sizes, pa.int64()), (left, pa.int64()), (ranks, pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "token bigint, class_id bigint, n bigint, heavy boolean")
+    made = docs.where("doc_id is not null").select("text").mapInArrow(
+        run, "token bigint, class_id bigint, n bigint, left bigint, rank double"
+    )
+    return materialize(made, "index")
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -285,8 +295,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             passed = np.flatnonzero((bitmap[bits >> 5] >> (bits & 31)) & 1)
             if not len(passed):
                 continue
-            texts = batch.column(1).take(pa.array(passed)).to_pylist()
-            found = [shingles(t) for t in texts]
+            found = [shingles(t) for t in each_text(batch.column(1).take(pa.array(passed)))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(passed)).cast(pa.int64()),
@@ -303,8 +312,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(made.join(wanted, "id", "left_semi").dropDuplicates(["id", "class_id"]), "sets")
 
 
-def _may_link(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _may_link(n_a: Column, left_a: Column, n_b: Column, left_b: Column) -> Column:
+    """Whether sets of n_a and n_b tokens can be similar if they share none before the last left_a and left_b of them."""
+    most = F.least(left_a, left_b)
+    return 100 * most >= PERCENT * (n_a + n_b - most)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
@@ -367,27 +378,29 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     """id, component of the class representatives that link with another."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    salt = F.when(F.col("heavy"), F.pmod("class_id", F.lit(SALTS))).otherwise(F.lit(0))
-    same = Window.partitionBy("token", "salt")
-    lists = _index(docs, shared).withColumn("salt", salt).select(
-        "*", F.min("class_id").over(same).alias("first"), F.max("class_id").over(same).alias("last")
-    )
-    lists = materialize(lists.where("heavy or first <> last").dropDuplicates(["token", "class_id"]), "lists")
-    sizes = lists.select("class_id", "n").distinct()
-    own = lists.where("class_id <> first").join(sizes.select(F.col("class_id").alias("first"), F.col("n").alias("first_n")), "first")
-    stars = own.where(_may_link(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("class_id").alias("b")).distinct()
-    stars = materialize(stars, "star-pairs")
+    index = _index(docs, shared)
+    lead = F.max(F.struct("rank", "class_id", "n", "left")).alias("lead")
+    heads = index.groupBy("token").agg(lead, F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+    own = index.join(heads.select("token", "lead"), "token").dropDuplicates(["token", "class_id"])
+    lists = materialize(own, "lists")
+    stars = lists.where("class_id <> lead.class_id").where(_may_link(F.col("n"), F.col("left"), F.col("lead.n"), F.col("lead.left")))
+    stars = materialize(stars.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b")).distinct(), "star-pairs")
     wanted = lists.select("class_id").distinct().join(classes, "class_id").select("id").distinct()
     sets = _sets(docs, wanted).join(classes.select("id", "class_id"), ["id", "class_id"], "left_semi")
     links = materialize(_links(stars, sets, shared), "links")
     first_labels = components(links)
     of_class = materialize(classes.join(first_labels, "id", "left").select("class_id", F.coalesce("component", "id").alias("label")), "labels")
-    labelled = lists.join(of_class, "class_id").select("token", "class_id", "n", "label")
+    labelled = lists.join(of_class, "class_id").select("token", "class_id", "n", "left", "label")
     open_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     rest = materialize(labelled.join(open_lists.select("token"), "token", "left_semi"), "open-lists")
-    left, right = (rest.select("token", F.col("class_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("label").alias(f"label_{k}")) for k in "ab")
-    across = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-    across = across.where(_may_link(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    sides = [rest.select(*[F.col(c).alias(f"{c}_{k}") for c in ("token", "class_id", "n", "left", "label")]) for k in "ab"]
+    apart = (F.col("class_id_a") < F.col("class_id_b")) & (F.col("label_a") != F.col("label_b"))
+    may = _may_link(*(F.col(c) for c in ("n_a", "left_a", "n_b", "left_b")))
+    met = sides[0].join(sides[1], (F.col("token_a") == F.col("token_b")) & apart & may)
+    across = met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct()
+    # stars put the leading class first, whatever its number
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = across.join(tested, ["a", "b"], "left_anti")
     more = materialize(_links(across, sets, shared), "links")
     return components(links.unionByName(more))
 
