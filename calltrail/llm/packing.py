@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.ranks import batches, with_rank
+from calltrail.llm.ranks import each_text, with_rank
 from calltrail.session import materialize
 
 END_ID = 0  # closes every document
@@ -83,8 +83,8 @@ def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
         encode = _encoder(path)
         for batch in rows:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batches(batch.column(1).to_pylist())):
-                ids = np.append(encode(text), END_ID).astype("<u4")
+            for doc_id, text in zip(batch.column(0).to_pylist(), each_text(batch.column(1))):
+                ids = np.append(encode(text or ""), END_ID).astype("<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     out.append((doc_id, i, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             columns = list(zip(*out)) or [()] * 5

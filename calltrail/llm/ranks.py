@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,11 @@ def batches(values: Iterable[str | None]) -> list[str]:
     return ["" if v is None else v for v in values]
 
 
+def each_text(column: pa.Array) -> Iterator[str | None]:
+    """Texts of an Arrow column one at a time, so that a task never holds a batch as Python objects."""
+    return (value.as_py() for value in column)
+
+
 BROADCAST_ROWS = 2_000_000  # narrow tables above this are joined by a shuffle instead
 
 
