@@ -7,7 +7,6 @@ from calltrail.plans import workflows as wf
 from calltrail.queries.base import STEPS_SQL, query, steps, table
 from calltrail.session import scratch_dir
 from calltrail.sources import readers, writers
-from calltrail.streaming.chains import intake
 
 
 def workflow_documents(spark, sf_dir):

@@ -7,7 +7,7 @@ from calltrail.functions.pyliteral import to_call_text, to_record_text
 from calltrail.operators import draws
 from calltrail.plans import sft
 from calltrail.queries.base import (
-    CATALOG_SQL, STEPS_SQL, STRICT_SQL, catalog, cut_sql, line_slice, query, steps, table, workflows,
+    CATALOG_SQL, STEPS_SQL, STRICT_SQL, catalog, cut_sql, query, steps, table, workflows,
 )
 from calltrail.queries.sampling import POOL_SQL
 
