@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.llm.ranks import batches, text_bytes
+from calltrail.llm.ranks import batches
 
 SAMPLE_ROWS = 4096  # rows the frequent table is learned from
 TABLE_SIZE = 32768  # entries of the frequent table
