@@ -24,11 +24,11 @@ _PHONE = (
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)"
 )
 _CARD = r"\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"
-_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=[^\s\"'<>]+|[0-9a-f]{40}(?![0-9A-Za-z])"
+_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password)=[^\s\"'<>]+|(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])"
 # A value starts after no letter, no digit and no mark that joins it to a digit before.
 PATTERN = rf"(?<![A-Za-z0-9])(?<![0-9][./-])(?:{_KEY}|{_EMAIL}|{_IPV4}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
 #: Every match has one of these characters.
-HINT = r"[0-9@]|password="
+HINT = r"[0-9@]|(?i:password)="
 
 # 1800-01-01 to 2199-12-31 has 146,097 days, which is 189 * 773.
 _DAYS, _DAY_RADIX = (189, 773), 773
@@ -71,13 +71,13 @@ def feistel(codes: Column, radices: Column, salt: Column, key: str) -> Column:
 
 
 def _characters(value: Column, key: str, salt: Column, letters: int = 26) -> Column:
-    """`value` with its digits and letters permuted, each within its class; lower case takes the first `letters`."""
+    """`value` with its digits and letters permuted, each within its class; letters of either case are the first `letters`."""
     def kind(c: Column) -> tuple[Column, Column]:
         code = F.ascii(c).cast("bigint")
         one = F.length(c) == 1
         digit, upper, lower = one & c.between("0", "9"), one & c.between("A", "Z"), one & c.between("a", "z")
         base = F.when(digit, 48).when(upper, 65).when(lower, 97).otherwise(code).cast("bigint")
-        radix = F.when(digit, 10).when(upper, 26).when(lower, letters).otherwise(1).cast("bigint")
+        radix = F.when(digit, 10).when(upper | lower, letters).otherwise(1).cast("bigint")
         return base, radix
 
     chars = F.split(value, "")
@@ -178,9 +178,9 @@ def _phone(value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a match of PATTERN; the value itself if it does not validate."""
     return (
-        F.when(value.rlike("^(?:AKIA|password=)"), _prefixed(value, "^(?:AKIA|password=)", key, "secret"))
+        F.when(value.rlike("^(?:AKIA|(?i:password)=)"), _prefixed(value, "^(?:AKIA|(?i:password)=)", key, "secret"))
         .when(value.contains("@"), _email(value, key))
-        .when(value.rlike("^[0-9a-f]{40}$") & value.rlike("[a-f]"), _characters(value, key, F.lit("hex"), 6))
+        .when(value.rlike("^(?:[0-9a-f]{40}|[0-9A-F]{40})$") & value.rlike("[A-Fa-f]"), _characters(value, key, F.lit("hex"), 6))
         .when(value.rlike(f"^(?:{_IPV4})$"), _ipv4(value, key))
         .when(value.rlike(f"^(?:{_DATE})$"), _date(value, key))
         .when(value.rlike(f"^(?:{_SSN})$"), _ssn(value, key))

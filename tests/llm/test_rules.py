@@ -144,6 +144,17 @@ def test_pseudonyms_keep_formats(spark):
     assert re.fullmatch("[0-9a-f]{40}", new["0641917ea4e9feb9cda83477b57ac2654884f485"])
 
 
+def test_secrets_of_either_letter_case(spark):
+    key = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    values = [key, key.upper(), "password=Abc9xyz", "PASSWORD=ABC9XYZ", "Password=zzz"]
+    df = spark.createDataFrame([(i, f'TOKEN = "{v}"') for i, v in enumerate(values)], "doc_id bigint, text string")
+    told = {r.doc_id: r for r in pii.pseudonymise_documents(df, "k").collect()}
+    new = [re.fullmatch('TOKEN = "(.*)"', told[i].text)[1] for i in range(len(values))]
+    assert all(told[i].n_found == 1 and told[i].changed and n != v for i, (n, v) in enumerate(zip(new, values)))
+    assert re.fullmatch("[0-9A-F]{40}", new[1]) and new[1].lower() == new[0]
+    assert [n[:9] for n in new[2:]] == ["password=", "PASSWORD=", "Password="]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     df = spark.createDataFrame([(i, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}") for i in range(336)], "doc_id bigint, text string")
     assert len({r.text for r in pii.pseudonymise(df, "k").collect()}) == 336
