@@ -46,10 +46,11 @@ class _Counter:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
-        """Whether white space cuts the text into pieces that are counted on their own."""
+        """Whether white space cuts the text into pieces that are counted on their own, in lower case."""
+        low = text.lower()  # a piece must not become a special string by it
         return (
             not any(c in text for c in _ODD)
-            and not any(s in text for s in self.specials)
+            and not any(s in text or s in low for s in self.specials)
             and (text.isascii() or (max(text) < _LATIN_END and unicodedata.is_normalized("NFC", text)))
         )
 
@@ -110,8 +111,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample_rows: int
     Counts are the library's own without added special tokens; special strings inside a text are
     special tokens, as by default. A null or empty text has 0 bytes and 0 tokens. Rows with equal or
     null doc_id each give a row. An empty table gives no rows. Other columns are not read, whatever
-    their names. Texts outside Latin script, not in NFC or with special strings are encoded whole by
-    the library; the others by the sum over their pre-tokens, which is the same.
+    their names. Texts outside Latin script, not in NFC or with special strings in any letter case are
+    encoded whole by the library; the others by the sum over their pre-tokens, which is the same.
     """
     table = frequent_pieces(docs, path, sample_rows, table_size)
     packed = zlib.compress("\n".join(table).encode()), bytes(min(n, 255) for n in table.values())

@@ -31,6 +31,14 @@ def test_counts_equal_the_library(spark):
         assert got[i] == (len((t or "").encode()), n, n > 40), repr(t)[:200]
 
 
+def test_special_strings_in_other_letter_case(spark):
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> x", "A TEXT <|ENDOFTEXT|> UPPER-CASED<|StartOfText|>", "a <|endoftext|>", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, WORDS).collect()}
+    library = Tokenizer.from_file(WORDS)
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_counts_of_odd_tables(spark):
     rows = odd_documents()
     got = token_counts.count_tokens(frame(spark, rows), WORDS)
