@@ -27,7 +27,9 @@ ORDER = 4
 BEGIN, END = "\x02", "\x03"  # no text has them once white space and control characters are one blank
 CHUNK = 1 << 21  # characters handled at a time
 HOLDOUT = 5  # one trusted document in so many is kept from training and sets the thresholds
-QUANTILE = 0.999
+QUANTILES = (0.95, 0.98, 0.99, 0.995, 0.999)  # a language takes the one that tells its labels apart best
+LEAST = 30  # held-out texts that a threshold is taken from, if the language has as many
+BANDS = 40  # powers of two of the length
 _CONTROL = re.compile("[\x00-\x1f\x7f]+")
 _FALLBACK = (0.5, 1.0, 1.5)  # discounts where counts of counts cannot give them
 
@@ -284,11 +286,48 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     )
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def _band(n: str) -> Column:
+    return F.least(F.floor(F.log2(n)).cast("int"), F.lit(BANDS))
+
+
+def thresholds(fair: DataFrame, quantiles: list[float]) -> DataFrame:
+    """lang, band, cuts: for texts of 2^band to 2^(band+1) characters, the `quantiles` of log-perplexity of `fair`(lang, n_predicted, perplexity).
+
+    Taken from texts of the same band, and of so many shorter bands as LEAST texts need; below that from
+    the shortest LEAST texts or all. Perplexities of shorter texts spread more, so few texts give
+    no stricter cut.
+    """
+    # rounded, so that the exact quantile keeps few values
+    values = fair.select("lang", _band("n_predicted").alias("of"), F.round(F.log("perplexity"), 3).alias("log"))
+    values = materialize(values.groupBy("lang", "of", "log").agg(F.count(F.lit(1)).alias("n")), "fair")
+    sizes = values.groupBy("lang", "of").agg(F.sum("n").alias("n"))
+    bands = sizes.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(BANDS))).alias("band"))
+    grid = bands.join(sizes.withColumnRenamed("of", "band"), ["lang", "band"], "left").groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("band", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("sizes")
+    )
+
+    def count(first: Column, last: Column) -> Column:
+        return F.aggregate(F.slice("sizes", first + 1, last - first + 1), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+
+    every = F.sequence(F.lit(0), F.lit(BANDS))
+    at = grid.select("lang", "sizes", F.explode(every).alias("band"))
+    low = F.array_max(F.filter(every, lambda k: (k <= F.col("band")) & (count(k, F.col("band")) >= LEAST)))
+    high = F.array_min(F.filter(every, lambda k: count(F.lit(0), k) >= LEAST))
+    ranges = at.select(
+        "lang", "band", F.coalesce(low, F.lit(0)).alias("low"), F.when(low.isNotNull(), F.col("band")).otherwise(F.coalesce(high, F.lit(BANDS))).alias("high")
+    )
+    met = values.join(F.broadcast(ranges), "lang").where("of BETWEEN low AND high")  # BANDS + 1 rows per language
+    return met.groupBy("lang", "band").agg(F.percentile("log", F.array(*map(F.lit, quantiles)), F.col("n")).alias("cuts"))
+
+
+def judge_documents(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
     """doc_id, lang, n_predicted, perplexity, threshold, kept of every row.
 
     Trusted are the documents labelled of good quality and not toxic. A fifth of them, chosen by a hash
-    of the id, is not trained on; the threshold of a language is the `quantile` of their perplexities.
+    of the id, is not trained on; the threshold of a language and length is a quantile of the
+    perplexities of those of comparable length: `quantile`, or the one of QUANTILES with the largest
+    share of documents labelled bad or toxic rejected, less the share of held-out trusted ones; the
+    highest on a tie. Only the fifth of the bad ones with the same hash decides, so the others can test it.
     A language without such documents has no threshold and keeps all its documents; without any
     trusted text, perplexities have no meaning and nothing is rejected. A null or empty text predicts
     nothing, has no perplexity and is not kept. A null lang is the language "". Rows with equal ids
@@ -296,12 +335,25 @@ def judge_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTI
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+    poor = labels.where("(quality = 0 or toxic = 1) and doc_id is not null").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLDOUT)) == 0
     trusted = plain.join(small(good.where(~held)), "doc_id", "left_semi")
     scored = materialize(score(plain, train(trusted)), "scores")
     told = scored.withColumn("perplexity", F.when(F.col("n_predicted") > 0, F.exp(-F.col("log_prob") / F.col("n_predicted"))))
+    told = told.withColumn("band", F.when(F.col("n_predicted") > 0, _band("n_predicted")))
     fair = told.join(small(good.where(held)), "doc_id", "left_semi").where("perplexity is not null")
-    # rounded, so that the exact quantile keeps few values
-    cuts = fair.groupBy("lang").agg(F.exp(F.percentile(F.round(F.log("perplexity"), 3), quantile)).alias("threshold"))
+    quantiles = list(QUANTILES) if quantile is None else [quantile]
+    cuts = materialize(thresholds(fair, quantiles), "cuts")
+    junk = told.join(small(poor.where(held)), "doc_id", "left_semi").where("perplexity is not null")
+
+    def rejected(rows: DataFrame, name: str) -> DataFrame:
+        over = [F.avg((F.log("perplexity") > F.col("cuts")[k]).cast("double")).alias(f"_{k}") for k in range(len(quantiles))]
+        return rows.join(F.broadcast(cuts), ["lang", "band"]).groupBy("lang").agg(*over).select("lang", F.array(*[f"_{k}" for k in range(len(quantiles))]).alias(name))
+
+    shares = rejected(fair, "lost").join(rejected(junk, "found"), "lang", "left")
+    gain = F.coalesce(F.zip_with("found", "lost", lambda f, n: F.round(f - n, 9)), F.transform("lost", lambda n: -n))
+    # the highest quantile comes last
+    best = shares.select("lang", F.array_max(F.transform(gain, lambda g, k: F.struct(g.alias("gain"), k.alias("k"))))["k"].alias("best"))
+    chosen = cuts.join(F.broadcast(best), "lang").select("lang", "band", F.exp(F.get("cuts", F.col("best"))).alias("threshold"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return told.join(cuts, "lang", "left").select("doc_id", "lang", "n_predicted", "perplexity", "threshold", kept.alias("kept"))
+    return told.join(F.broadcast(chosen), ["lang", "band"], "left").select("doc_id", "lang", "n_predicted", "perplexity", "threshold", kept.alias("kept"))

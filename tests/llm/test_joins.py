@@ -222,6 +222,23 @@ def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch):
             assert r.kept == (r.threshold is None or r.perplexity <= r.threshold)
 
 
+def test_thresholds_come_from_texts_of_comparable_length(spark, monkeypatch):
+    # ids, lengths and log-perplexities: short trusted texts spread widely, long ones hardly
+    short = [(i, 20, 1.5 + (i % 200) / 100) for i in range(400)]
+    long = [(1000 + i, 1500, 1.5 + (i % 50) / 1000) for i in range(600)]
+    junk = [(3000 + i, 1500, 1.9) for i in range(50)]
+    rows = short + long + junk + [(4000, 1500, 1.9), (4001, 20, 1.9), (4002, 0, 0.0)]
+    scored = spark.createDataFrame([(i, "en", n, -x * n) for i, n, x in rows], "doc_id bigint, lang string, n_predicted bigint, log_prob double")
+    monkeypatch.setattr(perplexity, "train", lambda trusted: trusted)
+    monkeypatch.setattr(perplexity, "score", lambda docs, model: scored)
+    docs = scored.selectExpr("doc_id", "lang", "'' AS text")
+    labels = spark.createDataFrame([(i, int(i < 3000), 0) for i, _, _ in rows if i < 4000], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in perplexity.judge_documents(docs, labels).collect()}
+    assert len(got) == len(rows) and not any(got[i].kept for i, _, _ in junk)
+    assert (got[4000].kept, got[4001].kept, got[4002].kept) == (False, True, False)
+    assert sum(got[i].kept for i, _, _ in short) > 0.9 * len(short) and sum(got[i].kept for i, _, _ in long) > 0.9 * len(long)
+
+
 def test_perplexity_of_odd_tables(spark):
     rows = odd_documents()
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
