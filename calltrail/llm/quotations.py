@@ -96,6 +96,10 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     rows with a null conv_id or turn link nothing and form the conversation null, or stand first.
     Rows with the same conv_id and turn are one message for links and a row each. An empty table gives
     no rows. Other columns are not read.
+
+    Not found are quotations of a part of a message that has no line of LINE_WORDS words between blanks
+    (short lines, scripts without blanks), and of a part that was wrapped anew: such a reply
+    has no reply_to and starts a thread.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     whole = rows.where("conv_id is not null and turn is not null")
