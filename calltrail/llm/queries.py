@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calltrail.llm import decontamination, jaccard, packing, perplexity, pii, quality, quotations, sharding, token_counts, urls
+from calltrail.llm import (
+    decontamination, divergence, embeddings, jaccard, packing, perplexity, pii, quality, quotations, repair, sharding, token_counts, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +86,22 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.reply_order(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op3_quotation_linking"] = quotations.ORACLE
 ORACLES["op7_sharding"] = sharding.ORACLE
 ORACLES["op10_ngram_jaccard"] = jaccard.ORACLE
+ORACLES["op11_source_divergence"] = divergence.ORACLE
