@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calltrail.operators.ordering import SLICE, Slices, running_count, slices
+from calltrail.operators.ordering import SLICE, Slices, hot_keys, lookup, running_count
 from calltrail.session import materialize
 
 
@@ -28,12 +28,12 @@ def lay_out(catalog: DataFrame) -> DataFrame:
     Every family is cut into 256 slices by hash, and families are summed up by hash prefix,
     so neither a huge family nor a long list of families passes through one task.
     """
-    inside = Slices(["family"], _bits(F.col("api").cast("string"), 2), None)
+    inside = Slices(["family"], every=_bits(F.col("api").cast("string"), 2))
     ranked = running_count(
         inside.mark(catalog), ["family"], [F.md5(F.col("api").cast("string")), F.col("api")], inside, "_rank"
     ).drop(SLICE)
     sizes = catalog.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
-    across = Slices([], _bits(F.col("family"), 3), None)
+    across = Slices([], every=_bits(F.col("family"), 3))
     starts = running_count(
         across.mark(sizes), [], [F.md5("family"), F.col("family")], across, "_end",
         weight=F.col("family_size"),
@@ -73,9 +73,9 @@ def _profiles(blocks: DataFrame, tools: DataFrame, fits: Column, hot_rows: int |
     """
     block = F.struct("start", "size")
     counted = [F.count(F.lit(1)).alias("n_blocks"), F.sum("size").alias("blocked")]
-    hot = F.broadcast(slices(tools, ["workflow_id"], F.lit(0), hot_rows).hot)
+    hot = hot_keys(tools, ["workflow_id"], hot_rows)
     ordinary = (
-        blocks.join(hot, "workflow_id", "left_anti")
+        (blocks if hot is None else lookup(blocks, hot, ["workflow_id"], "left_anti"))
         .groupBy("workflow_id")
         .agg(F.sort_array(F.collect_set(block)).alias("blocks"))
         .select(
@@ -83,7 +83,9 @@ def _profiles(blocks: DataFrame, tools: DataFrame, fits: Column, hot_rows: int |
             F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, b: a + b["size"]).alias("blocked"), "blocks",
         )
     )
-    heavy = blocks.join(hot, "workflow_id", "left_semi").distinct()
+    if hot is None:
+        return ordinary
+    heavy = lookup(blocks, hot, ["workflow_id"], "left_semi").distinct()
     sizes = heavy.groupBy("workflow_id").agg(*counted)
     lists = (
         heavy.join(sizes.filter(fits), "workflow_id", "left_semi")

@@ -1,64 +1,120 @@
 """Order inside groups when one group may hold a large share of all rows.
 
-A window partitioned by the group key puts a whole group into one task. Here the rows of
-a hot key are cut into slices along the order, each slice is counted on its own, and the
-count of the slices before it is added from a small table. Keys that are not hot stay in
-one piece, so the usual case costs one narrow count more than a plain window.
+A window partitioned by the group key puts a whole group into one task. Keys are counted first;
+where none exceeds a fixed number of rows, that plain window is the plan. Otherwise the rows of the
+hot keys are cut into slices along the order, at the quantiles of a sketch per hot key; a slice that
+is still too large is cut again. Each slice is counted on its own, and the count of the slices
+before it is added from a small table. No task gathers more rows as the table grows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calltrail.session import materialize
+
 HOT_ROWS = 100_000
-MAX_HOT_KEYS = 1_000_000
 PART_SIZE = 10_000
+WAYS = 64  # slices that one cut makes at most
+SKETCH = 2048  # size of the quantile sketches: ranks are off by less than a tenth of a slice
+MAX_LEVELS = 10  # WAYS ** MAX_LEVELS slices of a key at most; their numbers stay BIGINT
 SLICE = "_slice"
 
 
 @dataclass(frozen=True)
 class Slices:
-    """Where to cut hot keys. `by` is a BIGINT that never falls along the order."""
-
-    keys: list[str]
-    by: Column
-    hot: DataFrame | None
+    """Where hot keys are cut. `hot` lists them and is None if there are none.
 
-    def mark(self, df: DataFrame) -> DataFrame:
-        if self.hot is None:
-            return df.withColumn(SLICE, self.by.cast("bigint"))
-        hot = F.broadcast(self.hot.withColumn("_hot", F.lit(True)))
-        return (
-            df.join(hot, self.keys, "left")
-            .withColumn(SLICE, F.when(F.col("_hot"), self.by.cast("bigint")).otherwise(F.lit(-1)))
-            .drop("_hot")
-        )
-
-    def hot_rows(self, df: DataFrame) -> DataFrame:
-        if self.hot is None:
-            return df
-        return df.join(F.broadcast(self.hot), self.keys, "left_semi")
+    With `every`, a BIGINT that never falls along the order, all keys are cut by it instead.
+    """
 
+    keys: list[str]
+    hot: DataFrame | None = None
+    levels: list[tuple[Column, DataFrame]] = field(default_factory=list)
+    every: Column | None = None
 
-def slices(df: DataFrame, keys: list[str], by: Column, hot_rows: int | None = None) -> Slices:
-    """Slices for `df`. Without keys the whole table is one group and is always cut.
+    @property
+    def cuts(self) -> bool:
+        return self.every is not None or bool(self.levels)
 
-    A key is hot above `hot_rows` rows and above 1/MAX_HOT_KEYS of the table. The second
-    bound keeps the hot list at MAX_HOT_KEYS entries, which is what makes it broadcastable.
-    Both counts read the key columns alone.
+    def mark(self, df: DataFrame) -> DataFrame:
+        """`df` with its slice, a number that never falls along the order inside a key."""
+        if self.every is not None:
+            return df.withColumn(SLICE, self.every.cast("bigint"))
+        out = df.withColumn(SLICE, F.lit(0).cast("bigint"))
+        for by, bounds in self.levels:
+            place = F.size(F.filter("_bounds", lambda b: b <= F.coalesce(by.cast("bigint"), F.lit(-(2**63)))))
+            out = lookup(out, bounds, [*self.keys, SLICE]).withColumn(
+                SLICE, F.col(SLICE) * WAYS + F.when(F.col("_bounds").isNull(), 0).otherwise(place)
+            ).drop("_bounds")
+        return out
+
+    def hot_rows(self, df: DataFrame, other: bool = False) -> DataFrame:
+        """The rows of the keys that are cut, or the others."""
+        if self.every is not None:
+            return df.filter(F.lit(not other))
+        return lookup(df, self.hot, self.keys, "left_anti" if other else "left_semi")
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join in which null keys are keys like others. `table` was written, so its size is known to the planner."""
+    renamed = table.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
+    """The keys of more than `hot_rows` rows, with `_rows`; None if there are none. Reads the key columns alone."""
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    found = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit), "hot-keys")
+    return None if found.isEmpty() else found
+
+
+def slices(df: DataFrame, keys: list[str], by: Column | list[Column], hot_rows: int | None = None) -> Slices:
+    """Slices of at most `hot_rows` rows for `df`. Without keys the whole table is one group.
+
+    `by` are BIGINTs that fix the order from its first column on, each never falling where those before
+    it are equal; nulls come first. A later one only cuts what those before it leave together. Rows equal
+    in all of them stay in one slice.
     """
-    if not keys:
-        return Slices([], by, None)
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    hot = counts.filter(
-        F.col("_rows") > F.greatest(F.lit(float(hot_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    ).select(*keys)
-    return Slices(list(keys), by, hot)
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    found = hot_keys(df, keys, limit)
+    if found is None:
+        return Slices(list(keys))
+    cut = Slices(list(keys), found.drop("_rows"))
+    group = [*keys, SLICE]
+    rows = cut.hot_rows(df)
+    for one in by if isinstance(by, list) else [by]:
+        value = F.coalesce(one.cast("bigint"), F.lit(-(2**63)))
+        while len(cut.levels) < MAX_LEVELS:
+            marked = cut.mark(rows).select(*group, value.alias("_by"))
+            sizes = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), F.min("_by").alias("_low"), F.max("_by").alias("_high"))
+            large = materialize(sizes.filter((F.col("_rows") > limit) & (F.col("_low") < F.col("_high"))), "large-slices")
+            if large.isEmpty():
+                break
+            cut.levels.append((one, materialize(_bounds(marked, large, group, limit), "slice-bounds")))
+    return cut
+
+
+def _bounds(marked: DataFrame, large: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """Ascending first values of the slices after the first, by the quantiles of a sketch per large slice."""
+    sketches = lookup(marked, large, group, "left_semi").groupBy(*group).agg(
+        F.kll_sketch_agg_bigint("_by", F.lit(SKETCH)).alias("_sketch")
+    )
+    ways = F.least(F.ceil(F.col("_rows") * 2 / limit), F.lit(WAYS))  # slices of half the limit leave room for the sketch's error
+    told = lookup(sketches, large, group).withColumn(
+        "_cuts", F.kll_sketch_get_quantile_bigint("_sketch", F.array(*[F.lit(i / WAYS) for i in range(1, WAYS)]))
+    )
+    chosen = F.transform(F.sequence(F.lit(1), ways - 1), lambda i: F.element_at("_cuts", F.floor(i * WAYS / ways).cast("int")))
+    cuts = F.array_sort(F.array_distinct(chosen))
+    inner = F.filter(cuts, lambda b: b > F.col("_low"))
+    # one value that fills most of a slice still parts from the others
+    return told.select(*group, F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("_low") + 1)).alias("_bounds"))
 
 
 def running_count(df: DataFrame, keys: list[str], order: list[Column], cut: Slices, name: str,
@@ -70,11 +126,15 @@ def running_count(df: DataFrame, keys: list[str], order: list[Column], cut: Slic
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     df = df.withColumn("_weight", weight)
-    piece = Window.partitionBy(*keys, SLICE)
+    if cut.levels:
+        df = materialize(df, "sliced")  # read twice, and counts may be chained
+    piece = Window.partitionBy(*keys, SLICE) if cut.cuts else Window.partitionBy(*keys)
     upto = piece.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn(name, F.sum("_weight").over(upto))
     if total:
         out = out.withColumn("_piece_total", F.sum("_weight").over(piece))
+    if not cut.cuts:
+        return (out.withColumn(total, F.col("_piece_total")).drop("_piece_total") if total else out).drop("_weight")
     per_slice = cut.hot_rows(df).groupBy(*keys, SLICE).agg(F.sum("_weight").alias("_n"))
     before = (
         Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +145,7 @@ def running_count(df: DataFrame, keys: list[str], order: list[Column], cut: Slic
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
     )
-    out = out.join(offsets, [*keys, SLICE], "left").withColumn(
+    out = lookup(out, offsets, [*keys, SLICE]).withColumn(
         name, F.col(name) + F.coalesce("_before", F.lit(0))
     )
     if total:
@@ -93,7 +153,7 @@ def running_count(df: DataFrame, keys: list[str], order: list[Column], cut: Slic
     return out.drop("_before", "_all", "_weight")
 
 
-def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list[str], by: Column,
+def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list[str], by: Column | list[Column],
                   part_size: int = PART_SIZE, hot_rows: int | None = None) -> DataFrame:
     """Ordered lists per key in parts of at most `part_size` items.
 
@@ -105,11 +165,11 @@ def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list
     hot_rows = part_size if hot_rows is None else hot_rows
     columns = list(dict.fromkeys([*keys, *order, *values]))
     sort_by = [c for c in columns if c not in keys]
-    cut = slices(df, keys, by, hot_rows)
     narrow = df.select(*columns)
+    cut = slices(df, keys, by, hot_rows)
+    ordinary = narrow if cut.hot is None else cut.hot_rows(narrow, other=True)
     ordinary = (
-        narrow.join(F.broadcast(cut.hot), keys, "left_anti")
-        .groupBy(*keys)
+        ordinary.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*sort_by))).alias("_all"))
         .withColumn("n_total", F.size("_all").cast("bigint"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), ((F.col("n_total") - 1) / part_size).cast("int"))))
@@ -121,7 +181,7 @@ def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list
             ).alias("items"),
         )
     )
-    return ordinary.unionByName(_hot_parts(narrow, keys, sort_by, values, cut, part_size))
+    return ordinary if cut.hot is None else ordinary.unionByName(_hot_parts(narrow, keys, sort_by, values, cut, part_size))
 
 
 def _hot_parts(df: DataFrame, keys: list[str], sort_by: list[str], values: list[str], cut: Slices,
@@ -158,16 +218,19 @@ def _hot_parts(df: DataFrame, keys: list[str], sort_by: list[str], values: list[
     )
 
 
-def rolling_mean(df: DataFrame, keys: list[str], order: list[Column], by: Column, value: str,
+def rolling_mean(df: DataFrame, keys: list[str], order: list[Column], by: Column | list[Column], value: str,
                  last: int = 100, chunk: int = 100_000, hot_rows: int | None = None) -> DataFrame:
     """Mean and count of the last `last` rows of the key, adding `rolling_avg`, `rolling_runs`.
 
-    Rows are numbered, cut into chunks of `chunk` positions, and the last `last - 1` rows of
-    a chunk are also handed to the next one, so no window holds more than one chunk.
+    Where a key is hot, rows are numbered, cut into chunks of `chunk` positions, and the last
+    `last - 1` rows of a chunk are also handed to the next one, so no window holds more than one chunk.
     """
     if chunk < last:
         raise ValueError("chunk must be at least as long as the rolling window")
     cut = slices(df, keys, by, hot_rows)
+    if cut.hot is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(last - 1), Window.currentRow)
+        return df.withColumn("rolling_avg", F.avg(value).over(frame)).withColumn("rolling_runs", F.count(F.lit(1)).over(frame))
     placed = running_count(cut.mark(df), keys, order, cut, "_pos").drop(SLICE)
     at = F.floor((F.col("_pos") - 1) / F.lit(chunk))
     carried = (F.col("_pos") - 1) % F.lit(chunk) >= F.lit(chunk - (last - 1))

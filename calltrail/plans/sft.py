@@ -80,7 +80,7 @@ def answers(steps: DataFrame, output_format: str, by: Column | None = None, **li
     else:
         used, text = steps, to_call_text("tool", "tool_input")
     if by is None:
-        by = F.col("chain_pos") * 1_000_000 + F.floor(F.col("step_pos") / 1000)
+        by = [F.col(c) for c in STEP_ORDER]
     told = used.select("workflow_id", *STEP_ORDER, text.alias("text"))
     parts = collect_parts(told, ["workflow_id"], STEP_ORDER, ["text"], by, **limits)
     size = limits.get("part_size") or 10_000
@@ -280,7 +280,7 @@ def rendered_chats(turns: DataFrame, key: str, order: str, by: Column, bos: str
     told = placed.select(
         key, "position", prompts.turn_text(F.col("role"), F.col("content"), F.col("position")).alias("text")
     )
-    parts = collect_parts(told, [key], ["position"], ["text"], by=F.floor(F.col("position") / 1000), **limits)
+    parts = collect_parts(told, [key], ["position"], ["text"], by=F.col("position"), **limits)
     size = limits.get("part_size") or 10_000
     tail = f"{prompts.TURN_START}model\n" if generation_prompt else ""
     last = (F.col("part") + 1) * size >= F.col("n_total")

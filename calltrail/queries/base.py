@@ -25,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hour_of(ts: Column) -> Column:
-    """Hours since 1970 by the clock shown; rises with the timestamp in any session zone."""
-    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+def step_order() -> list[Column]:
+    """The order of steps of a workflow as BIGINTs."""
+    return [F.col(c) for c in ("chain_pos", "step_pos", "part_key")]
 
 
-def line_slice() -> Column:
-    """Cuts a hot order along (l_linenumber, l_partkey)."""
-    return F.col("step_pos") * 1_000_000 + F.floor(F.col("part_key") / 100_000)
+def event_order() -> list[Column]:
+    """The order of events as BIGINTs: microseconds, then the id."""
+    return [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")]
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:

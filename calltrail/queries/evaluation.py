@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from calltrail.plans import evaluation as ev
 from calltrail.plans import workflows as wf
-from calltrail.queries.base import STEPS_SQL, line_slice, query, steps, table
+from calltrail.queries.base import STEPS_SQL, query, step_order, steps, table
 
 
 @query("tool_lists", f"""WITH {STEPS_SQL}
@@ -14,8 +14,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY chain_pos,
              count(*) OVER (PARTITION BY workflow_id) AS n FROM steps)
 GROUP BY workflow_id, (rn - 1) // 10000, n""")
 def tool_lists(spark, sf_dir):
-    by = F.col("chain_pos") * 1_000_000_000 + line_slice()
-    lists = wf.tool_lists(steps(spark, sf_dir), ["chain_pos", "step_pos", "part_key"], by)
+    lists = wf.tool_lists(steps(spark, sf_dir), ["chain_pos", "step_pos", "part_key"], step_order())
     return lists.withColumn("tools", F.array_join("tools", ","))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from calltrail.functions import validation as val
 from calltrail.functions.text import no_error_words
 from calltrail.plans import workflows as wf
-from calltrail.queries.base import hour_of, query, selections, table
+from calltrail.queries.base import query, selections, table
 
 
 def _quoted(text: str) -> str:
@@ -123,7 +123,7 @@ def _proposal_steps(spark, sf_dir):
     e = selections(spark, sf_dir)
     bad = F.col("event_type") == "error"
     return e.select(
-        "run", F.date_format("ts", "yyyy-MM-dd").alias("proposal"), "event_id", hour_of(F.col("ts")).alias("hour"),
+        "run", F.date_format("ts", "yyyy-MM-dd").alias("proposal"), "event_id",
         F.concat(F.lit("tool_"), (F.col("k") % 7).cast("string")).alias("tool"),
         (~bad & (F.col("value") <= 20)).alias("is_valid"),
         F.when(F.col("k") % 4 == 0, F.concat(F.lit("rule "), F.col("k").cast("string"))).otherwise("").alias("validation_error"),
@@ -155,4 +155,4 @@ SELECT run, proposal, count(*) AS n_steps, CAST(0 AS BIGINT) AS part,
        coalesce(string_agg(tool || ': ' || detail, ' | ' ORDER BY event_id), 'All tool executions failed') AS error_message
 FROM psteps GROUP BY run, proposal HAVING NOT bool_or(is_valid)""")
 def error_details(spark, sf_dir):
-    return wf.error_details(_proposal_steps(spark, sf_dir), ["run", "proposal"], "event_id", F.floor(F.col("event_id") / 100_000))
+    return wf.error_details(_proposal_steps(spark, sf_dir), ["run", "proposal"], "event_id", F.col("event_id"))

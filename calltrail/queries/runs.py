@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from calltrail.operators.ordering import rolling_mean
 from calltrail.plans import traces as tr
 from calltrail.plans import workflows as wf
-from calltrail.queries.base import hour_of, query, selections, table
+from calltrail.queries.base import event_order, query, selections, table
 from calltrail.session import scratch_dir
 from calltrail.streaming.chains import stream_chains
 
@@ -34,12 +34,12 @@ placed AS (
 
 def _placed(spark, sf_dir):
     return wf.place_selections(
-        selections(spark, sf_dir), [F.col(c) for c in ORDER], hour_of(F.col("ts"))
+        selections(spark, sf_dir), [F.col(c) for c in ORDER], event_order()
     )
 
 
 def _chains(spark, sf_dir):
-    return wf.rebuild_chains(selections(spark, sf_dir), [F.col(c) for c in ORDER], hour_of(F.col("ts")))[0]
+    return wf.rebuild_chains(selections(spark, sf_dir), [F.col(c) for c in ORDER], event_order())[0]
 
 
 @query("rebuilt_chains", f"WITH {SELECTIONS_SQL} SELECT run, event_id, outcome, chain_id, step_pos FROM placed")
@@ -231,7 +231,7 @@ SELECT event_id, event_type, round(avg(value) OVER w, 8) AS rolling_avg, count(*
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def rolling_duration(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    out = rolling_mean(e, ["event_type"], [F.col("ts"), F.col("event_id")], hour_of(F.col("ts")), "value")
+    out = rolling_mean(e, ["event_type"], [F.col("ts"), F.col("event_id")], event_order(), "value")
     return out.select("event_id", "event_type", F.round("rolling_avg", 8).alias("rolling_avg"), "rolling_runs")
 
 

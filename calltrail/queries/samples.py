@@ -82,11 +82,7 @@ def sft_samples(spark, sf_dir, num_tools=10):
     called = every.select("workflow_id", F.col("tool").alias("api"))
     drawn = draws.negative_tools(called, catalog(spark, sf_dir), num_tools, 42)
     accepted = workflows(spark, sf_dir).join(drawn.accepted, "workflow_id", "left_semi")
-    return sft.format_samples(accepted, every, drawn.tools, definitions(spark, sf_dir), num_tools, "python", by=_slice())
-
-
-def _slice():
-    return F.col("chain_pos") * 1_000 + F.col("step_pos")
+    return sft.format_samples(accepted, every, drawn.tools, definitions(spark, sf_dir), num_tools, "python")
 
 
 @query("sft_json_samples", f"""WITH {STEPS_SQL},
@@ -104,7 +100,7 @@ def sft_json_samples(spark, sf_dir):
     every = steps(spark, sf_dir)
     none = every.select("workflow_id", F.lit(0).alias("draw"), F.col("tool").alias("api")).limit(0)
     return sft.format_samples(
-        workflows(spark, sf_dir), every, none, definitions(spark, sf_dir), -1, "json", by=_slice()
+        workflows(spark, sf_dir), every, none, definitions(spark, sf_dir), -1, "json"
     )
 
 

@@ -4,10 +4,11 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calltrail.operators import cuts, draws
-from calltrail.operators.ordering import SLICE, collect_parts, rolling_mean, running_count, slices
+from calltrail.operators.ordering import SLICE, collect_parts, hot_keys, rolling_mean, running_count, slices
 
 
 def _rows(n=400, seed=1):
@@ -185,3 +186,39 @@ def test_no_pool_and_idle_workflows(spark):
     assert drawn.count() == 0 and rejects.count() == 0
     drawn, _, _ = draws.negative_tools(tools, catalog, 4, 42, workflows=every)
     assert {r.workflow_id: r["count"] for r in drawn.groupBy("workflow_id").count().collect()} == {1: 3, 2: 4}
+
+
+def test_hot_keys_split_into_even_slices_whatever_their_hour(spark):
+    """One key holds half of all rows, all of them inside one second, and half of these at one instant."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") < 20_000, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("k"),
+        (1_700_000_000_000_000 + F.when(F.col("id") < 10_000, 7).otherwise(F.col("id") * 13 % 1_000_000)).alias("at"), "id",
+    )
+    cut = slices(rows, ["k"], [F.col("at"), F.col("id")], 1_000)
+    sizes = cut.hot_rows(cut.mark(rows)).groupBy("k", SLICE).count().collect()
+    assert {r["k"] for r in sizes} == {"hot"} and sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) <= 1_000
+    assert sorted(r["count"] for r in sizes)[len(sizes) // 2] >= max(r["count"] for r in sizes) / 2
+    counted = running_count(cut.mark(rows), ["k"], [F.col("at"), F.col("id")], cut, "n", total="t")
+    window = Window.partitionBy("k").orderBy("at", "id")
+    wrong = counted.withColumn("want", F.row_number().over(window)).filter("n <> want or t <> if(k = 'hot', 20000, 40)")
+    assert counted.count() == 40_000 and wrong.isEmpty()
+
+
+def test_a_key_larger_than_one_cut_can_split(spark):
+    rows = spark.range(9_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") * 7919 % 9_000).alias("at"))
+    cut = slices(rows, ["k"], F.col("at"), 20)
+    assert len(cut.levels) > 1
+    assert cut.mark(rows).groupBy(SLICE).count().agg(F.max("count")).head()[0] <= 20
+    counted = running_count(cut.mark(rows), ["k"], [F.col("at")], cut, "n")
+    assert counted.filter("n <> at + 1").isEmpty()
+
+
+def test_equal_rows_cannot_be_cut_and_nothing_hot_needs_no_cut(spark):
+    rows = spark.range(50).select(F.lit("a").alias("k"), F.lit(1).alias("at"))
+    cut = slices(rows, ["k"], F.col("at"), 5)
+    assert not cut.levels and cut.hot is not None
+    assert collect_parts(rows, ["k"], ["at"], ["at"], F.col("at"), part_size=20).count() == 3
+    assert hot_keys(rows, ["k"], 50) is None and slices(rows.limit(0), ["k"], F.col("at"), 5).hot is None
+    plan = running_count(slices(rows, ["k"], F.col("at")).mark(rows), ["k"], [F.col("at")], slices(rows, ["k"], F.col("at")), "n")
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
