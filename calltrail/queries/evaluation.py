@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from calltrail.plans import evaluation as ev
 from calltrail.plans import workflows as wf
-from calltrail.queries.base import STEPS_SQL, query, step_order, steps, table
+from calltrail.queries.base import STEPS_SQL, query, step_order, steps, table, workflows
+from calltrail.session import scratch_dir
+from calltrail.sources import bucketed, versions, writers
+from calltrail.streaming import chains as st
 
 
 @query("tool_lists", f"""WITH {STEPS_SQL}
@@ -207,3 +210,70 @@ def resume_evaluation(spark, sf_dir):
     tests = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("sample_id"))
     out = ev.only_tests(scores(spark, sf_dir), tests).select("model", "sample_id", "failed", *ev.METRICS)
     return _rounded(out, *ev.METRICS)
+
+
+def bucketed_inputs(spark, sf_dir):
+    """Predictions, true tools and raw workflows as tables in buckets of sample_id, named for this run."""
+    predictions, _, truth = _inputs(spark, sf_dir)
+    raw = workflows(spark, sf_dir).select(F.col("workflow_id").alias("sample_id"), "query", F.lit("done").alias("response"))
+    folder = scratch_dir(spark, "inputs")
+    run = folder.rsplit("-", 1)[1]
+    named = {"predictions": predictions.select("model", "sample_id", "failed", "num_requests"), "truth": truth, "raw": raw}
+    return [bucketed.write_bucketed(df, f"{name}_{run}", path=f"{folder}/{name}") for name, df in named.items()]
+
+
+@query("prediction_inputs", f"""WITH {SCORES_SQL}
+SELECT p.model, p.sample_id, p.failed, CAST(p.num_requests AS BIGINT) AS num_requests, string_agg(tool, ',' ORDER BY tool) AS true_tools,
+       'Handle order ' || CAST(p.sample_id AS VARCHAR) || ' of priority ' || o_orderpriority AS query, 'done' AS response
+FROM predictions p JOIN truth USING (sample_id) JOIN orders ON o_orderkey = p.sample_id
+GROUP BY p.model, p.sample_id, p.failed, p.num_requests, o_orderpriority""")
+def prediction_inputs(spark, sf_dir):
+    """The three-way join of an evaluation, from bucketed tables and without a shuffle."""
+    out = bucketed.join_prediction_inputs(*bucketed_inputs(spark, sf_dir))
+    return out.withColumn("true_tools", F.array_join("true_tools", ",")).select(
+        "model", "sample_id", "failed", "num_requests", "true_tools", "query", "response"
+    )
+
+
+@query("saved_scores", f"""WITH {SCORES_SQL}
+SELECT s.model, s.sample_id, s.failed,
+       CASE WHEN NOT s.failed THEN s.precision WHEN p.is_stored THEN s_precision END AS precision,
+       CASE WHEN NOT s.failed THEN s.recall WHEN p.is_stored THEN s_recall END AS recall,
+       CASE WHEN NOT s.failed THEN s.success_rate WHEN p.is_stored THEN s_success END AS success_rate,
+       CASE WHEN NOT s.failed THEN s.qor END AS qor
+FROM (SELECT model, sample_id, failed, round(precision, 6) AS precision, round(recall, 6) AS recall,
+             round(success_rate, 6) AS success_rate, round(qor, 6) AS qor FROM scores) s JOIN predictions p USING (model, sample_id)""")
+def saved_scores(spark, sf_dir):
+    """Scores written back into the table of predictions, twice: the second run reads what the first wrote."""
+    path = scratch_dir(spark, "predictions")
+    predictions, calls, truth = _inputs(spark, sf_dir)
+    versions.write_version(predictions, path)
+    for _ in range(2):
+        current = versions.read_version(spark, path)
+        writers.write_scores(current, ev.evaluate(current, calls, truth), path)
+    out = versions.read_version(spark, path).select("model", "sample_id", "failed", "stored.*")
+    return _rounded(out, *ev.METRICS)
+
+
+@query("stream_scores", """
+WITH rows AS (
+  SELECT 'model_' || l_returnflag AS model, l_orderkey AS sample_id, l_shipdate AS modified, l_quantity AS answer, l_linenumber % 3 AS delivery
+  FROM lineitem),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY model, sample_id ORDER BY modified DESC, delivery, answer DESC) AS pick FROM rows)
+SELECT model, sample_id, strftime(modified, '%Y-%m-%d') AS modified, round(answer / 50, 6) AS recall FROM ranked WHERE pick = 1""")
+def stream_scores(spark, sf_dir):
+    """Predictions in three deliveries, some older than what was scored before: the newest of each counts."""
+    folder = scratch_dir(spark, "scores")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("model_"), F.col("l_returnflag")).alias("model"), F.col("l_orderkey").alias("sample_id"),
+        F.col("l_shipdate").cast("timestamp").alias("modified"), F.col("l_quantity").alias("answer"), (F.col("l_linenumber") % 3).alias("delivery"),
+    )
+    rows = rows.groupBy("model", "sample_id", "modified", "delivery").agg(F.max("answer").alias("answer"))
+    score = lambda batch: batch.select("model", "sample_id", (F.col("answer") / 50).alias("recall"))
+    for delivery in range(3):
+        rows.filter(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+        incoming = spark.readStream.schema(rows.drop("delivery").schema).parquet(f"{folder}/in")
+        st.evaluate_new(incoming, score, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
+    out = st.read_scores(spark, f"{folder}/scores")
+    return out.select("model", "sample_id", F.date_format("modified", "yyyy-MM-dd").alias("modified"), F.round("recall", 6).alias("recall"))

@@ -281,6 +281,5 @@ def stream_chains_query(spark, sf_dir):
         new = log.filter(F.col("delivery") == delivery)
         new.write.mode("append").parquet(f"{folder}/in")
         incoming = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
-        by = "unix_date(to_date(ts)) * 24 + hour(ts)"
-        stream_chains(incoming, folder, ORDER, by).awaitTermination()
+        stream_chains(incoming, folder, ORDER).awaitTermination()
     return spark.read.parquet(f"{folder}/placed").select("run", "event_id", "outcome", "chain_id", "step_pos")

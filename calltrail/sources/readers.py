@@ -217,13 +217,6 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.col("id").alias("sample_id"), F.explode(tools).alias("tool"))
 
 
-def join_prediction_inputs(predictions: DataFrame, truth: DataFrame, raw: DataFrame) -> DataFrame:
-    """Predictions that have both sample metadata and a raw workflow."""
-    return predictions.join(truth.select("sample_id").distinct(), "sample_id").join(
-        raw.select(F.col("workflow_id").alias("sample_id"), "query", "response"), "sample_id"
-    )
-
-
 def read_group(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All .json, .jsonl and .jsonl.gz of a directory as one DataFrame."""
     local = path.removeprefix("file://")

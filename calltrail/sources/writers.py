@@ -32,8 +32,12 @@ def write_json_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
-def write_scores(predictions: DataFrame, scores: DataFrame, path: str) -> None:
-    """A new version of the predictions, with their scores; the read version stays as it is."""
+def write_scores(predictions: DataFrame, scores: DataFrame, path: str) -> str:
+    """Replaces the table of predictions at `path` by one that holds the scores; returns the version's name.
+
+    `predictions` may be the current version itself: it stays readable until the new one is complete.
+    """
     from calltrail.plans.evaluation import save_scores
+    from calltrail.sources.versions import write_version
 
-    save_scores(predictions, scores).write.mode("errorifexists").parquet(path)
+    return write_version(save_scores(predictions, scores), path)

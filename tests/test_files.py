@@ -1,5 +1,6 @@
 """Readers, writers and streams over files written here."""
 
+import datetime
 import gzip
 import json
 import os
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from calltrail.plans import evaluation as ev
 from calltrail.plans import traces as tr
 from calltrail.plans import workflows as wf
-from calltrail.sources import readers, writers
+from calltrail.sources import bucketed, readers, versions, writers
 from calltrail.streaming import chains as st
 
 
@@ -175,19 +176,41 @@ def test_split_is_written(spark, tmp_path):
     assert sorted(r.text for r in readers.read_jsonl(spark, f"{tmp_path}/train.jsonl", "text STRING").collect()) == ["x", "y"]
 
 
-@pytest.mark.parametrize("hot_rows", [3, 100_000])
-def test_streamed_chains_equal_the_batch(spark, tmp_path, hot_rows):
+def _deliver(spark, folder, rows, max_chains=4):
+    schema = "run string, o bigint, which_chain string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    running = st.stream_chains(spark.readStream.schema(schema).parquet(f"{folder}/in"), folder, ["o"], max_chains)
+    running.awaitTermination()
+    return running
+
+
+def _placed(spark, folder):
+    return {(r.run, r.o): (r.outcome, r.chain_id, r.step_pos) for r in spark.read.parquet(f"{folder}/placed").collect()}
+
+
+def test_streamed_chains_equal_the_batch(spark, tmp_path):
     folder = str(tmp_path)
-    schema = "run string, o int, which_chain string"
-    rows = [(f"r{i % 3 // 2}", i, ["-1", "api_use_chain_1", "api_use_chain_3", "api_use_chain_2"][i * 7 % 4]) for i in range(60)]
+    names = ["-1", "api_use_chain_1", "api_use_chain_3", "api_use_chain_2", "what", None, "api_use_chain_99999999999999999999"]
+    rows = [(f"r{i % 3 // 2}", i, names[i * 7 % 4 if i % 5 else i % 7]) for i in range(60)]
     for start in range(0, 60, 20):
-        spark.createDataFrame(rows[start: start + 20], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        st.stream_chains(stream, folder, ["o"], "floor(o / 5)", 4, hot_rows).awaitTermination()
-    got = {(r.run, r.o): (r.outcome, r.chain_id, r.step_pos) for r in spark.read.parquet(f"{folder}/placed").collect()}
-    batch = wf.place_selections(spark.createDataFrame(rows, schema), [F.col("o")], F.col("o"), 4)
-    assert got == {(r.run, r.o): (r.outcome, r.chain_id, r.step_pos) for r in batch.collect()}
-    assert len(os.listdir(f"{folder}/state")) == 3
+        _deliver(spark, folder, rows[start: start + 20][::-1])  # inside a batch in any order
+    batch = wf.place_selections(spark.createDataFrame(rows, "run string, o int, which_chain string"), [F.col("o")], F.col("o"), 4)
+    assert _placed(spark, folder) == {(r.run, r.o): (r.outcome, r.chain_id, r.step_pos) for r in batch.collect()}
+
+
+def test_a_batch_touches_the_state_of_its_runs_only_and_can_be_run_again(spark, tmp_path):
+    folder = str(tmp_path)
+    _deliver(spark, folder, [(f"r{i % 100:03}", i, "-1") for i in range(300)])
+    progress = _deliver(spark, folder, [("r007", 1000, "api_use_chain_2")]).recentProgress
+    states = [p["stateOperators"][0] for p in progress if p["numInputRows"]]
+    assert [s["numRowsUpdated"] for s in states] == [1] and states[0]["numRowsTotal"] == 100
+    before = _placed(spark, folder)
+    commits = sorted((f for f in os.listdir(f"{folder}/checkpoint/commits") if f.isdigit()), key=int)
+    for name in (commits[-1], f".{commits[-1]}.crc"):  # the batch is taken for not finished
+        os.remove(f"{folder}/checkpoint/commits/{name}")
+    _deliver(spark, folder, [("r007", 1001, "api_use_chain_2")])
+    after = _placed(spark, folder)
+    assert after == before | {("r007", 1001): ("committed", "api_use_chain_2", 3)}
 
 
 def test_the_last_good_delivery_counts(spark, tmp_path):
@@ -207,17 +230,80 @@ def test_the_last_good_delivery_counts(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{d}/out/rejects").collect()) == ["00002", "00003", "00004"]
 
 
-def test_only_new_predictions_are_scored(spark, tmp_path):
+def test_only_new_predictions_are_scored_and_the_newest_counts(spark, tmp_path):
     d = str(tmp_path)
-    schema = "model string, sample_id string"
-    score = lambda batch: batch.withColumn("recall", F.lit(1.0))
-    for rows in ([("m", "a"), ("m", "a")], [("m", "a"), ("m", "b"), ("m", "b")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{d}/in")
+    schema = "model string, sample_id string, modified timestamp, answer string"
+    calls = []
+
+    def score(batch):
+        calls.append(sorted((r.sample_id, r.answer) for r in batch.collect()))
+        return batch.select("model", "sample_id", F.col("answer").alias("recall"))
+
+    at = lambda hour: datetime.datetime(2026, 1, 1, hour)
+    deliveries = [
+        [("m", "a", at(1), "old"), ("m", "a", at(2), "new"), ("m", "a", at(2), "new"), ("m", "c", at(1), "x"), ("m", "c", at(1), "y")],
+        [("m", "a", at(2), "new"), ("m", "b", at(1), "b")],
+        [("m", "a", at(1), "older"), ("m", "b", at(3), "newer")],
+    ]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
         st.evaluate_new(spark.readStream.schema(schema).parquet(f"{d}/in"), score, f"{d}/out", f"{d}/cp").awaitTermination()
-    assert sorted(r.sample_id for r in spark.read.parquet(f"{d}/out").collect()) == ["a", "b"]
+    assert [c for c in calls if c][1:] == [[("b", "b")], [("b", "newer")]]
+    assert calls[0][0] == ("a", "new")
+    got = {r.sample_id: r.recall for r in st.read_scores(spark, f"{d}/out").collect()}
+    assert got["a"] == "new" and got["b"] == "newer" and set(got) == {"a", "b", "c"}
+    st.compact_scores(spark, f"{d}/out", f"{d}/table")
+    assert {r.sample_id: r.recall for r in versions.read_version(spark, f"{d}/table").collect()} == got
+
+
+def test_versions_are_switched_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert versions.current_version(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, path)
+    versions.write_version(spark.range(5), path)
+
+    fail = F.udf(lambda i: 1 // (i - 7), "int")
+    with pytest.raises(Exception):
+        versions.write_version(spark.range(10).select("id", fail("id").alias("x")), path)
+    assert versions.read_version(spark, path).count() == 5  # the write that died changed nothing
+    # the new version reads the one that it replaces
+    versions.write_version(versions.read_version(spark, path).union(spark.range(5, 8)), path)
+    assert sorted(r.id for r in versions.read_version(spark, path).collect()) == list(range(8))
+    versions.write_version(spark.range(2), path, keep=1)
+    assert versions.read_version(spark, path).count() == 2
+    assert len(versions.versions(spark, path)) == 2  # the current one and the one before it
 
 
 def test_newest_file_wins(spark):
     rows = [("a", "t1", 1), ("a", "t2", 2), ("b", "t3", 1)]
     df = spark.createDataFrame(rows, "id string, text string, v int")
     assert sorted(tuple(r) for r in wf.latest(df, "id", F.col("v")).collect()) == [("a", "t2", 2), ("b", "t3", 1)]
+
+
+def test_bucketed_inputs_join_without_a_shuffle(spark, tmp_path):
+    d = str(tmp_path)
+    predictions = spark.createDataFrame([("m", i % 7, i) for i in range(30)] + [("n", None, 0)], "model string, sample_id bigint, x int")
+    truth = spark.createDataFrame([(i, t) for i in range(5) for t in "bab"], "sample_id bigint, tool string")
+    raw = spark.createDataFrame([(i, f"q{i}", "r") for i in range(1, 9)], "sample_id bigint, query string, response string")
+    named = {"predictions": predictions, "truth": truth, "raw": raw}
+    tables = [bucketed.write_bucketed(df, f"t_{name}_{os.path.basename(d).replace('-', '_')}", buckets=4, path=f"{d}/{name}") for name, df in named.items()]
+    joined = bucketed.join_prediction_inputs(*tables)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 3
+    rows = joined.collect()
+    assert sorted({r.sample_id for r in rows}) == [1, 2, 3, 4] and len(rows) == sum(i % 7 in (1, 2, 3, 4) for i in range(30))
+    assert all(r.true_tools == ["a", "b"] and r["query"] == f"q{r.sample_id}" for r in rows)
+
+
+def test_scores_are_written_back(spark, tmp_path):
+    path = str(tmp_path / "p")
+    score = "struct<precision:double,recall:double,success_rate:double,qor:double>"
+    rows = [("m", "a", False, None), ("m", "b", True, None), ("m", "c", True, (0.5, 0.5, 0.5, 5.0))]
+    versions.write_version(spark.createDataFrame(rows, f"model string, sample_id string, failed boolean, stored {score}"), path)
+    scores = spark.createDataFrame([("m", "a", False, 1.0, 0.5, 0.25, 9.0), ("m", "b", True, 0.0, 0.0, None, 0.0)],
+                                   "model string, sample_id string, failed boolean, precision double, recall double, success_rate double, qor double")
+    for _ in range(2):
+        writers.write_scores(versions.read_version(spark, path), scores, path)
+    got = {r.sample_id: r.stored and tuple(r.stored) for r in versions.read_version(spark, path).collect()}
+    assert got == {"a": (1.0, 0.5, 0.25, 9.0), "b": None, "c": (0.5, 0.5, 0.5, 5.0)}
