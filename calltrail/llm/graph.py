@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 DEGREE = 16  # links of a node above the ground layer; twice as many there
-BUILD_BEAM = 32
+BUILD_BEAM = 16
 BATCH = 512
 EXPAND = 4  # beam members opened at a time
 
