@@ -34,13 +34,13 @@ PERCENT = 75
 HEAVY = 1 << 16  # frequent shingles that the orders put last; bounds the broadcast, not the join
 SHARDS = 256  # parts of the 32-bit space in which shingles are looked for twice
 MAP_BITS = 27  # the bitmap of shingles that may be shared has 2^27 bits, 16 MB, at any corpus size
-CHUNK = 1 << 21  # shingles counted at a time in a task
+CHUNK = 1 << 20  # shingles counted at a time in a task
 CHUNK_HEAVY = 1 << 14  # frequent shingles that a task names for each chunk
 BLOOM_BITS = 1 << 26
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # one odd multiplier per order
 _MIX = np.array([0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
-_WORDS_KEPT = 200_000  # words whose hashes a worker remembers; the memory starts anew beyond it
-_SETS_KEPT = 1_000_000  # sets a task remembers to have seen; more only means repeated rows
+_WORDS_KEPT = 100_000  # words whose hashes a worker remembers; the memory starts anew beyond it
+_SETS_KEPT = 200_000  # sets a task remembers to have seen; more only means repeated rows
 _words: dict[bytes, int] = {}
 
 
@@ -127,8 +127,9 @@ def packed(values: np.ndarray) -> bytes:
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    gaps = np.frombuffer(blob[1:], "<u4" if blob[:1] == b"4" else "<u2").astype(np.int64)
-    return np.cumsum(gaps + 1) - 1
+    at = np.cumsum(np.frombuffer(blob, "<u4" if blob[:1] == b"4" else "<u2", offset=1), dtype=np.uint32)
+    at += np.arange(len(at), dtype=np.uint32)
+    return at
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -211,7 +212,8 @@ def _order(rows: DataFrame) -> Order:
             state.clear()
 
         for batch in batches:
-            for shard, once, again in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for i in range(batch.num_rows):  # a row's bytes at a time
+                shard, once, again = (batch.column(c)[i].as_py() for c in range(3))
                 if shard not in state:
                     yield from done()
                     state[shard] = np.zeros(1 << 24, np.uint8)
