@@ -27,7 +27,7 @@ SLACK = 1e-3  # how far below the threshold single precision may put a pair that
 SHARD_ROWS = 8192  # vectors of a shard; a task holds two shards and a table of their pairs of one byte each
 BEAM = 2
 RECALL = 0.99  # of the links of the sampled queries
-SAMPLED = 128  # queries of each task that are compared with the whole shard
+SAMPLED = 256  # queries of each task that are compared with the whole shard
 BATCH = 256  # queries searched at a time
 
 _SHARD = "dim int, shard bigint, n_shards bigint, single boolean, ids binary, classes binary, sizes binary, vectors binary, layers array<binary>"

@@ -76,15 +76,33 @@ def test_doubles_and_repeated_ids(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
-def test_recall_on_the_given_vectors(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    vectors = np.array([r["embedding"] for r in table.collect()], float)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    least = 0.5  # the given vectors have few links above 0.95
-    truth = vectors @ vectors.T >= least
+def _recall(spark, vectors, **kw):
+    """Links of `vectors` by the operator, and by brute force."""
+    unit = np.asarray(np.asarray(vectors, np.float32), float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    truth = unit @ unit.T >= kw.get("least", embeddings.LEAST)
     np.fill_diagonal(truth, False)
-    got = embeddings.similar_vectors(table, least=least, shard_rows=500).agg({"n_links": "sum"}).head()[0]
-    assert 0.9 * truth.sum() <= got <= truth.sum()
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    return embeddings.similar_vectors(rows, **kw).agg({"n_links": "sum"}).head()[0], int(truth.sum())
+
+
+def _given(spark):
+    return np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+
+
+def test_recall_of_near_copies_of_the_given_vectors(spark):
+    """Copies with noise, so that most cosines are near the threshold, with the operator's own parameters but for the shards."""
+    rng, vectors = np.random.default_rng(2), _given(spark)
+    scale = 0.22 * np.linalg.norm(vectors, axis=1, keepdims=True) / 8
+    copies = np.concatenate([vectors + scale * rng.standard_normal(vectors.shape) for _ in range(3)])
+    found, wanted = _recall(spark, np.concatenate([vectors, copies]), shard_rows=2000)
+    assert wanted > 5000 and 0.99 * wanted <= found <= wanted
+
+
+def test_recall_of_links_far_below_the_threshold(spark):
+    """At a cosine of 0.5 the given vectors link by chance only, the hardest case for a graph; a wider first beam finds them."""
+    found, wanted = _recall(spark, _given(spark), least=0.5, shard_rows=500, beam=8)
+    assert wanted > 20 and 0.9 * wanted <= found <= wanted
 
 
 def test_a_group_larger_than_the_beam_is_walked_whole():
