@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from calltrail.session import materialize
 
-MAX_WORD = 24  # longest dictionary word of a host label; longer runs stay possible as unknown words
 CLASSES = ("block", "allow")
 
 
@@ -80,10 +79,12 @@ def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """`pieces`(piece) with `words`, the Viterbi split by unigram counts. Pieces must be distinct."""
     counts = materialize(counts, "words")
     total = counts.agg(F.sum("n")).head()[0] or 0
-    length = F.expr(f"least({MAX_WORD}, length(piece) - start)")
+    # only substrings as long as some word are looked up; there are few different lengths, and none is left out
+    lengths = [r[0] for r in counts.select(F.length("word").alias("k")).distinct().orderBy("k").collect()]
+    fitting = F.filter(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: k <= F.length("piece") - F.col("start"))
     parts = (
         pieces.select("piece", F.explode(F.expr("sequence(0, length(piece) - 1)")).alias("start"))
-        .select("piece", "start", F.explode(F.sequence(F.lit(1), length)).alias("length"))
+        .select("piece", "start", F.explode(fitting).alias("length"))
         .select("piece", "start", "length", F.expr("substring(piece, start + 1, length)").alias("word"))
     )
     scored = parts.join(counts, "word").select(
