@@ -170,9 +170,16 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(_characters(local, key, F.lit("email")), F.substring(value, F.length(local) + 1, F.length(value)))
 
 
+# The country codes of ITU-T E.164; all not listed with one or two digits have three.
+COUNTRY_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _phone(value: Column, key: str) -> Column:
+    """The national digits are permuted, so a number links with itself in any notation; marks and country code stay."""
     fine = F.length(_digits(value)).between(7, 15)
-    return F.when(fine, _prefixed(value, r"^(\+\d{1,3}(?=[ .(-]))?", key, "phone")).otherwise(value)
+    code = F.regexp_extract(value, COUNTRY_CODE, 0)
+    rest = F.substring(value, F.length(code) + 1, F.length(value))
+    return F.when(fine, F.concat(code, _spread(rest, _characters(_digits(rest), key, F.lit("phone"))))).otherwise(value)
 
 
 def pseudonym(value: Column, key: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ URL_RULES = [
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 ]
 
-PSEUDONYM_KEY = "documents"  # a real run takes its key from a secret store
+PSEUDONYM_KEY = "spark.calltrail.pseudonymKey"  # the setting that holds the secret key
+_KEYS: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,6 +38,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret key of the session's configuration; without one a random key that ends with the application."""
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    return key or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,7 +71,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 @query
