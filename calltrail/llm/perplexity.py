@@ -47,43 +47,65 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def _keys(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The alphabet, a key of 16 bits a character for every predicted place, and which windows stay inside one text."""
-    seen = np.zeros(0x110000, bool)
-    seen[codes] = True
-    alphabet = np.flatnonzero(seen)
-    if len(alphabet) > 1 << 16:
-        raise ValueError("more than 65,536 different characters in one chunk")
-    number = np.zeros(0x110000, np.uint16)
-    number[alphabet] = np.arange(len(alphabet), dtype=np.uint16)
-    ids = number[codes].astype(np.uint64)
-    n = len(ids) - ORDER + 1
-    keys = ids[:n].copy()
-    for k in range(1, ORDER):
-        keys <<= np.uint64(16)
-        keys |= ids[k : n + k]
+class _Alphabet:
+    """Numbers for n-grams of ORDER characters, and the way back.
+
+    Up to 65,536 different characters an n-gram is its characters' numbers, 16 bits each. Beyond, pairs of
+    characters are numbered first, 32 bits each, so any text has keys of 64 bits.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        seen = np.zeros(0x110000, bool)
+        seen[codes] = True
+        self.characters = np.flatnonzero(seen)
+        number = np.zeros(0x110000, np.uint32)
+        number[self.characters] = np.arange(len(self.characters), dtype=np.uint32)
+        ids = number[codes].astype(np.uint64)
+        n = max(len(ids) - ORDER + 1, 0)
+        self.wide = len(self.characters) > 1 << 16
+        if self.wide:
+            pairs = ids[:-1] << np.uint64(32) | ids[1:]
+            numbers, self.pairs = pd.factorize(pairs)
+            numbers = numbers.astype(np.uint64)
+            self.keys = numbers[:n] << np.uint64(32) | numbers[2 : n + 2]
+            return
+        self.keys = ids[:n].copy()
+        for k in range(1, ORDER):
+            self.keys <<= np.uint64(16)
+            self.keys |= ids[k : n + k]
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Code points of n-grams."""
+        if self.wide:
+            halves = [self.pairs[(keys >> np.uint64(32)).astype(np.int64)], self.pairs[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
+            numbers = [v for half in halves for v in (half >> np.uint64(32), half & np.uint64(0xFFFFFFFF))]
+            numbers = np.stack(numbers, axis=1)
+        else:
+            shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+            numbers = (keys[:, None] >> shifts) & np.uint64(0xFFFF)
+        return self.characters.astype(np.uint32)[numbers.astype(np.int64)]
+
+
+def _keys(codes: np.ndarray, starts: np.ndarray) -> tuple[_Alphabet, np.ndarray]:
+    """The keys of all windows, and which windows stay inside one text."""
+    alphabet = _Alphabet(codes)
     # windows that reach from one text into the next are left out
-    inside = np.ones(n, bool)
+    inside = np.ones(len(alphabet.keys), bool)
     for k in range(1, ORDER):
         inside[starts[1:] - k] = False
-    return alphabet.astype(np.uint32), keys, inside
-
-
-def _rows(alphabet: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
-    return alphabet[((distinct[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)]
+    return alphabet, inside
 
 
 def grams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams as rows of code points; for every predicted place its n-gram's number; and where each text begins among the places."""
-    alphabet, keys, inside = _keys(codes, starts)
-    numbers, distinct = pd.factorize(keys[inside])
-    return _rows(alphabet, distinct), numbers, starts - (ORDER - 1) * np.arange(len(starts))
+    alphabet, inside = _keys(codes, starts)
+    numbers, distinct = pd.factorize(alphabet.keys[inside])
+    return alphabet.rows(distinct), numbers, starts - (ORDER - 1) * np.arange(len(starts))
 
 
 def distinct_grams(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    alphabet, keys, inside = _keys(codes, starts)
-    return _rows(alphabet, pd.unique(keys[inside]))
+    alphabet, inside = _keys(codes, starts)
+    return alphabet.rows(pd.unique(alphabet.keys[inside]))
 
 
 def strings(rows: np.ndarray) -> list[str]:
