@@ -1,8 +1,10 @@
 """Quality rules: base rules, then robust outliers of text statistics per language and source.
 
-Location and scatter are minimum-covariance-determinant estimates: each C-step takes the rows of a
-group with the smallest distances and estimates anew from them. A step is one aggregation over
-(group, distance bin), so a group that holds a third of all rows is summed before any shuffle.
+Location and scatter are minimum-covariance-determinant estimates: from several starts, each C-step
+takes the rows of a group with the smallest distances and estimates anew from them. After a few steps
+the start with the smallest determinant of the scatter goes on, until no step makes a determinant
+smaller. A step is one aggregation over (group, start, distance bin) for all groups and starts, so a
+group that holds a third of all rows is summed before any shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS_TYPE = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
-ESTIMATE_TYPE = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("center", "inverse")])
+ESTIMATE_TYPE = T.StructType(
+    [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("center", "inverse")] + [T.StructField("logdet", T.DoubleType())]
+)
 
 GROUP = ("lang", "source")
 X = ("x0", "x1", "x2", "x3", "x4")
@@ -33,7 +37,10 @@ CONSISTENCY = 1.41
 PRIOR_ROWS = 50.0  # weight of the language's estimate in a group's
 CUTOFF = 30.86  # 99.999 % quantile of chi2 with 5 degrees
 BINS_PER_E = 64  # bins of the squared distance, per factor e
-MAX_STEPS = 12
+STARTS = 3  # medians and quartiles, and the moments of that many less one random halves
+FIRST_STEPS = 2  # steps of every start before the best goes on
+SMALLER = 1e-3  # least fall of a log determinant that counts; so steps end
+MAX_STEPS = 1000  # more means an error
 _MOMENTS = [(i, j) for i in range(5) for j in range(i, 5)]
 
 
@@ -98,16 +105,35 @@ def distance(x: list[Column], center: Column, inverse: Column) -> Column:
 
 
 def _starting(rows: DataFrame) -> DataFrame:
-    """Median and interquartile range of each statistic, rounded to 2 digits so that their counts stay few."""
+    """lang, source, start, center, inverse, logdet to begin with.
+
+    Start 0 is the median and interquartile range of each statistic, rounded to 2 digits so that their
+    counts stay few. The others are the moments of a random half of the rows, chosen by a hash.
+    """
     cuts = [F.percentile(F.round(c, 2), [0.25, 0.5, 0.75]).alias(c) for c in X]
     spread = [F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(f)) for c, f in zip(X, FLOORS)]
     inverse = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(5) for j in range(5)]
-    return rows.groupBy(*GROUP).agg(*cuts).select(*GROUP, F.array(*[F.col(c)[1] for c in X]).alias("center"), F.array(*inverse).alias("inverse"))
+    first = rows.groupBy(*GROUP).agg(*cuts).select(
+        *GROUP, F.lit(0).alias("start"), F.array(*[F.col(c)[1] for c in X]).alias("center"), F.array(*inverse).alias("inverse"),
+        F.lit(float("inf")).alias("logdet"),
+    )
+    halves = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(1, STARTS)])))
+    halves = halves.where(F.pmod(F.xxhash64("start", *X), F.lit(2)) == 0)
+    return first.unionByName(_estimated(halves.groupBy(*GROUP, "start").agg(*_sums())))
+
+
+def _sums() -> list[Column]:
+    """n, sums and sums of products, as s0, s1, ..."""
+    sums = [F.count(F.lit(1)).cast("double")] + [F.sum(c) for c in X] + [F.sum(F.col(X[i]) * F.col(X[j])) for i, j in _MOMENTS]
+    return [s.alias(f"s{k}") for k, s in enumerate(sums)]
+
+
+_SUMS = [f"s{k}" for k in range(1 + len(X) + len(_MOMENTS))]
 
 
 @F.arrow_udf(ESTIMATE_TYPE)
 def _estimate(own: pa.Array, language: pa.Array) -> pa.Array:
-    """Center and inverse scatter from [n, sums, sums of products] of a group and of its language."""
+    """Center, inverse scatter and log determinant of the scatter from [n, sums, sums of products] of a group and of its language."""
 
     def moments(sums: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
         n, mean, cov = sums[0], np.array(sums[1:6]) / sums[0], np.zeros((5, 5))
@@ -115,50 +141,64 @@ def _estimate(own: pa.Array, language: pa.Array) -> pa.Array:
             cov[i, j] = cov[j, i] = s / n - mean[i] * mean[j]
         return n, mean, cov
 
-    centers, inverses = [], []
+    centers, inverses, sizes = [], [], []
     for a, b in zip(own.to_pylist(), language.to_pylist()):
         (n, mean, cov), (_, wide_mean, wide_cov) = moments(a), moments(b)
         share = n / (n + PRIOR_ROWS)
         scatter = CONSISTENCY * (share * cov + (1 - share) * wide_cov) + np.diag(np.square(FLOORS))
         centers.append([float(f"{v:.10g}") for v in share * mean + (1 - share) * wide_mean])
         inverses.append([float(f"{v:.10g}") for v in np.linalg.inv(scatter).ravel()])
+        sizes.append(float(f"{np.linalg.slogdet(scatter)[1]:.10g}"))
     kind = pa.list_(pa.float64())
-    return pa.StructArray.from_arrays([pa.array(centers, kind), pa.array(inverses, kind)], names=["center", "inverse"])
+    arrays = [pa.array(centers, kind), pa.array(inverses, kind), pa.array(sizes, pa.float64())]
+    return pa.StructArray.from_arrays(arrays, names=["center", "inverse", "logdet"])
+
+
+def _estimated(sums: DataFrame) -> DataFrame:
+    """Estimates of every (group, start) from its sums."""
+    language = Window.partitionBy("lang", "start")
+    both = sums.select(*GROUP, "start", F.array(*_SUMS).alias("own"), F.array(*[F.sum(c).over(language) for c in _SUMS]).alias("language"))
+    return both.select(*GROUP, "start", _estimate("own", "language").alias("e")).select(*GROUP, "start", "e.*")
+
+
+def c_step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates from the SHARE of each group's rows that are nearest under `estimates`, for every start."""
+    names = {c: f"_{c}" for c in (*GROUP, "start", "center", "inverse")}
+    group = Window.partitionBy(*GROUP, "start")
+    near = _with_estimates(rows, estimates, names).withColumnRenamed("_start", "start")
+    d = distance([F.col(c) for c in X], F.col("_center"), F.col("_inverse"))
+    binned = near.withColumn("bin", F.floor(F.log(F.greatest(d, F.lit(0.0)) + 1e-3) * BINS_PER_E))
+    bins = binned.groupBy(*GROUP, "start", "bin").agg(*_sums())
+    before = F.coalesce(F.sum("s0").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bins = bins.withColumn("before", before).withColumn("total", F.sum("s0").over(group))
+    core = bins.where(F.col("before") < SHARE * F.col("total")).groupBy(*GROUP, "start")
+    return materialize(_estimated(core.agg(*[F.sum(c).alias(c) for c in _SUMS])), "mcd")
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """lang, source, center, inverse from `rows`(lang, source, x0 to x4): the estimates of every group.
+    """lang, source, center, inverse, logdet from `rows`(lang, source, x0 to x4): the estimates of every group.
 
-    C-steps run until no center moves by a thousandth of its floor. Groups lean on their language
-    with the weight of PRIOR_ROWS rows, so a group of one row has estimates too. Null lang or source
-    is a group like others.
+    Groups lean on their language with the weight of PRIOR_ROWS rows, so a group of one row has estimates
+    too. A group takes a step's result only if its determinant falls, so the steps come to an end; they
+    go on until no group moves. Null lang or source is a group like others.
     """
     estimates = materialize(_starting(rows), "mcd")
-    names = {c: f"_{c}" for c in (*GROUP, "center", "inverse")}
-    group = Window.partitionBy(*GROUP)
+    for _ in range(FIRST_STEPS):
+        estimates = c_step(rows, estimates)
+    best = F.min(F.struct("logdet", "start", "center", "inverse")).alias("b")
+    estimates = materialize(
+        estimates.groupBy(*GROUP).agg(best).select(*GROUP, F.lit(0).alias("start"), "b.center", "b.inverse", "b.logdet"), "mcd"
+    )
+    names = {c: f"_{c}" for c in (*GROUP, "center", "inverse", "logdet")}
     for _ in range(MAX_STEPS):
-        near = _with_estimates(rows, estimates, names)
-        d = distance([F.col(c) for c in X], F.col("_center"), F.col("_inverse"))
-        binned = near.withColumn("bin", F.floor(F.log(F.greatest(d, F.lit(0.0)) + 1e-3) * BINS_PER_E))
-        sums = [F.count(F.lit(1)).cast("double")] + [F.sum(c) for c in X] + [F.sum(F.col(X[i]) * F.col(X[j])) for i, j in _MOMENTS]
-        bins = binned.groupBy(*GROUP, "bin").agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)])
-        before = F.coalesce(F.sum("s0").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        bins = bins.withColumn("before", before).withColumn("total", F.sum("s0").over(group))
-        core = bins.where(F.col("before") < SHARE * F.col("total")).groupBy(*GROUP)
-        own = core.agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(sums))])
-        language = Window.partitionBy("lang")
-        both = own.select(
-            *GROUP, F.array(*[f"s{k}" for k in range(len(sums))]).alias("own"),
-            F.array(*[F.sum(f"s{k}").over(language) for k in range(len(sums))]).alias("language"),
-        )
-        new = materialize(both.select(*GROUP, _estimate("own", "language").alias("e")).select(*GROUP, "e.center", "e.inverse"), "mcd")
-        moved = _with_estimates(new, estimates, names)
-        most = F.greatest(*[F.abs(F.col("center")[i] - F.col("_center")[i]) / f for i, f in enumerate(FLOORS)])
-        far = moved.agg(F.max(most)).head()[0]
-        estimates = new
-        if far is None or far < 1e-3:
-            break
-    return estimates
+        both = _with_estimates(c_step(rows, estimates), estimates, names)
+        falls = F.col("logdet") < F.col("_logdet") - SMALLER
+        taken = [F.when(falls, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("center", "inverse", "logdet")]
+        estimates = materialize(both.select(*GROUP, "start", *taken, falls.alias("moved")), "mcd")
+        if estimates.where("moved").isEmpty():
+            return estimates.drop("start", "moved")
+        estimates = estimates.drop("moved")
+    raise RuntimeError(f"estimates did not settle in {MAX_STEPS} steps")
 
 
 def judge_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
