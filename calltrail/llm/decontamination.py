@@ -4,11 +4,14 @@ A mask selects some positions of a token window and ignores the others. Hashes o
 of benchmark items and documents are joined, so a hit survives substitutions at ignored positions;
 with two masks a substitution seldom breaks both. Around every hit the document is laid against the
 item without gaps, and the best stretch of the overlap, in which a different token costs as much as an
-equal one gains, must be long enough.
+equal one gains, must be long enough. Items shorter than the masks are hashed whole and must stand in the
+document token by token.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +19,16 @@ from calltrail.llm.ranks import fresh, small
 from calltrail.session import materialize
 
 MASKS = ("110110101", "101110011")  # 1: the token counts, 0: it may differ
-MIN_SCORE = 8  # equal less different tokens of the best stretch
+MIN_SCORE = 8  # equal less different tokens of the best stretch; all tokens of a shorter item
+SHORTEST = 4  # tokens of an item that is looked for; a shorter one ("yes") stands in clean texts too
+#: Characters of scripts that put no blanks between words; each is a token.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits in lower case, as 64-bit hashes; empty for null."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits in lower case, and characters of scripts without blanks, as 64-bit hashes; empty for null."""
+    spaced = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, _UNSPACED, " $1 ")).otherwise(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -34,22 +41,26 @@ def seeds(hashes: str, mask: str, number: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(number), *[F.get(array, i - 1 + k) for k in chosen]))
 
 
-def _exploded(rows: DataFrame, ident: str, at: str) -> DataFrame:
-    """(ident, seed, at) of all masks."""
-    sides = [rows.select(ident, F.posexplode(seeds("hashes", m, k)).alias(at, "seed")) for k, m in enumerate(MASKS)]
-    first, *others = sides
-    for o in others:
-        first = first.unionByName(o)
-    return first
+def _masks(short: list[int]) -> list[tuple[int, str]]:
+    """(number, mask) of the spaced masks, and of a full one for each length of short items."""
+    return list(enumerate(MASKS)) + [(len(MASKS) + n, "1" * n) for n in short]
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id, shift): document position less item position of a common seed."""
     test = items.where("item_id is not null").select("item_id", tokens(F.col("text")).alias("hashes"))
-    probes = materialize(_exploded(test, "item_id", "item_at").distinct(), "benchmark-seeds")
-    # both masks are taken from one pass over the documents
+    test = materialize(test, "benchmark-tokens")
+    span, size = len(MASKS[0]), F.size("hashes")
+    sizes = test.select(size.alias("n")).where(F.col("n").between(SHORTEST, span - 1)).distinct().collect()  # fewer than `span`
+    short = sorted(r["n"] for r in sizes)
+    sides = [
+        test.where(size >= span if number < len(MASKS) else size == len(mask)).select("item_id", F.posexplode(seeds("hashes", mask, number)).alias("item_at", "seed"))
+        for number, mask in _masks(short)
+    ]
+    probes = materialize(reduce(DataFrame.unionByName, sides).distinct(), "benchmark-seeds")
+    # all masks are taken from one pass over the documents
     train = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("hashes"))
-    both = F.array(*[seeds("hashes", m, k) for k, m in enumerate(MASKS)])
+    both = F.array(*[seeds("hashes", mask, number) for number, mask in _masks(short)])
     spread = train.select("doc_id", F.explode(both).alias("row")).select("doc_id", F.posexplode("row").alias("at", "seed"))
     met = spread.join(small(probes), "seed")
     return met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
@@ -72,7 +83,8 @@ def best_stretch(doc: str, item: str, shift: str) -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score of the pairs with a verified overlap.
 
-    An item shorter than `min_score` tokens cannot be found. Rows that share a doc_id or item_id are
+    An item shorter than the masks is found where all its tokens follow each other, and not looked for if
+    it has fewer than SHORTEST. Rows that share a doc_id or item_id are
     compared one by one and reported under the id; rows with a null id are left out.
     """
     found = materialize(hits(docs, items), "seed-hits")
@@ -81,8 +93,9 @@ def overlaps(docs: DataFrame, items: DataFrame, min_score: int = MIN_SCORE) -> D
     test = items.join(small(found.select("item_id").distinct()), "item_id", "left_semi")
     test = test.select("item_id", tokens(F.col("text")).alias("item_hashes"))
     pairs = found.join(train, "doc_id").join(test, "item_id")
-    scored = pairs.select("doc_id", "item_id", best_stretch("doc_hashes", "item_hashes", "shift").alias("score"))
-    return scored.where(F.col("score") >= min_score).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    needed = F.when(F.size("item_hashes") < len(MASKS[0]), F.least(F.lit(min_score), F.size("item_hashes"))).otherwise(min_score)
+    scored = pairs.select("doc_id", "item_id", best_stretch("doc_hashes", "item_hashes", "shift").alias("score"), needed.alias("needed"))
+    return scored.where(F.col("score") >= F.col("needed")).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def judge_documents(docs: DataFrame, items: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
