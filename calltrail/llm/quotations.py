@@ -1,8 +1,10 @@
 """Reply order of conversations from quotations, with DataFrame operations only.
 
-Lines that start with `>` are quotations, one level per mark. Hashes of normalised quoted passages,
-and of their longer lines, are joined to the message of the conversation that wrote them first. That
-message is the parent; threads, depths and the reply order follow by pointer doubling.
+Lines that start with `>` are quotations, one level per mark. Hashes of normalised quoted passages, of
+their lines and of their sentences are joined to the message of the conversation that wrote them first.
+The longest unit of the outermost level tells the parent, so short ones count where nothing longer is
+found. Only conversations in which somebody quotes are hashed at all. Threads, depths and the reply
+order follow by pointer doubling.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from calltrail.llm.ranks import with_rank
 from calltrail.session import materialize
 
 MARK = r"^(?:[ \t]*>)+"
-LINE_WORDS = 3  # shorter lines say too little to link by on their own
+SENTENCE_END = r"([.!?。！？]+[\"')\]”’»]*) *"  # a line end is put after it
 MAX_ROUNDS = 60  # the depth doubles each round; more means an error
 
 
@@ -23,14 +25,15 @@ def _normal(text: Column) -> Column:
 
 
 def _units(rows: DataFrame, whole: str, lines: str, *keep: str) -> DataFrame:
-    """`keep`, kind, digest: the whole passage (kind 1) and each line of enough words (kind 0)."""
-    long_lines = F.filter(F.transform(lines, _normal), lambda s: F.size(F.split(s, " ")) >= LINE_WORDS)
+    """`keep`, kind, size, digest: the whole passage (kind 1), and each of its lines and sentences (kind 0); size in characters."""
+    passage = _normal(F.col(whole))
+    sentences = F.transform(F.split(F.regexp_replace(passage, SENTENCE_END, "$1\n"), "\n"), lambda s: F.trim(s))
     parts = F.concat(
-        F.array(F.struct(F.lit(1).alias("kind"), _normal(F.col(whole)).alias("unit"))),
-        F.transform(long_lines, lambda s: F.struct(F.lit(0).alias("kind"), s.alias("unit"))),
+        F.array(F.struct(F.lit(1).alias("kind"), passage.alias("unit"))),
+        F.transform(F.array_union(F.transform(lines, _normal), sentences), lambda s: F.struct(F.lit(0).alias("kind"), s.alias("unit"))),
     )
     spread = rows.select(*keep, F.explode(parts).alias("part")).where("part.unit <> ''")
-    return spread.select(*keep, "part.kind", F.md5("part.unit").alias("digest")).distinct()
+    return spread.select(*keep, "part.kind", F.length("part.unit").alias("size"), F.md5("part.unit").alias("digest")).distinct()
 
 
 def own_text(text: Column) -> Column:
@@ -57,15 +60,17 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
 def parents(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent: the earlier message that a message quotes.
 
-    The outermost level decides, then whole passages before lines, then the latest original. The
-    original of a unit is the first message of the conversation whose own text has it.
+    The outermost level decides, then whole passages before lines and sentences, then the longest unit, then
+    the latest original. The original of a unit is the first message of the conversation whose own text has it.
     """
-    own = messages.select("conv_id", "turn", own_text(F.col("text")).alias("own")).where("own is not null")
+    quoting = quoted_passages(messages)
+    talked = messages.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    own = talked.select("conv_id", "turn", own_text(F.col("text")).alias("own")).where("own is not null")
     own = own.withColumn("lines", F.split("own", "\n"))
     first = _units(own, "own", "lines", "conv_id", "turn").groupBy("conv_id", "digest").agg(F.min("turn").alias("original"))
-    quotes = _units(quoted_passages(messages), "passage", "lines", "conv_id", "turn", "level")
+    quotes = _units(quoting, "passage", "lines", "conv_id", "turn", "level")
     linked = quotes.join(first, ["conv_id", "digest"]).where("original < turn")
-    best = F.max(F.struct((-F.col("level")).alias("near"), "kind", "original")).alias("best")
+    best = F.max(F.struct((-F.col("level")).alias("near"), "kind", "size", "original")).alias("best")
     return linked.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", F.col("best.original").alias("parent"))
 
 
@@ -97,9 +102,8 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     Rows with the same conv_id and turn are one message for links and a row each. An empty table gives
     no rows. Other columns are not read.
 
-    Not found are quotations of a part of a message that has no line of LINE_WORDS words between blanks
-    (short lines, scripts without blanks), and of a part that was wrapped anew: such a reply
-    has no reply_to and starts a thread.
+    A quotation that was wrapped anew links by its sentences. Only one that holds neither a line nor a
+    sentence of the original as a whole (a few words out of a sentence) has no reply_to and starts a thread.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     whole = rows.where("conv_id is not null and turn is not null")
@@ -123,18 +127,22 @@ runs AS (
   FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn, text ORDER BY pos) THEN 0 ELSE 1 END AS fresh_run FROM marked)),
 passages AS (
   SELECT conv_id, turn, text, level, run, string_agg(body, chr(10) ORDER BY pos) AS passage FROM runs WHERE level > 0 GROUP BY ALL),
+whole AS (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY pos) AS unit FROM marked WHERE level = 0 GROUP BY conv_id, turn, text),
 units AS (
   SELECT conv_id, turn, level, 1 AS kind, passage AS unit FROM passages
+  UNION ALL SELECT conv_id, turn, 0, 1, unit FROM whole
   UNION ALL SELECT conv_id, turn, level, 0, body FROM marked),
-whole AS (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY pos) AS unit FROM marked WHERE level = 0 GROUP BY conv_id, turn, text),
 normal AS (
-  SELECT conv_id, turn, level, kind, lower(trim(regexp_replace(unit, '[ \t\r\n]+', ' ', 'g'))) AS unit
-  FROM (SELECT * FROM units UNION ALL SELECT conv_id, turn, 0, 1, unit FROM whole)),
-useful AS (SELECT * FROM normal WHERE unit <> '' AND (kind = 1 OR len(string_split(unit, ' ')) >= 3)),
+  SELECT conv_id, turn, level, kind, lower(trim(regexp_replace(unit, '[ \t\r\n]+', ' ', 'g'))) AS unit FROM units),
+sentences AS (
+  SELECT conv_id, turn, level, 0 AS kind,
+         trim(unnest(string_split(regexp_replace(unit, '([.!?。！？]+["'')\]”’»]*) *', '\1' || chr(10), 'g'), chr(10)))) AS unit
+  FROM normal WHERE kind = 1),
+useful AS (SELECT * FROM normal WHERE unit <> '' UNION ALL SELECT * FROM sentences WHERE unit <> ''),
 firsts AS (SELECT conv_id, unit, min(turn) AS original FROM useful WHERE level = 0 GROUP BY ALL),
 linked AS (
   SELECT u.conv_id, u.turn, original,
-         row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY level, kind DESC, original DESC) AS pick
+         row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY level, kind DESC, length(u.unit) DESC, original DESC) AS pick
   FROM useful u JOIN firsts f ON f.conv_id = u.conv_id AND f.unit = u.unit WHERE level > 0 AND original < u.turn),
 links AS (SELECT conv_id, turn, original AS parent FROM linked WHERE pick = 1),
 walk AS (
