@@ -146,6 +146,18 @@ def test_overlaps_equal_brute_force(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "one two three four five six seven eight"), (2, "alpha beta gamma delta"), (3, "yes no"), (4, "今天天气很好我们去公园散步吧")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [
+        (1, f"{prose(1, 30)} One two, three four five six seven eight {prose(2, 30)}"), (2, "one two three four x six seven eight"),
+        (3, "say alpha beta gamma delta twice: alpha beta gamma delta"), (4, "alpha beta gamma x delta"), (5, "yes no yes no yes no"),
+        (6, "他说今天天气很好我们去公园走走吧。"), (7, "今天我们不去公园"),
+    ]
+    got = {r.doc_id: (r.item_id, r.score) for r in decontamination.judge_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: (1, 8), 2: (None, None), 3: (2, 4), 4: (None, None), 5: (None, None), 6: (4, 11), 7: (None, None)}
+
+
 def test_odd_documents_are_clean(spark):
     df, bench = frame(spark, odd_documents()), spark.createDataFrame([(1, prose(123456, 40))], "item_id bigint, text string")
     assert decontamination.judge_documents(df, bench).where("contaminated").count() == 0
@@ -154,6 +166,18 @@ def test_odd_documents_are_clean(spark):
     assert decontamination.judge_documents(frame(spark, []), bench).count() == 0
 
 
+def test_grams_of_more_characters_than_sixteen_bits_hold():
+    wide = "".join(map(chr, [*range(0x4E00, 0xA000), *range(0x20000, 0x2C000)]))
+    assert len(set(wide)) > 1 << 16
+    for texts in ([wide, "abcd" + wide[:50], "", "ab"], ["abcabc", "bca"]):
+        codes, starts = perplexity.coded(texts)
+        rows, numbers, at = perplexity.grams(codes, starts)
+        want = [p[i : i + perplexity.ORDER] for t in texts for p in [perplexity.BEGIN * 3 + t + perplexity.END] for i in range(len(p) - 3)]
+        found = perplexity.strings(rows)
+        assert [found[n] for n in numbers] == want
+        assert sorted(perplexity.strings(perplexity.distinct_grams(codes, starts))) == sorted(set(want))
+
+
 def plain_model(texts, order=perplexity.ORDER):
     """Interpolated modified Kneser-Ney by dictionaries."""
     counts = {order: collections.Counter()}
@@ -250,6 +274,9 @@ MESSAGES = [
     (1, 0, "user", "Hello there my friends\nhow are you today ok"), (1, 1, "assistant", "I am fine"),
     (1, 2, "user", "> Hello there my friends\n> how are  you today ok\nme too"), (1, 3, "assistant", "> > Hello there my friends\n> me too\nindeed"),
     (1, 4, "user", ">> hello there MY friends\nline"), (1, 5, "user", None), (1, 6, "user", ""),
+    (5, 0, "u", "Sounds good\nLet us meet at noon. Bring the long list of\nthings we wrote. See you there!"), (5, 1, "a", "Something else"),
+    (5, 2, "u", "> Sounds good\nyes"), (5, 3, "a", "> Bring the long list\n> of things we wrote.\nok"), (5, 4, "u", "> ok\nreally"),
+    (6, 0, "u", "你好。我们中午见面。\n带上清单"), (6, 1, "a", "x"), (6, 2, "u", "> 我们中午见面。\n好"), (6, 3, "u", "> 带上清单\n好"),
     (1, 7, "a", "> I am fine\n> indeed\n\n>> nothing here at all\nyes"), (1, 7, "a", "> I am fine\n> indeed\n\n>> nothing here at all\nyes"),
     (None, 1, "user", "> I am fine"), (2, None, "user", "> x\ny"), (2, 3, "u", "> I am fine"), (1, 8, None, "> how are you today ok\nreally"),
 ] + [(3, i, "u", f"> line {i - 1} of this chain\nline {i} of this chain") for i in range(1, 40)] + [(4, 0, "u", "> " * 50 + "deep\n" * 2000)]
@@ -266,6 +293,8 @@ def test_reply_order(spark, tmp_path):
     assert problem is None and n == len(MESSAGES)
     got = {(r.conv_id, r.turn): r for r in quotations.reply_order(df).collect()}
     assert [got[1, t].reply_to for t in range(9)] == [None, None, 0, 2, 0, None, None, 1, 0]
+    assert [got[5, t].reply_to for t in range(5)] == [None, None, 0, 0, 3]  # one short line, a part wrapped anew, one word
+    assert [got[6, t].reply_to for t in range(4)] == [None, None, 0, 0]
     assert (got[3, 39].depth, got[3, 39].thread) == (38, 1)
     assert not any("> " in (r.text or "") for r in got.values())
     assert quotations.reply_order(df.limit(0)).count() == 0

@@ -257,3 +257,34 @@ def test_url_verdicts_equal_plain_python(spark):
         want.append((page_id or -1, host, path, name, kind))
     assert got == sorted(want, key=str)
     assert urls.judge_urls(df.limit(0), RULES).count() == 0
+
+
+def test_a_phone_number_links_with_itself_in_any_notation(spark):
+    forms = ["+1 (743) 555-3824", "+1-743-555-3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+17435553824", "+1 743 555 3824"]
+    rows = spark.createDataFrame([(i, f"call {f} now") for i, f in enumerate(forms)], "doc_id bigint, text string")
+    got = [r.text[5:-4] for r in pii.pseudonymise(rows, "k").orderBy("doc_id").collect()]
+    digits = [re.sub(r"^\+1|[^0-9]", "", re.sub(r"^\+1", "", g)) for g in got]
+    assert len(set(digits)) == 1 and digits[0] != "7435553824" and len(digits[0]) == 10
+    assert all(re.sub("[0-9]", "0", g) == re.sub("[0-9]", "0", f) and g.startswith("+1") == f.startswith("+1") for f, g in zip(forms, got))
+    abroad = spark.createDataFrame([(0, "+44 20 7946 0958"), (1, "+442079460958"), (2, "+355 42 123 456")], "doc_id bigint, text string")
+    one, two, three = [r.text for r in pii.pseudonymise(abroad, "k").orderBy("doc_id").collect()]
+    assert one.replace(" ", "") == two and two.startswith("+44") and three.startswith("+355 ")
+
+
+def test_words_of_any_length_are_found_in_hosts(spark):
+    long = "abcdefghijklmnopqrstuvwxyzabcdefghij"
+    counts = spark.createDataFrame([(long, 50), ("shop", 9), ("my", 9)], "word string, n bigint")
+    pieces = spark.createDataFrame([(f"my{long}shop",), ("",)], "piece string").where("piece <> ''")
+    assert [r.words for r in urls.segment(pieces, counts).collect()] == [["my", long, "shop"]]
+    assert ["".join(r.words) for r in urls.segment(pieces, counts.limit(0)).collect()] == [f"my{long}shop"]
+
+
+def test_the_start_of_smallest_determinant_wins(spark):
+    """A third of the rows form a far, tight cluster; the estimates rest on the others, and no step makes them tighter."""
+    draw = np.random.default_rng(8)
+    main, far = draw.normal(size=(400, 5)), draw.normal(size=(120, 5)) * 0.05 + 12
+    rows = spark.createDataFrame([("en", "a", *map(float, v)) for v in np.concatenate([main, far])], "lang string, source string, " + ", ".join(f"{c} double" for c in quality.X))
+    got = quality.fit(rows).head()
+    assert np.abs(np.array(got["center"])).max() < 0.5
+    estimate = quality.fit(rows).withColumn("start", F.lit(0))
+    assert quality.c_step(rows, estimate).head()["logdet"] >= got["logdet"] - quality.SMALLER
