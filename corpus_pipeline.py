@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from calltrail.llm import decontamination, jaccard, packing, pii, quality
-from calltrail.llm.queries import PSEUDONYM_KEY, table, tokenizer_path
+from calltrail.llm.queries import pseudonym_key, table, tokenizer_path
 from calltrail.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,8 +33,8 @@ def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal values."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY)
+    """All documents, with pseudonyms for personal values under the session's secret key."""
+    return pii.pseudonymise(docs, pseudonym_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
