@@ -1,9 +1,10 @@
-"""Arrow functions between JSON text and Python literal text.
+"""JSON text and Python literal text.
 
 Answers and tool pools are written as Python literals, and API responses often arrive as
-such. Quoting follows Python's own rules, so these three run in Python, one Arrow batch at
-a time. All of them pass nulls through untouched: callers null the rows that do not need
-them.
+such. Texts whose quoting is the same in both (printable ASCII without quotes and backslashes, numbers
+that Python writes as they stand) are rewritten by column expressions. Only the others, and texts that
+may be no JSON, are quoted by Python itself, one Arrow batch at a time: they alone are handed over, the
+rest are nulls there, which pass untouched.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,6 +40,57 @@ def literal_text(json_text: str | None) -> str | None:
         return repr(json_text)
 
 
+_STRING = r"[ !#-&(-\[\]-~]*"  # printable ASCII without " ' and backslash
+_NUMBER = r"(?:-?[1-9][0-9]{0,14}|0|-?(?!0\.0000)(?:0|[1-9][0-9]{0,6})\.(?:0|[0-9]{0,6}[1-9]))(?![0-9.eE+-])"
+_TOKENS = rf'^(?:"{_STRING}"|{_NUMBER}|true|false|null|[\[\]{{}},: \t\r\n])*$'
+LONGEST = 4096  # texts beyond go to Python, as the pattern's stack grows with the text
+
+
+def is_plain(text: Column) -> Column:
+    """Whether `text` is one JSON value that literal() can rewrite; false for null."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # a second value after the first would be read over
+    single = F.try_variant_get(inside, "$[0]", "variant").isNotNull() & F.try_variant_get(inside, "$[1]", "variant").isNull()
+    return F.coalesce(F.when((F.length(text) <= LONGEST) & text.rlike(_TOKENS), single), F.lit(False))
+
+
+def _outside(part: Column) -> Column:
+    """What stands between two strings, in Python's spelling."""
+    for word, said in (("true", "True"), ("false", "False"), ("null", "None"), (",", ", "), (":", ": ")):
+        part = F.replace(part, F.lit(word), F.lit(said))
+    return part
+
+
+def _parts(text: Column) -> Column:
+    """The text cut at its quotes: what is outside a string, without blanks, and what is inside, in turn."""
+    return F.transform(F.split(text, '"', -1), lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\s+", "")).otherwise(p))
+
+
+def literal(text: Column) -> Column:
+    """Plain JSON text as a Python literal."""
+    return F.array_join(F.transform(_parts(text), lambda p, i: F.when(i % 2 == 0, _outside(p)).otherwise(p)), "'")
+
+
+def arguments(text: Column) -> Column:
+    """A plain JSON object as the arguments of a call: its own keys bare and joined by =, all inside as in literal()."""
+    parts = _parts(text)
+    spots = F.arrays_zip(parts.alias("p"), F.slice(parts, F.lit(2), F.size(parts)).alias("next"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opened = F.length(F.translate(x["p"], "]}:,", "")) - F.length(F.translate(x["p"], "]}:,[{", ""))
+        closed = F.length(F.translate(x["p"], "[{:,", "")) - F.length(F.translate(x["p"], "[{:,]}", ""))
+        key = acc["inside"] & (acc["depth"] == 1) & F.coalesce(F.startswith(x["next"], F.lit(":")), F.lit(False))
+        quoted = F.concat(F.lit("'"), x["p"], F.lit("'"))
+        bare = F.concat(F.lit("="), _outside(F.substring(x["p"], F.lit(2), F.length(x["p"]))))
+        said = F.when(acc["inside"], F.when(key, x["p"]).otherwise(quoted)).otherwise(F.when(acc["after_key"], bare).otherwise(_outside(x["p"])))
+        return F.struct(
+            F.concat(acc["text"], said).alias("text"), (acc["depth"] + F.when(acc["inside"], 0).otherwise(opened - closed)).alias("depth"),
+            (~acc["inside"]).alias("inside"), key.alias("after_key"),
+        )
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(False).alias("after_key"))
+    return F.aggregate(spots, start, step, lambda acc: F.substring(acc["text"], F.lit(2), F.length(acc["text"]) - 2))
+
+
 def _plain(value):
     """A value that strict JSON can hold; what it cannot is kept as text."""
     if value is None or isinstance(value, (bool, str, int)):
@@ -51,8 +104,17 @@ def _plain(value):
     return str(value)
 
 
-def json_text(text: str | None) -> str | None:
-    """JSON for a text that is lenient JSON or a Python list or dict, else null."""
+def _unwrapped(value):
+    """Step pairs [action, result] of a workflow document with a result that is a tuple of one taken out of it."""
+    if isinstance(value, dict):
+        return {k: _unwrapped(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)) and len(value) == 2 and isinstance(value[1], tuple) and len(value[1]) == 1:
+        return [_unwrapped(value[0]), value[1][0]]
+    return [_unwrapped(v) for v in value] if isinstance(value, list) else value
+
+
+def json_text(text: str | None, steps: bool = False) -> str | None:
+    """JSON for a text that is lenient JSON or a Python list or dict, else null. `steps`: a workflow document."""
     if text is None:
         return None
     try:
@@ -64,7 +126,7 @@ def json_text(text: str | None) -> str | None:
             value = ast.literal_eval(text)
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
             return None
-    return json.dumps(_plain(value)) if isinstance(value, (dict, list)) else None
+    return json.dumps(_plain(_unwrapped(value) if steps else value)) if isinstance(value, (dict, list)) else None
 
 
 def _on_values(fn, *columns: pd.Series) -> pd.Series:
@@ -73,12 +135,12 @@ def _on_values(fn, *columns: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def to_call_text(tool: pd.Series, tool_input: pd.Series) -> pd.Series:
+def _call_text(tool: pd.Series, tool_input: pd.Series) -> pd.Series:
     return _on_values(call_text, tool, tool_input)
 
 
 @F.pandas_udf(StringType())
-def to_literal_text(text: pd.Series) -> pd.Series:
+def _literal_text(text: pd.Series) -> pd.Series:
     return _on_values(literal_text, text)
 
 
@@ -87,6 +149,12 @@ def to_json_text(text: pd.Series) -> pd.Series:
     return _on_values(json_text, text)
 
 
+@F.pandas_udf(StringType())
+def to_document_text(text: pd.Series) -> pd.Series:
+    """to_json_text for workflow documents: a step result that is a tuple of one counts as what is in it."""
+    return _on_values(lambda t: json_text(t, steps=True), text)
+
+
 def record_text(tool: str, tool_input: str | None) -> str:
     """A call as a Python dict literal of function and parameters."""
     try:
@@ -97,5 +165,34 @@ def record_text(tool: str, tool_input: str | None) -> str:
 
 
 @F.pandas_udf(StringType())
-def to_record_text(tool: pd.Series, tool_input: pd.Series) -> pd.Series:
+def _record_text(tool: pd.Series, tool_input: pd.Series) -> pd.Series:
     return _on_values(record_text, tool, tool_input)
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def to_call_text(tool: Column | str, tool_input: Column | str) -> Column:
+    """name(arg=value, ...); anything but a JSON object as input gives name()."""
+    tool, tool_input = _column(tool), _column(tool_input)
+    ready = is_plain(tool_input)
+    inner = F.when(F.ltrim(F.regexp_replace(tool_input, r"^\s+", "")).startswith("{"), arguments(tool_input)).otherwise("")
+    by_python = _call_text(F.when(~ready, tool), F.when(~ready, tool_input))
+    return F.when(ready, F.concat(tool, F.lit("("), inner, F.lit(")"))).otherwise(by_python)
+
+
+def to_literal_text(text: Column | str) -> Column:
+    """JSON text as Python literal text; text that is not JSON as a Python string."""
+    text = _column(text)
+    ready = is_plain(text)
+    return F.when(ready, literal(text)).otherwise(_literal_text(F.when(~ready, text)))
+
+
+def to_record_text(tool: Column | str, tool_input: Column | str) -> Column:
+    """A call as a Python dict literal of function and parameters."""
+    tool, tool_input = _column(tool), _column(tool_input)
+    ready = is_plain(tool_input) & tool.rlike(f"^{_STRING}$")
+    made = F.concat(F.lit("{'function': '"), tool, F.lit("', 'parameters': "), literal(tool_input), F.lit("}"))
+    ready = F.coalesce(ready, F.lit(False))
+    return F.when(ready, made).otherwise(_record_text(F.when(~ready, tool), F.when(~ready, tool_input)))

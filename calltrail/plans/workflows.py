@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calltrail.functions.pyliteral import to_literal_text
 from calltrail.operators.ordering import SLICE, collect_parts, running_count, slices
 from calltrail.plans.catalog import hash_to_name
 from calltrail.session import materialize
@@ -20,7 +21,8 @@ def flatten_steps(workflows: DataFrame) -> DataFrame:
     """One row per step, chains and steps in document order.
 
     workflows(workflow_id, api_use_chains MAP<STRING, STRUCT<chain_id, intermediate_steps>>).
-    `tool_input` is JSON text, `result_kind` tells objects, texts and other results apart.
+    `tool_input` is JSON text. A result is an object or a text (`result_kind`); a list stands there as Python
+    writes it.
     """
     chains = workflows.select(
         "workflow_id", F.posexplode("api_use_chains").alias("chain_pos", "chain_key", "_chain")
@@ -33,12 +35,16 @@ def flatten_steps(workflows: DataFrame) -> DataFrame:
     parsed = steps.withColumn("_a", F.from_json(F.try_element_at("_step", F.lit(1)), ACTION)).withColumn(
         "_v", F.try_parse_json(result)
     )
-    is_object = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0) == "OBJECT"
-    return parsed.withColumn("_r", F.when(is_object, F.from_json(result, RESULT))).select(
+    kind = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
+    parsed = parsed.withColumn("_kind", kind)
+    is_object = F.col("_kind") == "OBJECT"
+    as_list = to_literal_text(F.when(F.col("_kind") == "ARRAY", result))
+    told = parsed.withColumn("_r", F.when(is_object, F.from_json(result, RESULT))).withColumn("_list", as_list)
+    return told.select(
         "workflow_id", "chain_pos", "chain_key", "chain_name", "step_pos",
         "_a.tool", "_a.tool_input", "_a.log", "_a.tool_call_id",
         F.when(is_object, F.lit("object")).otherwise(F.lit("text")).alias("result_kind"),
-        "_r.error", "_r.response", result.alias("result"),
+        "_r.error", "_r.response", F.coalesce("_list", result).alias("result"),
         (F.size("_step") == 2).alias("well_formed"),
     )
 

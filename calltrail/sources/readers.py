@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltrail.functions.pyliteral import to_json_text
+from calltrail.functions.pyliteral import to_document_text
 from calltrail.functions.text import strip
 from calltrail.plans.catalog import PARAM
 
@@ -62,7 +62,7 @@ def parse_workflows(documents: DataFrame):
     fields are checked on the document itself.
     """
     read = documents.withColumn("_v", F.try_parse_json("text"))
-    read = read.withColumn("_alt", to_json_text(F.when(F.col("_v").isNull(), F.col("text"))))
+    read = read.withColumn("_alt", to_document_text(F.when(F.col("_v").isNull(), F.col("text"))))
     is_json = F.coalesce(F.col("_alt"), F.col("text"))
     read = read.withColumn("_text", is_json).withColumn("_v", F.coalesce("_v", F.try_parse_json("_alt")))
     doc = read.withColumn("_doc", F.from_json("_text", WORKFLOW))

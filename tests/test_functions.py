@@ -182,3 +182,41 @@ def test_messages_leave_out_an_empty_system(spark):
     rows = spark.createDataFrame([("", "u", "a"), ("s", "u", "a")], "s string, u string, a string")
     got = rows.select(prompts.messages(F.col("s"), F.col("u"), F.col("a")).alias("m")).collect()
     assert [[m.role for m in r.m] for r in got] == [["user", "assistant"], ["system", "user", "assistant"]]
+
+
+VALUES = [
+    '{"a": 1, "b": "x"}', '{}', ' { "a" : [ 1 , 2.5, true ] , "k": {"z": null, "a=b": "c: d, e"} } ', '[]', '[1, "two", false]', '"s"', "7", "null",
+    '{"a": "it\'s"}', '{"a": "q\\"q"}', '{"a": "ü"}', '{"a": 1.50}', '{"a": 1e5}', '{"a": -0}', '{"a": 0.00001}', '{"a": 0.0001}', '{"a": 12345678901234567890}',
+    '{"a": 1, "a": 2}', '{"a": 1}{"b": 2}', "1, 2", "1 2", "", "free text", None, '{"a": NaN}', '{"a": -1.5, "b": -3, "c": 0.0, "d": -0.5}',
+    '{"true": true, "null": "null, true: false"}', '{"a": {"b": {"c": [{"d": "e"}, [[]], {}]}}, "f": "g"}', '{"": "", "x": ""}', '{"a":\n1,\t"b":[{}]}',
+    '{"a": "' + "x" * 5000 + '"}', '{"a": "back\\\\slash"}', '{"a": "tab\\t"}', '{"a": 01}', "{'a': 1}", '{"a": [1,]}', '["a:b", {"c,d": [":", ","]}]', '{"a": 1.0e3}', '{"a": 1.}',
+]
+
+
+def test_python_text_by_expressions_equals_python(spark):
+    tools = ["t", "tool name", "it's", 'a"b', "ü", None, "back\\slash"]
+    rows = [(i, t, v) for i, (t, v) in enumerate((t, v) for t in tools for v in VALUES)]
+    df = spark.createDataFrame(rows, "i int, tool string, v string")
+    got = df.select(
+        "i", "tool", "v", pyliteral.to_call_text("tool", "v").alias("call"), pyliteral.to_record_text("tool", "v").alias("record"),
+        pyliteral.to_literal_text("v").alias("literal"), pyliteral.is_plain(F.col("v")).alias("plain"),
+    ).collect()
+    for r in got:
+        assert r.call == (None if r.tool is None else pyliteral.call_text(r.tool, r.v)), r
+        assert r.record == (None if r.tool is None else pyliteral.record_text(r.tool, r.v)), r
+        assert r.literal == pyliteral.literal_text(r.v), r
+    assert {r.v for r in got if r.plain} >= set(VALUES[:8])
+    assert not any(r.plain for r in got if r.v in VALUES[8:15] + VALUES[16:25])
+
+
+def test_results_that_are_lists_or_tuples(spark):
+    from calltrail.plans import workflows as wf
+    from calltrail.sources import readers
+
+    step = lambda result: f"[{{'tool': 't', 'tool_input': {{}}, 'log': '', 'tool_call_id': 'c'}}, {result}]"
+    results = ["('one',)", "['one', 2, None]", "('one', 2)", "'text'", "{'error': '', 'response': 'r'}"]
+    document = "{'query': 'q', 'api_use_chains': {'api_use_chain_1': {'chain_id': 'c', 'intermediate_steps': [" + ", ".join(map(step, results)) + "]}}, 'response': 'r'}"
+    good, bad = readers.parse_workflows(spark.createDataFrame([("w", document)], "id string, text string"))
+    assert bad.count() == 0
+    got = [(r.result_kind, r.result) for r in wf.flatten_steps(good).orderBy("step_pos").collect()]
+    assert got[:4] == [("text", "one"), ("text", "['one', 2, None]"), ("text", "('one', 2)"), ("text", "text")] and got[4][0] == "object"
