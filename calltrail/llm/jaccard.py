@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltrail.llm.components import components
-from calltrail.llm.ranks import each_text, fresh, small
+from calltrail.llm.ranks import each_text, fresh, freeing, small
 from calltrail.session import materialize
 
 WIDTH = 5
@@ -191,7 +191,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             yield from flush(held)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        run, "kind int, doc_id bigint, n bigint, key binary, class_id bigint, more binary"
+        freeing(run, _words), "kind int, doc_id bigint, n bigint, key binary, class_id bigint, more binary"
     )
 
 
@@ -224,7 +224,7 @@ def _order(rows: DataFrame) -> Order:
         yield from done()
 
     parts = rows.where("kind = 2").select("n", "key", "more").repartition("n").sortWithinPartitions("n")
-    slices = parts.mapInArrow(run, "shard bigint, bits binary").toPandas()  # one slice of fixed size per shard
+    slices = parts.mapInArrow(freeing(run), "shard bigint, bits binary").toPandas()  # one slice of fixed size per shard
     width = (1 << MAP_BITS) // 8 // SHARDS
     bitmap = np.zeros((1 << MAP_BITS) // 8, np.uint8)
     for shard, bits in zip(slices["shard"], slices["bits"]):
@@ -267,7 +267,7 @@ def _index(docs: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     made = docs.where("doc_id is not null").select("text").mapInArrow(
-        run, "token bigint, class_id bigint, n bigint, left bigint, rank double"
+        freeing(run, _words), "token bigint, class_id bigint, n bigint, left bigint, rank double"
     )
     return materialize(made, "index")
 
@@ -309,7 +309,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", bit)
-    made = rows.mapInArrow(run, "id bigint, class_id bigint, n bigint, tokens binary")
+    made = rows.mapInArrow(freeing(run, _words), "id bigint, class_id bigint, n bigint, tokens binary")
     # an id may stand with several texts; each of its sets is kept once
     return materialize(made.join(wanted, "id", "left_semi").dropDuplicates(["id", "class_id"]), "sets")
 
@@ -327,8 +327,8 @@ def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
         order = shared.value
         for batch in rows:
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, pair in enumerate(zip(batch.column(2), batch.column(3))):  # a pair's bytes at a time
+                s, t = (np.frombuffer(side.as_buffer(), np.uint64) for side in pair)
                 if all(_common(np.sort(order.prefix(s, o)), np.sort(order.prefix(t, o))) for o in range(1, len(ORDERS))):
                     common = _common(s, t)
                     if 100 * common >= PERCENT * (len(s) + len(t) - common):
@@ -338,7 +338,7 @@ def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
 
     side = {k: sets.select(F.col("id").alias(f"id_{k}"), F.col("class_id").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b").where("id_a <> id_b")
-    return both.select("id_a", "id_b", "tokens_a", "tokens_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("id_a", "id_b", "tokens_a", "tokens_b").mapInArrow(freeing(run), "a bigint, b bigint")
 
 
 def _common(s: np.ndarray, t: np.ndarray) -> int:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltrail.llm.ranks import each_text, fresh
+from calltrail.llm.ranks import each_text, fresh, release
 from calltrail.session import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -75,6 +75,7 @@ def repeat_words(words: list[bytes]) -> int:
 def statistics(text: pa.Array) -> pa.Array:
     rows = [text_statistics(t or "") for t in each_text(text)]
     columns = list(zip(*rows)) or [()] * len(COUNTS)
+    release()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +70,28 @@ def each_text(column: pa.Array) -> Iterator[str | None]:
     return (value.as_py() for value in column)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system. Workers live on between tasks and stages, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches: dict):
+    """`run`, and then the worker's `caches` emptied and its free memory given back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            release()
+
+    return wrapped
+
+
 BROADCAST_ROWS = 2_000_000  # narrow tables above this are joined by a shuffle instead
 
 
