@@ -69,7 +69,7 @@ def unknown_tools(pool: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def answers(steps: DataFrame, output_format: str, by: Column | None = None, **limits) -> DataFrame:
-    """Assistant text per workflow, in parts: workflow_id, part, assistant.
+    """Assistant text per workflow, in parts: workflow_id, part, n_parts, assistant.
 
     'python': every call of every chain as call text. 'json': the first chain only, as a
     Python list of dicts. The texts of the parts in order are the answer.
@@ -87,7 +87,7 @@ def answers(steps: DataFrame, output_format: str, by: Column | None = None, **li
     last = (F.col("part") + 1) * size >= F.col("n_total")
     joined = F.array_join(F.transform("items", lambda i: i["text"]), ", ")
     return parts.select(
-        "workflow_id", "part",
+        "workflow_id", "part", F.ceil(F.col("n_total") / size).alias("n_parts"),
         F.concat(
             F.when(F.col("part") == 0, "[").otherwise(", "), joined, F.when(last, "]").otherwise("")
         ).alias("assistant"),
@@ -97,7 +97,7 @@ def answers(steps: DataFrame, output_format: str, by: Column | None = None, **li
 def format_samples(workflows: DataFrame, steps: DataFrame, negatives: DataFrame, definitions: DataFrame,
                    num_tools: int = 10, output_format: str = "python", by: Column | None = None,
                    **limits) -> DataFrame:
-    """sample_id, part, system, user, assistant of workflows(workflow_id, query).
+    """sample_id, part, n_parts, system, user, assistant of workflows(workflow_id, query).
 
     Pass the workflows whose pool fits (see draws.rejected). A sample is one row; only an
     answer longer than a part goes on in further rows, whose system and user are empty.
@@ -114,7 +114,7 @@ def format_samples(workflows: DataFrame, steps: DataFrame, negatives: DataFrame,
     first = F.coalesce("part", F.lit(0)) == 0
     return prompted.join(answer, "workflow_id", "left").select(
         F.col("workflow_id").alias("sample_id"),
-        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
         F.when(first, F.col("system")).otherwise("").alias("system"),
         F.when(first, F.col("query")).otherwise("").alias("user"),
         F.coalesce("assistant", F.lit("[]")).alias("assistant"),
@@ -130,7 +130,7 @@ def negative_samples(workflows: DataFrame, negatives: DataFrame, definitions: Da
     )
     return workflows.join(pool_texts(pool, definitions), "workflow_id").select(
         F.concat(F.col("workflow_id").cast("string"), F.lit("_neg")).alias("sample_id"),
-        F.lit(0).cast("bigint").alias("part"),
+        F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("n_parts"),
         prompts.with_pool(output_format, F.col("pool_text")).alias("system"),
         F.col("query").alias("user"),
         F.lit("[]").alias("assistant"),
@@ -138,13 +138,33 @@ def negative_samples(workflows: DataFrame, negatives: DataFrame, definitions: Da
 
 
 def whole_samples(samples: DataFrame) -> DataFrame:
-    """sample_id, system, user, assistant: the parts of each sample joined in order, one row a sample."""
+    """sample_id, system, user, assistant: one row a sample, for samples that a row can hold.
+
+    Samples of one part pass as they are; only the parts of longer ones are shuffled and joined in order.
+    sample_pieces is the form for samples of any length.
+    """
+    columns = ["sample_id", "system", "user", "assistant"]
     first = F.col("part") == 0
-    piece = F.struct("part", "assistant")
-    return samples.groupBy("sample_id").agg(
+    longer = samples.filter(F.col("n_parts") > 1).groupBy("sample_id").agg(
         F.max(F.when(first, F.col("system"))).alias("system"), F.max(F.when(first, F.col("user"))).alias("user"),
-        F.sort_array(F.collect_list(piece)).alias("_pieces"),
+        F.sort_array(F.collect_list(F.struct("part", "assistant"))).alias("_pieces"),
     ).select("sample_id", "system", "user", F.array_join(F.transform("_pieces", lambda p: p["assistant"]), "").alias("assistant"))
+    return samples.filter(F.col("n_parts") == 1).select(*columns).unionByName(longer)
+
+
+def sample_pieces(samples: DataFrame) -> DataFrame:
+    """sample_id, message_no, piece_no, role, content: messages in pieces, a row each; no row holds a whole long sample.
+
+    Made in the rows of the parts, without a shuffle. The contents of a message's pieces in order are its
+    content; a sample without system text has no message 0.
+    """
+    def turn(number: int, role: str) -> Column:
+        return F.struct(F.lit(number).alias("message_no"), F.lit(role).alias("role"), F.coalesce(F.col(role), F.lit("")).alias("content"))
+
+    turns = F.when(F.col("part") == 0, F.array(turn(0, "system"), turn(1, "user"), turn(2, "assistant"))).otherwise(F.array(turn(2, "assistant")))
+    rows = samples.select("sample_id", "part", F.explode(turns).alias("m"))
+    rows = rows.filter((F.col("m.role") != "system") | (F.col("m.content") != ""))
+    return rows.select("sample_id", "m.message_no", F.col("part").alias("piece_no"), "m.role", "m.content")
 
 
 def sample_messages(samples: DataFrame) -> DataFrame:
@@ -245,7 +265,10 @@ def role_checks(turns: DataFrame, key: str, order: list[Column], by: Column, hot
     one that the first message calls for, so a conversation is one running count and one sum.
     """
     cut = slices(turns, [key], by, hot_rows)
-    placed = running_count(cut.mark(turns), [key], order, cut, "position").drop(SLICE)
+    return _checks(running_count(cut.mark(turns), [key], order, cut, "position"), key)
+
+
+def _checks(placed: DataFrame, key: str) -> DataFrame:
     odd = F.col("position") % 2 == 1
     is_user = F.col("role") == "user"
     return (
@@ -274,10 +297,9 @@ def rendered_chats(turns: DataFrame, key: str, order: str, by: Column, bos: str
     """Chat text per conversation, in parts. Conversations with role breaches are left out."""
     hot_rows = limits.get("hot_rows")
     cut = slices(turns, [key], by, hot_rows)
-    broken = role_checks(turns, key, [F.col(order)], by, hot_rows).filter(F.col("n_breaches") > 0).select(key)
-    sound = turns.join(broken, key, "left_anti")
-    placed = running_count(cut.mark(sound), [key], [F.col(order)], cut, "position").drop(SLICE)
-    told = placed.select(
+    placed = running_count(cut.mark(turns), [key], [F.col(order)], cut, "position").drop(SLICE)
+    broken = _checks(placed, key).filter(F.col("n_breaches") > 0).select(key)
+    told = placed.join(broken, key, "left_anti").select(
         key, "position", prompts.turn_text(F.col("role"), F.col("content"), F.col("position")).alias("text")
     )
     parts = collect_parts(told, [key], ["position"], ["text"], by=F.col("position"), **limits)

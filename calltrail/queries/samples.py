@@ -10,6 +10,8 @@ from calltrail.queries.base import (
     CATALOG_SQL, STEPS_SQL, STRICT_SQL, catalog, cut_sql, query, steps, table, workflows,
 )
 from calltrail.queries.sampling import POOL_SQL
+from calltrail.session import scratch_dir
+from calltrail.sources import writers
 
 
 def definitions(spark, sf_dir):
@@ -82,7 +84,7 @@ def sft_samples(spark, sf_dir, num_tools=10):
     called = every.select("workflow_id", F.col("tool").alias("api"))
     drawn = draws.negative_tools(called, catalog(spark, sf_dir), num_tools, 42)
     accepted = workflows(spark, sf_dir).join(drawn.accepted, "workflow_id", "left_semi")
-    return sft.format_samples(accepted, every, drawn.tools, definitions(spark, sf_dir), num_tools, "python")
+    return sft.format_samples(accepted, every, drawn.tools, definitions(spark, sf_dir), num_tools, "python").drop("n_parts")
 
 
 @query("sft_json_samples", f"""WITH {STEPS_SQL},
@@ -97,6 +99,10 @@ SELECT o_orderkey AS sample_id, coalesce(part, 0) AS part,
        CASE WHEN coalesce(part, 0) = 0 THEN {QUERY_SQL} ELSE '' END AS user, coalesce(answer, '[]') AS assistant
 FROM orders LEFT JOIN answers ON workflow_id = o_orderkey""")
 def sft_json_samples(spark, sf_dir):
+    return _json_samples(spark, sf_dir).drop("n_parts")
+
+
+def _json_samples(spark, sf_dir):
     every = steps(spark, sf_dir)
     none = every.select("workflow_id", F.lit(0).alias("draw"), F.col("tool").alias("api")).limit(0)
     return sft.format_samples(
@@ -114,11 +120,28 @@ SELECT o_orderkey AS sample_id, 'system:' || {_text_sql(prompts.base_prompt('jso
 FROM orders LEFT JOIN whole ON workflow_id = o_orderkey""")
 def sample_messages(spark, sf_dir):
     """Samples as messages: the parts of an answer are one assistant message."""
-    out = sft.sample_messages(sft_json_samples(spark, sf_dir))
+    out = sft.sample_messages(_json_samples(spark, sf_dir))
     shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return out.select("sample_id", F.array_join(shown, "|").alias("messages"))
 
 
+@query("message_pieces", f"""WITH {STEPS_SQL},
+records AS (
+  SELECT *, '{{''function'': ''' || tool || ''', ''parameters'': ' || replace(tool_input, '"', '''') || '}}' AS record FROM steps),
+told AS (
+  SELECT workflow_id, record AS text, row_number() OVER (PARTITION BY workflow_id ORDER BY step_pos, record) AS rn
+  FROM records WHERE chain_pos = 0),
+{PARTS_SQL}
+SELECT o_orderkey AS sample_id, 0 AS message_no, CAST(0 AS BIGINT) AS piece_no, 'system' AS role, {_text_sql(prompts.base_prompt('json'))} AS content FROM orders
+UNION ALL SELECT o_orderkey, 1, 0, 'user', {QUERY_SQL} FROM orders
+UNION ALL SELECT o_orderkey, 2, coalesce(part, 0), 'assistant', coalesce(answer, '[]') FROM orders LEFT JOIN answers ON workflow_id = o_orderkey""")
+def message_pieces(spark, sf_dir):
+    """Samples in pieces, written sorted and read back."""
+    path = scratch_dir(spark, "pieces")
+    writers.write_pieces(sft.sample_pieces(_json_samples(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
 @query("sft_negative_samples", f"""WITH RECURSIVE {STEPS_SQL}, {CATALOG_SQL}, {STRICT_SQL}, {DEF_SQL},
 pools AS (
   SELECT workflow_id, string_agg(text, ', ' ORDER BY draw) AS pool FROM drawn JOIN defs USING (api) GROUP BY workflow_id)
@@ -131,7 +154,7 @@ def sft_negative_samples(spark, sf_dir):
     called = steps(spark, sf_dir).select("workflow_id", F.col("tool").alias("api"))
     called = called.join(sources.select("workflow_id"), "workflow_id", "left_semi")
     negatives = draws.strict_negatives(called, catalog(spark, sf_dir), 10, 42).tools
-    return sft.negative_samples(sources, negatives, definitions(spark, sf_dir), "python")
+    return sft.negative_samples(sources, negatives, definitions(spark, sf_dir), "python").drop("n_parts")
 
 
 def _turns(spark, sf_dir):
@@ -145,7 +168,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, tex
              count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 GROUP BY conv_id, (rn - 1) // 10000, n""")
 def sft_messages(spark, sf_dir):
-    out = sft.conversation_messages(_turns(spark, sf_dir), "conv_id", "turn", F.floor(F.col("turn") / 1000))
+    out = sft.conversation_messages(_turns(spark, sf_dir), "conv_id", "turn", F.col("turn"))
     shown = F.transform("items", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return out.select("conv_id", "part", "n_total", F.array_join(shown, "|").alias("messages"))
 
@@ -180,7 +203,7 @@ checks AS (
 
 @query("role_checks", f"WITH {ROLE_SQL} SELECT conv_id, n_messages, has_system, n_breaches FROM checks")
 def role_checks(spark, sf_dir):
-    return sft.role_checks(_turns(spark, sf_dir), "conv_id", [F.col("turn")], F.floor(F.col("turn") / 1000))
+    return sft.role_checks(_turns(spark, sf_dir), "conv_id", [F.col("turn")], F.col("turn"))
 
 
 @query("chat_rendered", rf"""WITH {ROLE_SQL},
@@ -199,7 +222,7 @@ SELECT conv_id, CAST(part AS BIGINT) AS part,
 FROM told GROUP BY conv_id, part, n_messages""")
 def chat_rendered(spark, sf_dir):
     return sft.rendered_chats(
-        _turns(spark, sf_dir), "conv_id", "turn", F.floor(F.col("turn") / 1000), generation_prompt=True
+        _turns(spark, sf_dir), "conv_id", "turn", F.col("turn"), generation_prompt=True
     )
 
 

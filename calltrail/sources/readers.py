@@ -6,6 +6,7 @@ Whole-document files are read by one scan per directory; ids and groups come fro
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,6 +218,17 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.col("id").alias("sample_id"), F.explode(tools).alias("tool"))
 
 
+def stream_sample(spark: SparkSession, path: str, sample_id) -> Iterator[tuple[str, str]]:
+    """(role, content) of the pieces of one sample in order, one at a time; write_pieces has sorted them.
+
+    File and row-group statistics leave a few files to read, and one partition at a time reaches the reader.
+    """
+    pieces = spark.read.parquet(path).filter(F.col("sample_id") == F.lit(sample_id))
+    ordered = pieces.repartitionByRange("message_no", "piece_no").sortWithinPartitions("message_no", "piece_no")
+    for row in ordered.select("role", "content").toLocalIterator():
+        yield row.role, row.content
+
+
 def read_group(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All .json, .jsonl and .jsonl.gz of a directory as one DataFrame."""
     local = path.removeprefix("file://")

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from calltrail.session import materialize
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    samples.write.mode("overwrite").parquet(path)
+PIECE_ORDER = ["sample_id", "message_no", "piece_no"]
+
+
+def write_pieces(pieces: DataFrame, path: str) -> None:
+    """sample_pieces sorted across and inside the files, so that a reader takes a sample in order, piece by piece.
+
+    A sample's pieces lie side by side, a long sample's in several files.
+    """
+    pieces.repartitionByRange(*PIECE_ORDER).sortWithinPartitions(*PIECE_ORDER).write.mode("overwrite").parquet(path)
 
 
 def write_split(samples: DataFrame, path: str, columns: list[str], positive: str | None = None) -> None:

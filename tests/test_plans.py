@@ -84,6 +84,37 @@ def test_messages_hold_all_parts(spark):
     assert got == {r.sample_id: [("system", r.system), ("user", r.user), ("assistant", r.assistant)] for r in whole.collect()}
 
 
+def test_a_sample_of_any_length_is_streamed_in_pieces(spark, tmp_path):
+    from calltrail.sources import readers, writers
+
+    n = 25_000
+    steps = spark.range(n).select(
+        F.when(F.col("id") < n - 40, "long").otherwise(F.concat(F.lit("w"), (F.col("id") % 20).cast("string"))).alias("workflow_id"),
+        F.lit(0).cast("bigint").alias("chain_pos"), F.col("id").alias("step_pos"), F.lit("t").alias("tool"),
+        F.format_string('{"i": %d}', F.col("id")).alias("tool_input"),
+    )
+    flows = steps.select("workflow_id").distinct().withColumn("query", F.concat(F.lit("do "), "workflow_id"))
+    none = steps.select("workflow_id", F.lit(0).alias("draw"), F.col("tool").alias("api")).limit(0)
+    samples = sft.format_samples(flows, steps, none, none, -1, "python", part_size=2)
+    writers.write_pieces(sft.sample_pieces(samples), str(tmp_path / "p"))
+    pieces = spark.read.parquet(str(tmp_path / "p"))
+    assert pieces.agg(F.max(F.length("content"))).head()[0] < 10_000 and pieces.filter("sample_id = 'long'").count() == 2 + (n - 40) // 2
+    got = {}
+    for role, content in readers.stream_sample(spark, str(tmp_path / "p"), "long"):
+        got[role] = got.get(role, "") + content
+    assert list(got) == ["system", "user", "assistant"] and got["user"] == "do long"
+    assert got["assistant"] == "[" + ", ".join(f"t(i={i})" for i in range(n - 40)) + "]"
+
+
+def test_ordinary_samples_are_not_shuffled_again(spark):
+    rows = [("a", 0, 1, "s", "u", "x"), ("b", 0, 2, "s", "u", "["), ("b", 1, 2, "", "", "]")]
+    samples = spark.createDataFrame(rows, "sample_id string, part bigint, n_parts bigint, system string, user string, assistant string")
+    assert sorted(tuple(r) for r in sft.whole_samples(samples).collect()) == [("a", "s", "u", "x"), ("b", "s", "u", "[]")]
+    plan = sft.whole_samples(samples)._jdf.queryExecution().optimizedPlan().toString()
+    branch = plan[: plan.index("Aggregate")]
+    assert "Union" in branch and "n_parts" in branch  # the first branch has no aggregate
+
+
 def test_steps_get_names(spark):
     hashes = spark.createDataFrame([("h1", "a-b-c")], "hash string, name string")
     steps = spark.createDataFrame(
