@@ -204,6 +204,31 @@ def columns_to_messages(flat: DataFrame) -> DataFrame:
     return flat.select(turns_from_columns().alias("messages"))
 
 
+def api_predictions(steps: DataFrame, limit: int = 10_000) -> DataFrame:
+    """workflow_id, part, api_preds: the calls of each chain, by chain name, in parts of at most `limit` calls.
+
+    steps(workflow_id, chain_pos, step_pos, chain_name, tool, tool_input). A workflow of ordinary length is one
+    row whose map has all chains in order.
+    """
+    told = steps.withColumn("call", F.struct("tool", "tool_input"))
+    parts = collect_parts(told, ["workflow_id"], STEP_ORDER, ["chain_name", "call"], [F.col(c) for c in STEP_ORDER], part_size=limit)
+    names = F.array_distinct(F.transform("items", lambda i: i["chain_name"]))
+    chains = F.transform(names, lambda n: F.transform(F.filter("items", lambda i: i["chain_name"] == n), lambda i: i["call"]))
+    return parts.select("workflow_id", "part", F.map_from_arrays(names, chains).alias("api_preds"))
+
+
+def sample_records(pool: DataFrame, definitions: DataFrame, steps: DataFrame) -> DataFrame:
+    """workflow_id, part, pos_tools, neg_tools, api_preds: the record that is kept beside a sample.
+
+    The tools stand in part 0; further parts of very long workflows hold only calls.
+    """
+    both = api_predictions(steps).join(metadata(pool, definitions), "workflow_id")
+    none = F.array().cast("array<string>")
+    return both.select(
+        "workflow_id", "part", *[F.when(F.col("part") == 0, F.col(c)).otherwise(none).alias(c) for c in ("pos_tools", "neg_tools")], "api_preds"
+    )
+
+
 def metadata(pool: DataFrame, definitions: DataFrame) -> DataFrame:
     """Definitions of positives and negatives per workflow."""
     rows = pool.join(definitions, "api").groupBy("workflow_id").agg(

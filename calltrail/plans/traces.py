@@ -17,19 +17,40 @@ PRICES = [
 DEFAULT_PRICES = (1.0, 4.0)
 
 
-def proposal_checks(proposals: DataFrame, pool: DataFrame | None = None, max_apis: int = MAX_APIS) -> DataFrame:
+def pool_bitmaps(pool: DataFrame, positions: DataFrame) -> DataFrame:
+    """run, iteration, bucket, bitmap: the pools of pool(run, iteration, api) as bits at the catalog positions of their apis.
+
+    positions(api, position) numbers the catalog from 0, a row an api. A bitmap covers 32,768 positions in 4 KB,
+    so a pool is a few rows however many apis it has, and is summed up before the shuffle.
+    """
+    placed = pool.join(positions.select("api", (F.col("position") + 1).alias("_at")), "api")
+    return placed.groupBy(*ITERATION, F.bitmap_bucket_number("_at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("bitmap")
+    )
+
+
+def has_bit(bitmap: Column, bit: Column) -> Column:
+    """Whether a bit of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+
+def proposal_checks(proposals: DataFrame, pool: DataFrame | None = None, max_apis: int = MAX_APIS,
+                    positions: DataFrame | None = None) -> DataFrame:
     """Per iteration: is the proposal set usable?
 
     proposals(run, iteration, proposal_id, api), one row per proposed api, a null api allowed. One
-    proposal with too many apis, or one api outside `pool`(run, iteration, api), spoils the set.
+    proposal with too many apis, or one api outside `pool`(run, iteration, api), spoils the set. With a
+    pool, `positions`(api, position) numbers the catalog; an api that it does not have is foreign.
     """
-    named = proposals
-    if pool is not None:
-        known = pool.select(*ITERATION, "api").distinct().withColumn("_in", F.lit(True))
-        named = named.join(known, [*ITERATION, "api"], "left")
+    if pool is None:
+        foreign, named = F.lit(False), proposals
     else:
-        named = named.withColumn("_in", F.lit(True))
-    foreign = F.col("api").isNotNull() & F.col("_in").isNull()
+        at = positions.select("api", (F.col("position") + 1).alias("_at"))
+        placed = proposals.join(at, "api", "left").withColumn("bucket", F.bitmap_bucket_number("_at"))
+        named = placed.join(pool_bitmaps(pool, positions), [*ITERATION, "bucket"], "left")
+        inside = F.coalesce(has_bit(F.col("bitmap"), F.bitmap_bit_position("_at")), F.lit(False))
+        foreign = F.col("api").isNotNull() & ~inside
     per_proposal = named.groupBy(*ITERATION, "proposal_id").agg(
         F.count(F.lit(1)).alias("n_apis"), F.count_if(foreign).alias("n_foreign")
     )
@@ -104,8 +125,17 @@ def execution_summary(executions: DataFrame, result: str, error: str, limit: int
 
 
 def proposal_summary(proposals: DataFrame) -> DataFrame:
-    """Missing api descriptions read 'N/A'."""
-    return proposals.withColumn("description", F.coalesce("description", F.lit("N/A")))
+    """run, iteration, proposal_id, instruction, apis: a row a proposal with its apis {name, description} in order.
+
+    proposals(run, iteration, proposal_id, instruction, position, name, description), a row per proposed api;
+    a missing description reads 'N/A'. A proposal without apis has one row with a null name and an empty list.
+    """
+    api = F.struct("position", "name", F.coalesce("description", F.lit("N/A")).alias("description"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("name").isNotNull(), api)))
+    return proposals.groupBy(*ITERATION, "proposal_id").agg(
+        F.max("instruction").alias("instruction"),
+        F.transform(listed, lambda a: F.struct(a["name"].alias("name"), a["description"].alias("description"))).alias("apis"),
+    )
 
 
 def iteration_outcomes(iterations: DataFrame, max_iter: int | None = None) -> DataFrame:

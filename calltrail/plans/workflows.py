@@ -222,6 +222,25 @@ def error_details(steps: DataFrame, keys: list[str], position: str, by: Column,
     )
 
 
+def response_outcomes(steps: DataFrame, keys: list[str], position: str, **limits) -> DataFrame:
+    """Per proposal: n_steps, last_success, and where no response is good why, in parts (part, error_message).
+
+    steps(keys..., position BIGINT, tool, response, error): every response is judged, its reason is the detail
+    of a failed step. The judged rows are written without the responses and read for both results.
+    """
+    from calltrail.functions.validation import validate_responses
+
+    judged = validate_responses(steps).select(
+        *keys, position, "tool", "is_valid", F.col("reason").alias("validation_error"), "error", F.substring("response", 1, 1000).alias("result_text")
+    )
+    judged = materialize(judged, "judged-responses")
+    good = last_success(judged, keys, position, F.col("is_valid"))
+    sizes = judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"))
+    errors = error_details(judged, keys, position, F.col(position), **limits).drop("n_steps")
+    joined = sizes.join(good, keys).join(errors, keys, "left")
+    return joined.select(*keys, "n_steps", "last_success", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), "error_message")
+
+
 def step_failures(proposals: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """Proposals of which no step survived."""
     return proposals.join(steps.select(*keys).distinct(), keys, "left_anti").withColumn(

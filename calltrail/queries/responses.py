@@ -110,6 +110,26 @@ def validated_json_responses(spark, sf_dir):
     return val.validate_responses(made).select("doc_id", "is_valid", "reason")
 
 
+PROPOSAL_SIZE = 4  # documents that follow each other by id are the steps of one proposal
+
+
+@query("response_errors", f"""
+WITH judged AS (
+  SELECT doc_id, doc_id // {PROPOSAL_SIZE} AS proposal, {_structured_cases(1, "coalesce(" + keyword_sql("lower(text)") + ", '')")} AS reason FROM documents)
+SELECT proposal, count(*) AS n_steps, max(CASE WHEN reason = '' THEN doc_id END) AS last_success, CAST(0 AS BIGINT) AS part,
+       CASE WHEN count(*) FILTER (reason = '') = 0 THEN string_agg('tool_' || CAST(doc_id % 3 AS VARCHAR) || ': ' || reason, ' | ' ORDER BY doc_id) END AS error_message
+FROM judged GROUP BY proposal""")
+def response_errors(spark, sf_dir):
+    """Responses are judged; each proposal gets its last good step, or why all of its steps failed."""
+    inner = F.to_json(F.array("text"))
+    docs = table(spark, sf_dir, "documents").withColumn("quoted", F.substring(inner, F.lit(2), F.length(inner) - 2))
+    made = docs.select(
+        "doc_id", F.floor(F.col("doc_id") / PROPOSAL_SIZE).alias("proposal"), F.concat(F.lit("tool_"), (F.col("doc_id") % 3).cast("string")).alias("tool"),
+        F.expr(_structured_cases(0, "''")).alias("response"), F.lit("").alias("error"),
+    )
+    return wf.response_outcomes(made, ["proposal"], "doc_id")
+
+
 @query("plain_result_success", f"""
 SELECT doc_id, NOT (contains(low, 'error') OR contains(low, 'failed') OR contains(low, 'access denied')) AS is_valid
 FROM (SELECT doc_id, lower({TEXT_CASES} || CASE WHEN doc_id % 5 = 0 THEN ' Access Denied' ELSE '' END) AS low FROM documents)""")

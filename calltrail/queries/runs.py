@@ -157,16 +157,17 @@ def selected_tools(spark, sf_dir):
 
 
 @query("selection_checks", f"""WITH {ITERATION_SQL}, {PICK_SQL},
-known AS (SELECT DISTINCT run, iteration, 'api_use_chain_' || CAST(k % 3 AS VARCHAR) AS which_chain FROM it)
-SELECT pick.run, pick.iteration, selected_id, pick.which_chain, selected_id IS NULL AS skipped, TRUE AS report_known,
-       pick.which_chain = '-1' OR known.run IS NOT NULL AS chain_known
-FROM pick LEFT JOIN known USING (run, iteration, which_chain)""")
+known AS (SELECT DISTINCT run, iteration, 'api_use_chain_' || CAST(k % 3 AS VARCHAR) AS which_chain FROM it),
+reports AS (SELECT run, iteration, proposal_id AS selected_id FROM it WHERE event_type <> 'error')
+SELECT pick.run, pick.iteration, selected_id, pick.which_chain, selected_id IS NULL AS skipped,
+       selected_id IS NULL OR reports.run IS NOT NULL AS report_known, pick.which_chain = '-1' OR known.run IS NOT NULL AS chain_known
+FROM pick LEFT JOIN known USING (run, iteration, which_chain) LEFT JOIN reports USING (run, iteration, selected_id)""")
 def selection_checks(spark, sf_dir):
     events = _iterations(spark, sf_dir)
     chains = events.select(
         *tr.ITERATION, F.concat(F.lit("api_use_chain_"), (F.col("k") % 3).cast("string")).alias("chain_id")
     )
-    return tr.selection_checks(_selected(spark, sf_dir), events, chains)
+    return tr.selection_checks(_selected(spark, sf_dir), tr.successful(events), chains)
 
 
 @query("execution_summaries", f"""WITH {ITERATION_SQL}
@@ -188,15 +189,43 @@ def execution_summaries(spark, sf_dir):
     )
 
 
-@query("proposal_summaries", f"""WITH {ITERATION_SQL}
-SELECT run, iteration, proposal_id, coalesce(CASE WHEN event_type <> 'view' THEN 'About ' || event_type END, 'N/A') AS description
-FROM it""")
+API_SQL = """
+proposed AS (
+  SELECT run, iteration, proposal_id, event_type, k, i, 'api_' || CAST(k + i AS VARCHAR) AS api
+  FROM (SELECT *, unnest(range(1, CAST(CASE WHEN k % 25 = 0 THEN 4 ELSE k % 3 + 1 END AS BIGINT) + 1)) AS i FROM it)),
+pool AS (SELECT DISTINCT run, iteration, api FROM proposed WHERE event_type <> 'view')"""
+
+
+@query("proposal_summaries", f"""WITH {ITERATION_SQL}, {API_SQL}
+SELECT run, iteration, proposal_id, 'Use ' || any_value(event_type) AS instruction,
+       string_agg(api || '=' || CASE WHEN (k + i) % 4 <> 0 THEN 'About ' || event_type ELSE 'N/A' END, ',' ORDER BY i) AS apis
+FROM proposed GROUP BY run, iteration, proposal_id""")
 def proposal_summaries(spark, sf_dir):
-    rows = _iterations(spark, sf_dir).select(
-        "run", "iteration", "proposal_id",
-        F.when(F.col("event_type") != "view", F.concat(F.lit("About "), "event_type")).alias("description"),
+    kinds = _iterations(spark, sf_dir).select("proposal_id", "event_type")
+    number = F.substring("api", 5, 20).cast("bigint")
+    rows = _proposals(spark, sf_dir).join(kinds, "proposal_id").select(
+        "run", "iteration", "proposal_id", F.concat(F.lit("Use "), "event_type").alias("instruction"),
+        number.alias("position"), F.col("api").alias("name"),
+        F.when(number % 4 != 0, F.concat(F.lit("About "), "event_type")).alias("description"),
     )
-    return tr.proposal_summary(rows)
+    shown = F.transform("apis", lambda a: F.concat(a["name"], F.lit("="), a["description"]))
+    return tr.proposal_summary(rows).withColumn("apis", F.array_join(shown, ","))
+
+
+@query("pool_checks", f"""WITH {ITERATION_SQL}, {API_SQL},
+checked AS (
+  SELECT run, iteration, proposal_id, count(*) AS n_apis, count(*) FILTER (pool.api IS NULL) AS n_foreign
+  FROM proposed p LEFT JOIN pool USING (run, iteration, api) GROUP BY run, iteration, proposal_id)
+SELECT run, iteration, count(*) AS n_proposals, count(*) FILTER (n_apis > 3) AS n_too_many, CAST(sum(n_foreign) AS BIGINT) AS n_foreign,
+       count(*) FILTER (n_apis > 3) = 0 AND sum(n_foreign) = 0 AS accepted
+FROM checked GROUP BY run, iteration""")
+def pool_checks(spark, sf_dir):
+    """The pool of an iteration are the apis of its events that are no views; views propose foreign ones."""
+    proposals = _proposals(spark, sf_dir)
+    kinds = _iterations(spark, sf_dir).filter(F.col("event_type") != "view").select("proposal_id")
+    pool = proposals.join(kinds, "proposal_id", "left_semi").select(*tr.ITERATION, "api")
+    positions = proposals.select("api").distinct().select("api", F.substring("api", 5, 20).cast("bigint").alias("position"))
+    return tr.proposal_checks(proposals, pool, positions=positions)
 
 
 @query("token_cost", f"""WITH {ITERATION_SQL},

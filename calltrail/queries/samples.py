@@ -234,6 +234,32 @@ def length_filter(spark, sf_dir):
     return sft.within_length(docs, F.col("text"), 300).select("doc_id", "n_tokens")
 
 
+@query("sample_records", f"""{POOL_SQL},
+kept AS (SELECT workflow_id FROM wanted WHERE wanted >= 0),
+chains AS (
+  SELECT workflow_id, chain_pos, string_agg(tool, ',' ORDER BY step_pos, tool, tool_input) AS tools FROM steps GROUP BY workflow_id, chain_pos),
+preds AS (
+  SELECT workflow_id, string_agg('chain_' || CAST(chain_pos + 1 AS VARCHAR) || ':' || tools, ';' ORDER BY chain_pos) AS api_preds
+  FROM chains GROUP BY workflow_id)
+SELECT workflow_id, CAST(0 AS BIGINT) AS part, CAST(count(*) FILTER (side = 0) AS INTEGER) AS n_pos,
+       CAST(count(*) FILTER (side = 1) AS INTEGER) AS n_neg, api_preds
+FROM pool JOIN kept USING (workflow_id) JOIN preds USING (workflow_id) GROUP BY workflow_id, api_preds""")
+def sample_records(spark, sf_dir):
+    """Metadata records with the predicted calls, written as JSON lines and read back."""
+    every = steps(spark, sf_dir).withColumn("chain_name", F.concat(F.lit("chain_"), (F.col("chain_pos") + 1).cast("string")))
+    called = every.select("workflow_id", F.col("tool").alias("api"))
+    drawn = draws.negative_tools(called, catalog(spark, sf_dir), 10, 42)
+    kept = every.join(drawn.accepted, "workflow_id", "left_semi")
+    records = sft.sample_records(sft.candidate_pool(kept, drawn.tools), definitions(spark, sf_dir), kept)
+    path = scratch_dir(spark, "records")
+    writers.write_json_records(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    tools = F.transform(F.map_entries("api_preds"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda c: c["tool"]), ",")))
+    return back.select(
+        "workflow_id", "part", F.size("pos_tools").alias("n_pos"), F.size("neg_tools").alias("n_neg"), F.array_join(tools, ";").alias("api_preds")
+    )
+
+
 @query("sample_metadata", f"""{POOL_SQL}
 SELECT workflow_id, CAST(count(*) FILTER (side = 0) AS INTEGER) AS n_pos, CAST(count(*) FILTER (side = 1) AS INTEGER) AS n_neg,
        coalesce(string_agg(api, ',' ORDER BY b) FILTER (side = 1), '') AS neg_tools

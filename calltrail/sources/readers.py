@@ -6,14 +6,17 @@ Whole-document files are read by one scan per directory; ids and groups come fro
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calltrail.functions.pyliteral import to_document_text
 from calltrail.functions.text import strip
 from calltrail.plans.catalog import PARAM
+from calltrail.session import materialize
 
 CHAIN = "STRUCT<chain_id: STRING, intermediate_steps: ARRAY<ARRAY<STRING>>>"
 WORKFLOW = f"query STRING, api_use_chains MAP<STRING, {CHAIN}>, response STRING"
@@ -57,7 +60,18 @@ def _kind_at(v: Column, path: str) -> Column:
 
 
 def parse_workflows(documents: DataFrame):
-    """documents(id, text) -> (workflows, rejects with a reason).
+    """documents(id, text) -> (workflows, rejects with a reason). judge_workflows also counts them.
+"""
+    judged, _ = judge_workflows(documents)
+    good = judged.filter(F.col("reason").isNull()).select(F.col("id").alias("workflow_id"), "_doc.*")
+    return good, judged.filter(F.col("reason").isNotNull()).select("id", "reason")
+
+
+def judge_workflows(documents: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """documents(id, text) -> (id, reason, _doc) and the counts n_total, n_accepted, n_rejected.
+
+    Every document is parsed once: the judged rows are written, counted by the same pass, and read by whoever
+    wants the good ones or the rejects.
 
     Lenient parsing alone would turn a number into a text, so the types of the required
     fields are checked on the document itself.
@@ -83,9 +97,13 @@ def parse_workflows(documents: DataFrame):
         )
         .when(F.col("_doc.api_use_chains").isNull() | bad_steps, "malformed chain")
     )
-    judged = doc.withColumn("reason", reason)
-    good = judged.filter(F.col("reason").isNull()).select(F.col("id").alias("workflow_id"), "_doc.*")
-    return good, judged.filter(F.col("reason").isNotNull()).select("id", "reason")
+    judged = doc.withColumn("reason", reason).select("id", "reason", F.when(F.col("reason").isNull(), F.col("_doc")).alias("_doc"))
+    seen = Observation("documents")
+    counted = judged.observe(
+        seen, F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("reason").isNull()).alias("n_accepted"),
+        F.count_if(F.col("reason").isNotNull()).alias("n_rejected"),
+    )
+    return materialize(counted, "judged-documents"), dict(seen.get)
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:
@@ -147,8 +165,17 @@ def read_ids(spark: SparkSession, path: str, name: str = "sample_id") -> DataFra
     return spark.read.text(path).select(strip(F.col("value")).alias(name)).filter(F.col(name) != "")
 
 
+def trace_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """id, reason of the trace files that read_traces cannot take."""
+    docs = read_documents(spark, path).withColumn("_v", F.try_parse_json("text"))
+    reason = F.when(F.col("_v").isNull(), "not JSON").when(
+        F.coalesce(_kind_at(F.col("_v"), "$.iterations"), F.lit("")) != "ARRAY", "iterations is not a list"
+    )
+    return docs.select("id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row per iteration."""
+    """One row per iteration; trace_rejects lists the files that have none to read."""
     docs = read_documents(spark, path).select(F.from_json("text", TRACE).alias("_t"))
     return docs.select("_t.seed", "_t.total_iterations", F.explode("_t.iterations").alias("_i")).select(
         "seed", "total_iterations", "_i.*"
@@ -229,14 +256,42 @@ def stream_sample(spark: SparkSession, path: str, sample_id) -> Iterator[tuple[s
         yield row.role, row.content
 
 
-def read_group(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All .json, .jsonl and .jsonl.gz of a directory as one DataFrame."""
+def _group_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, text, record (a variant, null if the text is no JSON) of every document and line of a directory."""
     local = path.removeprefix("file://")
     if "://" not in path and not os.path.isdir(local):
         raise FileNotFoundError(path)
-    whole = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    lines = spark.read.schema(schema).option("pathGlobFilter", "*.{jsonl,jsonl.gz}").json(path)
-    return whole.unionByName(lines, allowMissingColumns=True)
+    file = path_text(F.col("_metadata.file_name")).alias("file")
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(file, F.col("value").alias("text"))
+    lines = spark.read.option("pathGlobFilter", "*.{jsonl,jsonl.gz}").text(path).select(file, F.col("value").alias("text"))
+    return whole.unionByName(lines).filter(strip(F.col("text")) != "").withColumn("record", F.try_parse_json("text"))
+
+
+def read_group(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All .json, .jsonl and .jsonl.gz of a directory as one DataFrame.
+
+    Without a schema the fields of all records are united by one aggregation over them: numbers widen, and
+    a field whose types do not agree between records comes as text (JSON where it is nested). A file that
+    holds a list gives its items. Texts that are no JSON are left out here; group_rejects has them.
+    """
+    records = _group_records(spark, path).filter(F.col("record").isNotNull())
+    is_list = F.schema_of_variant("record").startswith("ARRAY")
+    items = F.variant_get("record", "$", "array<variant>")
+    records = records.select(F.explode(F.when(is_list, items).otherwise(F.array("record"))).alias("record"))
+    if schema is None:
+        found = records.select(F.schema_of_variant_agg("record")).head()[0]
+        if not found.startswith("OBJECT<"):
+            raise ValueError(f"records of {path} are no objects: {found}")
+        schema = found
+    else:
+        schema = f"OBJECT<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in T._parse_datatype_string(schema))}>"
+    kind = re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\b(VARIANT|VOID)\b", "STRING", schema)) if schema.startswith("OBJECT<") else schema
+    return records.select(F.try_variant_get("record", "$", kind).alias("_r")).select("_r.*")
+
+
+def group_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file, text of the documents and lines of a directory that are no JSON."""
+    return _group_records(spark, path).filter(F.col("record").isNull()).select("file", "text")
 
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:

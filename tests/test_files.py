@@ -307,3 +307,38 @@ def test_scores_are_written_back(spark, tmp_path):
         writers.write_scores(versions.read_version(spark, path), scores, path)
     got = {r.sample_id: r.stored and tuple(r.stored) for r in versions.read_version(spark, path).collect()}
     assert got == {"a": (1.0, 0.5, 0.25, 9.0), "b": None, "c": (0.5, 0.5, 0.5, 5.0)}
+
+
+def test_groups_need_no_schema(spark, tmp_path):
+    d = str(tmp_path)
+    _write(d, "g/a.json", '{\n "k": 1, "only_a": {"x": [1, 2]}, "mixed": 5\n}')
+    _write(d, "g/b.jsonl", '{"k": 2.5, "mixed": "text"}\n\n{"k": null, "mixed": {"deep": true}}\nnot json\n')
+    _write(d, "g/list.json", '[{"k": 7}, {"k": 8, "Only_list": "y"}]')
+    with gzip.open(f"{d}/g/c.jsonl.gz", "wt") as f:
+        f.write('{"k": 4, "only_a": {"x": [3], "z": "w"}}\n')
+    rows = readers.read_group(spark, f"{d}/g")
+    assert set(rows.columns) == {"k", "only_a", "mixed", "Only_list"}
+    got = {float(r.k) if r.k is not None else None: r for r in rows.collect()}
+    assert set(got) == {1.0, 2.5, None, 4.0, 7.0, 8.0}
+    assert [got[1.0].mixed, got[2.5].mixed, got[None].mixed] == ["5", "text", '{"deep":true}']
+    assert list(got[1.0].only_a.x) == [1, 2] and (got[4.0].only_a.z, got[8.0].Only_list, got[7.0].Only_list) == ("w", "y", None)
+    assert [(r.file, r.text) for r in readers.group_rejects(spark, f"{d}/g").collect()] == [("b.jsonl", "not json")]
+    _write(d, "n/a.json", "3")
+    with pytest.raises(ValueError, match="no objects"):
+        readers.read_group(spark, f"{d}/n")
+
+
+def test_documents_are_counted_where_they_are_judged(spark, tmp_path):
+    rows = [("a", json.dumps(_doc({"c1": [_step("t", {}, "r")]}))), ("b", "{"), ("c", None), ("d", json.dumps({"query": 1}))]
+    judged, counts = readers.judge_workflows(spark.createDataFrame(rows, "id string, text string"))
+    assert counts == {"n_total": 4, "n_accepted": 1, "n_rejected": 3}
+    assert {r.id: r.reason for r in judged.collect()} == {"a": None, "b": "not JSON", "c": "not JSON", "d": "query is not a text"}
+
+
+def test_broken_traces_are_listed(spark, tmp_path):
+    d = str(tmp_path)
+    _write(d, "t/1.json", json.dumps(_trace()))
+    _write(d, "t/2.json", "{")
+    _write(d, "t/3.json", '{"seed": 1}')
+    assert {(r.id, r.reason) for r in readers.trace_rejects(spark, f"{d}/t").collect()} == {("2", "not JSON"), ("3", "iterations is not a list")}
+    assert {r.seed for r in readers.read_traces(spark, f"{d}/t").collect()} == {123}

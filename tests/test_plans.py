@@ -313,3 +313,29 @@ def test_catalog_joins(spark):
     assert set(got.values()) == {(None, None)}
     with pytest.raises(ValueError):
         cat.sample_catalog(rows, "pos", 5, 1, strict=True)
+
+
+def test_pools_are_bitmaps_of_any_size(spark):
+    from calltrail.plans import traces as tr
+
+    positions = spark.range(100_000).select(F.concat(F.lit("a"), "id").alias("api"), F.col("id").alias("position"))
+    pool = positions.filter("position % 3 = 0").select(F.lit("r").alias("run"), F.lit(1).alias("iteration"), "api")
+    asked = [("r", 1, p, a) for p, a in [("p1", "a0"), ("p1", "a32768"), ("p1", None), ("p2", "a99999"), ("p2", "a65535"), ("p3", "a1"), ("p3", "unknown"), ("p4", "a32769")]]
+    asked += [("s", 1, "p1", "a0")]
+    checks = tr.proposal_checks(spark.createDataFrame(asked, "run string, iteration int, proposal_id string, api string"), pool, positions=positions)
+    got = {r.run: (r.n_proposals, r.n_too_many, r.n_foreign, r.accepted) for r in checks.collect()}
+    wrong = [a for _, _, _, a in asked[:-1] if a is not None and (a == "unknown" or int(a[1:]) % 3)]
+    assert got == {"r": (4, 0, len(wrong), False), "s": (1, 0, 1, False)}
+    assert tr.pool_bitmaps(pool, positions).count() == 4
+    bits = spark.createDataFrame([(bytes([0b101, 0x80]),)], "b binary")
+    assert [bits.select(tr.has_bit(F.col("b"), F.lit(i))).head()[0] for i in (0, 1, 2, 15, 14)] == [True, False, True, True, False]
+
+
+def test_chains_are_named_by_place_and_calls_kept_beside_samples(spark):
+    assert [spark.range(1).select(wf.renamed_chain(F.lit(i))).head()[0] for i in (0, 9, 10)] == ["chain_1", "chain_10", None]
+    rows = [("w", 0, i, "c1", f"t{i}", "{}") for i in range(5)] + [("w", 1, 0, "c2", "x", '{"a": 1}'), ("v", 0, 0, "c1", "y", "{}")]
+    steps = spark.createDataFrame(rows, "workflow_id string, chain_pos bigint, step_pos bigint, chain_name string, tool string, tool_input string")
+    got = {r.workflow_id: {k: [c.tool for c in v] for k, v in r.api_preds.items()} for r in sft.api_predictions(steps).collect()}
+    assert got == {"w": {"c1": [f"t{i}" for i in range(5)], "c2": ["x"]}, "v": {"c1": ["y"]}}
+    parts = sorted((r.part, {k: [c.tool for c in v] for k, v in r.api_preds.items()}) for r in sft.api_predictions(steps, 4).collect() if r.workflow_id == "w")
+    assert [p for p, _ in parts] == [0, 1] and parts[1][1] == {"c1": ["t4"], "c2": ["x"]}
