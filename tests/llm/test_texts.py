@@ -96,12 +96,15 @@ def test_cut_leaves_only_the_first_piece_short():
     assert packing.cut(5, 5) == [(0, 5)] and packing.cut(6, 5) == [(0, 1), (1, 5)] and packing.cut(10, 5) == [(0, 5), (5, 5)]
 
 
-def test_rounds_are_as_tight_as_best_fit_decreasing():
+def test_rounds_are_as_tight_as_best_fit_decreasing(spark):
     draw = random.Random(2)
     for capacity in (50, 300):
         sizes = [min(capacity, 1 + int(draw.expovariate(3 / capacity))) for _ in range(5000)]
         counts = {v: sizes.count(v) for v in set(sizes)}
-        placed = packing.sweep_rounds(counts, capacity)
+        runs = packing.placed_runs(spark.createDataFrame(list(counts.items()), "value bigint, n bigint"), capacity)
+        placed = [(r.value, r.start, r.sequence, capacity - r.gap, r.n) for r in runs.collect()]
+        for v in counts:  # every rank of a length is placed once
+            assert sorted(k for r in placed if r[0] == v for k in range(r[1], r[1] + r[4])) == list(range(counts[v]))
         used, spots = {}, 0
         for value, _, first, offset, n in placed:
             for q in range(first, first + n):
