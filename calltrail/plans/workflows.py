@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltrail.functions.pyliteral import to_literal_text
@@ -14,7 +14,7 @@ ACTION = "tool STRING, tool_input STRING, log STRING, tool_call_id STRING"
 RESULT = "error STRING, response STRING"
 MAX_CHAINS = 10
 CHAIN_PREFIX = "api_use_chain_"
-MAX_DOUBLINGS = 30  # paths of up to a billion nodes; a cycle never ends
+EDGE_CHUNK = 100_000  # steps of a chain that one window holds
 
 
 def flatten_steps(workflows: DataFrame) -> DataFrame:
@@ -149,13 +149,18 @@ def chain_io(chains: DataFrame, arguments: str, result: str) -> DataFrame:
     )
 
 
-def chain_edges(chains: DataFrame, node: str) -> DataFrame:
-    """Links from each step to the next of its chain, joined on the position."""
-    source = chains.select("run", "chain_id", F.col("step_pos").alias("source_pos"), F.col(node).alias("source"))
-    target = chains.select(
-        "run", "chain_id", (F.col("step_pos") - 1).alias("source_pos"), F.col(node).alias("destination")
-    )
-    return source.join(target, ["run", "chain_id", "source_pos"])
+def chain_edges(chains: DataFrame, node: str, chunk: int = EDGE_CHUNK) -> DataFrame:
+    """Links from each step to the next of its chain.
+
+    Each step looks at the one before it, in a window of `chunk` steps; the last step of a chunk also stands
+    in the next one, so a chain of any length takes one shuffle and no window holds more.
+    """
+    at = F.floor((F.col("step_pos") - 1) / chunk)
+    homes = F.when(F.col("step_pos") % chunk == 0, F.array(at, at + 1)).otherwise(F.array(at))
+    spread = chains.select("run", "chain_id", "step_pos", F.col(node).alias("destination"), F.explode(homes).alias("_chunk"))
+    order = Window.partitionBy("run", "chain_id", "_chunk").orderBy("step_pos")
+    told = spread.withColumn("source", F.lag("destination").over(order)).withColumn("source_pos", F.lag("step_pos").over(order))
+    return told.filter(F.col("source_pos").isNotNull()).select("run", "chain_id", "source_pos", "source", "destination")
 
 
 def rightmost_chain(nodes: DataFrame, skip_root: bool = False) -> DataFrame:
@@ -163,26 +168,38 @@ def rightmost_chain(nodes: DataFrame, skip_root: bool = False) -> DataFrame:
 
     nodes(tree, node, parent, ord), node unique in its tree, parent null at the root. Every last
     child points at its parent; pointers double until they reach a node that is no last child, so
-    a path of n nodes takes log2(n) rounds. Nodes whose pointer ends at a root are on the path.
+    a path of n nodes takes log2(n) rounds. Nodes whose pointer ends at a root are on the path. A cycle has no
+    root, so it is on no path and does not keep other trees waiting; cyclic_trees lists it.
     """
+    state = _pointers(nodes)
+    roots = nodes.filter(F.col("parent").isNull()).select("tree", "node")
+    down = state.join(roots.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi").select("tree", "node", "depth")
+    return down if skip_root else roots.select("tree", "node", F.lit(0).alias("depth")).unionByName(down)
+
+
+def cyclic_trees(nodes: DataFrame) -> DataFrame:
+    """The trees in which last children form a cycle, each once."""
+    state = _pointers(nodes)
+    again = state.select("tree", F.col("node").alias("above"))
+    return state.join(again, ["tree", "above"], "left_semi").select("tree").distinct()
+
+
+def _pointers(nodes: DataFrame) -> DataFrame:
+    """tree, node, above, depth of every last child: the first node up the path that is no last child; any node in a cycle."""
     last = nodes.filter(F.col("parent").isNotNull()).groupBy("tree", "parent").agg(F.max_by("node", "ord").alias("node"))
     state = materialize(last.select("tree", "node", F.col("parent").alias("above"), F.lit(1).alias("depth")), "last-child")
-    for _ in range(MAX_DOUBLINGS):
+    for _ in range(state.count().bit_length() + 1):  # no path is longer, so what still moves then is a cycle
         up = state.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
         if state.join(up, ["tree", "above"], "left_semi").isEmpty():
-            break
+            return state
         state = materialize(
             state.join(up, ["tree", "above"], "left").select(
                 "tree", "node", F.coalesce("next", "above").alias("above"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.try_add(F.col("depth"), F.coalesce("more", F.lit(0))).alias("depth"),  # a cycle counts up without end
             ),
             "last-child",
         )
-    else:
-        raise ValueError("parents form a cycle, or a path has over a billion nodes")
-    roots = nodes.filter(F.col("parent").isNull()).select("tree", "node")
-    down = state.join(roots.select("tree", F.col("node").alias("above")), ["tree", "above"], "left_semi").select("tree", "node", "depth")
-    return down if skip_root else roots.select("tree", "node", F.lit(0).alias("depth")).unionByName(down)
+    return state
 
 
 def last_success(steps: DataFrame, keys: list[str], position: str, valid: Column) -> DataFrame:

@@ -71,8 +71,10 @@ def test_rightmost_chain_is_whole_and_finds_cycles(spark):
     df = spark.createDataFrame(nodes, "tree string, node string, parent string, ord int")
     assert sorted((r.depth, r.node) for r in wf.rightmost_chain(df).collect()) == [(i, f"n{i}") for i in range(300)]
     ring = spark.createDataFrame([("t", "a", "b", 0), ("t", "b", "a", 0)], "tree string, node string, parent string, ord int")
-    with pytest.raises(ValueError, match="cycle"):
-        wf.rightmost_chain(ring)
+    assert wf.rightmost_chain(ring).count() == 0
+    both = df.unionByName(ring.withColumn("tree", F.lit("ring")))
+    assert wf.rightmost_chain(both).count() == 300  # the other tree is not held up
+    assert [r.tree for r in wf.cyclic_trees(both).collect()] == ["ring"]
 
 
 def test_messages_hold_all_parts(spark):
@@ -339,3 +341,11 @@ def test_chains_are_named_by_place_and_calls_kept_beside_samples(spark):
     assert got == {"w": {"c1": [f"t{i}" for i in range(5)], "c2": ["x"]}, "v": {"c1": ["y"]}}
     parts = sorted((r.part, {k: [c.tool for c in v] for k, v in r.api_preds.items()}) for r in sft.api_predictions(steps, 4).collect() if r.workflow_id == "w")
     assert [p for p, _ in parts] == [0, 1] and parts[1][1] == {"c1": ["t4"], "c2": ["x"]}
+
+
+def test_edges_of_chains_longer_than_a_window(spark):
+    rows = [("r", "c", i, f"n{i}") for i in range(1, 12)] + [("r", "d", 1, "x"), ("s", "c", 1, "y"), ("s", "c", 2, "z")]
+    chains = spark.createDataFrame(rows, "run string, chain_id string, step_pos bigint, node string")
+    for chunk in (1, 2, 5, 100):
+        got = sorted((r.run, r.chain_id, r.source_pos, r.source, r.destination) for r in wf.chain_edges(chains, "node", chunk).collect())
+        assert got == [("r", "c", i, f"n{i}", f"n{i + 1}") for i in range(1, 11)] + [("s", "c", 1, "y", "z")]
