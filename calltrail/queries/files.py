@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from calltrail.plans import sft
 from calltrail.plans import workflows as wf
-from calltrail.queries.base import STEPS_SQL, query, steps, table
+from calltrail.plans import traces as tr
+from calltrail.queries.base import STEPS_SQL, query, selections, steps, table
 from calltrail.session import scratch_dir
 from calltrail.sources import readers, writers
 
@@ -104,3 +105,93 @@ def merged_sets(spark, sf_dir):
         docs.select("sample_id", "text", F.lit("first").alias("origin")),
         docs.select("sample_id", F.col("lang").alias("text"), F.lit("second").alias("origin")),
     ])
+
+
+ITERATIONS_SQL = """
+it AS (
+  SELECT user_id AS seed, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS iteration, event_id, event_type, value,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+@query("trace_files", f"""WITH {ITERATIONS_SQL}
+SELECT seed, iteration, count(*) AS n_executions, count(*) FILTER (event_type <> 'error') AS n_success,
+       count(*) FILTER (event_type = 'error') AS n_failed, CAST(sum(k % 4) AS BIGINT) AS n_tool_calls, CAST(count(*) AS INTEGER) AS n_proposals,
+       CASE WHEN max_by(k, event_id) % 4 = 0 THEN 'create_new_chain' ELSE 'update_chain_api_use_chain_1' END AS action
+FROM it GROUP BY seed, iteration""")
+def trace_files(spark, sf_dir):
+    """A trace document for each run, written, read back and summed up by iteration."""
+    events = selections(spark, sf_dir).select(
+        F.col("run").cast("bigint").alias("seed"), F.unix_date(F.to_date("ts")).alias("iteration"), F.col("event_id").alias("id"),
+        (F.col("event_type") != "error").alias("success"), "k", "event_type",
+    )
+    name = F.col("id").cast("string")
+    proposal = F.struct(name.alias("id"), F.col("event_type").alias("instruction"))
+    step = F.when(F.col("success"), F.struct(F.concat(F.lit("tool_"), F.col("k").cast("string")).alias("tool"), F.lit("{}").alias("tool_input")))
+    execution = F.struct(name.alias("proposal_id"), "success", (F.col("k") % 4).alias("num_tool_calls"), step.alias("api_call_step"))
+    days = events.groupBy("seed", "iteration").agg(
+        F.sort_array(F.collect_list(proposal)).alias("proposals"), F.sort_array(F.collect_list(execution)).alias("executions"),
+        F.max_by("k", "id").alias("k"),
+    )
+    chain = F.struct(F.when(F.col("k") % 4 == 0, "-1").otherwise("api_use_chain_1").alias("which_chain"))
+    iteration = F.struct("iteration", "proposals", "executions", chain.alias("selection"))
+    documents = days.groupBy("seed").agg(F.count(F.lit(1)).alias("total_iterations"), F.sort_array(F.collect_list(iteration)).alias("iterations"))
+    path = scratch_dir(spark, "traces")
+    writers.write_documents(documents.withColumn("run", F.col("seed")), path, "run")
+    rows = readers.read_traces(spark, f"{path}/*").withColumn("run", F.col("seed"))
+    counts = tr.execution_counts(rows.select("run", "iteration", F.explode("executions").alias("e")).select("run", "iteration", "e.*"))
+    told = rows.select("run", "iteration", F.size("proposals").alias("n_proposals"), tr.selection_label(F.col("selection.which_chain")).alias("action"))
+    return counts.join(told, ["run", "iteration"]).withColumnRenamed("run", "seed")
+
+
+@query("run_metadata_files", f"""WITH {ITERATIONS_SQL}
+SELECT seed, count(*) AS successful_requests, CAST(sum(k * 11) AS BIGINT) AS total_tokens, round(sum(k) / 100.0, 6) AS total_cost_usd,
+       CAST(sum(k % 4) AS INTEGER) AS tool_call_count
+FROM it GROUP BY seed""")
+def run_metadata_files(spark, sf_dir):
+    """Metadata of each run, in the one layout or the other, written and read back."""
+    runs = selections(spark, sf_dir).groupBy(F.col("run").cast("bigint").alias("seed")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.sum(F.col("k") % 4).alias("tool_call_count")
+    )
+    cost = F.struct((F.col("k") * 11).alias("total_tokens"), F.col("n").alias("successful_requests"), (F.col("k") / 100).alias("total_cost"))
+    costs = F.struct((F.col("k") * 11).alias("total_tokens"), F.col("n").alias("successful_requests"), (F.col("k") / 100).alias("total_cost_usd"))
+    old = F.col("seed") % 2 == 0
+    documents = runs.select("seed", "tool_call_count", F.when(old, cost).alias("cost"), F.when(~old, costs).alias("llm_costs"), F.col("seed").alias("run"))
+    path = scratch_dir(spark, "metadata")
+    writers.write_documents(documents, path, "run")
+    out = readers.read_run_metadata(spark, f"{path}/*")
+    return out.select("seed", "successful_requests", "total_tokens", F.round("total_cost_usd", 6).alias("total_cost_usd"), "tool_call_count")
+
+
+@query("catalog_files", """
+SELECT md5(p_name || p_partkey) AS hash, p_type AS category, p_brand AS tool, p_name || '#' || CAST(p_partkey AS VARCHAR) AS api FROM part""")
+def catalog_files(spark, sf_dir):
+    """The catalog as nested JSON documents and as hash maps, one of each for a category, read back and joined."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_type").alias("category"), F.col("p_brand").alias("tool"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("api"),
+        F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("hash"),
+    )
+    lists = part.groupBy("category", "tool").agg(F.sort_array(F.collect_list("api")).alias("apis"))
+    tools = lists.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("tool", "apis"))).alias("tools"))
+    path = scratch_dir(spark, "catalog")
+    one_each = lambda df, name: df.repartition("folder").write.partitionBy("folder").text(f"{path}/{name}")
+    one_each(tools.select(F.md5("category").alias("folder"), F.to_json(F.create_map("category", "tools")).alias("value")), "nested")
+    hashes = part.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("hash", "api"))).alias("names"))
+    one_each(hashes.select(F.md5("category").alias("folder"), F.to_json("names").alias("value")), "names")
+    nested = readers.read_nested_catalog(spark, f"{path}/nested/*")
+    return nested.join(readers.read_name_map(spark, f"{path}/names/*", value="api"), "api").select("hash", "category", "tool", "api")
+
+
+@query("training_files", """
+SELECT 'system:' || lang || '|user:' || CAST(doc_id AS VARCHAR) || '|assistant:' || source AS messages, CAST(count(*) AS BIGINT) AS n
+FROM documents GROUP BY ALL""")
+def training_files(spark, sf_dir):
+    """Half of the samples as messages, half as columns, written as JSON lines and read as one training set."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("system"), F.col("doc_id").cast("string").alias("user"), F.col("source").alias("assistant"), (F.col("doc_id") % 2 == 0).alias("flat")
+    )
+    turns = F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("content")) for c in ("system", "user", "assistant")])
+    columns = [F.when(F.col("flat"), F.col(c)).alias(c) for c in ("system", "user", "assistant")]
+    path = scratch_dir(spark, "training")
+    writers.write_json_records(docs.select(F.when(~F.col("flat"), turns).alias("messages"), *columns), path)
+    shown = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return readers.read_training_set(spark, path).groupBy(shown.alias("messages")).agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,14 @@ def write_split(samples: DataFrame, path: str, columns: list[str], positive: str
         listed.select(F.col("sample_id").cast("string")).write.mode("overwrite").text(f"{path}/{part}.txt")
 
 
+def write_documents(records: DataFrame, path: str, key: str) -> None:
+    """One JSON document a file, null fields left out, in a folder for each `key`; readers take {path}/*.
+
+    For document formats, which cannot hold two documents in a file. `key` is unique and not part of the document.
+    """
+    records.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
 def write_json_records(records: DataFrame, path: str) -> None:
     """One JSON object per line, null fields left out."""
     records.write.mode("overwrite").json(path)
