@@ -127,17 +127,21 @@ def path_key(path: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[0-9]+", " # "), r" +", " "))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], hidden: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page.
 
     Pages that no rule fits get the verdict of a multinomial naive Bayes classifier with Laplace
     smoothing, trained on all pages that a rule decides; score is its log odds of block, rounded to
     9 digits. Tokens never seen in training say nothing. A score of 0 or less allows, and so does a
     training set without one of the classes. Null urls have an empty host and path and are judged by
-    the class sizes. Each row gives a row, also when it repeats; an empty table gives none.
+    the class sizes. Each row gives a row, also when it repeats; an empty table gives none. Where `hidden`, an
+    expression on page_id, holds, the classifier does not see the rule's verdict and judges the page itself. Other
+    columns than page_id, url and html are not read, whatever their names.
     """
     cut = with_host_and_path(pages)
     rule, said = rule_of(rules, F.col("host"), F.col("path"))
+    if hidden is not None:
+        said = F.when(~hidden, said)
     judged = cut.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), path_key(F.col("path")).alias("path_key"))
     judged = materialize(judged, "judged-urls")
     sites = judged.groupBy("host", "path_key").agg(
@@ -166,3 +170,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         found, score = judged, F.lit(0.0)
     verdict = F.coalesce("said", F.when(score > 0, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("said").isNull(), score).alias("score"))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], fold: int = 5) -> DataFrame:
+    """truth, verdict, n: what the classifier says of the pages that a rule decides, each fold-th of them held out of its training."""
+    hidden = F.pmod(F.xxhash64("page_id"), F.lit(fold)) == 0
+    _, truth = rule_of(rules, F.col("host"), F.col("path"))
+    judged = judge_urls(pages, rules, hidden).where(hidden).withColumn("truth", truth).where("truth is not null")
+    return judged.groupBy("truth", "verdict").agg(F.count(F.lit(1)).alias("n"))
