@@ -288,3 +288,12 @@ def test_the_start_of_smallest_determinant_wins(spark):
     assert np.abs(np.array(got["center"])).max() < 0.5
     estimate = quality.fit(rows).withColumn("start", F.lit(0))
     assert quality.c_step(rows, estimate).head()["logdet"] >= got["logdet"] - quality.SMALLER
+
+
+def test_held_out_pages_get_the_verdict_of_their_rule(spark):
+    from calltrail.llm.queries import URL_RULES
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    told = {(r.truth, r.verdict): r.n for r in urls.held_out(pages, URL_RULES).collect()}
+    right = told.get(("allow", "allow"), 0) + told.get(("block", "block"), 0)
+    assert sum(told.values()) > 150 and right >= 0.9 * sum(told.values())
