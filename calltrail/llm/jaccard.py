@@ -283,9 +283,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, class_id, n, tokens) of the documents in `wanted`(id), computed from their texts.
+    """(id, class_id, n, tokens) of the sets in `wanted`(id, class_id), computed from the texts.
 
-    A bitmap of fixed size holds back most other texts; a join on the ids drops the rest.
+    A bitmap of fixed size holds back most other texts; a join drops the rest.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(BLOOM_BITS)).alias("bit")
@@ -310,8 +310,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", bit)
     made = rows.mapInArrow(freeing(run, _words), "id bigint, class_id bigint, n bigint, tokens binary")
-    # an id may stand with several texts; each of its sets is kept once
-    return materialize(made.join(wanted, "id", "left_semi").dropDuplicates(["id", "class_id"]), "sets")
+    # an id may stand with several texts, and with one several times; each wanted set is kept once
+    return materialize(made.join(small(wanted), ["id", "class_id"], "left_semi").dropDuplicates(["id", "class_id"]), "sets")
 
 
 def _may_link(n_a: Column, left_a: Column, n_b: Column, left_b: Column) -> Column:
@@ -337,7 +337,8 @@ def _links(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept)) for c in (0, 1)], names=["a", "b"])
 
     side = {k: sets.select(F.col("id").alias(f"id_{k}"), F.col("class_id").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b").where("id_a <> id_b")
+    # the pairs go to the sets, not the sets to the pairs, while they are few
+    both = side["a"].join(small(pairs), "a").join(side["b"], "b").where("id_a <> id_b")
     return both.select("id_a", "id_b", "tokens_a", "tokens_b").mapInArrow(freeing(run), "a bigint, b bigint")
 
 
@@ -387,8 +388,8 @@ def _labels(docs: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     lists = materialize(own, "lists")
     stars = lists.where("class_id <> lead.class_id").where(_may_link(F.col("n"), F.col("left"), F.col("lead.n"), F.col("lead.left")))
     stars = materialize(stars.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b")).distinct(), "star-pairs")
-    wanted = lists.select("class_id").distinct().join(classes, "class_id").select("id").distinct()
-    sets = _sets(docs, wanted).join(classes.select("id", "class_id"), ["id", "class_id"], "left_semi")
+    wanted = materialize(lists.select("class_id").distinct().join(classes.select("id", "class_id"), "class_id"), "wanted")
+    sets = _sets(docs, wanted)
     links = materialize(_links(stars, sets, shared), "links")
     first_labels = components(links)
     of_class = materialize(classes.join(first_labels, "id", "left").select("class_id", F.coalesce("component", "id").alias("label")), "labels")
@@ -402,7 +403,7 @@ def _labels(docs: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
     across = met.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct()
     # stars put the leading class first, whatever its number
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = across.join(tested, ["a", "b"], "left_anti")
+    across = materialize(across.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     more = materialize(_links(across, sets, shared), "links")
     return components(links.unionByName(more))
 
