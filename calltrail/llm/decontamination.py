@@ -22,7 +22,7 @@ MASKS = ("110110101", "101110011")  # 1: the token counts, 0: it may differ
 MIN_SCORE = 8  # equal less different tokens of the best stretch; all tokens of a shorter item
 SHORTEST = 4  # tokens of an item that is looked for; a shorter one ("yes") stands in clean texts too
 #: Characters of scripts that put no blanks between words; each is a token.
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+_UNSPACED = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}])"
 
 
 def tokens(text: Column) -> Column:
