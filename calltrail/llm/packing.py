@@ -180,7 +180,8 @@ def placed_runs(counts: DataFrame, capacity: int) -> DataFrame:
 
     Pieces of more than half the capacity open a sequence each; where a round places nothing, the rest opens
     as many sequences as its tokens need. A round reads and writes tables of runs, which do not grow with the
-    pieces: there are no more lengths and gaps than the capacity has values, and joined runs of each.
+    pieces: there are no more lengths and gaps than the capacity has values, and joined runs of each. Such a table is
+    one partition, so a round is one task and has nothing to shuffle.
     """
     spark = counts.sparkSession
     state = materialize(counts.select(
@@ -195,15 +196,16 @@ def placed_runs(counts: DataFrame, capacity: int) -> DataFrame:
         ).head()
         if not left:
             break
+        state = state.coalesce(1)
         gaps = _joined(state.where(F.col("kind") == GAP), ["kind", "value"], "start")
         runs = state.where(F.col("kind") == PIECE).select("kind", "value", "start", "n").unionByName(gaps.select("kind", "value", "start", "n"))
         if not placed:
             opened = wide or -(-tokens // capacity)
             runs = runs.unionByName(spark.createDataFrame([(GAP, capacity, sequences, opened)], "kind string, value bigint, start bigint, n bigint"))
             sequences += opened
-        state = materialize(sweep(runs), "runs")
+        state = materialize(sweep(runs.coalesce(1)).coalesce(1), "runs")
         rounds.append(state)
-    every = reduce(DataFrame.unionByName, rounds).where(F.col("kind") == PLACED)
+    every = reduce(DataFrame.unionByName, rounds).where(F.col("kind") == PLACED).coalesce(1)
     return _joined(every.drop("kind"), ["value", "gap"], "start", "sequence")
 
 
