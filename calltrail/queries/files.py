@@ -64,20 +64,22 @@ BROKEN = """CASE CAST(id AS BIGINT) % 7
   WHEN 2 THEN replace(text, '"query": "Order', '"query": 1, "was": "Order')
   WHEN 3 THEN replace(text, '"response": "done"', '"reply": "done"')
   WHEN 4 THEN replace(text, '"chain_id": ', '"name": ')
+  WHEN 5 THEN replace(text, '"intermediate_steps": [', '"intermediate_steps": [["no result"], ')
   ELSE text END"""
 
 
 @query("malformed_rejects", f"""WITH {STEPS_SQL}, ids AS (SELECT DISTINCT workflow_id AS id FROM steps)
 SELECT CAST(id AS VARCHAR) AS id, CASE id % 7 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'query is not a text'
        WHEN 3 THEN 'response is not a text' ELSE 'malformed chain' END AS reason
-FROM ids WHERE id % 7 IN (1, 2, 3, 4)""")
+FROM ids WHERE id % 7 IN (1, 2, 3, 4, 5)""")
 def malformed_rejects(spark, sf_dir):
     broken = workflow_documents(spark, sf_dir).select("id", F.expr(BROKEN).alias("text"))
     return readers.parse_workflows(broken)[1]
 
 
 @query("file_roundtrip", """
-SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       CAST(sum(doc_id % 97 * CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)) AS BIGINT) AS digest
 FROM documents GROUP BY ALL""")
 def file_roundtrip(spark, sf_dir):
     """Samples written as train and test JSON lines with id lists, read back and matched."""
@@ -92,7 +94,8 @@ def file_roundtrip(spark, sf_dir):
         rows = readers.read_jsonl(spark, f"{folder}/{part}.jsonl", "sample_id BIGINT, text STRING")
         both = sft.by_ids(ids, [rows]).withColumn("split", F.lit(part))
         out = both if out is None else out.unionByName(both)
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    digest = F.sum(F.col("sample_id") % 97 * F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint"))
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), digest.alias("digest"))
 
 
 @query("merged_sets", """

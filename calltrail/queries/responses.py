@@ -89,6 +89,8 @@ STRUCTURED = [
      "concat('JSON ''meta.status'' is error code: ', 500 + n_chars % 10)"),
     ("""concat('{"text": ', quoted, ', "Error": "Invalid token for ', lang, '"}')""", "'Invalid input'"),
     ("""concat('[', quoted, ', {"n": ', n_chars, '}]')""", None),
+    ("""concat('{"text": ', quoted, ', "x": 1, "success": "False", "y": 2}')""", "'JSON ''success'' field is false'"),
+    ("""concat('{"text": ', quoted, ', "x": 1, "ok": false, "y": 2}')""", "'JSON ''ok'' field is false'"),
 ]
 
 

@@ -201,9 +201,16 @@ checks AS (
   FROM judged GROUP BY conv_id)"""
 
 
-@query("role_checks", f"WITH {ROLE_SQL} SELECT conv_id, n_messages, has_system, n_breaches FROM checks")
+BREACH = "conv_id % 3 = 0 AND turn % 4 = 1"  # turns whose role is turned round
+
+
+@query("role_checks", f"""WITH {ROLE_SQL.replace('FROM conversations', f"FROM (SELECT conv_id, turn, text, CASE WHEN {BREACH} THEN CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END ELSE role END AS role FROM conversations)")}
+SELECT conv_id, n_messages, has_system, n_breaches FROM checks""")
 def role_checks(spark, sf_dir):
-    return sft.role_checks(_turns(spark, sf_dir), "conv_id", [F.col("turn")], F.col("turn"))
+    """Some turns of every third conversation have the wrong role."""
+    other = F.when(F.col("role") == "user", "assistant").otherwise("user")
+    turns = _turns(spark, sf_dir).withColumn("role", F.when(F.expr(BREACH), other).otherwise(F.col("role")))
+    return sft.role_checks(turns, "conv_id", [F.col("turn")], F.col("turn"))
 
 
 @query("chat_rendered", rf"""WITH {ROLE_SQL},
