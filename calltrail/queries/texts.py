@@ -28,16 +28,21 @@ def padded_ids(spark, sf_dir):
     )
 
 
-@query("unique_ids", "SELECT count(*) AS n, count(*) AS n_ids, CAST(6 AS INTEGER) AS shortest, CAST(6 AS INTEGER) AS longest FROM orders")
-def unique_ids(spark, sf_dir):
-    keys = table(spark, sf_dir, "orders").select("o_orderkey")
-    out = text.unique_ids(keys, "o_orderkey", seed=42)
-    # ids are unique by construction, so distinct ids are counted by grouping, not collected
-    per_id = out.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    return per_id.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.min(F.length("id")).alias("shortest"),
-        F.max(F.length("id")).alias("longest"),
+def _drawn_sql(salt: int) -> str:
+    """Six characters from md5 of seed, key and salt."""
+    letters = (
+        f"substr('{text.ID_ALPHABET}', CAST(CAST('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR) || '|{salt}'), {1 + 4 * i}, 4) AS BIGINT) % {len(text.ID_ALPHABET)} AS INTEGER) + 1, 1)"
+        for i in range(6)
     )
+    return " || ".join(letters)
+
+
+# the smallest key keeps an id that several drew; the others draw again
+@query("unique_ids", f"""
+WITH first AS (SELECT o_orderkey, {_drawn_sql(0)} AS id, {_drawn_sql(1)} AS next_id FROM (SELECT DISTINCT o_orderkey FROM orders))
+SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY o_orderkey) = 1 THEN id ELSE next_id END AS id FROM first""")
+def unique_ids(spark, sf_dir):
+    return text.unique_ids(table(spark, sf_dir, "orders").select("o_orderkey").distinct(), "o_orderkey", seed=42)
 
 
 @query("fenced_json", """
