@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +31,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder named by spark.checkpoint.dir.
+    """A new folder under the shared folder named by spark.checkpoint.dir, in the one of this application.
 
-    Only a local session may go without the setting; it then gets a temporary folder,
+    Only a local session may go without the setting; it then gets a temporary folder, removed at the end,
     because driver and executors are one process there.
     """
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Removes the intermediate tables of this application. Call it once the results are written: they may still be read before."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def _scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -41,8 +53,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         if context.applicationId not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="calltrail-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[context.applicationId], ignore_errors=True)
         root = _LOCAL_ROOTS[context.applicationId]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{context.applicationId}"
 
 
 def materialize(df, name: str):

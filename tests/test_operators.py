@@ -222,3 +222,13 @@ def test_equal_rows_cannot_be_cut_and_nothing_hot_needs_no_cut(spark):
     assert hot_keys(rows, ["k"], 50) is None and slices(rows.limit(0), ["k"], F.col("at"), 5).hot is None
     plan = running_count(slices(rows, ["k"], F.col("at")).mark(rows), ["k"], [F.col("at")], slices(rows, ["k"], F.col("at")), "n")
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scratch_tables_are_removed_on_request(spark, tmp_path, monkeypatch):
+    from calltrail import session
+
+    monkeypatch.setitem(session._LOCAL_ROOTS, spark.sparkContext.applicationId, str(tmp_path))
+    assert session.materialize(spark.range(3), "x").count() == 3
+    assert session.scratch_dir(spark, "x") != session.scratch_dir(spark, "x")
+    assert len(list(tmp_path.iterdir())) == 1 and session.clear_scratch(spark)
+    assert not list(tmp_path.iterdir())
