@@ -113,3 +113,4 @@ ORACLES["op3_quotation_linking"] = quotations.ORACLE
 ORACLES["op7_sharding"] = sharding.ORACLE
 ORACLES["op10_ngram_jaccard"] = jaccard.ORACLE
 ORACLES["op11_source_divergence"] = divergence.ORACLE
+ORACLES["op13_conversation_repair"] = repair.ORACLE

@@ -352,3 +352,71 @@ def audit_conversations(rows: DataFrame, ids: DataFrame | None = None, chunk_row
 def audit_damaged(conversations: DataFrame) -> DataFrame:
     """The audit of `conversations` after `damage`, for each of its conversations."""
     return audit_conversations(damage(conversations), conversations)
+
+
+_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda s: CAST(ascii(s) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) %% 20 AS kind
+  FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds JOIN (SELECT unnest([0, 1]) AS copy) ON copy = 0 OR kind = 3 WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM damaged),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM placed),
+judged AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM ranked),
+codes AS (
+  SELECT conv_id, pos, role || ':' || text AS line, text, left(role, 1) AS k, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS forced,
+         CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+-- the cheapest rest from start (o), after a system (s), a user (u) and an assistant turn (a): cost, audit, lines
+plan AS (
+  SELECT conv_id, max(pos) + 1 AS pos, {'c': CAST(0 AS BIGINT), 'e': '', 't': ''} AS o, {'c': CAST(10 AS BIGINT), 'e': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS s,
+         {'c': CAST(5 AS BIGINT), 'e': 'I', 't': 'assistant:'} AS u, {'c': CAST(0 AS BIGINT), 'e': '', 't': ''} AS a FROM codes GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, %(o)s, %(s)s, %(u)s, %(a)s FROM (
+    SELECT p.conv_id, r.pos,
+           list_sort([%(od)s, %(ok)s, %(os)s, %(or)s])[1] AS o, list_sort([%(sd)s, %(sk)s, %(sr)s])[1] AS s,
+           list_sort([%(ud)s, %(uk)s, %(ur)s])[1] AS u, list_sort([%(ad)s, %(ak)s, %(ar)s])[1] AS a
+    FROM plan p JOIN codes r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.pos = p.pos - 1)),
+counts AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(plan.o.c, 0) AS cost, coalesce(plan.o.e, '') AS audit, sha256(coalesce(plan.o.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN plan ON plan.conv_id IS NOT DISTINCT FROM ids.conv_id AND plan.pos = 0"""
+
+
+def _oracle() -> str:
+    """SQL that finds the cheapest edits backward, row by row, with whole audits and lines."""
+
+    def option(after: str, edit: str, cost: str, line: str | None, when: str | None = None) -> str:
+        rest = f"p.{after}.t" if line is None else f"{line} || CASE WHEN p.{after}.e SIMILAR TO 'D*' THEN '' ELSE chr(10) END || p.{after}.t"
+        made = f"{{'c': p.{after}.c + {cost}, 'e': '{edit}' || p.{after}.e, 't': {rest}}}"
+        never = f"{{'c': CAST({_FAR} AS BIGINT), 'e': '', 't': ''}}"
+        return made if when is None else f"CASE WHEN {when} THEN {made} ELSE {never} END"
+
+    def inserted(state: str, after: str, name: str) -> str:
+        more = f"CASE WHEN {after}.e SIMILAR TO 'D*' THEN '' ELSE chr(10) END || {after}.t"
+        return f"list_sort([{state}, {{'c': {after}.c + {INSERT}, 'e': 'I' || {after}.e, 't': '{name}:' || {more}}}])[1]"
+
+    parts = {"os": option("s", "K", "r.extra", "r.line", "NOT r.forced AND r.k = 's'")}
+    for state, after, name in (("o", "u", "user"), ("s", "u", "user"), ("u", "a", "assistant"), ("a", "u", "user")):
+        parts[state + "d"] = option(state, "D", str(DELETE), None)
+        parts[state + "k"] = option(after, "K", "r.extra", "r.line", f"NOT r.forced AND r.k = '{after}'")
+        parts[state + "r"] = option(after, "R", f"{REROLE} + r.extra", f"'{name}:' || r.text", "NOT r.forced")
+    user, assistant = inserted("u", "a", "assistant"), inserted("a", "u", "user")
+    parts |= {"u": user, "a": assistant, "o": inserted("o", f"({user})", "user"), "s": inserted("s", f"({user})", "user")}
+    return _SQL % parts
+
+
+ORACLE = _oracle()

@@ -137,3 +137,14 @@ def test_a_conversation_without_rows_left(spark):
 def test_bigint_turns(spark):
     rows = [(1, -(2**63), "user", "Hi."), (1, 2**63 - 1, "assistant", "Yes.")]
     assert repair.audit_conversations(table(spark, rows, COLUMNS)).head()["gaps"] is None
+
+
+def test_sql_finds_the_same_repair():
+    import duckdb
+
+    rows = drawn(4, 60, 9) + [(None, None, None, None), (None, 3, "user", "Yes.")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = {r[0]: r[1:] for r in con.execute(repair.ORACLE).fetchall()}
+    assert got == expected(damaged(rows), {r[0] for r in rows})

@@ -98,8 +98,8 @@ def test_cut_leaves_only_the_first_piece_short():
 
 def test_rounds_are_as_tight_as_best_fit_decreasing(spark):
     draw = random.Random(2)
-    for capacity in (50, 300):
-        sizes = [min(capacity, 1 + int(draw.expovariate(3 / capacity))) for _ in range(5000)]
+    for capacity in (50, 200):
+        sizes = [min(capacity, 1 + int(draw.expovariate(3 / capacity))) for _ in range(2000)]
         counts = {v: sizes.count(v) for v in set(sizes)}
         runs = packing.placed_runs(spark.createDataFrame(list(counts.items()), "value bigint, n bigint"), capacity)
         placed = [(r.value, r.start, r.sequence, capacity - r.gap, r.n) for r in runs.collect()]
