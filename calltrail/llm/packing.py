@@ -4,8 +4,8 @@ Pieces are range-sorted by length and ranked inside their length. A round sweeps
 from large to small: a piece takes the smallest open gap that holds it, a gap takes one piece a
 round, and rank inside a run of equal lengths or equal gaps settles conflicts. Then gaps are updated
 and the round repeats. Equal lengths and equal gaps are interchangeable, so lengths and gaps are tables
-of runs (value, first, count), and the successor of every piece is found by running sums over them: on
-the line from large to small a gap goes onto a stack and a piece takes the one on top.
+of runs (value, first, count), of which there are no more than the capacity has values. One task sweeps
+over these runs; pieces meet their place by length and rank wherever they are.
 """
 
 from __future__ import annotations
@@ -13,18 +13,16 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltrail.llm.ranks import each_text, small, with_rank
 from calltrail.session import materialize
 
 END_ID = 0  # closes every document
-GAP, PIECE, PLACED = "gap", "piece", "placed"  # kinds of runs
 _WORKER: dict[str, object] = {}
 
 
@@ -99,114 +97,70 @@ def pieces_of(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
-def _spans(runs: DataFrame) -> DataFrame:
-    """`runs`(kind, value, start, n) on one line from large to small, each with the places [lo, hi) of a stack it fills or empties.
+def sweep_rounds(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(value, start, n, sequence, gap) from the counts of every length: pieces from rank `start` on, into the
+    sequences from `sequence` on, whose room is `gap`.
 
-    A gap goes onto the stack, a piece takes the gap on top, which is the smallest that holds it. The stack's
-    height is a running sum, less its lowest value below zero: pieces for which no gap is left.
+    On the line from large to small a gap goes onto a stack and a piece takes the one on top, the smallest that
+    holds it. Pieces of more than half the capacity open a sequence each; where a round places nothing, the
+    rest opens as many sequences as its tokens need.
     """
-    line = Window.orderBy(F.desc("value"), "kind", "start")  # at one value gaps come before pieces
-    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    step = F.when(F.col("kind") == GAP, F.col("n")).otherwise(-F.col("n"))
-    told = runs.withColumn("step", step).withColumn("at", F.row_number().over(line)).withColumn("sum", F.sum("step").over(upto))
-    height = F.col("sum") - F.least(zero, F.min("sum").over(upto))
-    earlier = F.col("sum") - F.col("step") - F.least(zero, F.coalesce(F.min("sum").over(before), zero))
-    told = told.withColumn("after", height).withColumn("before", earlier)
-    return told.select("kind", "value", "start", "n", "at", F.least("before", "after").alias("lo"), F.greatest("before", "after").alias("hi"))
-
-
-def _segments(spans: DataFrame) -> DataFrame:
-    """`spans` cut at all their ends: lo, hi become those of the span, place and size those of a segment.
-
-    Spans and cuts meet on stretches of the stack, 64 in all, so the join has keys.
-    """
-    whole = Window.partitionBy()
-    width = F.greatest(F.floor(F.max("hi").over(whole) / 64) + 1, F.lit(1))
-    spans = spans.where("hi > lo").withColumn("width", width)
-    cuts = spans.select("width", F.explode(F.array("lo", "hi")).alias("place")).distinct()
-    cuts = cuts.withColumn("size", F.lead("place").over(Window.orderBy("place")) - F.col("place")).where("size is not null")
-    cuts = cuts.select("place", "size", F.floor(F.col("place") / F.col("width")).alias("stretch"))
-    stretches = F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))
-    return spans.withColumn("stretch", F.explode(stretches)).join(cuts, "stretch").where("place >= lo and place < hi")
-
-
-def sweep(runs: DataFrame) -> DataFrame:
-    """One round: (kind, value, start, n, sequence, gap) from `runs`(kind, value, start, n).
-
-    PIECE runs are lengths with the rank of their first open piece, GAP runs are room left in sequences that
-    follow each other from `start`. At one place of the stack gaps and pieces come in turn, so a piece has the
-    gap just before it. The rows returned are the open pieces, the gaps after the round and the PLACED
-    runs: pieces from rank `start` on, into the sequences from `sequence` on, whose room was `gap`.
-    """
-    spans = _spans(runs)
-    left = F.col("n") - (F.col("hi") - F.col("lo"))
-    none = F.lit(None).cast("bigint")
-    open_pieces = spans.where((F.col("kind") == PIECE) & (left > 0)).select(
-        "kind", "value", (F.col("start") + F.col("n") - left).alias("start"), left.alias("n"), none.alias("sequence"), none.alias("gap")
-    )
-    place = Window.partitionBy("place").orderBy("at")
-    here = F.col("start") + F.col("place") - F.col("lo")
-    met = _segments(spans).withColumn("here", here)
-    met = met.withColumn("gap", F.lag("value").over(place)).withColumn("sequence", F.lag("here").over(place))
-    met = met.withColumn("taken", F.lead("at").over(place).isNotNull())
-    kinds = [
-        F.when((F.col("kind") == GAP) & ~F.col("taken"), _run(GAP, "value", "here")),
-        F.when(F.col("kind") == PIECE, _run(PLACED, "value", "here", "sequence", "gap")),
-        F.when((F.col("kind") == PIECE) & (F.col("gap") > F.col("value")), _run(GAP, F.col("gap") - F.col("value"), "sequence")),
-    ]
-    found = met.select(F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("r")).select("r.*")
-    return found.unionByName(open_pieces)
-
-
-def _run(kind: str, value: Column | str, start: str, sequence: str | None = None, gap: str | None = None) -> Column:
-    none = F.lit(None).cast("bigint")
-    return F.struct(
-        F.lit(kind).alias("kind"), (F.col(value) if isinstance(value, str) else value).alias("value"), F.col(start).alias("start"),
-        F.col("size").alias("n"), (F.col(sequence) if sequence else none).alias("sequence"), (F.col(gap) if gap else none).alias("gap"),
-    )
-
-
-def _joined(runs: DataFrame, keys: list[str], *along: str) -> DataFrame:
-    """Runs that continue each other in all columns of `along` as one; `n` is their length."""
-    order = Window.partitionBy(*keys).orderBy(along[0])
-    so_far = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    islands = runs.withColumns({f"_{c}": F.col(c) - so_far for c in along})
-    return islands.groupBy(*keys, *[f"_{c}" for c in along]).agg(*[F.min(c).alias(c) for c in along], F.sum("n").alias("n"))
+    left = dict(counts)
+    rank = dict.fromkeys(left, 0)
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    placed: list[tuple[int, int, int, int, int]] = []
+    sequences = 0
+    while left:
+        stack: list[tuple[int, int, int]] = []
+        changed: list[tuple[int, int, int]] = []
+        progress = False
+        for value in sorted(set(gaps) | set(left), reverse=True):
+            stack += [(value, first, n) for first, n in gaps.get(value, ())]
+            need = left.get(value, 0)
+            while need and stack:
+                gap, first, n = stack.pop()
+                take = min(need, n)
+                placed.append((value, rank[value], take, first, gap))
+                changed.append((gap - value, first, take))
+                if take < n:
+                    stack.append((gap, first + take, n - take))
+                rank[value] += take
+                need -= take
+                progress = True
+            if value in left:
+                left[value] = need
+        left = {v: n for v, n in left.items() if n}
+        if progress:
+            gaps = {}
+            for gap, first, n in sorted(stack + changed, key=lambda r: (r[0], r[1])):
+                if gap:
+                    runs = gaps.setdefault(gap, [])
+                    if runs and sum(runs[-1]) == first:
+                        runs[-1] = (runs[-1][0], runs[-1][1] + n)
+                    else:
+                        runs.append((first, n))
+        elif left:
+            wide = sum(n for v, n in left.items() if 2 * v > capacity)
+            opened = wide or -(-sum(v * n for v, n in left.items()) // capacity)
+            gaps.setdefault(capacity, []).append((sequences, opened))
+            sequences += opened
+    return placed
 
 
 def placed_runs(counts: DataFrame, capacity: int) -> DataFrame:
     """(value, start, n, sequence, gap) from counts(value, n): where runs of equal pieces go.
 
-    Pieces of more than half the capacity open a sequence each; where a round places nothing, the rest opens
-    as many sequences as its tokens need. A round reads and writes tables of runs, which do not grow with the
-    pieces: there are no more lengths and gaps than the capacity has values, and joined runs of each. Such a table is
-    one partition, so a round is one task and has nothing to shuffle.
+    The table of counts has no more rows than the capacity has values, however many pieces there are; it is
+    one partition, and one task sweeps over it until all runs are placed.
     """
-    spark = counts.sparkSession
-    state = materialize(counts.select(
-        F.lit(PIECE).alias("kind"), "value", F.lit(0).cast("bigint").alias("start"), "n", *[F.lit(None).cast("bigint").alias(c) for c in ("sequence", "gap")]
-    ), "runs")
-    rounds, sequences = [state], 0
-    while True:
-        left, placed, wide, tokens = state.agg(
-            F.coalesce(F.sum(F.when(F.col("kind") == PIECE, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == PLACED),
-            F.coalesce(F.sum(F.when((F.col("kind") == PIECE) & (2 * F.col("value") > capacity), F.col("n"))), F.lit(0)),
-            F.coalesce(F.sum(F.when(F.col("kind") == PIECE, F.col("value") * F.col("n"))), F.lit(0)),
-        ).head()
-        if not left:
-            break
-        state = state.coalesce(1)
-        gaps = _joined(state.where(F.col("kind") == GAP), ["kind", "value"], "start")
-        runs = state.where(F.col("kind") == PIECE).select("kind", "value", "start", "n").unionByName(gaps.select("kind", "value", "start", "n"))
-        if not placed:
-            opened = wide or -(-tokens // capacity)
-            runs = runs.unionByName(spark.createDataFrame([(GAP, capacity, sequences, opened)], "kind string, value bigint, start bigint, n bigint"))
-            sequences += opened
-        state = materialize(sweep(runs.coalesce(1)).coalesce(1), "runs")
-        rounds.append(state)
-    every = reduce(DataFrame.unionByName, rounds).where(F.col("kind") == PLACED).coalesce(1)
-    return _joined(every.drop("kind"), ["value", "gap"], "start", "sequence")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (0, 1)))]
+        columns = list(zip(*sweep_rounds(rows, capacity))) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["value", "start", "n", "sequence", "gap"])
+
+    schema = "value bigint, start bigint, n bigint, sequence bigint, gap bigint"
+    return counts.select("value", "n").coalesce(1).mapInArrow(run, schema)
 
 
 def place(ranked: DataFrame, runs: DataFrame, capacity: int) -> DataFrame:
