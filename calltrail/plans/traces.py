@@ -40,11 +40,16 @@ def proposal_checks(proposals: DataFrame, pool: DataFrame | None = None, max_api
     """Per iteration: is the proposal set usable?
 
     proposals(run, iteration, proposal_id, api), one row per proposed api, a null api allowed. One
-    proposal with too many apis, or one api outside `pool`(run, iteration, api), spoils the set. With a
-    pool, `positions`(api, position) numbers the catalog; an api that it does not have is foreign.
+    proposal with too many apis, or one api outside `pool`(run, iteration, api), spoils the set. With
+    `positions`(api, position), a numbered catalog, pools are bitmaps, and an api that it does not have is
+    foreign; without it they are joined by name.
     """
     if pool is None:
         foreign, named = F.lit(False), proposals
+    elif positions is None:
+        known = pool.select(*ITERATION, "api").distinct().withColumn("_in", F.lit(True))
+        named = proposals.join(known, [*ITERATION, "api"], "left")
+        foreign = F.col("api").isNotNull() & F.col("_in").isNull()
     else:
         at = positions.select("api", (F.col("position") + 1).alias("_at"))
         placed = proposals.join(at, "api", "left").withColumn("bucket", F.bitmap_bucket_number("_at"))

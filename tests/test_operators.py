@@ -227,7 +227,7 @@ def test_equal_rows_cannot_be_cut_and_nothing_hot_needs_no_cut(spark):
 def test_scratch_tables_are_removed_on_request(spark, tmp_path, monkeypatch):
     from calltrail import session
 
-    monkeypatch.setitem(session._LOCAL_ROOTS, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(session, "_scratch_root", lambda _: f"{tmp_path}/application")
     assert session.materialize(spark.range(3), "x").count() == 3
     assert session.scratch_dir(spark, "x") != session.scratch_dir(spark, "x")
     assert len(list(tmp_path.iterdir())) == 1 and session.clear_scratch(spark)
