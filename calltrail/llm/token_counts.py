@@ -7,6 +7,7 @@ answer in a cache of the Python worker. Pre-tokens never leave their task.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -31,25 +32,48 @@ _LATIN_END = "ɐ"
 _WORKER: dict[str, object] = {}
 
 
+def counts_by_words(spec: dict) -> bool:
+    """Whether a tokenizer file lower-cases and drops white space before it cuts, so that words count on their own."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if steps != [{"type": "NFC"}, blank, {"type": "Lowercase"}] or not cuts:
+        return False
+    first, *others = cuts
+    pattern = first.get("pattern", {}).get("Regex", "")
+    drops = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and pattern.endswith(r"[^\s\p{L}\p{N}]+")
+    plain = all(o["type"] == "ByteLevel" and not o["add_prefix_space"] and not o["use_regex"] for o in others)
+    return drops and plain and not any(a["lstrip"] or a["rstrip"] or a["normalized"] for a in spec.get("added_tokens") or [])
+
+
 class _Counter:
     """Token counts of whole texts with one tokenizer; lives in a Python worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.cache: dict[str, int] = {}
+        self.specials, self.by_words, self.pieces = [], False, None
+        if path.endswith(".model"):
+            import sentencepiece
+
+            self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            return
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, int] = {}
+        self.by_words = counts_by_words(json.loads(self.tokenizer.to_str()))
 
     def library(self, texts: list[str]) -> list[int]:
+        if self.pieces is not None:
+            return [len(ids) for ids in self.pieces.encode(texts)]
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
         """Whether white space cuts the text into pieces that are counted on their own, in lower case."""
         low = text.lower()  # a piece must not become a special string by it
         return (
-            not any(c in text for c in _ODD)
+            self.by_words and not any(c in text for c in _ODD)
             and not any(s in text or s in low for s in self.specials)
             and (text.isascii() or (max(text) < _LATIN_END and unicodedata.is_normalized("NFC", text)))
         )
@@ -89,6 +113,9 @@ def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
 
     The sample is ranked by one sketch of bounded size: only sketches are shuffled.
     """
+    counter = _counter(path)
+    if not counter.by_words:
+        return {}
     rows = docs.count()
     sample = docs.select("text").sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=17)
     words = sample.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("piece")).where("piece != ''")
@@ -99,7 +126,6 @@ def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
         if room < 0:
             break
         pieces.append(row["item"])
-    counter = _counter(path)
     pieces = [p for p in pieces if counter.plain(p) and p.split() == [p]]
     return dict(zip(pieces, counter.library(pieces))) if pieces else {}
 
@@ -112,7 +138,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, sample_rows: int
     special tokens, as by default. A null or empty text has 0 bytes and 0 tokens. Rows with equal or
     null doc_id each give a row. An empty table gives no rows. Other columns are not read, whatever
     their names. Texts outside Latin script, not in NFC or with special strings in any letter case are
-    encoded whole by the library; the others by the sum over their pre-tokens, which is the same.
+    encoded whole by the library; the others by the sum over their pre-tokens, which is the same. So are all texts
+    under a file of another form, which may keep blanks or letter case (.json), or of sentencepiece (.model).
     """
     table = frequent_pieces(docs, path, sample_rows, table_size)
     packed = zlib.compress("\n".join(table).encode()), bytes(min(n, 255) for n in table.values())
