@@ -31,6 +31,20 @@ def test_counts_equal_the_library(spark):
         assert got[i] == (len((t or "").encode()), n, n > 40), repr(t)[:200]
 
 
+def test_files_of_other_forms_are_counted_by_their_library(spark):
+    import sentencepiece
+
+    texts = strange_texts()[:150] + ["A  b", "Hello  World", "", None, "x\n\ny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    library = Tokenizer.from_file(BYTES)
+    ways = {BYTES: lambda t: len(library.encode(t, add_special_tokens=False).ids), public_tokenizers.path("piece_bpe_32k.model"): lambda t: len(pieces.encode(t))}
+    for path, count in ways.items():
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path).collect()}
+        assert got == {i: count(t or "") for i, t in enumerate(texts)}
+    assert token_counts._Counter(WORDS).by_words and not token_counts._Counter(BYTES).by_words
+
+
 def test_special_strings_in_other_letter_case(spark):
     texts = ["<|ENDOFTEXT|>", "<|EndOfText|> x", "A TEXT <|ENDOFTEXT|> UPPER-CASED<|StartOfText|>", "a <|endoftext|>", "plain words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
