@@ -108,12 +108,23 @@ def _spread(template: Column, digits: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(gaps, F.split(digits, ""), lambda g, d: F.array(g, F.coalesce(d, F.lit(""))))), "")
 
 
+# Numbers that card networks issue, by first digits and length (ISO/IEC 7812). Of other numbers one in ten
+# has a right Luhn sum by chance.
+_ISSUED = (
+    r"^(?:4\d{12}(?:\d{3}){0,2}|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}"
+    r"|35(?:2[89]|[3-8]\d)\d{12,15}|(?:6011|64[4-9]\d|65\d\d|62\d\d)\d{12,15}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15})$"
+)
+_ISSUER = 4  # digits that tell the network and stay
+
+
 def _card(value: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last makes the Luhn sum right again."""
+    """The digits after the network's are permuted, but for the last, which makes the Luhn sum right again."""
     digits = _digits(value)
-    body = _characters(F.substring(digits, F.lit(1), F.length(digits) - 1), key, F.lit("card"))
+    middle = F.substring(digits, F.lit(_ISSUER + 1), F.length(digits) - _ISSUER - 1)
+    body = F.concat(F.substring(digits, 1, _ISSUER), _characters(middle, key, F.lit("card")))
     check = (10 - luhn_sum(body, 0) % 10) % 10
-    return F.when(luhn_sum(digits, 1) % 10 == 0, _spread(value, F.concat(body, check.cast("string")))).otherwise(value)
+    fine = digits.rlike(_ISSUED) & (luhn_sum(digits, 1) % 10 == 0)
+    return F.when(fine, _spread(value, F.concat(body, check.cast("string")))).otherwise(value)
 
 
 def _ipv4(value: Column, key: str) -> Column:
@@ -201,8 +212,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with every personal value of `text` replaced, in all rows and with all columns.
 
     The same key gives the same pseudonyms everywhere. Null and empty texts stay. Emails keep their
-    domain, phone numbers their country code, secrets their prefix; card numbers keep a right Luhn
-    sum and dates stay dates of 1800 to 2199 in their own notation.
+    domain, phone numbers their country code, secrets their prefix; card numbers keep their network and a right
+    Luhn sum, and dates stay dates of 1800 to 2199 in their own notation.
     """
     values, parts = fresh(docs, "_values"), fresh(docs, "_parts")
     # texts without a hint skip the search
