@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calltrail.llm.components import components
-from calltrail.llm.ranks import each_text, fresh, freeing, small
+from calltrail.llm.ranks import each_text, fresh, freeing, small, small_batches
 from calltrail.session import materialize
 
 WIDTH = 5
@@ -361,6 +361,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     are compared by their texts and named by that id. An empty table gives no rows. Other columns
     are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _similar(docs)
+
+
+def _similar(docs: DataFrame) -> DataFrame:
     rows = materialize(_classes(docs), "classes")
     told = rows.where("kind = 0").select("doc_id", "n", "key", "class_id")
     classes = materialize(

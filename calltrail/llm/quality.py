@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from calltrail.llm.ranks import each_text, fresh, release
+from calltrail.llm.ranks import each_text, fresh, release, small_batches
 from calltrail.session import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -210,7 +210,8 @@ def judge_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     words and fails. Rows with equal or null doc_id are judged one by one. An empty table gives no
     rows. Other columns are not read.
     """
-    told = materialize(docs.select("doc_id", *GROUP, statistics("text").alias("of")), "statistics")
+    with small_batches(docs.sparkSession):
+        told = materialize(docs.select("doc_id", *GROUP, statistics("text").alias("of")), "statistics")
     rows = told.where(~base_failed(F.col("of"))).select(*GROUP, *[x.alias(c) for c, x in zip(X, transformed(F.col("of")))])
     names = {c: f"_{c}" for c in (*GROUP, "center", "inverse")}
     near = _with_estimates(told, fit(rows), names)
@@ -226,7 +227,8 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     Statistics are computed once for the estimates and once more where rows are filtered, so no text
     is shuffled and repeated ids cannot mix.
     """
-    told = materialize(docs.select(*GROUP, statistics("text").alias("of")), "statistics")
+    with small_batches(docs.sparkSession):
+        told = materialize(docs.select(*GROUP, statistics("text").alias("of")), "statistics")
     rows = told.where(~base_failed(F.col("of"))).select(*GROUP, *[x.alias(c) for c, x in zip(X, transformed(F.col("of")))])
     estimates = fit(rows)
     of = fresh(docs, "_of")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calltrail.session import materialize
@@ -92,6 +93,20 @@ def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return wrapped
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs that run inside hand at most `rows` rows at a time to Python; whole texts fill a batch of the usual size with tens of MB on both sides."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 BROADCAST_ROWS = 2_000_000  # narrow tables above this are joined by a shuffle instead
 
 
