@@ -201,16 +201,15 @@ configs AS (
 SELECT r.category, r.tool, r.api, coalesce(description, '') AS description,
        CAST(CASE WHEN name IS NULL THEN 0 ELSE 2 END AS INTEGER) AS n_required,
        CAST(CASE WHEN name IS NULL THEN 0 WHEN is_even THEN 2 ELSE 1 END AS INTEGER) AS n_optional
-FROM (SELECT DISTINCT p.p_type AS category, p.p_brand AS tool, e.api FROM part p
-      JOIN entries e ON e.api_pos = CASE WHEN p.p_size % 3 = 0 THEN p.p_partkey + 1 ELSE p.p_partkey END) r
+FROM (SELECT DISTINCT category, p_brand AS tool, api FROM part
+      JOIN (SELECT DISTINCT category, api FROM entries) ON p_type = category) r
 LEFT JOIN configs USING (category, tool, api)""")
 def api_config_lookup(spark, sf_dir):
-    """Each tool asks for its own apis; every third one for that of the next, which it mostly does not have."""
+    """Each tool asks for every api of its category, most of which are those of other tools."""
     configs = _configs(spark, sf_dir)
-    names = configs.select("api_pos", text.standardize(F.col("name")).alias("api"))
-    asked = F.when(F.col("p_size") % 3 == 0, F.col("api_pos") + 1).otherwise(F.col("api_pos"))
-    references = entries(spark, sf_dir).select("category", "tool", asked.alias("api_pos")).join(names, "api_pos")
-    references = references.select("category", "tool", "api").distinct()
+    names = configs.select("category", text.standardize(F.col("name")).alias("api")).distinct()
+    tools = configs.select("category", "tool").distinct()
+    references = tools.join(names, "category")
     found = cat.api_args(references, configs)
     return found.select(
         "category", "tool", "api", "description", F.size("required").alias("n_required"), F.size("optional").alias("n_optional")
