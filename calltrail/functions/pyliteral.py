@@ -42,14 +42,15 @@ def literal_text(json_text: str | None) -> str | None:
 
 _STRING = r"[ !#-&(-\[\]-~]*"  # printable ASCII without " ' and backslash
 _NUMBER = r"(?:-?[1-9][0-9]{0,14}|0|-?(?!0\.0000)(?:0|[1-9][0-9]{0,6})\.(?:0|[0-9]{0,6}[1-9]))(?![0-9.eE+-])"
-_TOKENS = rf'^(?:"{_STRING}"|{_NUMBER}|true|false|null|[\[\]{{}},: \t\r\n])*$'
+_TOKENS = rf'^(?:"{_STRING}"|{_NUMBER}|true|false|null|[\[\]{{}},: \t\r\n]++)*+$'
+_QUOTED = r'"[^"]*+"'
 LONGEST = 4096  # texts beyond go to Python, as the pattern's stack grows with the text
 
 
 def is_plain(text: Column) -> Column:
     """Whether `text` is one JSON value that literal() can rewrite; false for null."""
     inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # a second value after the first would be read over
-    single = F.try_variant_get(inside, "$[0]", "variant").isNotNull() & F.try_variant_get(inside, "$[1]", "variant").isNull()
+    single = F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1
     return F.coalesce(F.when((F.length(text) <= LONGEST) & text.rlike(_TOKENS), single), F.lit(False))
 
 
@@ -65,13 +66,8 @@ def _parts(text: Column) -> Column:
     return F.transform(F.split(text, '"', -1), lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, r"\s+", "")).otherwise(p))
 
 
-def literal(text: Column) -> Column:
-    """Plain JSON text as a Python literal."""
-    return F.array_join(F.transform(_parts(text), lambda p, i: F.when(i % 2 == 0, _outside(p)).otherwise(p)), "'")
-
-
-def arguments(text: Column) -> Column:
-    """A plain JSON object as the arguments of a call: its own keys bare and joined by =, all inside as in literal()."""
+def _nested_arguments(text: Column) -> Column:
+    """arguments() where values may hold objects and lists, so that the depth of each key counts."""
     parts = _parts(text)
     spots = F.arrays_zip(parts.alias("p"), F.slice(parts, F.lit(2), F.size(parts)).alias("next"))
 
@@ -91,6 +87,38 @@ def arguments(text: Column) -> Column:
     return F.aggregate(spots, start, step, lambda acc: F.substring(acc["text"], F.lit(2), F.length(acc["text"]) - 2))
 
 
+def _spaced(text: Column) -> Column:
+    """The text without blanks outside strings, a space after every comma and colon there."""
+    bare = F.regexp_replace(text, rf'\G([^"\s]*+(?:{_QUOTED}[^"\s]*+)*+)\s+', "$1")
+    return F.regexp_replace(bare, rf'\G([^",:]*+(?:{_QUOTED}[^",:]*+)*+)([,:])', "$1$2 ")
+
+
+def _worded(text: Column) -> Column:
+    """Plain JSON text without blanks outside strings but after commas and colons, words in Python's spelling."""
+    spaced = said = _spaced(text)
+    for word, python in (("true", "True"), ("false", "False"), ("null", "None")):
+        first = word[0]  # outside strings the letter begins this word only
+        said = F.regexp_replace(said, rf'\G([^"{first}]*+(?:{_QUOTED}[^"{first}]*+)*+){word}', f"$1{python}")
+    return F.when(text.rlike("true|false|null"), said).otherwise(spaced)
+
+
+def literal(text: Column) -> Column:
+    """Plain JSON text as a Python literal.
+
+    A pattern goes on where its last match ended (\\G) and steps over strings whole, so it meets only what is outside.
+    Expressions inside a condition are computed anew wherever they stand, so none stands twice on a way.
+    """
+    return F.translate(_worded(text), '"', "'")
+
+
+def arguments(text: Column) -> Column:
+    """A plain JSON object as the arguments of a call: its own keys bare and joined by =, all inside as in literal()."""
+    inner = F.btrim(_worded(text), F.lit("{}"))
+    named = F.regexp_replace(inner, rf'\G([^"]*+(?:{_QUOTED}(?!:)[^"]*+)*+)"([^"]*+)": ', "$1$2=")
+    nested = text.rlike(r"\[|\{[^{]*\{")
+    return F.when(nested, _nested_arguments(text)).otherwise(F.translate(named, '"', "'"))
+
+
 def _plain(value):
     """A value that strict JSON can hold; what it cannot is kept as text."""
     if value is None or isinstance(value, (bool, str, int)):
@@ -177,22 +205,21 @@ def to_call_text(tool: Column | str, tool_input: Column | str) -> Column:
     """name(arg=value, ...); anything but a JSON object as input gives name()."""
     tool, tool_input = _column(tool), _column(tool_input)
     ready = is_plain(tool_input)
-    inner = F.when(F.ltrim(F.regexp_replace(tool_input, r"^\s+", "")).startswith("{"), arguments(tool_input)).otherwise("")
+    inner = F.when(tool_input.rlike(r"^\s*\{"), arguments(tool_input)).otherwise("")
     by_python = _call_text(F.when(~ready, tool), F.when(~ready, tool_input))
-    return F.when(ready, F.concat(tool, F.lit("("), inner, F.lit(")"))).otherwise(by_python)
+    return F.coalesce(by_python, F.when(tool.isNotNull(), F.concat(tool, F.lit("("), inner, F.lit(")"))))
 
 
 def to_literal_text(text: Column | str) -> Column:
     """JSON text as Python literal text; text that is not JSON as a Python string."""
     text = _column(text)
-    ready = is_plain(text)
-    return F.when(ready, literal(text)).otherwise(_literal_text(F.when(~ready, text)))
+    return F.coalesce(_literal_text(F.when(~is_plain(text), text)), literal(text))
 
 
 def to_record_text(tool: Column | str, tool_input: Column | str) -> Column:
     """A call as a Python dict literal of function and parameters."""
     tool, tool_input = _column(tool), _column(tool_input)
-    ready = is_plain(tool_input) & tool.rlike(f"^{_STRING}$")
+    ready = F.coalesce(is_plain(tool_input) & tool.rlike(f"^{_STRING}$"), F.lit(False))
     made = F.concat(F.lit("{'function': '"), tool, F.lit("', 'parameters': "), literal(tool_input), F.lit("}"))
-    ready = F.coalesce(ready, F.lit(False))
-    return F.when(ready, made).otherwise(_record_text(F.when(~ready, tool), F.when(~ready, tool_input)))
+    by_python = _record_text(F.when(~ready, tool), F.when(~ready, tool_input))
+    return F.coalesce(by_python, F.when(tool.isNotNull(), made))

@@ -1,5 +1,8 @@
 """Queries over small tables built here."""
 
+from pyspark.sql import functions as F
+
+from calltrail.functions import pyliteral
 from calltrail.queries import catalogs
 
 
@@ -18,3 +21,12 @@ def test_every_tool_asks_for_every_api_of_its_category(spark, tmp_path):
         ("X", "T1", "a_b"): (2, 1), ("X", "T1", "c"): (0, 0), ("X", "T1", "d"): (2, 1),
         ("X", "T2", "a_b"): (0, 0), ("X", "T2", "c"): (2, 2), ("X", "T2", "d"): (0, 0), ("Y", "T1", "c"): (2, 2),
     }
+
+
+def test_literals_of_flat_texts_are_made_by_one_parse_and_no_lists(spark):
+    plain = repr(pyliteral.is_plain(F.col("v")))
+    assert plain.count("try_parse_json") == 1
+    assert "transform" not in repr(pyliteral.literal(F.col("v")))
+    rows = [('{"{a": "}", "b, c: d": ": ", "true": null}',), (' { "t" : "x: y, z" , "n":true } ',), ('{}',)]
+    df = spark.createDataFrame(rows, "v string").select("v", pyliteral.to_call_text(F.lit("t"), "v").alias("c"))
+    assert [r.c for r in df.collect()] == [pyliteral.call_text("t", v) for v, in rows]
