@@ -53,15 +53,17 @@ def _ranks(workflow: Column, wanted: Column, allowed: Column, seed: int) -> Colu
     """
     text = F.concat(F.lit(f"{seed}|"), workflow.cast("string"), F.lit("|"))
 
-    def step(taken: Column, i: Column) -> Column:
+    def pick(i: Column) -> Column:  # computed once, although the step below reads it twice
         m = allowed - wanted + i
-        rank = F.pmod(_bits(F.concat(text, i.cast("string")), 15), m + 1)
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, rank), m).otherwise(rank)))
+        return F.struct(m.alias("m"), F.pmod(_bits(F.concat(text, i.cast("string")), 15), m + 1).alias("rank"))
 
-    zero = F.lit(0).cast("bigint")
-    taken = F.aggregate(F.sequence(zero, wanted - 1), F.array().cast("array<bigint>"), step)
+    def step(taken: Column, p: Column) -> Column:
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, p["rank"]), p["m"]).otherwise(p["rank"])))
+
+    picks = F.transform(F.sequence(F.lit(0).cast("bigint"), wanted - 1), pick)
+    taken = F.aggregate(picks, F.array().cast("array<bigint>"), step)
     order = F.transform(taken, lambda r: F.struct(F.md5(F.concat(text, F.lit("r"), r.cast("string"))).alias("h"), r.alias("r")))
-    return F.transform(F.array_sort(order), lambda s: s["r"])
+    return F.transform(F.sort_array(order), lambda s: s["r"])
 
 
 def _profiles(blocks: DataFrame, tools: DataFrame, fits: Column, hot_rows: int | None) -> DataFrame:

@@ -1,9 +1,22 @@
 """Queries over small tables built here."""
 
+import datetime
+import pathlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from calltrail.functions import pyliteral
-from calltrail.queries import catalogs
+from calltrail.operators import draws
+from calltrail.plans import sft
+from calltrail.plans import traces as tr
+from calltrail.queries import catalogs, files
+from calltrail.sources import readers, writers
+from calltrail.streaming import chains as st
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def _tables(spark, folder, **rows):
@@ -30,3 +43,97 @@ def test_literals_of_flat_texts_are_made_by_one_parse_and_no_lists(spark):
     rows = [('{"{a": "}", "b, c: d": ": ", "true": null}',), (' { "t" : "x: y, z" , "n":true } ',), ('{}',)]
     df = spark.createDataFrame(rows, "v string").select("v", pyliteral.to_call_text(F.lit("t"), "v").alias("c"))
     assert [r.c for r in df.collect()] == [pyliteral.call_text("t", v) for v, in rows]
+
+
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def _events(runs):
+    day = lambda i: datetime.datetime(2024, 1, 1 + i % 3)
+    kinds = ["click", "view", "error", "signup"]
+    return [(r * 4 + i, day(i), r, kinds[i], 1.0, f'{{"k": {i + r}}}') for r in range(runs) for i in range(4)]
+
+
+@pytest.mark.parametrize("name, folder", [("trace_files", "traces"), ("run_metadata_files", "metadata")])
+def test_documents_of_many_runs_lie_in_few_files(spark, tmp_path, name, folder):
+    written = []
+    make = files.scratch_dir
+    files.scratch_dir = lambda s, n: written.append(f"{tmp_path}/{n}") or written[-1]
+    try:
+        sf = _tables(spark, tmp_path, events=(EVENTS, _events(300)))
+        rows = getattr(files, name)(spark, sf).collect()
+    finally:
+        files.scratch_dir = make
+    assert len({r.seed for r in rows}) == 300
+    assert len([f for f in pathlib.Path(written[0]).rglob("*") if f.is_file()]) < 50
+
+
+def test_documents_apart_and_packed_read_alike(spark, tmp_path):
+    runs = spark.createDataFrame([(1, 5, "a"), (2, None, "a/b")], "seed bigint, tool_call_count int, run string")
+    writers.write_documents(runs, f"{tmp_path}/packed", "run")
+    writers.write_documents(runs, f"{tmp_path}/apart", "run", apart=True)
+    told = lambda df: sorted(tuple(r) for r in df.select("seed", "tool_call_count").collect())
+    packed = readers.read_run_metadata(spark, f"{tmp_path}/packed", packed=True)
+    assert told(packed) == told(readers.read_run_metadata(spark, f"{tmp_path}/apart/*")) == [(1, 5), (2, None)]
+    assert {r.id for r in readers.read_documents(spark, f"{tmp_path}/packed", packed=True).collect()} == {"a", "a/b"}
+
+
+def test_violations_take_no_distinct_count(spark):
+    pool = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (2, 0, "a"), (2, 1, "b"), (3, 0, "a"), (3, 0, "a")], "workflow_id bigint, side int, api string")
+    bad = sft.pool_violations(pool, 2)
+    assert plan(bad).count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, bad.collect())) == [(1, 1, 1), (3, 1, 0)]
+
+
+def test_records_are_written_compressed(spark, tmp_path):
+    writers.write_json_records(spark.range(5), f"{tmp_path}/r")
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "r").glob("part-*"))
+    assert spark.read.schema("id bigint").json(f"{tmp_path}/r").count() == 5
+
+
+def test_a_rank_is_hashed_once(spark):
+    ranks = draws._ranks(F.col("w"), F.lit(3), F.lit(20), 1)
+    assert repr(ranks).count("md5") == 2  # the pick and the place
+
+
+def test_pools_of_few_apis_stay_small(spark):
+    positions = spark.createDataFrame([("a", 0), ("b", 63), ("c", 64), ("d", 100_000)], "api string, position bigint")
+    pool = spark.createDataFrame([("r", 1, a) for a in "abd"], "run string, iteration int, api string")
+    masks = {r._word: r._mask for r in tr.pool_masks(pool, positions).collect()}
+    assert masks == {0: 1 - 2**63, 100_000 // 64: 1 << 100_000 % 64}
+    asked = spark.createDataFrame([("r", 1, "p", a) for a in ["a", "b", "c", "d", "e", None]], "run string, iteration int, proposal_id string, api string")
+    assert tr.proposal_checks(asked, pool, positions=positions).head().n_foreign == 2
+    assert "bitmap_construct_agg" not in plan(tr.proposal_checks(asked, pool, positions=positions))
+
+
+def test_sorted_ranges_follow_the_bytes_of_the_texts(spark, tmp_path):
+    pieces = spark.range(40).select(
+        F.col("id").alias("sample_id"), F.lit(0).alias("message_no"), F.lit(0).cast("bigint").alias("piece_no"),
+        F.lit("user").alias("role"), F.repeat(F.lit("x"), 1000).alias("content"),
+    )
+    kept, writers.RANGE_BYTES = writers.RANGE_BYTES, 10_000
+    try:
+        writers.write_pieces(pieces, f"{tmp_path}/p")
+    finally:
+        writers.RANGE_BYTES = kept
+    assert len(list((tmp_path / "p").glob("part-*"))) >= 4
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 40
+
+
+def test_a_document_is_gathered_by_one_shuffle(spark, tmp_path):
+    schema = "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_linestatus string, l_quantity double, l_returnflag string"
+    rows = [(o, o, n, "F" if n % 2 else "O", 1.0, "A") for o in range(5) for n in range(3)]
+    documents = files.workflow_documents(spark, _tables(spark, tmp_path, lineitem=(schema, rows)))
+    assert plan(documents).count("Exchange") == 1
+    assert documents.count() == 5
+
+
+def test_a_batch_of_scores_leaves_few_files_in_a_bucket(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(3000).select(
+        F.lit("m").alias("model"), "id", F.lit("2024-01-01").cast("timestamp").alias("modified"),
+    ).withColumnRenamed("id", "sample_id").repartition(8).write.parquet(f"{d}/in")
+    incoming = spark.readStream.schema(spark.read.parquet(f"{d}/in").schema).parquet(f"{d}/in")
+    st.evaluate_new(incoming, lambda b: b.select("model", "sample_id", F.lit(1.0).alias("recall")), f"{d}/out", f"{d}/check").awaitTermination()
+    assert st.read_scores(spark, f"{d}/out").count() == 3000
+    assert len(list((tmp_path / "out").rglob("part-*"))) == st.BUCKETS
