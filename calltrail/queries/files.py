@@ -140,7 +140,7 @@ def trace_files(spark, sf_dir):
     documents = days.groupBy("seed").agg(F.count(F.lit(1)).alias("total_iterations"), F.sort_array(F.collect_list(iteration)).alias("iterations"))
     path = scratch_dir(spark, "traces")
     writers.write_documents(documents.withColumn("run", F.col("seed")), path, "run")
-    rows = readers.read_traces(spark, f"{path}/*").withColumn("run", F.col("seed"))
+    rows = readers.read_traces(spark, path, packed=True).withColumn("run", F.col("seed"))
     counts = tr.execution_counts(rows.select("run", "iteration", F.explode("executions").alias("e")).select("run", "iteration", "e.*"))
     told = rows.select("run", "iteration", F.size("proposals").alias("n_proposals"), tr.selection_label(F.col("selection.which_chain")).alias("action"))
     return counts.join(told, ["run", "iteration"]).withColumnRenamed("run", "seed")

@@ -44,8 +44,14 @@ def path_text(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """id (file stem), file, modified, text: one row per file."""
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.json", packed: bool = False) -> DataFrame:
+    """id (file stem), file, modified, text: one row per file; `packed`: per document of the packs of write_documents."""
+    if packed:
+        packs = spark.read.schema("id STRING, text STRING").parquet(path)
+        return packs.select(
+            "id", path_text(F.col("_metadata.file_path")).alias("file"),
+            F.col("_metadata.file_modification_time").alias("modified"), "text",
+        )
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(
         F.regexp_extract(path_text(F.col("_metadata.file_name")), r"^(.*?)(\.[^.]*)?$", 1).alias("id"),
@@ -174,17 +180,17 @@ def trace_rejects(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
+def read_traces(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """One row per iteration; trace_rejects lists the files that have none to read."""
-    docs = read_documents(spark, path).select(F.from_json("text", TRACE).alias("_t"))
+    docs = read_documents(spark, path, packed=packed).select(F.from_json("text", TRACE).alias("_t"))
     return docs.select("_t.seed", "_t.total_iterations", F.explode("_t.iterations").alias("_i")).select(
         "seed", "total_iterations", "_i.*"
     )
 
 
-def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_run_metadata(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Run metadata in either layout; costs under `llm_costs` or `cost`."""
-    docs = read_documents(spark, path).select("id", F.from_json("text", METADATA).alias("_m"))
+    docs = read_documents(spark, path, packed=packed).select("id", F.from_json("text", METADATA).alias("_m"))
     fields = ["total_tokens", "prompt_tokens", "prompt_tokens_cached", "completion_tokens",
               "reasoning_tokens", "successful_requests"]
     return docs.select(
