@@ -161,7 +161,7 @@ def run_metadata_files(spark, sf_dir):
     documents = runs.select("seed", "tool_call_count", F.when(old, cost).alias("cost"), F.when(~old, costs).alias("llm_costs"), F.col("seed").alias("run"))
     path = scratch_dir(spark, "metadata")
     writers.write_documents(documents, path, "run")
-    out = readers.read_run_metadata(spark, f"{path}/*")
+    out = readers.read_run_metadata(spark, path, packed=True)
     return out.select("seed", "successful_requests", "total_tokens", F.round("total_cost_usd", 6).alias("total_cost_usd"), "tool_call_count")
 
 
