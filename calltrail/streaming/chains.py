@@ -153,7 +153,8 @@ def evaluate_new(predictions: DataFrame, score, results: str, checkpoint: str, l
             todo = todo.join(known, ["model", "sample_id"], "left").filter(F.col("_scored").isNull() | (F.col("modified") > F.col("_scored"))).drop("_scored")
         versions = todo.select("model", "sample_id", "modified", "bucket")
         scored = score(todo.drop("bucket")).drop("modified", "bucket").join(versions, ["model", "sample_id"])
-        scored.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(results)
+        # a bucket's rows meet before they are written, or every task would leave a file in every bucket
+        scored.withColumn("batch", F.lit(batch_id)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(results)
 
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
