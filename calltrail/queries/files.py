@@ -22,7 +22,8 @@ def workflow_documents(spark, sf_dir):
         F.when(F.col("step_pos") % 3 == 0, F.lit('"plain result"')).otherwise('{"error": "", "response": "ok"}'),
         F.lit("]"),
     )
-    told = steps(spark, sf_dir).select("workflow_id", "chain_pos", "step_pos", step.alias("text"))
+    # one shuffle by workflow serves the three sums below
+    told = steps(spark, sf_dir).repartition("workflow_id").select("workflow_id", "chain_pos", "step_pos", step.alias("text"))
     parts = wf.collect_parts(told, ["workflow_id", "chain_pos"], ["step_pos"], ["text"], F.col("step_pos"))
     piece = F.struct("part", F.array_join(F.transform("items", lambda i: i["text"]), ", ").alias("text"))
     chains = parts.groupBy("workflow_id", "chain_pos").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
