@@ -1,6 +1,7 @@
 """Queries over small tables built here."""
 
 import datetime
+import inspect
 import pathlib
 
 import pytest
@@ -137,3 +138,11 @@ def test_a_batch_of_scores_leaves_few_files_in_a_bucket(spark, tmp_path):
     st.evaluate_new(incoming, lambda b: b.select("model", "sample_id", F.lit(1.0).alias("recall")), f"{d}/out", f"{d}/check").awaitTermination()
     assert st.read_scores(spark, f"{d}/out").count() == 3000
     assert len(list((tmp_path / "out").rglob("part-*"))) == st.BUCKETS
+
+
+def test_chains_that_are_no_object_are_told_without_their_schema(spark):
+    chains = ["", ', "api_use_chains": null', ', "api_use_chains": [1]', ', "api_use_chains": "x"', ', "api_use_chains": {}', ', "api_use_chains": {"a": 1}']
+    documents = spark.createDataFrame([(i, '{"query": "q", "response": "r"%s}' % c) for i, c in enumerate(chains)], "id int, text string")
+    _, bad = readers.parse_workflows(documents)
+    assert {r.id: r.reason for r in bad.collect()} == {**{i: "api_use_chains is not an object" for i in range(4)}, 5: "malformed chain"}
+    assert inspect.getsource(readers.judge_workflows).count("_kind_at") == 2  # of the query and the response
