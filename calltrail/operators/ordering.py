@@ -22,6 +22,9 @@ WAYS = 64  # slices that one cut makes at most
 SKETCH = 2048  # size of the quantile sketches: ranks are off by less than a tenth of a slice
 MAX_LEVELS = 10  # WAYS ** MAX_LEVELS slices of a key at most; their numbers stay BIGINT
 SLICE = "_slice"
+BUCKETS = 1 << 16  # of keys that are counted together before the keys of full ones are counted
+BROADCAST_BYTES = 128 << 20  # of a table that is sent whole to every executor
+ROW_BYTES = 64  # of such a row beside its texts
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,29 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left")
     return df.join(renamed, on, how).drop(*[f"_on_{k}" for k in keys])
 
 
+def looked_up(table: DataFrame, size: int) -> DataFrame:
+    """`table`, of `size` bytes, as the smaller side of a join by keys it holds about once each.
+
+    Sent whole if it is small. Else both sides are shuffled and each task hashes its share of the table, so that the
+    larger side is not sorted.
+    """
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("shuffle_hash")
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
-    """The keys of more than `hot_rows` rows, with `_rows`; None if there are none. Reads the key columns alone."""
+    """The keys of more than `hot_rows` rows, with `_rows`; None if there are none. Reads the key columns alone.
+
+    Rows are counted by bucket of the key's hash first: a task hands on one row a bucket, not one a key. Only the keys in
+    buckets of more than `hot_rows` rows, which hold every hot key, are counted on their own.
+    """
     limit = HOT_ROWS if hot_rows is None else hot_rows
+    if keys:
+        df = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+        counted = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+        full = materialize(counted.select("_bucket"), "full-buckets")
+        if full.isEmpty():
+            return None
+        df = lookup(df, full, ["_bucket"], "left_semi")
     found = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit), "hot-keys")
     return None if found.isEmpty() else found
 
@@ -154,19 +177,20 @@ def running_count(df: DataFrame, keys: list[str], order: list[Column], cut: Slic
 
 
 def collect_parts(df: DataFrame, keys: list[str], order: list[str], values: list[str], by: Column | list[Column],
-                  part_size: int = PART_SIZE, hot_rows: int | None = None) -> DataFrame:
+                  part_size: int = PART_SIZE, hot_rows: int | None = None, cut: Slices | None = None) -> DataFrame:
     """Ordered lists per key in parts of at most `part_size` items.
 
     Returns keys, `part` (from 0), `n_total` (items of the whole key) and `items`
     (array of structs of `values`). A key of ordinary size is exactly part 0; a huge one is
     whole too, spread over several rows. Ordinary keys take one shuffle and a local sort; a
-    key is hot, unless `hot_rows` says otherwise, when it does not fit one part.
+    key is hot, unless `hot_rows` says otherwise, when it does not fit one part. Pass `cut` where
+    the slices are known already.
     """
     hot_rows = part_size if hot_rows is None else hot_rows
     columns = list(dict.fromkeys([*keys, *order, *values]))
     sort_by = [c for c in columns if c not in keys]
     narrow = df.select(*columns)
-    cut = slices(df, keys, by, hot_rows)
+    cut = slices(df, keys, by, hot_rows) if cut is None else cut
     ordinary = narrow if cut.hot is None else cut.hot_rows(narrow, other=True)
     ordinary = (
         ordinary.groupBy(*keys)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calltrail.functions import pyliteral
-from calltrail.operators import draws
+from calltrail.operators import draws, ordering
 from calltrail.plans import sft
 from calltrail.plans import traces as tr
 from calltrail.queries import catalogs, files
@@ -146,3 +146,42 @@ def test_chains_that_are_no_object_are_told_without_their_schema(spark):
     _, bad = readers.parse_workflows(documents)
     assert {r.id: r.reason for r in bad.collect()} == {**{i: "api_use_chains is not an object" for i in range(4)}, 5: "malformed chain"}
     assert inspect.getsource(readers.judge_workflows).count("_kind_at") == 2  # of the query and the response
+
+
+def test_few_draws_are_spelled_out_and_take_the_same_ranks(spark):
+    rows = [(w, wanted, wanted + spare) for w in [*range(200), None] for wanted in (1, 3, 6) for spare in (0, 2, 50)]
+    able = spark.createDataFrame(rows, "workflow_id bigint, wanted bigint, allowed bigint")
+    told = lambda df: sorted(map(repr, df.select("workflow_id", "wanted", "allowed", "ranks").collect()))
+    spelled, long = draws._ranked(able, 6, 42), draws._ranked(able, draws.SPELLED_OUT + 1, 42)
+    assert told(spelled) == told(long)
+    assert plan(spelled).count("lambda") < plan(long).count("lambda")
+    assert "transform(" not in plan(spelled) and "transform(" in plan(long)
+
+
+def test_a_catalog_that_is_not_small_is_hashed_by_each_task(spark):
+    catalog = spark.createDataFrame([(f"t{i}", f"f{i % 7}") for i in range(60)], "api string, family string")
+    tools = spark.createDataFrame([(w, f"t{w % 9}") for w in range(40)], "workflow_id int, api string")
+    definitions = catalog.select("api", F.concat(F.lit('{"name": "'), "api", F.lit('"}')).alias("definition"))
+    steps = tools.select("workflow_id", F.lit(0).cast("bigint").alias("chain_pos"), F.lit(1).cast("bigint").alias("step_pos"), F.col("api").alias("tool"))
+    kept, results = ordering.BROADCAST_BYTES, []
+    try:
+        for limit in (kept, 0):
+            ordering.BROADCAST_BYTES = limit
+            drawn = draws.strict_negatives(tools, catalog, 5, 42).tools
+            meta = sft.metadata(sft.candidate_pool(steps, drawn), definitions)
+            results.append([sorted(map(repr, df.collect())) for df in (drawn, meta)])
+            assert ("ShuffledHashJoin" in plan(drawn)) == (limit == 0) and "SortMergeJoin" not in plan(drawn)
+    finally:
+        ordering.BROADCAST_BYTES = kept
+    assert results[0] == results[1] and len(results[0][1]) == 40
+
+
+def test_hot_keys_are_counted_by_bucket_first(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 40, None).when(F.col("id") < 140, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    written = []
+    kept, ordering.materialize = ordering.materialize, lambda df, name: written.append(name) or kept(df, name)
+    try:
+        assert ordering.hot_keys(rows, ["k"], 100) is None and written == ["full-buckets"]
+        assert sorted(map(tuple, ordering.hot_keys(rows, ["k"], 39).collect()), key=repr) == [(-1, 100), (None, 40)]
+    finally:
+        ordering.materialize = kept
