@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from calltrail.functions import prompts
 from calltrail.functions.pyliteral import to_call_text, to_literal_text, to_record_text
 from calltrail.functions.text import strip
 from calltrail.operators.cuts import chosen, chosen_by_kind
-from calltrail.operators.ordering import SLICE, collect_parts, running_count, slices
+from calltrail.operators.ordering import ROW_BYTES, SLICE, collect_parts, looked_up, running_count, slices
+from calltrail.session import materialize
 
 STEP_ORDER = ["chain_pos", "step_pos"]
 
@@ -49,12 +50,24 @@ def merge_definitions(tools: DataFrame, keys: list[str], name: str, position: st
     )
 
 
+def _defined(pool: DataFrame, definitions: DataFrame, text: str) -> DataFrame:
+    """Pool members with the `text` of definitions(api, text), the rows of a workflow in one task.
+
+    The definitions are written first and their bytes summed up on the way. Rows are dealt by workflow before any is
+    gathered: a task meets few rows of a workflow before that, so gathering there would only sort them once more.
+    """
+    seen = Observation("definitions")
+    size = F.sum(F.coalesce(F.octet_length("api"), F.lit(0)) + F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).alias("size")
+    stored = materialize(definitions.select("api", text).observe(seen, size), "definitions")
+    return pool.join(looked_up(stored, seen.get["size"] or 0), "api").repartition("workflow_id")
+
+
 def pool_texts(pool: DataFrame, definitions: DataFrame) -> DataFrame:
     """Text of a Python list of the tool definitions of each pool.
 
     A pool never holds more than the requested number of tools, so the list is short.
     """
-    placed = pool.join(definition_texts(definitions), "api")
+    placed = _defined(pool, definition_texts(definitions), "text")
     rows = F.sort_array(F.collect_list(F.struct("side", "place", "text")))
     return placed.groupBy("workflow_id").agg(
         F.concat(
@@ -231,15 +244,11 @@ def sample_records(pool: DataFrame, definitions: DataFrame, steps: DataFrame) ->
 
 def metadata(pool: DataFrame, definitions: DataFrame) -> DataFrame:
     """Definitions of positives and negatives per workflow."""
-    rows = pool.join(definitions, "api").groupBy("workflow_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("side") == 0, F.struct("place", "definition")))).alias("p"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == 1, F.struct("place", "definition")))).alias("n"),
-    )
-    return rows.select(
-        "workflow_id",
-        F.transform("p", lambda r: r["definition"]).alias("pos_tools"),
-        F.transform("n", lambda r: r["definition"]).alias("neg_tools"),
+    rows = _defined(pool, definitions, "definition").groupBy("workflow_id").agg(
+        F.sort_array(F.collect_list(F.struct("side", "place", "definition"))).alias("rows")
     )
+    of = lambda side: F.filter("rows", lambda r: r["side"] == side)["definition"]
+    return rows.select("workflow_id", of(0).alias("pos_tools"), of(1).alias("neg_tools"))
 
 
 def pool_violations(pool: DataFrame, num_tools: int) -> DataFrame:

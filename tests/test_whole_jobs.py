@@ -176,6 +176,16 @@ def test_a_catalog_that_is_not_small_is_hashed_by_each_task(spark):
     assert results[0] == results[1] and len(results[0][1]) == 40
 
 
+def test_pools_are_gathered_once(spark):
+    pool = spark.createDataFrame([(1, 1, (0, 1), "b"), (1, 1, (0, 0), "a"), (1, 0, (0, 2), "c"), (2, 0, (0, 1), "a"), (2, 0, (0, 3), "x")],
+                                 "workflow_id bigint, side int, place struct<a:bigint,b:bigint>, api string")
+    definitions = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None)], "api string, definition string")
+    meta = sft.metadata(pool, definitions)
+    assert plan(meta).count("collect_list(struct(") == plan(meta).count("collect_list(")
+    assert repr(meta._jdf.queryExecution().optimizedPlan().toString()).count("collect_list(") == 1
+    assert {r.workflow_id: (r.pos_tools, r.neg_tools) for r in meta.collect()} == {1: ([None], ["A", "B"]), 2: (["A"], [])}
+
+
 def test_hot_keys_are_counted_by_bucket_first(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 40, None).when(F.col("id") < 140, F.lit(-1)).otherwise(F.col("id")).alias("k"))
     written = []
