@@ -44,6 +44,9 @@ _STRING = r"[ !#-&(-\[\]-~]*"  # printable ASCII without " ' and backslash
 _NUMBER = r"(?:-?[1-9][0-9]{0,14}|0|-?(?!0\.0000)(?:0|[1-9][0-9]{0,6})\.(?:0|[0-9]{0,6}[1-9]))(?![0-9.eE+-])"
 _TOKENS = rf'^(?:"{_STRING}"|{_NUMBER}|true|false|null|[\[\]{{}},: \t\r\n]++)*+$'
 _QUOTED = r'"[^"]*+"'
+# a whole object on one level as json.dumps spaces it, its keys all different, with strings and numbers as values
+_SHORT = rf'^\{{(?:(?:"({_STRING})": (?!.*"\1": )(?:"{_STRING}"|{_NUMBER})(?:, (?=")|(?=\}}\z)))++)?+\}}\z'
+SHORTEST = 512  # texts that are looked at as short ones: each key is looked for in what follows it
 LONGEST = 4096  # texts beyond go to Python, as the pattern's stack grows with the text
 
 
@@ -210,6 +213,20 @@ def to_call_text(tool: Column | str, tool_input: Column | str) -> Column:
     return F.coalesce(by_python, F.when(tool.isNotNull(), F.concat(tool, F.lit("("), inner, F.lit(")"))))
 
 
+def is_short(tool_input: Column | str) -> Column:
+    """Whether short_call_text() holds for the input of a call; false for null."""
+    tool_input = _column(tool_input)
+    return F.coalesce((F.length(tool_input) <= SHORTEST) & tool_input.rlike(_SHORT), F.lit(False))
+
+
+def short_call_text(tool: Column | str, tool_input: Column | str) -> Column:
+    """to_call_text() where is_short() holds, by one pattern and without Python."""
+    tool, tool_input = _column(tool), _column(tool_input)
+    inner = F.substring(tool_input, F.lit(2), F.length(tool_input) - 2)
+    named = F.regexp_replace(inner, rf'\G([^"]*+(?:{_QUOTED}(?!:)[^"]*+)*+)"([^"]*+)": ', "$1$2=")
+    return F.concat(tool, F.lit("("), F.translate(named, '"', "'"), F.lit(")"))
+
+
 def to_literal_text(text: Column | str) -> Column:
     """JSON text as Python literal text; text that is not JSON as a Python string."""
     text = _column(text)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from calltrail.functions import prompts
-from calltrail.functions.pyliteral import to_call_text, to_literal_text, to_record_text
+from calltrail.functions.pyliteral import is_short, short_call_text, to_call_text, to_literal_text, to_record_text
 from calltrail.functions.text import strip
 from calltrail.operators.cuts import chosen, chosen_by_kind
-from calltrail.operators.ordering import ROW_BYTES, SLICE, collect_parts, looked_up, running_count, slices
+from calltrail.operators.ordering import PART_SIZE, ROW_BYTES, SLICE, collect_parts, looked_up, running_count, slices
 from calltrail.session import materialize
 
 STEP_ORDER = ["chain_pos", "step_pos"]
@@ -94,9 +94,17 @@ def answers(steps: DataFrame, output_format: str, by: Column | None = None, **li
         used, text = steps, to_call_text("tool", "tool_input")
     if by is None:
         by = [F.col(c) for c in STEP_ORDER]
+    size = limits.get("part_size") or PART_SIZE
+    hot_rows = limits.get("hot_rows")
+    cut = slices(used, ["workflow_id"], by, size if hot_rows is None else hot_rows)  # of the steps, before texts are made
     told = used.select("workflow_id", *STEP_ORDER, text.alias("text"))
-    parts = collect_parts(told, ["workflow_id"], STEP_ORDER, ["text"], by, **limits)
-    size = limits.get("part_size") or 10_000
+    if output_format != "json":
+        # only the others go through Python, of which short calls, most of all, are free
+        short = is_short("tool_input")
+        told = used.filter(~short).select("workflow_id", *STEP_ORDER, text.alias("text")).unionByName(
+            used.filter(short).select("workflow_id", *STEP_ORDER, short_call_text("tool", "tool_input").alias("text"))
+        )
+    parts = collect_parts(told, ["workflow_id"], STEP_ORDER, ["text"], by, **limits, cut=cut)
     last = (F.col("part") + 1) * size >= F.col("n_total")
     joined = F.array_join(F.transform("items", lambda i: i["text"]), ", ")
     return parts.select(

@@ -195,3 +195,17 @@ def test_hot_keys_are_counted_by_bucket_first(spark):
         assert sorted(map(tuple, ordering.hot_keys(rows, ["k"], 39).collect()), key=repr) == [(-1, 100), (None, 40)]
     finally:
         ordering.materialize = kept
+
+
+def test_short_calls_go_around_python_with_its_texts(spark):
+    texts = [
+        "{}", '{"a": 1}', '{"a": 1, "a": 2}', '{"a": "b", ": c": 1}', '{"a": ": x"}', '{", ": 1, "b": "x, y: z}"}', '{"a":1}', '{"a": 1.50}',
+        '{"a": -0.5, "b": 1e5}', '{"a": "it\'s"}', '{"a": "\u00e9"}', '{"a": {"b": 1}}', '{"a": [1]}', '{"a": true}', '{"a": 1, }', '{"a": 1', "[1]",
+        None, '{"a": 012}', '{"a": -0}', '{"": ""}', '{"a": "", "b": ""}', '{"a": 1}\n', '{"a": "b"}\r', '{"q": "x", "r": "q"}', '{"a": 1"b": 2}',
+    ]
+    steps = spark.createDataFrame([(i, 0, 1, "t", v) for i, v in enumerate(texts)], "workflow_id int, chain_pos bigint, step_pos bigint, tool string, tool_input string")
+    short = {r.workflow_id for r in steps.filter(pyliteral.is_short("tool_input")).collect()}
+    assert {0, 1, 3, 4, 5} <= short and not short & {2, 17, 22, 23}
+    told = sft.answers(steps, "python")
+    assert "Union" in plan(told) and plan(told).count("ArrowEvalPython") == 1
+    assert {r.workflow_id: r.assistant for r in told.collect()} == {i: f"[{pyliteral.call_text('t', v)}]" for i, v in enumerate(texts)}
