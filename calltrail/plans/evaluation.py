@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from calltrail.session import materialize
+
 SAMPLE = ["model", "sample_id"]
 METRICS = ["precision", "recall", "success_rate", "qor"]
 
@@ -20,12 +23,18 @@ def judge_score(num_requests: Column, scores: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean))
 
 
-def tool_scores(predictions: DataFrame, calls: DataFrame, truth: DataFrame) -> DataFrame:
-    """precision, recall and success_rate per (model, sample_id).
+class ToolCounts(NamedTuple):
+    """n_pred, n_hit, n_ok of every (model, sample_id) with calls, and n_true of every sample_id with true tools."""
+
+    called: DataFrame
+    true: DataFrame
 
-    predictions(model, sample_id), one row each; calls(model, sample_id, tool, error);
-    truth(sample_id, tool). Calls and truth meet on (sample, tool) after both were reduced to
-    one row per tool, so a sample with very many calls spreads over its tools.
+
+def tool_counts(calls: DataFrame, truth: DataFrame) -> ToolCounts:
+    """How many tools were called, hit and ran well, and how many are true.
+
+    calls(model, sample_id, tool, error); truth(sample_id, tool). They meet on (sample, tool) after both were reduced
+    to one row per tool, so a sample with very many calls spreads over its tools.
     """
     called = calls.groupBy(*SAMPLE, "tool").agg(F.max(F.when(F.col("error") == "", 1).otherwise(0)).alias("ok"))
     wanted = truth.select("sample_id", "tool").distinct()
@@ -35,8 +44,24 @@ def tool_scores(predictions: DataFrame, calls: DataFrame, truth: DataFrame) -> D
         F.coalesce(F.sum("hit"), F.lit(0)).alias("n_hit"),
         F.coalesce(F.sum(F.col("hit") * F.col("ok")), F.lit(0)).alias("n_ok"),
     )
-    n_truth = wanted.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_true"))
-    joined = predictions.join(per_sample, SAMPLE, "left").join(n_truth, "sample_id", "left")
+    return ToolCounts(per_sample, wanted.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_true")))
+
+
+def written_counts(calls: DataFrame, truth: DataFrame) -> ToolCounts:
+    """tool_counts, written once: for predictions that are scored more than once by the same calls and true tools."""
+    counts = tool_counts(calls, truth)
+    return ToolCounts(materialize(counts.called, "called"), materialize(counts.true, "true"))
+
+
+def tool_scores(predictions: DataFrame, calls: DataFrame | None = None, truth: DataFrame | None = None,
+                counts: ToolCounts | None = None) -> DataFrame:
+    """precision, recall and success_rate per (model, sample_id).
+
+    predictions(model, sample_id), one row each; calls and truth as in tool_counts, or its result.
+    """
+    counts = tool_counts(calls, truth) if counts is None else counts
+    # by sample and model last: so the scores lie where save_scores needs them
+    joined = predictions.join(counts.true, "sample_id", "left").join(counts.called, SAMPLE, "left")
     return joined.select(
         *predictions.columns,
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pred", "n_true", "n_hit", "n_ok")],
@@ -52,17 +77,18 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
 
-def evaluate(predictions: DataFrame, calls: DataFrame, truth: DataFrame, judge: DataFrame | None = None,
-             overwrite: bool = False) -> DataFrame:
+def evaluate(predictions: DataFrame, calls: DataFrame | None = None, truth: DataFrame | None = None,
+             judge: DataFrame | None = None, overwrite: bool = False, counts: ToolCounts | None = None) -> DataFrame:
     """Scores per (model, sample_id), with `weight` for the summaries.
 
+    `counts` stands for calls and truth where they were counted before (written_counts).
     judge(model, sample_id, num_requests, response_scores); leave it out when the predictions
     carry these two columns. predictions(model, sample_id, failed, stored): `stored` is a struct of earlier scores or
     null, kept per metric unless `overwrite`. A failed prediction counts 0 for precision, recall and
     qor and is not counted for success. `weight` is the number of times a score is counted
     when values are weighted as in the original tables: 2 when fresh, 1 when stored or failed.
     """
-    fresh = tool_scores(predictions, calls, truth)
+    fresh = tool_scores(predictions, calls, truth, counts)
     qor = judge_score(F.col("num_requests"), F.col("response_scores")).alias("qor")
     scored = fresh.select("*", qor) if judge is None else fresh.join(judge.select(*SAMPLE, qor), SAMPLE, "left")
     failed = F.coalesce("failed", F.lit(False))

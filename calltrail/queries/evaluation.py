@@ -248,9 +248,10 @@ def saved_scores(spark, sf_dir):
     path = scratch_dir(spark, "predictions")
     predictions, calls, truth = _inputs(spark, sf_dir)
     versions.write_version(predictions, path)
+    counts = ev.written_counts(calls, truth)
     for _ in range(2):
         current = versions.read_version(spark, path)
-        writers.write_scores(current, ev.evaluate(current, calls, truth), path)
+        writers.write_scores(current, ev.evaluate(current, counts=counts), path)
     out = versions.read_version(spark, path).select("model", "sample_id", "failed", "stored.*")
     return _rounded(out, *ev.METRICS)
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from calltrail.functions import pyliteral
 from calltrail.operators import draws, ordering
+from calltrail.plans import evaluation as ev
 from calltrail.plans import sft
 from calltrail.plans import traces as tr
-from calltrail.queries import catalogs, files
+from calltrail.queries import catalogs, evaluation, files
 from calltrail.sources import readers, writers
 from calltrail.streaming import chains as st
 
@@ -209,3 +210,18 @@ def test_short_calls_go_around_python_with_its_texts(spark):
     told = sft.answers(steps, "python")
     assert "Union" in plan(told) and plan(told).count("ArrowEvalPython") == 1
     assert {r.workflow_id: r.assistant for r in told.collect()} == {i: f"[{pyliteral.call_text('t', v)}]" for i, v in enumerate(texts)}
+
+
+def test_saved_scores_match_calls_with_true_tools_once(spark, tmp_path):
+    schema = "l_orderkey bigint, l_suppkey bigint, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    rows = [(o, s, 5.0 * s + 1, 0.04 * s, 0.02 * o, "AN"[s % 2], "FO"[(o + s) % 2]) for o in range(6) for s in range(4)]
+    sf = _tables(spark, tmp_path, lineitem=(schema, rows))
+    asked, kept = [], ev.tool_counts
+    ev.tool_counts = lambda calls, truth: asked.append(1) or kept(calls, truth)
+    try:
+        saved = {(r.model, r.sample_id): r for r in evaluation.saved_scores(spark, sf).collect()}
+    finally:
+        ev.tool_counts = kept
+    fresh = {(r.model, r.sample_id): r for r in evaluation._rounded(evaluation.scores(spark, sf), *ev.METRICS).collect()}
+    assert len(asked) == 1 and saved.keys() == fresh.keys() and len(saved) == 12
+    assert all(saved[k].recall == fresh[k].recall and saved[k].qor == fresh[k].qor for k in saved if not saved[k].failed)
