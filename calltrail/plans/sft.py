@@ -16,8 +16,12 @@ STEP_ORDER = ["chain_pos", "step_pos"]
 
 
 def definition_texts(definitions: DataFrame) -> DataFrame:
-    """definitions(api, definition JSON) -> api, text: the definition as a Python literal."""
-    return definitions.select("api", to_literal_text("definition").alias("text"))
+    """definitions(api, definition JSON) -> api, text: the definition as a Python literal.
+
+    A text takes far longer to make than to read, and a catalog lies in few files, so all cores get a share first.
+    """
+    cores = definitions.sparkSession.sparkContext.defaultParallelism
+    return definitions.repartition(cores, "api").select("api", to_literal_text("definition").alias("text"))
 
 
 def candidate_pool(positives: DataFrame, negatives: DataFrame) -> DataFrame:

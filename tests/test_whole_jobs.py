@@ -198,6 +198,13 @@ def test_hot_keys_are_counted_by_bucket_first(spark):
         ordering.materialize = kept
 
 
+def test_texts_of_definitions_are_made_by_all_cores(spark):
+    definitions = spark.range(50).coalesce(1).select(F.concat(F.lit("t"), "id").alias("api"), F.format_string('{"a": %d}', "id").alias("definition"))
+    texts = sft.definition_texts(definitions)
+    assert texts.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert {r.api: r.text for r in texts.collect()} == {f"t{i}": f"{{'a': {i}}}" for i in range(50)}
+
+
 def test_short_calls_go_around_python_with_its_texts(spark):
     texts = [
         "{}", '{"a": 1}', '{"a": 1, "a": 2}', '{"a": "b", ": c": 1}', '{"a": ": x"}', '{", ": 1, "b": "x, y: z}"}', '{"a":1}', '{"a": 1.50}',
