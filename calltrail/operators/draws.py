@@ -79,7 +79,7 @@ def _ranked(able: DataFrame, most: int, seed: int) -> DataFrame:
         return able.withColumn("ranks", _ranks(F.col("workflow_id"), wanted, allowed, seed))
 
     def each(value: Callable[[int], Column]) -> Column:
-        return F.slice(F.array(*[F.when(F.lit(i) < wanted, value(i)) for i in range(most)]), F.lit(1), wanted.cast("int"))
+        return F.slice(F.array(*[F.when(F.lit(i) < wanted, value(i)) for i in range(max(most, 1))]), F.lit(1), wanted.cast("int"))
 
     def pick(i: int) -> Column:
         return F.pmod(_bits(F.concat("_text", F.lit(str(i))), 15), allowed - wanted + (i + 1))
